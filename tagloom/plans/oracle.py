@@ -441,7 +441,6 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN {usable} THEN ai_description ELSE description END AS description,
           CASE WHEN {usable} THEN coalesce({field('keywords')}, '') ELSE keywords END AS keywords
         FROM joined)"""
-    stub = """'{"title":"' || replace(h1[1:20], chr(34), '') || '","description":"' || (length(prompt) % 2)::VARCHAR || '"}'"""
     retry = f"""WITH {JOB}, fetched2 AS ({REFETCHED}),
       again AS (SELECT url, max({gate('url', 'http_status', 'fetch_error', 'html')}) AS e FROM fetched2 GROUP BY url)"""
 
@@ -501,7 +500,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN {usable} THEN coalesce(array_to_string(cast(json_extract(answer, '$.suggestions') AS VARCHAR[]), chr(10)), '') END AS suggestions,
             CASE WHEN NOT ({usable}) AND error IS NULL THEN {lit(M.UNUSABLE_ANSWER)} END AS ai_error, error
           FROM final JOIN registry ON provider_key = {_PROVIDER_KEY.replace('provider IN', 'asked IN').replace('THEN provider', 'THEN asked')}""",
-        "model_generate": f"""{META}, prompts AS (SELECT page_id, url, {prompt()} AS prompt FROM meta)
+        "model_generate": f"""{META_OVERRIDDEN}, prompts AS (SELECT page_id, url, {prompt()} AS prompt FROM meta)
           SELECT url, CASE WHEN length(prompt) % 3 = 0 THEN NULL ELSE '{{"title":"' || length(prompt) || '"}}' END AS text,
             CASE WHEN length(prompt) % 3 = 0 THEN 'API error 400: rejected' END AS error FROM prompts""",
         "fetch_gate": f"WITH f AS ({FETCHED}) SELECT page_id, {gate('url', 'http_status', 'fetch_error', 'html')} AS error, {code(gate('url', 'http_status', 'fetch_error', 'html'))} AS error_code FROM f",

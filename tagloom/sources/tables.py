@@ -19,6 +19,13 @@ RECORD_SCHEMA = f"""
         body_text: string, domain: string>,
     overrides struct<title: string, keywords: string, description: string>
 """
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 RECORD_MISSING = "page data missing"
 
 
@@ -75,7 +82,9 @@ def write_job(rows: DataFrame, counters: DataFrame, path: str, mode: str = "erro
 
 
 def export_csv(rows: DataFrame, path: str, mode: str = "error") -> None:
-    """Result table for spreadsheets; line breaks and quotes survive."""
-    rows.write.mode(mode).option("header", True).option("escape", '"').option(
-        "quoteAll", True
-    ).csv(path)
+    """Result table for spreadsheets; quotes, line breaks and outer spaces survive."""
+    rows.write.mode(mode).options(**CSV_OPTIONS, quoteAll=True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=True).csv(path)

@@ -19,6 +19,7 @@ from tagloom.config import DEFAULTS, Options
 from tagloom.operators.jobs import page_results
 from tagloom.operators.ratelimit import rate_limit_with_state
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_SCHEMA = "key string, window_start bigint, used bigint"
 
 
