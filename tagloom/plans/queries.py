@@ -404,10 +404,6 @@ def stream_rate_limit(spark, sf_dir):
 
 def stream_latest_state(spark, sf_dir):
     out, checkpoint = scratch_path(spark, "stream-states"), scratch_path(spark, "checkpoint")
-    # State with a time to live needs RocksDB; a session of its own keeps the
-    # caller's setting as it is.
-    spark = spark.newSession()
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
     states = I.derive(_stream(spark, sf_dir, "events"), {**I.JOB_STATES, "ts": "ts"}).select(
         "job_id",
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("updated"),

@@ -8,18 +8,18 @@ batch after a failure leaves the same table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tagloom.config import DEFAULTS, Options
 from tagloom.operators.jobs import page_results
 from tagloom.operators.ratelimit import rate_limit_with_state
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_SCHEMA = "key string, window_start bigint, used bigint"
 
 
@@ -28,6 +28,19 @@ def _writer(df: DataFrame, checkpoint: str, mode: str, available_now: bool):
     return writer.trigger(availableNow=True) if available_now else writer
 
 
+@contextmanager
+def _start_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings for a query being started; it keeps them, the session does not."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def stream_results(
     fetches: DataFrame,
     path: str,
@@ -106,51 +119,34 @@ def stream_rate_limit(
     return _writer(requests, checkpoint, "append", available_now).foreachBatch(decide).start()
 
 
-LATEST_SCHEMA = "job_id string, updated bigint, status string, done bigint, errors bigint"
+LATEST_SCHEMA = "job_id string, updated bigint, done bigint, errors bigint, status string"
 
 
-class LatestState(StatefulProcessor):
-    """Newest state per job, forgotten after its time to live.
+STATE_FIELDS = ["updated", "done", "errors", "status"]
 
-    A maximum needs no order, so rows are folded chunk by chunk.
-    """
 
-    def __init__(self, ttl_seconds: int):
-        self._ttl_ms = ttl_seconds * 1000
+def _latest_state(ttl_seconds: int):
+    """Newest state per job, forgotten when no state came for its time to live.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._latest = handle.getValueState(
-            "latest", "updated bigint, status string, done bigint, errors bigint", self._ttl_ms
-        )
+    A maximum needs no order, so rows are folded chunk by chunk and a busy job
+    costs one pass over its rows of the micro-batch, not their memory.
+    """
+
+    def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = tuple(state.get) if state.exists else None
+        for chunk in chunks:
+            newest = chunk[chunk["updated"] == chunk["updated"].max()]
+            row = newest.sort_values(STATE_FIELDS).iloc[-1]
+            found = (int(row["updated"]), int(row["done"]), int(row["errors"]), str(row["status"]))
+            best = found if best is None else max(best, found)
+        state.update(best)
+        state.setTimeoutDuration(ttl_seconds * 1000)
+        yield pd.DataFrame([(key[0], *best)], columns=["job_id", *STATE_FIELDS])
 
-    def handleInputRows(
-        self, key: tuple, rows: Iterator[pd.DataFrame], timerValues
-    ) -> Iterator[pd.DataFrame]:
-        fields = ["updated", "done", "errors", "status"]
-        best = None
-        if self._latest.exists():
-            updated, status, done, errors = self._latest.get()
-            best = (updated, done, errors, status)
-        for chunk in rows:
-            newest = chunk.sort_values(fields).iloc[-1]
-            candidate = tuple(newest[f] for f in fields)
-            best = candidate if best is None else max(best, candidate)
-        if best is not None:
-            updated, done, errors, status = best
-            row = (int(updated), str(status), int(done), int(errors))
-            self._latest.update(row)
-            yield pd.DataFrame(
-                {
-                    "job_id": [key[0]],
-                    "updated": [row[0]],
-                    "status": [row[1]],
-                    "done": [row[2]],
-                    "errors": [row[3]],
-                }
-            )
-
-    def close(self) -> None:
-        pass
+    return fold
 
 
 def stream_latest_state(
@@ -160,21 +156,26 @@ def stream_latest_state(
     options: Options = DEFAULTS,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Newest state per job as states arrive; needs the RocksDB state store."""
-    latest = states.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=LatestState(options.job_ttl_seconds),
+    """Newest state per job as states arrive, expiring idle jobs."""
+    latest = states.groupBy("job_id").applyInPandasWithState(
+        _latest_state(options.job_ttl_seconds),
         outputStructType=LATEST_SCHEMA,
-        outputMode="Update",
-        timeMode="ProcessingTime",
+        stateStructType="updated bigint, done bigint, errors bigint, status string",
+        outputMode="update",
+        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
     )
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return _writer(latest, checkpoint, "update", available_now).foreachBatch(save).start()
+    # Pending timeouts would keep an available-now run busy with empty batches
+    # for ever, so those are off then.
+    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if available_now else {}
+    with _start_settings(states.sparkSession, settings):
+        return _writer(latest, checkpoint, "update", available_now).foreachBatch(save).start()
 
 
 def read_latest_state(spark: SparkSession, path: str) -> DataFrame:
     saved = spark.read.schema(f"{LATEST_SCHEMA}, batch bigint").parquet(path)
-    newest = F.max_by(F.struct("updated", "status", "done", "errors"), "batch").alias("_s")
+    newest = F.max_by(F.struct(*STATE_FIELDS), "batch").alias("_s")
     return saved.groupBy("job_id").agg(newest).select("job_id", "_s.*")
