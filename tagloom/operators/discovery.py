@@ -115,12 +115,33 @@ def _capped_children(edges: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
     return known.withColumn("_before", before).filter(F.col("_before") < cap).drop("_before")
 
 
-def resolve_indexes(parsed: DataFrame, options: Options = DEFAULTS) -> tuple[DataFrame, DataFrame, int]:
+def index_depth(edges: DataFrame, indexes: DataFrame, options: Options = DEFAULTS) -> int:
+    """How many indexes lie on the longest chain of nested ones, within the bound.
+
+    Looks at index-to-index edges only.  There are none in a flat sitemap, so
+    the usual answer costs one small check.
+    """
+    nested = edges.join(indexes.select(F.col("doc_url").alias("child")), "child", "left_semi")
+    if nested.isEmpty():
+        return 1
+    nested = materialize(nested.select("doc_url", "child").distinct(), "sitemap-nesting")
+    depth, parents = 2, nested.select("doc_url").distinct()
+    while depth < options.sitemap_max_depth:
+        above = nested.join(parents.withColumnRenamed("doc_url", "child"), "child", "left_semi")
+        parents = above.select("doc_url").distinct()
+        if parents.isEmpty():
+            break
+        depth += 1
+    return depth
+
+
+def resolve_indexes(
+    parsed: DataFrame, options: Options = DEFAULTS
+) -> tuple[DataFrame, DataFrame, int]:
     """Sizes of all documents, the index edges that are followed, the depth.
 
-    Sizes grow bottom-up: a level per nesting depth, each written out.  Flat
-    indexes, the usual case, need one.  Nesting deeper than the bound (or a
-    cycle) contributes nothing below it, so this always ends.
+    Sizes grow bottom-up, one join per nesting level.  Nesting deeper than the
+    bound (or a cycle) contributes nothing below it, so this always ends.
     """
     cap = options.max_urls_per_site
     leaves = parsed.filter(~F.col("is_index")).select(
@@ -129,23 +150,14 @@ def resolve_indexes(parsed: DataFrame, options: Options = DEFAULTS) -> tuple[Dat
     edges = parsed.filter("is_index").select(
         "doc_url", F.posexplode("children").alias("pos", "child")
     )
-    indexes = parsed.filter("is_index").select("doc_url")
-    nested = edges.join(indexes.select(F.col("doc_url").alias("child")), "child", "left_semi")
-    has_nested = not nested.isEmpty()
-
-    sizes, depth = leaves, 0
-    while True:
-        depth += 1
+    depth = index_depth(edges, parsed.filter("is_index"), options)
+    sizes, kept = leaves, edges
+    for _ in range(depth):
         kept = _capped_children(edges, sizes, cap)
         totals = kept.groupBy("doc_url").agg(F.sum("child_n").alias("n"))
-        grown = leaves.unionByName(totals)
-        if not has_nested:
-            return grown, kept, depth
-        grown = materialize(grown, "sitemap-sizes")
-        changed = grown.join(sizes, ["doc_url", "n"], "left_anti")
-        if depth >= options.sitemap_max_depth or changed.isEmpty():
-            return grown, materialize(kept, "sitemap-edges"), depth
-        sizes = grown
+        sizes = leaves.unionByName(totals)
+    # A nested walk reads the followed edges once per level.
+    return sizes, materialize(kept, "sitemap-edges") if depth > 1 else kept, depth
 
 
 def expand_roots(roots: DataFrame, parsed: DataFrame, kept: DataFrame, depth: int) -> DataFrame:
@@ -175,13 +187,10 @@ def expand_roots(roots: DataFrame, parsed: DataFrame, kept: DataFrame, depth: in
     return reduce(DataFrame.unionByName, found)
 
 
-def sitemap_urls(
-    sites: DataFrame, site_docs: DataFrame, options: Options = DEFAULTS
-) -> DataFrame:
-    """``(site, order, url)`` of the first sitemap of each site that has urls.
-
-    ``sites`` is the output of ``normalize_sites``.
-    """
+def _sitemap_plan(
+    sites: DataFrame, site_docs: DataFrame, options: Options
+) -> tuple[DataFrame, DataFrame]:
+    """``roots(site, doc_url)`` of sites with sitemap urls, and those urls."""
     parsed = parse_sitemaps(site_docs)
     unique = parsed.groupBy("doc_url").agg(
         F.max(F.struct("is_index", "children", "urls")).alias("_d")
@@ -195,10 +204,22 @@ def sitemap_urls(
         .agg(F.min(F.struct("rank", "doc_url")).alias("_r"))
         .select("site", "_r.doc_url")
     )
+    roots = materialize(roots, "sitemap-roots")
     documents = expand_roots(roots, parsed, kept, depth)
-    return documents.join(parsed.select("doc_url", "urls"), "doc_url").select(
+    urls = documents.join(parsed.select("doc_url", "urls"), "doc_url").select(
         "site", "path", F.posexplode("urls").alias("_i", "url")
-    ).select("site", F.concat("path", F.array("_i")).alias("order"), "url")
+    )
+    return roots, urls.select("site", F.concat("path", F.array("_i")).alias("order"), "url")
+
+
+def sitemap_urls(
+    sites: DataFrame, site_docs: DataFrame, options: Options = DEFAULTS
+) -> DataFrame:
+    """``(site, order, url)`` of the first sitemap of each site that has urls.
+
+    ``sites`` is the output of ``normalize_sites``.
+    """
+    return _sitemap_plan(sites, site_docs, options)[1]
 
 
 def page_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -253,8 +274,8 @@ def discover_urls(
     url, whatever host those point to.
     """
     known = normalize_sites(sites)
-    mapped = materialize(sitemap_urls(known, site_docs, options), "sitemap-urls")
-    unmapped = known.join(mapped.select("site").distinct(), "site", "left_anti")
+    roots, mapped = _sitemap_plan(known, site_docs, options)
+    unmapped = known.join(roots, "site", "left_anti")
     starts = unmapped.join(
         accepted_docs(site_docs).withColumnRenamed("doc_url", "page"), "page"
     ).select("site", F.col("page").alias("url"), F.col("body").alias("html"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUOTE = "chr(34)"
+from tagloom.sources import tables as T
 
 # Head elements added after the title.
 _HEAD = """concat('</title>',
@@ -200,7 +200,7 @@ SITE_DOCS = [
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return T.spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:

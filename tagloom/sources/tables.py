@@ -42,6 +42,17 @@ def read_site_docs(spark: SparkSession, path: str, format: str = "parquet") -> D
     return read_table(spark, path, SITE_DOC_SCHEMA, format)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan that cannot be split into enough tasks.
+
+    A small file with one row group is one task however many cores wait.  Its
+    rows are then dealt out; a scan with a task per core or more, i.e. any large
+    table, is returned as it is and never exchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_stream(
     spark: SparkSession, path: str, schema: str, format: str = "parquet", **options: str
 ) -> DataFrame:
