@@ -24,6 +24,7 @@ from tagloom.functions.sql_text import (
     strip_tags_sql,
     trim_sql,
 )
+from tagloom.functions.text import SPACE_RUN
 
 _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 
@@ -32,18 +33,27 @@ def open_tag(name: str) -> str:
     return rf"<{name}(?:[\s/]{_ATTRS})?>"
 
 
-def element(name: str) -> str:
-    """Whole element; unclosed means up to the end of the document."""
-    return rf"{open_tag(name)}.*?(?:</{name}\s*>|\z)"
+def until_close(name: str) -> str:
+    """Everything up to the closing tag, in runs between ``<`` characters."""
+    return rf"(?:[^<]++|<(?!/{name}\s*>))*+"
 
 
-COMMENT = r"<!--.*?(?:-->|\z)"
-# One alternation, so whichever construct opens first wins: a comment marker
-# inside a script is script text, a script inside a comment is comment text.
-OPAQUE = rf"(?is){COMMENT}|{element('script')}|{element('style')}"
-SCRIPTS = rf"(?is){COMMENT}|{element('style')}|{element('script')}"
-PAGE_FURNITURE = rf"(?is){element('nav')}|{element('footer')}|{element('header')}"
-ANY_TAG = rf"(?is)<[a-z/!?]{_ATTRS}>|<[a-z/!?][^>]*>"
+def element(names: str, group: int) -> str:
+    """Whole element, without its ``<``; unclosed means up to the document end.
+
+    ``names`` are alternatives; ``group`` is the number their capture gets.
+    """
+    tag = rf"({names})(?:[\s/]{_ATTRS})?>"
+    return rf"{tag}{until_close(chr(92) + str(group))}(?:</\{group}\s*>|\z)"
+
+
+# All alternatives share their first character, so text between tags is skipped
+# at the cost of one comparison per character.  Whichever construct opens first
+# wins: a comment marker inside a script is script text and vice versa.
+_COMMENT = r"!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
+OPAQUE = rf"(?is)<(?:{_COMMENT}|{element('script|style', 1)})"
+PAGE_FURNITURE = rf"(?is)<{element('nav|footer|header', 1)}"
+ANY_TAG = rf"(?is)<[a-z/!?](?:{_ATTRS}>|[^>]*+>)"
 PARAGRAPH_START = r"(?i)<p(?:\s[^>]*)?>"
 # Tags whose start or end closes an open paragraph.
 BLOCK_TAGS = (
@@ -54,6 +64,9 @@ BLOCK_BOUNDARY = rf"(?is)</?(?:{'|'.join(BLOCK_TAGS.split())})\b.*\z"
 ATTRIBUTE = r"""([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 ENTITY = r"^(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
 
+# Length for slices to the end (no second evaluation of the array for its size).
+ALL = 1_000_000_000
+
 # HTML 4 entity names (the standard library's table) plus ``apos``.
 NAMED_ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 
@@ -80,7 +93,7 @@ def decode_entities(x: str) -> str:
     The text is split at ``&``; each later piece either starts with a known
     entity, which is replaced, or gets its ``&`` back.
     """
-    names = f"""transform(slice(split({x}, '&', -1), 2, size(split({x}, '&', -1))),
+    names = f"""transform(slice(split({x}, '&', -1), 2, {ALL}),
         p -> struct(p AS text, {extract_sql('p', ENTITY, 1)} AS name))"""
     chars = f"""transform({names}, p -> struct(p.text AS text, length(p.name) AS skip, CASE
         WHEN p.name = '' THEN NULL
@@ -126,7 +139,7 @@ def tag_attributes(markup: str, name: str, needs: str, fields: tuple[str, ...])
 
 
 def inner_pattern(name: str) -> str:
-    return rf"(?is){open_tag(name)}(.*?)(?:</{name}\s*>|\z)"
+    return rf"(?is){open_tag(name)}({until_close(name)})"
 
 
 def element_text(markup: str, name: str) -> str:
@@ -152,7 +165,7 @@ def paragraph_texts(markup: str, longer_than: int) -> str:
     are dropped before it.
     """
     pieces = f"split({markup}, {quote(PARAGRAPH_START)}, -1)"
-    bodies = f"filter(slice({pieces}, 2, size({pieces})), p -> length(p) > {longer_than})"
+    bodies = f"filter(slice({pieces}, 2, {ALL}), p -> length(p) > {longer_than})"
     plain = f"transform({bodies}, p -> {drop_tags(replace_sql('p', BLOCK_BOUNDARY))})"
     plain = f"filter({plain}, p -> length(p) > {longer_than})"
     texts = f"transform({plain}, p -> {decode_entities('p')})"
@@ -166,7 +179,8 @@ def body_markup(markup: str) -> str:
 
 def flatten_text(decoded: str) -> str:
     """Single-spaced text; tag-like runs that decoding produced vanish too."""
-    return replace_sql(strip_tags_sql(decoded), r"\s+", " ")
+    stripped = f"CASE WHEN contains({decoded}, '<') THEN {strip_tags_sql(decoded)} ELSE {decoded} END"
+    return replace_sql(stripped, SPACE_RUN, " ")
 
 
 def script_blocks(html: str, media_type: str) -> str:
@@ -174,7 +188,7 @@ def script_blocks(html: str, media_type: str) -> str:
 
     Most documents have none: a plain substring test spares them the scan.
     """
-    scripts = f"""filter({extract_all_sql(html, SCRIPTS)},
+    scripts = f"""filter({extract_all_sql(html, OPAQUE)},
         s -> s RLIKE {quote(r'(?i)^<script[\s/]')} AND contains(s, {quote(media_type)}))"""
     split = f"""transform({scripts}, s -> struct(
         {parse_attributes(extract_sql('s', rf"(?is)^{open_tag('script')}"))} AS attrs,

@@ -33,6 +33,8 @@ STOPWORDS = tuple(
 # Domain endings dropped from a brand name, in this order.
 BRAND_ENDINGS = (".de", ".com", ".net", ".org")
 
+# Whitespace to be replaced by one space: all runs but a single space itself.
+SPACE_RUN = r"[^\S ]\s*+| \s++"
 TAG_LIKE = r"<(?:[^\s>][^>]*)?>|<[^\s>][^>]*\z"
 
 
@@ -56,11 +58,12 @@ def right_trimmed(c: Column | str) -> Column:
 
 def strip_tags(c: Column | str) -> Column:
     """Drop tag-like runs; ``< `` is text, an unclosed tag runs to the end."""
-    return F.regexp_replace(to_col(c), TAG_LIKE, "")
+    c = to_col(c)
+    return F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, TAG_LIKE, "")).otherwise(c)
 
 
 def collapse_whitespace(c: Column | str) -> Column:
-    return F.regexp_replace(to_col(c), r"\s+", " ")
+    return F.regexp_replace(to_col(c), SPACE_RUN, " ")
 
 
 def last_position(c: Column | str, needle: str) -> Column:
