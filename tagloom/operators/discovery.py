@@ -104,15 +104,18 @@ def sitemap_candidates(sites: DataFrame, site_docs: DataFrame) -> DataFrame:
 
 
 def _capped_children(edges: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
-    """Edges whose earlier siblings bring less than ``cap`` urls, with sizes."""
-    known = edges.join(
-        sizes.select(F.col("doc_url").alias("child"), F.col("n").alias("child_n")), "child", "left"
-    ).fillna(0, ["child_n"])
+    """Edges to children with urls, as long as earlier siblings bring fewer than ``cap``."""
+    children = sizes.select(
+        F.col("doc_url").alias("child"),
+        F.col("n").alias("child_n"),
+        F.col("is_index").alias("child_is_index"),
+    )
     earlier = (
         Window.partitionBy("doc_url").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     )
     before = F.coalesce(F.sum("child_n").over(earlier), F.lit(0))
-    return known.withColumn("_before", before).filter(F.col("_before") < cap).drop("_before")
+    found = edges.join(children, "child").withColumn("_before", before)
+    return found.filter((F.col("_before") < cap) & (F.col("child_n") > 0)).drop("_before")
 
 
 def index_depth(edges: DataFrame, indexes: DataFrame, options: Options = DEFAULTS) -> int:
@@ -145,52 +148,46 @@ def resolve_indexes(
     """
     cap = options.max_urls_per_site
     leaves = parsed.filter(~F.col("is_index")).select(
-        "doc_url", F.size("urls").cast("bigint").alias("n")
+        "doc_url", F.size("urls").cast("bigint").alias("n"), "is_index"
     )
     edges = parsed.filter("is_index").select(
         "doc_url", F.posexplode("children").alias("pos", "child")
     )
     depth = index_depth(edges, parsed.filter("is_index"), options)
     sizes, kept = leaves, edges
-    for _ in range(depth):
+    for level in range(1, depth + 1):
         kept = _capped_children(edges, sizes, cap)
+        if level == depth > 1:
+            # Read again for the sizes and once per level of the walk.
+            kept = materialize(kept, "sitemap-edges")
         totals = kept.groupBy("doc_url").agg(F.sum("child_n").alias("n"))
-        sizes = leaves.unionByName(totals)
-    # A nested walk reads the followed edges once per level.
-    return sizes, materialize(kept, "sitemap-edges") if depth > 1 else kept, depth
+        sizes = leaves.unionByName(totals.withColumn("is_index", F.lit(True)))
+    return sizes, kept, depth
 
 
-def expand_roots(roots: DataFrame, parsed: DataFrame, kept: DataFrame, depth: int) -> DataFrame:
+def expand_roots(roots: DataFrame, kept: DataFrame, depth: int) -> DataFrame:
     """``(site, path, doc_url)`` of the url documents below each root.
 
     The path of child positions sorts occurrences in reading order.
     """
-    kinds = parsed.select("doc_url", "is_index")
-    level = roots.select("site", F.array().cast("array<int>").alias("path"), "doc_url").join(
-        kinds, "doc_url"
-    )
-    found = []
-    for step in range(depth + 1):
-        found.append(level.filter(~F.col("is_index")).select("site", "path", "doc_url"))
-        if step == depth:
-            break
-        level = (
-            level.filter("is_index")
-            .join(kept.select("doc_url", "pos", "child"), "doc_url")
-            .select(
-                "site",
-                F.concat("path", F.array("pos")).alias("path"),
-                F.col("child").alias("doc_url"),
-            )
-            .join(kinds, "doc_url")
+    level = roots.select("site", F.array().cast("array<int>").alias("path"), "doc_url", "is_index")
+    found = [level.filter(~F.col("is_index"))]
+    for _ in range(depth):
+        below = level.filter("is_index").join(kept, "doc_url")
+        level = below.select(
+            "site",
+            F.concat("path", F.array("pos")).alias("path"),
+            F.col("child").alias("doc_url"),
+            F.col("child_is_index").alias("is_index"),
         )
-    return reduce(DataFrame.unionByName, found)
+        found.append(level.filter(~F.col("is_index")))
+    return reduce(DataFrame.unionByName, found).drop("is_index")
 
 
 def _sitemap_plan(
     sites: DataFrame, site_docs: DataFrame, options: Options
 ) -> tuple[DataFrame, DataFrame]:
-    """``roots(site, doc_url)`` of sites with sitemap urls, and those urls."""
+    """``roots(site, doc_url, is_index)`` of sites with sitemap urls, and those urls."""
     parsed = parse_sitemaps(site_docs)
     unique = parsed.groupBy("doc_url").agg(
         F.max(F.struct("is_index", "children", "urls")).alias("_d")
@@ -201,11 +198,11 @@ def _sitemap_plan(
         sitemap_candidates(sites, site_docs)
         .join(sizes.filter(F.col("n") > 0), "doc_url")
         .groupBy("site")
-        .agg(F.min(F.struct("rank", "doc_url")).alias("_r"))
-        .select("site", "_r.doc_url")
+        .agg(F.min(F.struct("rank", "doc_url", "is_index")).alias("_r"))
+        .select("site", "_r.doc_url", "_r.is_index")
     )
     roots = materialize(roots, "sitemap-roots")
-    documents = expand_roots(roots, parsed, kept, depth)
+    documents = expand_roots(roots, kept, depth)
     urls = documents.join(parsed.select("doc_url", "urls"), "doc_url").select(
         "site", "path", F.posexplode("urls").alias("_i", "url")
     )
