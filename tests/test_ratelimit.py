@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from tests_support import model_limit as model
 
 from tagloom.operators.ratelimit import rate_limit, rate_limit_with_state
 
@@ -9,19 +10,6 @@ START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "key string, ts timestamp, id bigint"
 
 
-def model(rows, limit, window):
-    """One request after the other, as the limiter is defined."""
-    state, out = {}, {}
-    for key, ts, id in sorted(rows, key=lambda r: (r[1], r[2])):
-        now = int(ts.timestamp())
-        start, count = state.get(key, (now, 0))
-        if now - start > window:
-            start, count = now, 0
-        state[key] = (start, count + 1)
-        out[id] = (start, count + 1, count + 1 <= limit)
-    return out
-
-
 def decisions(df):
     return {r.id: (r.window_start, r.request_count, r.allowed) for r in df.collect()}
 
