@@ -22,6 +22,7 @@ from tagloom.operators.responses import (
     apply_responses,
     build_prompts,
     build_requests,
+    generate_metadata,
     generate_texts,
     response_texts,
 )
@@ -30,7 +31,7 @@ from tagloom.operators.rules import compliance_report, generate_rules
 __all__ = [
     "DEFAULTS", "Options", "apply_responses", "build_description", "build_prompts",
     "build_requests", "canonical_url", "compliance_report", "discover_urls", "error_code",
-    "extract_pages", "generate_rules", "generate_texts", "is_transient", "job_summary",
+    "extract_pages", "generate_metadata", "generate_rules", "generate_texts", "is_transient", "job_summary",
     "latest_state", "live_states", "merge_retry", "optimize_title", "page_results", "page_type",
     "rate_limit", "resolve_attempts", "response_texts", "retry_set", "run_job",
     "trim_to_length", "url_lists",

@@ -79,10 +79,10 @@ def robots_targets(site_docs: DataFrame) -> DataFrame:
 
 
 def normalize_sites(sites: DataFrame) -> DataFrame:
-    """``(site, page, host, base)`` of ``sites(site)``."""
+    """``(site, page, base)`` of ``sites(site)``."""
     page = strip_trailing_slashes("site")
     return sites.select("site").distinct().select(
-        "site", page.alias("page"), url_host(page).alias("host"), site_base(page).alias("base")
+        "site", page.alias("page"), site_base(page).alias("base")
     )
 
 
@@ -279,5 +279,5 @@ def discover_urls(
     linked = page_links(starts, keep=("site",)).select(
         "site", F.array("pos").alias("order"), "url"
     )
-    merged = mapped.unionByName(linked).join(known.select("site", "host"), "site")
-    return cap_frontier(merged, "site", F.col("host"), ["order"], options)
+    host = url_host(strip_trailing_slashes("site"))
+    return cap_frontier(mapped.unionByName(linked), "site", host, ["order"], options)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tagloom.config import DEFAULTS
 from tagloom.functions.text import to_col
 
-_CHAIN_SCHEMA = "rl_key string, rl_sec bigint, window_start bigint, rl_before bigint, rl_n bigint"
+_CHAIN_SCHEMA = "rl_key string, rl_sec bigint, window_start bigint, rl_before bigint"
 
 
 def _chain(window_seconds: int):
@@ -67,7 +67,6 @@ def _chain(window_seconds: int):
                     "rl_sec": secs,
                     "window_start": starts,
                     "rl_before": before,
-                    "rl_n": counts,
                 }
             )
             yield out[~carried]
@@ -111,22 +110,6 @@ def rate_limit(
     Rejected requests count too.  ``state(key, window_start, used)`` continues
     the windows of earlier input.
     """
-    decided, _ = rate_limit_with_state(
-        requests, key, ts, id, max_requests, window_seconds, state
-    )
-    return decided
-
-
-def rate_limit_with_state(
-    requests: DataFrame,
-    key: Column | str = "key",
-    ts: Column | str = "ts",
-    id: Column | str = "id",
-    max_requests: int = DEFAULTS.rate_limit_requests,
-    window_seconds: int = DEFAULTS.rate_limit_window,
-    state: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Decisions and the last window per key ``(key, window_start, used)``."""
     stamped = requests.withColumns(
         {
             # Requests without a key share one, so none drops out of the join.
@@ -142,13 +125,18 @@ def rate_limit_with_state(
         Window.partitionBy("rl_key", "rl_sec").orderBy("rl_ts", "rl_id")
     )
     placed = (
-        stamped.join(chain.drop("rl_n"), ["rl_key", "rl_sec"])
+        stamped.join(chain, ["rl_key", "rl_sec"])
         .withColumn("request_count", F.col("rl_before") + in_second)
         .withColumn("allowed", F.col("request_count") <= max_requests)
     )
-    decided = placed.select(*requests.columns, "window_start", "request_count", "allowed")
-    last = F.max(
-        F.struct("window_start", (F.col("rl_before") + F.col("rl_n")).alias("used"))
-    ).alias("_w")
-    open_windows = chain.groupBy(F.col("rl_key").alias("key")).agg(last).select("key", "_w.*")
-    return decided, open_windows
+    return placed.select(*requests.columns, "window_start", "request_count", "allowed")
+
+
+def open_windows(decided: DataFrame, key: str = "key") -> DataFrame:
+    """Last window per key, ``(key, window_start, used)``, of decided requests.
+
+    The request that came last carries the count its window has reached.
+    """
+    last = F.max(F.struct("window_start", F.col("request_count").alias("used"))).alias("_w")
+    name = F.coalesce(F.col(key).cast("string"), F.lit("0")).alias("key")
+    return decided.groupBy(name).agg(last).select("key", "_w.*")

@@ -14,6 +14,7 @@ from tagloom.functions.text import falsy, to_col, trim_to_length
 from tagloom.operators.joins import lookup, unique_by
 from tagloom.operators.rules import (
     RULES_PROVIDER,
+    generate_rules,
     metadata_columns,
     rule_seeds,
     with_overrides,
@@ -328,3 +329,19 @@ def rules_or_model(provider: str) -> str:
     """Mode of a run: ``rules`` for ``none`` and unknown providers, else ``model``."""
     keys = {p[0] for p in PROVIDERS} - {"none"}
     return "model" if provider in keys else "rules"
+
+
+def generate_metadata(
+    pages: DataFrame,
+    provider: str = "none",
+    texts: DataFrame | None = None,
+    overrides: DataFrame | None = None,
+    keep: tuple[str, ...] = (),
+    options: Options = DEFAULTS,
+) -> DataFrame:
+    """Metadata by rule or from model answers, as the provider decides."""
+    if rules_or_model(provider) == "rules":
+        return generate_rules(pages, overrides, keep, options)
+    if texts is None:
+        raise ValueError(f"provider {provider!r} needs a table of answers")
+    return apply_responses(pages, texts, overrides, keep, options)

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tagloom.config import DEFAULTS, Options
 from tagloom.operators.jobs import page_results
-from tagloom.operators.ratelimit import rate_limit_with_state
+from tagloom.operators.ratelimit import open_windows, rate_limit
 
 STATE_SCHEMA = "key string, window_start bigint, used bigint"
 
@@ -97,19 +97,20 @@ def stream_rate_limit(
     """
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = None
+        spark, state = batch.sparkSession, None
         if batch_id > 0:
             state = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/batch={batch_id - 1}")
-        decided, opened = rate_limit_with_state(
-            batch, "key", "ts", "id", max_requests, window_seconds, state
-        )
-        decided.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        decided = rate_limit(batch, "key", "ts", "id", max_requests, window_seconds, state)
+        saved = f"{path}/batch={batch_id}"
+        decided.write.mode("overwrite").parquet(saved)
+        # The next state follows from the written decisions: nothing runs twice.
+        decided = spark.read.schema(decided.schema).parquet(saved)
+        opened = open_windows(decided)
         if state is not None:
             idle = state.join(opened.select("key"), "key", "left_anti")
             opened = opened.unionByName(idle)
-        newest = batch.agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("_now"))
-        live = opened.crossJoin(F.broadcast(newest)).filter(
+        newest = decided.agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("_now"))
+        live = opened.crossJoin(F.broadcast(newest)).filter(  # newest is one row
             F.col("_now").isNull() | (F.col("_now") - F.col("window_start") <= window_seconds)
         )
         live.select("key", "window_start", "used").write.mode("overwrite").parquet(

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from tests_support import model_limit as model
 
-from tagloom.operators.ratelimit import rate_limit, rate_limit_with_state
+from tagloom.operators.ratelimit import open_windows, rate_limit
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "key string, ts timestamp, id bigint"
@@ -53,7 +53,8 @@ def test_state_continues_open_windows(spark):
     got, state = {}, None
     for part in (rows[:300], rows[300:301], rows[301:]):
         df = spark.createDataFrame(part, SCHEMA)
-        decided, opened = rate_limit_with_state(df, max_requests=4, window_seconds=60, state=state)
+        decided = rate_limit(df, max_requests=4, window_seconds=60, state=state)
+        opened = open_windows(decided)
         got |= decisions(decided)
         fresh = {r.key: (r.key, r.window_start, r.used) for r in opened.collect()}
         old = {} if state is None else {r.key: tuple(r) for r in state.collect()}

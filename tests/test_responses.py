@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tagloom import apply_responses, build_prompts, build_requests, extract_pages, generate_texts, response_texts
+from tagloom import apply_responses, build_prompts, build_requests, extract_pages, generate_metadata, generate_texts, response_texts
 from tagloom.operators import responses as M
 
 HTML = "<body><h1>Heading</h1><p>" + "Some words of a page. " * 10 + "</p></body>"
@@ -102,4 +102,8 @@ def test_prompt_and_generator(spark, tmp_path):
     out = {r.url[-1]: (r.text, r.error) for r in generate_texts(prompts, generate).collect()}
     assert out == {"0": ('{"title":"x"}', None), "1": ('{"title":"x"}', None), "2": (None, "API error 400: no")}
     assert len(open(log).read().split()) == 1 + 3 + 1
+    by_rule = generate_metadata(pages(spark, 1), "none").collect()[0]
+    assert (by_rule.provider, by_rule.ai_powered) == ("Regelbasiert", False)
+    answers = generate_texts(prompts, generate)
+    assert {r.ai_powered for r in generate_metadata(pages(spark, 1), "ownai", answers).collect()} == {True}
     assert M.rules_or_model("none") == M.rules_or_model("?") == "rules" and M.rules_or_model("grok") == "model"
