@@ -39,37 +39,35 @@ def _chain(window_seconds: int):
             keys = batch["rl_key"].to_numpy(dtype=object)
             secs = batch["rl_sec"].to_numpy(dtype=np.int64)
             counts = batch["rl_n"].to_numpy(dtype=np.int64)
-            carried = batch["rl_open"].to_numpy(dtype=bool)
             size = len(keys)
-            starts = np.empty(size, dtype=np.int64)
-            before = np.empty(size, dtype=np.int64)
+            group = np.concatenate(([0], np.cumsum(keys[1:] != keys[:-1])))
+            # The window left open by the previous batch takes the rows it covers.
+            first = 0
+            if keys[0] == last_key:
+                same = int(np.searchsorted(group, 0, side="right"))
+                first = int(np.searchsorted(secs[:same], start + window_seconds, side="right"))
+            # Next window start of every row, were it a start itself.  Groups lie
+            # further apart than any window, so a chain leaves a group only at
+            # the first row of the next one, which opens a window anyway.
+            low = secs.min()
+            span = int(secs.max() - low) + window_seconds + 1
+            line = group * span + (secs - low)
+            following = np.searchsorted(line, line + window_seconds, side="right").tolist()
+            opening, at = [], first
+            while at < size:
+                opening.append(at)
+                at = following[at]
+            opened_by = np.zeros(size, dtype=np.int64)
+            opened_by[opening] = opening
+            opened_by = np.maximum.accumulate(opened_by)
             running = np.concatenate(([0], np.cumsum(counts)))
-            edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            for left, right in zip(edges, np.append(edges[1:], size)):
-                # An open window of this key continues, else its first row opens one.
-                if keys[left] != last_key:
-                    start, used = int(secs[left]), 0
-                at = left
-                while at < right:
-                    if secs[at] - start > window_seconds:
-                        start, used = int(secs[at]), 0
-                    end = at + int(
-                        np.searchsorted(secs[at:right], start + window_seconds, side="right")
-                    )
-                    starts[at:end] = start
-                    before[at:end] = used + running[at:end] - running[at]
-                    used += int(running[end] - running[at])
-                    at = end
-                last_key = keys[left]
+            starts, before = secs[opened_by], running[:-1] - running[opened_by]
+            starts[:first], before[:first] = start, used + running[:first]
+            last_key, start, used = keys[-1], int(starts[-1]), int(before[-1] + counts[-1])
             out = pd.DataFrame(
-                {
-                    "rl_key": keys,
-                    "rl_sec": secs,
-                    "window_start": starts,
-                    "rl_before": before,
-                }
+                {"rl_key": keys, "rl_sec": secs, "window_start": starts, "rl_before": before}
             )
-            yield out[~carried]
+            yield out[~batch["rl_open"].to_numpy(dtype=bool)]
 
     return run
 
