@@ -166,7 +166,8 @@ def paragraph_texts(markup: str, longer_than: int) -> str:
     """
     pieces = f"split({markup}, {quote(PARAGRAPH_START)}, -1)"
     bodies = f"filter(slice({pieces}, 2, {ALL}), p -> length(p) > {longer_than})"
-    plain = f"transform({bodies}, p -> {drop_tags(replace_sql('p', BLOCK_BOUNDARY))})"
+    cut = f"transform({bodies}, p -> {replace_sql('p', BLOCK_BOUNDARY)})"
+    plain = f"transform({cut}, p -> CASE WHEN contains(p, '<') THEN {drop_tags('p')} ELSE p END)"
     plain = f"filter({plain}, p -> length(p) > {longer_than})"
     texts = f"transform({plain}, p -> {decode_entities('p')})"
     return _clean_texts(f"filter({texts}, p -> length(p) > {longer_than})")

@@ -34,7 +34,7 @@ STOPWORDS = tuple(
 BRAND_ENDINGS = (".de", ".com", ".net", ".org")
 
 # Whitespace to be replaced by one space: all runs but a single space itself.
-SPACE_RUN = r"[^\S ]\s*+| \s++"
+SPACE_RUN = r"[\t\n\x0B\f\r]\s*+| \s++"
 TAG_LIKE = r"<(?:[^\s>][^>]*)?>|<[^\s>][^>]*\z"
 
 

@@ -9,7 +9,7 @@ the checks derive the very same inputs (see ``oracle``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.sources import tables as T
@@ -260,19 +260,32 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events")
 
 
+def instant(ts: str) -> Column:
+    """The zoneless event time as UTC, whatever time zone the session has."""
+    return F.from_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone())
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(events(spark, sf_dir), ATTEMPTS)
 
 
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = derive(events(spark, sf_dir), {**JOB_STATES, "ts": "ts"})
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return with_updated(states)
+
+
+def with_updated(states: DataFrame) -> DataFrame:
+    seconds = F.unix_seconds(instant("ts"))
     return states.select("job_id", seconds.alias("updated"), "status", "done", "errors")
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select(
+def as_requests(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").cast("string").alias("key"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        instant("ts").alias("ts"),
         F.col("event_id").alias("id"),
     )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_requests(events(spark, sf_dir))

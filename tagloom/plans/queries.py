@@ -391,11 +391,7 @@ def stream_counters(spark, sf_dir):
 
 def stream_rate_limit(spark, sf_dir):
     out, state = scratch_path(spark, "stream-limit"), scratch_path(spark, "limit-state")
-    requests = _stream(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias("key"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_id").alias("id"),
-    )
+    requests = I.as_requests(_stream(spark, sf_dir, "events"))
     S.stream_rate_limit(
         requests, out, state, scratch_path(spark, "checkpoint"), max_requests=2, window_seconds=86_400
     ).awaitTermination()
@@ -404,11 +400,8 @@ def stream_rate_limit(spark, sf_dir):
 
 def stream_latest_state(spark, sf_dir):
     out, checkpoint = scratch_path(spark, "stream-states"), scratch_path(spark, "checkpoint")
-    states = I.derive(_stream(spark, sf_dir, "events"), {**I.JOB_STATES, "ts": "ts"}).select(
-        "job_id",
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("updated"),
-        "status", "done", "errors",
-    )
+    events = _stream(spark, sf_dir, "events")
+    states = I.with_updated(I.derive(events, {**I.JOB_STATES, "ts": "ts"}))
     S.stream_latest_state(states, out, checkpoint).awaitTermination()
     return S.read_latest_state(spark, out)
 
