@@ -19,7 +19,7 @@ PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 # labels are alphanumeric with inner hyphens (or a bracketed IPv6 literal).
 VALID_URL = (
     r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[!-.0-9:-?A-~]*@)?"
-    r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.?"
+    r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*+\.?"
     r"|\[[0-9A-Fa-f:.]+\])(?::[0-9]{1,5})?(?:[/?#][!-~]*)?\z"
 )
 

@@ -221,14 +221,18 @@ def apply_responses(
     failed or missing answer yields a row whose ``error`` is set.
     """
     answers = unique_by(texts, "url", "provider", "text", "error")
+    no_text = F.when(F.col("text").isNull(), F.lit("empty model answer"))
     answers = answers.select(
         "url",
         "provider",
-        F.from_json(salvage_json("text"), ANSWER_SCHEMA).alias("_answer"),
-        salvage_json("text").isNotNull().alias("_usable"),
-        F.coalesce("error", F.when(F.col("text").isNull(), F.lit("empty model answer"))).alias(
-            "error"
-        ),
+        salvage_json("text").alias("_json"),
+        F.coalesce("error", no_text).alias("error"),
+    ).select(
+        "url",
+        "provider",
+        F.from_json("_json", ANSWER_SCHEMA).alias("_answer"),
+        F.col("_json").isNotNull().alias("_usable"),
+        "error",
     )
     # Rule seeds come first: they drop the body text before rows are exchanged.
     seeds = rule_seeds(with_overrides(pages, overrides), keep, options)
