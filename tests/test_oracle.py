@@ -2,9 +2,10 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from tagloom.plans import oracle, queries
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = queries.queries()
+ORACLE = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
