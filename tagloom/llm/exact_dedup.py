@@ -81,13 +81,14 @@ def recipes(
 
 def verified(table: DataFrame) -> DataFrame:
     """Recipes with ``check``: empty, or all digests where a key has more than one content."""
+    distinct = table.groupBy("keys", "digests").agg(F.lit(1).alias("one"))
     chunks = (
-        table.select(F.explode(F.arrays_zip("keys", "digests")).alias("c"))
+        distinct.select(F.explode(F.arrays_zip("keys", "digests")).alias("c"))
         .groupBy(F.col("c.keys").alias("key"), F.col("c.digests").alias("digest")).agg(F.lit(1).alias("one"))
     )
     clashes = chunks.groupBy("key").count().filter("count > 1").select("key")
     touched = (
-        table.select("keys", F.explode("keys").alias("key")).join(clashes, "key", "left_semi")
+        distinct.select("keys", F.explode("keys").alias("key")).join(clashes, "key", "left_semi")
         .groupBy("keys").agg(F.lit(True).alias("touched"))
     )
     return table.join(touched, "keys", "left").select(

@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import spans
+from tagloom.llm.common import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.mixing import mix
 
@@ -35,6 +42,27 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(find_personal_data(_table(spark, sf_dir, "documents")), "base", "found", KINDS)
 
 
+def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
+    from tagloom.llm.bpe import bpe_decode, bpe_encode
+
+    if vocabulary_path is None:
+        import public_tokenizers
+
+        vocabulary_path = public_tokenizers.path("word_bpe_49k.json")
+    tokens = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), vocabulary_path), vocabulary_path)
+    return tokens.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.language import identify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs)).select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.secrets import KINDS, secret_scan
 
@@ -42,6 +70,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(found.withColumnRenamed("id", "doc_id"), "spans", "spans", KINDS)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.quality import quality, train
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.exact_dedup import exact_dedup
 
