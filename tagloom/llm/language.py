@@ -26,7 +26,8 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import arrow_rows, fold, narrow
@@ -180,14 +181,30 @@ def _models(key: str, samples: tuple[tuple[str, str], ...]) -> Models:
     return Models(samples)
 
 
-def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row; one narrow stage.
-
-    The samples are broadcast, each Python worker builds their automata once.
-    """
+def _shared(spark: SparkSession, samples: dict[str, str]):
+    """(key, broadcast samples): each Python worker builds their automata once."""
     ordered = tuple(sorted(samples.items()))
     key = hashlib.sha256(repr(ordered).encode("utf-8", "surrogatepass")).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast(ordered)
+    return key, spark.sparkContext.broadcast(ordered)
+
+
+def determined(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is not ``und``; a filter without an exchange."""
+    key, shared = _shared(docs.sparkSession, samples)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        langs: list[str] = []
+        for start in range(0, len(texts), 1000):
+            langs += _models(key, shared.value).predict(texts.iloc[start : start + 1000].tolist())[0]
+        return pd.Series([lang != UNDETERMINED for lang in langs], dtype="boolean")
+
+    return docs.filter(known(F.col(f"`{text_col}`").cast("string")))
+
+
+def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of every row; one narrow stage."""
+    key, shared = _shared(docs.sparkSession, samples)
 
     def make(ids: list, texts: list) -> list[list]:
         langs, scores = _models(key, shared.value).predict(texts)

@@ -63,6 +63,18 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs)).select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=4)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.substrings import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.secrets import KINDS, secret_scan
 

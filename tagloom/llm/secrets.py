@@ -37,10 +37,14 @@ def find(text: Column) -> Column:
     return spans.ordered(hidden)
 
 
-def scan_blobs(versions: DataFrame, ledger: DataFrame, rules: str = RULES_VERSION) -> DataFrame:
-    """New ledger rows for ``versions(blob, text)``: its distinct blobs that the ledger lacks."""
-    seen = ledger.filter(F.col("rules") == rules).select("blob")
-    unseen = versions.join(seen, "blob", "left_anti")
+def scan_blobs(versions: DataFrame, ledger: DataFrame | None, rules: str = RULES_VERSION) -> DataFrame:
+    """New ledger rows for ``versions(blob, text)``: its distinct blobs that the ledger lacks.
+
+    Without a ledger nothing is joined, and copies of a blob meet before any exchange.
+    """
+    unseen = versions
+    if ledger is not None:
+        unseen = versions.join(ledger.filter(F.col("rules") == rules).select("blob"), "blob", "left_anti")
     # Equal blobs are equal texts: any one stands for all, chosen by its address alone.
     distinct = unseen.groupBy("blob").agg(F.any_value("text").alias("text"))
     return distinct.select("blob", F.lit(rules).alias("rules"), find(F.col("text")).alias("spans"))
@@ -55,13 +59,12 @@ def secret_scan(
     Append the second to the ledger for the next run.  Blobs that repeat are
     joined through their address with a tag, so a hot blob can be split.
     """
-    spark = versions.sparkSession
-    if ledger is None:
-        ledger = spark.createDataFrame([], LEDGER)
     rows = narrow(versions, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
     fresh = written(scan_blobs(rows.select("blob", "text"), ledger, rules), "ledger")
-    known = ledger.filter(F.col("rules") == rules).select("blob", "spans").unionByName(fresh.select("blob", "spans"))
+    known = fresh.select("blob", "spans")
+    if ledger is not None:
+        known = known.unionByName(ledger.filter(F.col("rules") == rules).select("blob", "spans"))
     hits = known.filter(F.size("spans") > 0).select("blob", "spans", F.xxhash64("blob").alias("tag"))
     hits = hits.dropDuplicates(["blob"])
     found = (
