@@ -112,7 +112,7 @@ class Automaton:
                 rarity[ended] += self.rarity[now[ended]]
                 begun = self.table[symbol[ended]]
                 # A symbol that the language lacks is a piece of its own.
-                pieces[ended] += (now[ended] > 0) + (begun == 0)
+                pieces[ended] += (now[ended] > 0).astype(np.int32) + (begun == 0)
                 next_state[ended] = begun
             state[:m] = next_state
         open_ = state > 0
