@@ -108,12 +108,24 @@ def overlap(hashes: list[int], low: list[int], high: list[int], enough: int, sho
     return False
 
 
-def passages(one: np.ndarray, two: np.ndarray, shortest: int, similarity: int) -> list[tuple[int, int, int, int]]:
-    """Similar passages of two sequences: (start, end) in each, ends exclusive, in shingles."""
-    unique, first = np.unique(one, return_index=True)
+def _partners(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Per place of ``two`` a place of ``one`` with the same shingle, else -1; n-th occurrences go together."""
+    places = np.argsort(one, kind="stable")
+    unique, first, counts = np.unique(one[places], return_index=True, return_counts=True)
     at = np.searchsorted(unique, two)
     at[at == len(unique)] = 0
-    matched = np.flatnonzero(unique[at] == two)
+    order = np.argsort(two, kind="stable")
+    ranked = two[order]
+    rank = np.zeros(len(two), np.int64)
+    rank[order] = np.arange(len(two)) - np.searchsorted(ranked, ranked)
+    found = places[first[at] + np.minimum(rank, counts[at] - 1)]
+    return np.where(unique[at] == two, found, -1)
+
+
+def passages(one: np.ndarray, two: np.ndarray, shortest: int, similarity: int) -> list[tuple[int, int, int, int]]:
+    """Similar passages of two sequences: (start, end) in each, ends exclusive, in shingles."""
+    partners = _partners(one, two)
+    matched = np.flatnonzero(partners >= 0)
     found = []
     todo = [matched]
     while todo:
@@ -121,7 +133,7 @@ def passages(one: np.ndarray, two: np.ndarray, shortest: int, similarity: int) -
         if not len(run) or run[-1] - run[0] + 1 < shortest:
             continue
         # Both sides go on together: a jump in either ends a run, but for shingles that occur twice.
-        partner = first[at[run]]
+        partner = partners[run]
         step = np.diff(run)
         if step.max(initial=1) > _GAP:
             cuts = np.flatnonzero(step > _GAP) + 1
@@ -137,7 +149,7 @@ def passages(one: np.ndarray, two: np.ndarray, shortest: int, similarity: int) -
             continue
         kept = run[near]
         start, end = int(kept[0]), int(kept[-1]) + 1
-        other = first[at[kept]]
+        other = partners[kept]
         begin, stop = int(other.min()), int(other.max()) + 1
         if end - start >= shortest and stop - begin >= shortest:
             a, b = np.unique(one[begin:stop]), np.unique(two[start:end])

@@ -12,6 +12,8 @@ pairs whose bound reaches the k-th best are computed, in whole numbers.
 Queries go in chunks of bounded size; a task sees one band and one chunk.  The
 stated query set meets all vectors in these blocks: no join emits pairs.
 
+Scores are 64-bit integers, so products of norms must stay below 2**63.
+
 Defined results: vectors that are null or hold a null or non-finite component,
 and rows with a null id, take no part; a shorter vector counts as filled with
 zeros; ties go to the smaller id; rows that repeat an id are separate candidates

@@ -1,14 +1,15 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tagloom.llm.common import written
 
 
-def test_stages(spark, odd, none, documents, sf_dir):
+def test_stages(spark, odd, none, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "mixture", "tokens"]
-    for start in (odd, none, documents):
+    for start in (odd, none):
         docs, columns = start, start.columns
         for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), stage(spark, docs, sf_dir).schema)
+            docs = written(stage(spark, docs, sf_dir), "test")
             assert number == 4 or docs.columns == columns
         assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
