@@ -13,9 +13,10 @@ from dataclasses import dataclass
 class Options:
     # Limits every result depends on.
     max_content_length: int = 50_000
-    max_urls_per_site: int = 250
-    h2_limit: int = 5
-    paragraph_limit: int = 6
+    # These three may be None: no limit.
+    max_urls_per_site: int | None = 250
+    h2_limit: int | None = 5
+    paragraph_limit: int | None = 6
     paragraph_min_length: int = 80
     rule_description_length: int = 155
     title_length: int = 60
@@ -26,8 +27,6 @@ class Options:
     rate_limit_requests: int = 10
     rate_limit_window: int = 60
     job_ttl_seconds: int = 3_600
-    # Ours: recursion bound for nested sitemap indexes (also stops cycles).
-    sitemap_max_depth: int = 8
 
 
 DEFAULTS = Options()

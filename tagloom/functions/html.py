@@ -6,8 +6,10 @@ attribute values may hold ``>``, an unclosed container runs to the end of the
 document, and an entity counts only with its ``;``.
 
 All functions take and return Spark SQL expression text (see ``sql_text``).
-Quantifiers inside tags are possessive, so a broken tag costs one linear scan
-instead of backtracking (and cannot overflow the matcher's stack).
+Quantifiers are possessive, and whatever opens a tag, comment or element is
+consumed even if the document ends inside it: no part of a broken document is
+scanned again from each of its ``<`` characters, and the matcher's stack cannot
+overflow.
 """
 
 from __future__ import annotations
@@ -29,8 +31,12 @@ from tagloom.functions.text import SPACE_RUN
 _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 
 
+# A tag ends at its ``>``; with a quote that never closes, at the next ``>``; else with the document.
+_TAG_END = rf"(?:{_ATTRS}(?:>|\z)|[^>]*+(?:>|\z))"
+
+
 def open_tag(name: str) -> str:
-    return rf"<{name}(?:[\s/]{_ATTRS})?>"
+    return rf"<{name}(?:>|[\s/]{_TAG_END})"
 
 
 def until_close(name: str) -> str:
@@ -43,7 +49,7 @@ def element(names: str, group: int) -> str:
 
     ``names`` are alternatives; ``group`` is the number their capture gets.
     """
-    tag = rf"({names})(?:[\s/]{_ATTRS})?>"
+    tag = rf"({names})(?:>|[\s/]{_TAG_END})"
     return rf"{tag}{until_close(chr(92) + str(group))}(?:</\{group}\s*>|\z)"
 
 
@@ -53,15 +59,19 @@ def element(names: str, group: int) -> str:
 _COMMENT = r"!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
 OPAQUE = rf"(?is)<(?:{_COMMENT}|{element('script|style', 1)})"
 PAGE_FURNITURE = rf"(?is)<{element('nav|footer|header', 1)}"
-ANY_TAG = rf"(?is)<[a-z/!?](?:{_ATTRS}>|[^>]*+>)"
-PARAGRAPH_START = r"(?i)<p(?:\s[^>]*)?>"
+ANY_TAG = rf"(?is)<[a-z/!?]{_TAG_END}"
+PARAGRAPH_START = r"(?i)<p(?:>|\s[^>]*+(?:>|\z))"
 # Tags whose start or end closes an open paragraph.
 BLOCK_TAGS = (
     "p div article section main aside ul ol li dl table h[1-6] nav footer "
     "header form body html blockquote pre"
 )
 BLOCK_BOUNDARY = rf"(?is)</?(?:{'|'.join(BLOCK_TAGS.split())})\b.*\z"
-ATTRIBUTE = r"""([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# Tried once per run of name characters, at the first one that may begin a name.
+ATTRIBUTE = (
+    r"""(?<![-A-Za-z0-9_:.])[-0-9.]*+([A-Za-z_:][-A-Za-z0-9_:.]*+)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+)
+HEAD_END = r"(?is)</head\s*>(.*)\z"
 ENTITY = r"^(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
 
 # Length for slices to the end (no second evaluation of the array for its size).
@@ -76,10 +86,14 @@ ENTITY_TABLE = f"from_json({quote(json.dumps(NAMED_ENTITIES))}, 'map<string,stri
 
 
 def decode_numeric(name: str) -> str:
-    """Character of ``#123`` / ``#x7b``; numbers that are no character vanish."""
+    """Character of ``#123`` / ``#x7b``; numbers that are no character vanish.
+
+    No code point has more than six hexadecimal digits; ``conv`` would fail on long ones.
+    """
+    hexadecimal = f"ltrim('0', substring({name}, 3))"
     code = (
-        f"try_cast(CASE WHEN substring({name}, 2, 1) IN ('x', 'X') "
-        f"THEN conv(substring({name}, 3), 16, 10) ELSE substring({name}, 2) END AS bigint)"
+        f"try_cast(CASE WHEN substring({name}, 2, 1) NOT IN ('x', 'X') THEN substring({name}, 2) "
+        f"WHEN length({hexadecimal}) <= 6 THEN conv({hexadecimal}, 16, 10) END AS bigint)"
     )
     return f"""get(transform(array({code}), code -> CASE
         WHEN code IN (9, 10, 13) OR code BETWEEN 32 AND 55295
@@ -132,7 +146,7 @@ def parse_attributes(tag: str) -> str:
 def tag_attributes(markup: str, name: str, needs: str, fields: tuple[str, ...]) -> str:
     """The named attributes of every ``<name …>`` tag that mentions ``needs``."""
     tags = extract_all_sql(markup, rf"(?is){open_tag(name)}")
-    wanted = f"filter({tags}, t -> t RLIKE {quote(rf'(?i){needs}\s*=')})"
+    wanted = f"filter({tags}, t -> endswith(t, '>') AND t RLIKE {quote(rf'(?i){needs}\s*=')})"
     parsed = f"transform({wanted}, t -> {parse_attributes('t')})"
     columns = ", ".join(f"{attribute('a', f)} AS `{f}`" for f in fields)
     return f"transform({parsed}, a -> struct({columns}))"
@@ -174,8 +188,16 @@ def paragraph_texts(markup: str, longer_than: int) -> str:
 
 
 def body_markup(markup: str) -> str:
-    """Inside of the first ``<body>`` without navigation, header and footer."""
-    return extract_sql(replace_sql(markup, PAGE_FURNITURE), inner_pattern("body"), 1)
+    """Inside of the first ``<body>`` without navigation, header and footer.
+
+    Without that tag, which is optional, the body is what follows the head: the
+    document behind ``</head>``, or without the title where that is left out too.
+    """
+    plain = replace_sql(markup, PAGE_FURNITURE)
+    behind = f"""CASE WHEN {plain} RLIKE {quote(HEAD_END)} THEN {extract_sql(plain, HEAD_END, 1)}
+        ELSE {replace_sql(plain, rf'(?is)<{element("title", 1)}')} END"""
+    return f"""CASE WHEN {plain} RLIKE {quote(r'(?i)<body[\s/>]')}
+        THEN {extract_sql(plain, inner_pattern("body"), 1)} ELSE {behind} END"""
 
 
 def flatten_text(decoded: str) -> str:

@@ -35,7 +35,7 @@ BRAND_ENDINGS = (".de", ".com", ".net", ".org")
 
 # Whitespace to be replaced by one space: all runs but a single space itself.
 SPACE_RUN = r"[\t\n\x0B\f\r]\s*+| \s++"
-TAG_LIKE = r"<(?:[^\s>][^>]*)?>|<[^\s>][^>]*\z"
+TAG_LIKE = r"<(?:>|[^\s>][^>]*+(?:>|\z))"
 
 
 def to_col(c: Column | str) -> Column:

@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 from tagloom.functions.text import falsy, to_col
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*)://"
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
 # A URL is acceptable when it is printable ASCII with a scheme and a host whose
 # labels are alphanumeric with inner hyphens (or a bracketed IPv6 literal).
 VALID_URL = (
     r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[!-.0-9:-?A-~]*@)?"
-    r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*+\.?"
+    r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*+\.?"
     r"|\[[0-9A-Fa-f:.]+\])(?::[0-9]{1,5})?(?:[/?#][!-~]*)?\z"
 )
 
+# Schemes that need no host, and the longest host name.
+HOSTLESS_URL = r"^(?:mailto|news|file):[!-~]+\z"
+MAX_HOST = 253
+
 # Link prefixes that never lead to a page.
 SKIPPED_LINK_PREFIXES = ("#", "mailto:", "tel:")
 
@@ -37,7 +41,9 @@ def url_scheme(url: Column | str) -> Column:
 
 
 def is_valid_url(url: Column | str) -> Column:
-    return F.coalesce(to_col(url).rlike(VALID_URL), F.lit(False))
+    url = to_col(url)
+    with_host = url.rlike(VALID_URL) & (F.length(url_host(url)) <= MAX_HOST)
+    return F.coalesce(with_host | url.rlike(HOSTLESS_URL), F.lit(False))
 
 
 def strip_trailing_slashes(url: Column | str) -> Column:

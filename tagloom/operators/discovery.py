@@ -8,6 +8,7 @@ the documents that survived.
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +34,7 @@ ROBOTS_FILE = "/robots.txt"
 # UNIX-lines mode: only \n ends a line, as \r is trimmed off the capture.
 SITEMAP_DIRECTIVE = r"(?mid)^Sitemap:\s*(.+)$"
 
+_CAP_PIECES = 64
 _XML_SCHEMA = "url array<struct<loc:array<string>>>, sitemap array<struct<loc:array<string>>>"
 
 
@@ -103,106 +105,104 @@ def sitemap_candidates(sites: DataFrame, site_docs: DataFrame) -> DataFrame:
     )
 
 
-def _capped_children(edges: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
-    """Edges to children with urls, as long as earlier siblings bring fewer than ``cap``."""
-    children = sizes.select(
+def index_edges(parsed: DataFrame, cap: int) -> DataFrame:
+    """``(doc_url, pos, child, child_is_index, child_n)``: an index and its children that exist.
+
+    What follows ``cap`` urls of earlier url lists is never reached, whatever
+    nested indexes between them bring, and is left out here.
+    """
+    children = parsed.select(
         F.col("doc_url").alias("child"),
-        F.col("n").alias("child_n"),
         F.col("is_index").alias("child_is_index"),
+        F.when(~F.col("is_index"), F.size("urls").cast("bigint")).alias("child_n"),
     )
-    earlier = (
-        Window.partitionBy("doc_url").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = F.coalesce(F.sum("child_n").over(earlier), F.lit(0))
-    found = edges.join(children, "child").withColumn("_before", before)
-    return found.filter((F.col("_before") < cap) & (F.col("child_n") > 0)).drop("_before")
+    listed = parsed.filter("is_index").select("doc_url", F.posexplode("children").alias("pos", "child"))
+    earlier = Window.partitionBy("doc_url").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    found = listed.join(children, "child").withColumn("_before", F.sum("child_n").over(earlier))
+    return found.filter(F.coalesce("_before", F.lit(0)) < cap).drop("_before")
 
 
-def index_depth(edges: DataFrame, indexes: DataFrame, options: Options = DEFAULTS) -> int:
-    """How many indexes lie on the longest chain of nested ones, within the bound.
+def walk_indexes(roots: DataFrame, edges: DataFrame) -> list[DataFrame]:
+    """Levels of ``(site, rank, path, doc_url, is_index, n)`` below ``roots``, until no index is left.
 
-    Looks at index-to-index edges only.  There are none in a flat sitemap, so
-    the usual answer costs one small check.
-    """
-    nested = edges.join(indexes.select(F.col("doc_url").alias("child")), "child", "left_semi")
-    if nested.isEmpty():
-        return 1
-    nested = materialize(nested.select("doc_url", "child").distinct(), "sitemap-nesting")
-    depth, parents = 2, nested.select("doc_url").distinct()
-    while depth < options.sitemap_max_depth:
-        above = nested.join(parents.withColumnRenamed("doc_url", "child"), "child", "left_semi")
-        parents = above.select("doc_url").distinct()
-        if parents.isEmpty():
-            break
-        depth += 1
-    return depth
-
-
-def resolve_indexes(
-    parsed: DataFrame, options: Options = DEFAULTS
-) -> tuple[DataFrame, DataFrame, int]:
-    """Sizes of all documents, the index edges that are followed, the depth.
-
-    Sizes grow bottom-up, one join per nesting level.  Nesting deeper than the
-    bound (or a cycle) contributes nothing below it, so this always ends.
+    A path never returns to a document it came through, so cycles end by
+    themselves and any depth is followed.  The path of positions keeps the order.
     """
-    cap = options.max_urls_per_site
-    leaves = parsed.filter(~F.col("is_index")).select(
-        "doc_url", F.size("urls").cast("bigint").alias("n"), "is_index"
-    )
-    edges = parsed.filter("is_index").select(
-        "doc_url", F.posexplode("children").alias("pos", "child")
+    level = roots.select(
+        "site", "rank", F.array().cast("array<int>").alias("path"), F.array("doc_url").alias("trail"),
+        "doc_url", "is_index", "n",
     )
-    depth = index_depth(edges, parsed.filter("is_index"), options)
-    sizes, kept = leaves, edges
-    for level in range(1, depth + 1):
-        kept = _capped_children(edges, sizes, cap)
-        if level == depth > 1:
-            # Read again for the sizes and once per level of the walk.
-            kept = materialize(kept, "sitemap-edges")
-        totals = kept.groupBy("doc_url").agg(F.sum("child_n").alias("n"))
-        sizes = leaves.unionByName(totals.withColumn("is_index", F.lit(True)))
-    return sizes, kept, depth
-
-
-def expand_roots(roots: DataFrame, kept: DataFrame, depth: int) -> DataFrame:
-    """``(site, path, doc_url)`` of the url documents below each root.
-
-    The path of child positions sorts occurrences in reading order.
-    """
-    level = roots.select("site", F.array().cast("array<int>").alias("path"), "doc_url", "is_index")
-    found = [level.filter(~F.col("is_index"))]
-    for _ in range(depth):
-        below = level.filter("is_index").join(kept, "doc_url")
-        level = below.select(
+    levels = [materialize(level, "sitemap-level")]
+    while not levels[-1].filter("is_index").isEmpty():
+        below = levels[-1].filter("is_index").drop("is_index", "n").join(edges, "doc_url")
+        below = below.filter(~F.array_contains("trail", F.col("child"))).select(
             "site",
+            "rank",
             F.concat("path", F.array("pos")).alias("path"),
+            F.concat("trail", F.array("child")).alias("trail"),
             F.col("child").alias("doc_url"),
             F.col("child_is_index").alias("is_index"),
+            F.col("child_n").alias("n"),
         )
-        found.append(level.filter(~F.col("is_index")))
-    return reduce(DataFrame.unionByName, found).drop("is_index")
+        levels.append(materialize(below, "sitemap-level"))
+    return levels
+
+
+def _above() -> Column:
+    return F.slice("path", F.lit(1), F.size("path") - 1)
+
+
+def followed(levels: list[DataFrame], cap: int) -> tuple[DataFrame, DataFrame]:
+    """Roots that bring urls, and the url documents below the first of each site.
+
+    Sizes grow from the deepest level up: a child counts as long as its earlier
+    siblings bring fewer than ``cap`` urls.
+    """
+    node = ["site", "rank", "path"]
+
+    def sized(level: DataFrame, totals: DataFrame | None) -> DataFrame:
+        if totals is None:
+            return level.withColumn("n", F.coalesce("n", F.lit(0)))
+        return level.join(totals, node, "left").withColumn("n", F.coalesce("n", "total", F.lit(0))).drop("total")
+
+    totals, kept = None, []
+    for level in reversed(levels[1:]):
+        children = sized(level, totals).withColumn("_above", _above())
+        siblings = Window.partitionBy("site", "rank", "_above").orderBy(F.element_at("path", -1))
+        before = F.coalesce(F.sum("n").over(siblings.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        children = children.withColumn("_before", before).filter((F.col("_before") < cap) & (F.col("n") > 0))
+        # Read for the sizes above and for the walk back down.
+        kept.append(materialize(children.drop("_before"), "sitemap-kept"))
+        totals = kept[-1].groupBy("site", "rank", F.col("_above").alias("path")).agg(F.sum("n").alias("total"))
+    tops = sized(levels[0], totals).filter("n > 0")
+    first = tops.groupBy("site").agg(F.min("rank").alias("rank"))
+    alive = materialize(tops.join(first, ["site", "rank"]).select(*node, "doc_url", "is_index"), "sitemap-roots")
+    found = [alive.filter(~F.col("is_index"))]
+    above = alive
+    for level in reversed(kept):
+        parents = above.select("site", "rank", F.col("path").alias("_above"))
+        above = level.join(parents, ["site", "rank", "_above"], "left_semi").select(*node, "doc_url", "is_index")
+        found.append(above.filter(~F.col("is_index")))
+    return alive, reduce(DataFrame.unionByName, found).select("site", "path", "doc_url")
 
 
 def _sitemap_plan(
     sites: DataFrame, site_docs: DataFrame, options: Options
 ) -> tuple[DataFrame, DataFrame]:
-    """``roots(site, doc_url, is_index)`` of sites with sitemap urls, and those urls."""
+    """``roots(site, …)`` of sites with sitemap urls, and those urls."""
     parsed = parse_sitemaps(site_docs)
     unique = parsed.groupBy("doc_url").agg(
         F.max(F.struct("is_index", "children", "urls")).alias("_d")
     )
     parsed = materialize(unique.select("doc_url", "_d.*"), "sitemaps")
-    sizes, kept, depth = resolve_indexes(parsed, options)
-    roots = (
-        sitemap_candidates(sites, site_docs)
-        .join(sizes.filter(F.col("n") > 0), "doc_url")
-        .groupBy("site")
-        .agg(F.min(F.struct("rank", "doc_url", "is_index")).alias("_r"))
-        .select("site", "_r.doc_url", "_r.is_index")
+    cap = options.max_urls_per_site or sys.maxsize
+    heads = parsed.select(
+        "doc_url", "is_index", F.when(~F.col("is_index"), F.size("urls").cast("bigint")).alias("n")
     )
-    roots = materialize(roots, "sitemap-roots")
-    documents = expand_roots(roots, kept, depth)
+    # A robots file may name one address twice; the first place counts.
+    candidates = sitemap_candidates(sites, site_docs).groupBy("site", "doc_url").agg(F.min("rank").alias("rank"))
+    edges = materialize(index_edges(parsed, cap), "sitemap-edges")
+    roots, documents = followed(walk_indexes(candidates.join(heads, "doc_url"), edges), cap)
     urls = documents.join(parsed.select("doc_url", "urls"), "doc_url").select(
         "site", "path", F.posexplode("urls").alias("_i", "url")
     )
@@ -246,19 +246,23 @@ def cap_frontier(
 ) -> DataFrame:
     """Unique same-host urls per site in order, at most the cap: ``(site, pos, url)``.
 
-    Duplicates are combined map-side keeping the first position.  The cap is a
-    rank filter, so each task passes on at most ``cap`` rows per site and a site
-    with a third of all urls costs its reducer no more than a small one.
+    Duplicates are combined map-side keeping the first position.  Ranks are taken
+    twice: inside hashed pieces of a site, each of which passes on at most the
+    cap, then over what they passed on.  So a site with a third of all urls is
+    ranked by many tasks, whatever the cap and the planner's own thresholds.
     """
     first = urls.filter(url_host("url") == host).groupBy(site, "url").agg(
         F.min(F.struct(*order)).alias("_order")
     )
-    rank = F.row_number().over(Window.partitionBy(site).orderBy("_order", "url"))
-    return (
-        first.withColumn("_rank", rank)
-        .filter(F.col("_rank") <= options.max_urls_per_site)
-        .select(site, (F.col("_rank") - 1).alias("pos"), "url")
-    )
+    pieces = F.pmod(F.xxhash64("url"), F.lit(_CAP_PIECES))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(site, *by).orderBy("_order", "url"))
+    cap = options.max_urls_per_site
+    if cap is not None:
+        first = first.withColumn("_piece", pieces).withColumn("_rank", rank("_piece")).filter(F.col("_rank") <= cap)
+    ranked = first.withColumn("_rank", rank())
+    if cap is not None:
+        ranked = ranked.filter(F.col("_rank") <= cap)
+    return ranked.select(site, (F.col("_rank") - 1).alias("pos"), "url")
 
 
 def discover_urls(
@@ -273,11 +277,14 @@ def discover_urls(
     known = normalize_sites(sites)
     roots, mapped = _sitemap_plan(known, site_docs, options)
     unmapped = known.join(roots, "site", "left_anti")
-    starts = unmapped.join(
-        accepted_docs(site_docs).withColumnRenamed("doc_url", "page"), "page"
-    ).select("site", F.col("page").alias("url"), F.col("body").alias("html"))
-    linked = page_links(starts, keep=("site",)).select(
-        "site", F.array("pos").alias("order"), "url"
+    # Links are extracted where the bodies are; only narrow rows meet the sites.
+    bodies = accepted_docs(site_docs).select(
+        F.col("doc_url").alias("_start"), F.col("doc_url").alias("url"), F.col("body").alias("html")
+    )
+    linked = (
+        page_links(bodies, keep=("_start",))
+        .join(unmapped.select("site", F.col("page").alias("_start")), "_start")
+        .select("site", F.array("pos").alias("order"), "url")
     )
     host = url_host(strip_trailing_slashes("site"))
     return cap_frontier(mapped.unionByName(linked), "site", host, ["order"], options)

@@ -125,16 +125,23 @@ def run_job(
     fetches: DataFrame,
     texts: DataFrame | None = None,
     options: Options = DEFAULTS,
+    newest: str | None = None,
 ) -> DataFrame:
     """Result rows for every row of ``frontier(…, url)``.
 
     Documents are turned into narrow result rows first, so html is never
     exchanged; several fetches of one url are reduced to one row before the
     join (combined map-side), so the join cannot multiply frontier rows.
+    ``newest`` names a column of the fetches, such as their time: of several
+    fetches the one with its largest value counts.  Among equal ones, and
+    without it, a successful fetch goes first and then the largest cells.
     """
-    results = page_results(fetches, texts, options=options)
+    order = () if newest is None else (newest,)
+    results = page_results(fetches, texts, keep=order, options=options)
     fields = list(RESULT_FIELDS)
-    best = F.max(F.struct(F.col("status") == "ok", *[F.col(f) for f in fields])).alias("_r")
+    best = F.max(
+        F.struct(*[F.col(c).alias("_newest") for c in order], (F.col("status") == "ok").alias("_ok"), *[F.col(f) for f in fields])
+    ).alias("_r")
     unique = results.groupBy("url").agg(best).select("url", *[f"_r.{f}" for f in fields])
     carried = [c for c in frontier.columns if c != "url"]
     joined = lookup(frontier, unique, "url")
@@ -172,18 +179,18 @@ def retry_set(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def merge_retry(base: DataFrame, retry: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Replace failed rows by their retry row; successful rows stay untouched."""
+    """Replace failed rows by their retry row; successful rows stay untouched.
+
+    Only failed rows meet the retries.  ``base`` is read twice: pass a stored table.
+    """
     fields = list(RESULT_FIELDS)
     best = F.max(F.struct(F.col("status") == "ok", *[F.col(f) for f in fields])).alias("_retry")
-    again = retry.groupBy(F.col("url").alias("_key")).agg(best)
-    # Successful rows get a NULL key: they match nothing and keep their cells.
-    key = F.when(F.col("status") == "error", F.col("url"))
-    joined = lookup(base.withColumn("_key", key), again, "_key")
+    again = retry.groupBy("url").agg(best)
+    failed = F.coalesce(F.col("status") == "error", F.lit(False))
     found = F.col("_retry").isNotNull()
-    cells = [
-        F.when(found, F.col("_retry")[f]).otherwise(F.col(f)).alias(f) for f in fields
-    ]
-    return joined.select(*keep, "url", *cells)
+    cells = [F.when(found, F.col("_retry")[f]).otherwise(F.col(f)).alias(f) for f in fields]
+    replaced = lookup(base.filter(failed), again, "url").select(*keep, "url", *cells)
+    return base.filter(~failed).select(*keep, "url", *fields).unionByName(replaced)
 
 
 def resolve_attempts(

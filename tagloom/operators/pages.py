@@ -130,8 +130,8 @@ def extract_pages(
         f"{_wanted_metas('_markup')} AS _metas",
         f"{_canonical_hrefs('_markup')} AS _links",
         f"{H.element_text('_markup', 'h1')} AS _h1",
-        f"slice({H.element_texts('_markup', 'h2')}, 1, {options.h2_limit}) AS h2s",
-        f"slice({paragraphs}, 1, {options.paragraph_limit}) AS paragraphs",
+        f"slice({H.element_texts('_markup', 'h2')}, 1, {options.h2_limit or H.ALL}) AS h2s",
+        f"slice({paragraphs}, 1, {options.paragraph_limit or H.ALL}) AS paragraphs",
         f"{H.drop_tags(H.body_markup('_markup'))} AS _body",
     )
     decoded = parts.selectExpr(

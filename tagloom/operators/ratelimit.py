@@ -7,6 +7,8 @@ it small: requests are first counted per (key, second) with map-side combine,
 the chain runs over those counts, and every request then finds its place by an
 equi-join on (key, second).  A key with a third of all requests is thereby
 spread over its seconds; the sequential part sees at most one row per second.
+Inside a second requests are ranked per range partition and shifted by what the
+partitions before hold, so a second with a third of all requests is spread too.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tagloom.config import DEFAULTS
 from tagloom.functions.text import to_col
+from tagloom.session import materialize
 
 _CHAIN_SCHEMA = "rl_key string, rl_sec bigint, window_start bigint, rl_before bigint"
 
@@ -105,8 +108,9 @@ def rate_limit(
     """Add ``window_start``, ``request_count`` and ``allowed`` to every request.
 
     Times count in whole seconds; requests of a key are ordered by (ts, id).
-    Rejected requests count too.  ``state(key, window_start, used)`` continues
-    the windows of earlier input.
+    Rejected requests count too.  A request without a time is returned with NULL
+    decisions and counts for nobody.  ``state(key, window_start, used)``
+    continues the windows of earlier input.
     """
     stamped = requests.withColumns(
         {
@@ -117,17 +121,29 @@ def rate_limit(
             "rl_id": to_col(id),
         }
     )
-    per_second = stamped.groupBy("rl_key", "rl_sec").agg(F.count(F.lit(1)).alias("rl_n"))
-    chain = window_chain(per_second, window_seconds, state)
-    in_second = F.row_number().over(
-        Window.partitionBy("rl_key", "rl_sec").orderBy("rl_ts", "rl_id")
+    order = ["rl_key", "rl_sec", "rl_ts", "rl_id"]
+    # Written once: the numbers of the range partitions must not change between its uses.
+    timed = materialize(
+        stamped.filter(F.col("rl_sec").isNotNull()).repartitionByRange(*order).withColumn("rl_part", F.spark_partition_id()),
+        "requests",
     )
+    parts = timed.groupBy("rl_key", "rl_sec", "rl_part").agg(F.count(F.lit(1)).alias("rl_m"))
+    earlier = Window.partitionBy("rl_key", "rl_sec").orderBy("rl_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("rl_shift", F.coalesce(F.sum("rl_m").over(earlier), F.lit(0)))
+    per_second = parts.groupBy("rl_key", "rl_sec").agg(F.sum("rl_m").alias("rl_n"))
+    chain = window_chain(per_second, window_seconds, state)
+    places = parts.join(chain, ["rl_key", "rl_sec"])
+    in_part = F.row_number().over(Window.partitionBy("rl_key", "rl_sec", "rl_part").orderBy("rl_ts", "rl_id"))
     placed = (
-        stamped.join(chain, ["rl_key", "rl_sec"])
-        .withColumn("request_count", F.col("rl_before") + in_second)
+        timed.withColumn("rl_rank", in_part)
+        .join(places, ["rl_key", "rl_sec", "rl_part"])
+        .withColumn("request_count", F.col("rl_before") + F.col("rl_shift") + F.col("rl_rank"))
         .withColumn("allowed", F.col("request_count") <= max_requests)
     )
-    return placed.select(*requests.columns, "window_start", "request_count", "allowed")
+    added = ["window_start", "request_count", "allowed"]
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in zip(added, ("bigint", "bigint", "boolean"))]
+    untimed = stamped.filter(F.col("rl_sec").isNull()).select(*requests.columns, *nothing)
+    return placed.select(*requests.columns, *added).unionByName(untimed)
 
 
 def open_windows(decided: DataFrame, key: str = "key") -> DataFrame:
@@ -137,4 +153,5 @@ def open_windows(decided: DataFrame, key: str = "key") -> DataFrame:
     """
     last = F.max(F.struct("window_start", F.col("request_count").alias("used"))).alias("_w")
     name = F.coalesce(F.col(key).cast("string"), F.lit("0")).alias("key")
+    decided = decided.filter(F.col("window_start").isNotNull())
     return decided.groupBy(name).agg(last).select("key", "_w.*")

@@ -16,8 +16,11 @@ from tagloom.operators.rules import (
     RULES_PROVIDER,
     generate_rules,
     metadata_columns,
+    OVERRIDE_FIELDS,
+    has_overrides,
     rule_seeds,
     with_overrides,
+    without,
 )
 
 # Provider key, display name, menu label, default model, payload kind.
@@ -101,10 +104,19 @@ def build_prompts(
         F.lit("\nMain heading: "), F.col("h1"),
         F.lit("\nSubheadings: "), h2s,
         F.lit("\n"), keyword_hint("o_keywords", F.col("existing")["keywords"]),
-        F.lit("\n\nText:\n"), F.substring("body_text", 1, options.prompt_content_length),
+        F.lit("\n\nText:\n"), F.col("_excerpt"),
         F.lit("\n\n" + PROMPT_RULES),
     )
-    return with_overrides(pages, overrides).select(*keep, "url", prompt.alias("prompt"))
+    # Only the excerpt that the prompt holds meets the overrides.
+    own = [f"o_{f}" for f in OVERRIDE_FIELDS] if has_overrides(pages) else []
+    narrow = pages.select(
+        *keep,
+        *without(("url", "page_type", "h1", "h2s"), keep),
+        F.struct(F.col("existing")["keywords"].alias("keywords")).alias("existing"),
+        F.substring("body_text", 1, options.prompt_content_length).alias("_excerpt"),
+        *own,
+    )
+    return with_overrides(narrow, overrides).select(*keep, *without(("url",), keep), prompt.alias("prompt"))
 
 
 def request_payload(kind: Column | str, model: Column | str, prompt: Column | str) -> Column:
@@ -235,7 +247,7 @@ def apply_responses(
         "error",
     )
     # Rule seeds come first: they drop the body text before rows are exchanged.
-    seeds = rule_seeds(with_overrides(pages, overrides), keep, options)
+    seeds = rule_seeds(pages, overrides, keep, options)
     joined = with_provider(lookup(seeds, answers, "url"))
     answer, usable = F.col("_answer"), F.coalesce(F.col("_usable"), F.lit(False))
     chosen = joined.select(
@@ -261,6 +273,8 @@ def apply_responses(
             usable,
             F.coalesce(
                 F.from_json(answer["suggestions"], "array<string>"),
+                # One text instead of a list counts as a list of one.
+                F.when(F.trim(answer["suggestions"]).rlike(r"^[^\[{]"), F.array(answer["suggestions"])),
                 F.array().cast("array<string>"),
             ),
         ).alias("ai_suggestions"),

@@ -112,18 +112,34 @@ def title_seed(override: Column, h1: Column, existing_title: Column, domain: Col
     return F.coalesce(override, h1, existing_title, domain)
 
 
-def description_seed(override: Column, paragraphs: Column, body_text: Column) -> Column:
-    """Override unless empty, else the first paragraph, else the body text."""
-    source = F.when(F.size(paragraphs) > 0, F.get(paragraphs, F.lit(0))).otherwise(body_text)
-    return F.when(~falsy(override), override).otherwise(build_description(source))
+def description_seed(override: Column, packed: Column) -> Column:
+    """Override unless empty, else the description built from the page."""
+    return F.when(~falsy(override), override).otherwise(packed)
+
+
+def page_description(paragraphs: Column, body_text: Column) -> Column:
+    """Built from the first paragraph, without any from the body text."""
+    return build_description(F.when(F.size(paragraphs) > 0, F.get(paragraphs, F.lit(0))).otherwise(body_text))
+
+
+def has_overrides(pages: DataFrame) -> bool:
+    return {f"o_{f}" for f in OVERRIDE_FIELDS} <= set(pages.columns)
+
+
+def without(names: tuple[str, ...], keep: tuple[str, ...]) -> list[str]:
+    """The names that ``keep`` does not carry already."""
+    return [n for n in names if n not in keep]
 
 
 def with_overrides(pages: DataFrame, overrides: DataFrame | None) -> DataFrame:
     """Left join ``overrides(url, title, keywords, description)`` as ``o_*``.
 
-    No broadcast hint: the planner broadcasts the overrides when their size is
-    under its threshold and shuffles both sides by url otherwise.
+    Pages that carry ``o_*`` columns keep their own.  No broadcast hint: the
+    planner broadcasts the overrides when their size is under its threshold and
+    shuffles both sides by url otherwise, so callers pass narrow rows.
     """
+    if has_overrides(pages):
+        return pages
     if overrides is None:
         return pages.withColumns({f"o_{f}": F.lit(None).cast("string") for f in OVERRIDE_FIELDS})
     unique = unique_by(overrides, "url", *OVERRIDE_FIELDS)
@@ -136,26 +152,39 @@ def page_columns(prefix: str = "") -> dict[str, Column]:
     return {n: F.col(prefix + n) for n in names}
 
 
+CARRIED = ("url", "existing", "h2s", "page_type", "domain")
+
+
 def rule_seeds(
-    pages: DataFrame, keep: tuple[str, ...] = (), options: Options = DEFAULTS
+    pages: DataFrame, overrides: DataFrame | None = None, keep: tuple[str, ...] = (), options: Options = DEFAULTS
 ) -> DataFrame:
     """Title, description and keywords by rule, next to the fields they feed.
 
-    ``pages`` are page records with ``o_*`` columns (see ``with_overrides``).
-    The body text is no longer needed afterwards and is not carried on.
+    Texts are reduced first: what meets the overrides, and may be exchanged for
+    that, is one built description and the fields of the result.
     """
     page = page_columns()
-    existing = page["existing"]
-    seeds = pages.select(
+    own = [f"o_{f}" for f in OVERRIDE_FIELDS] if has_overrides(pages) else []
+    narrow = pages.select(
+        *keep,
+        *without(("url", "h2s", "page_type", "domain"), keep),
+        F.struct(*[page["existing"][f].alias(f) for f in ("title", "keywords", "og_image")]).alias("existing"),
+        page["h1"].alias("_h1"),
+        page_description(page["paragraphs"], page["body_text"]).alias("_packed"),
+        *own,
+    )
+    existing = F.col("existing")
+    seeds = with_overrides(narrow, overrides).select(
         *keep,
-        "url", "existing", "h2s", "page_type", "domain",
-        title_seed(F.col("o_title"), page["h1"], existing["title"], page["domain"]).alias("_t"),
-        description_seed(F.col("o_description"), page["paragraphs"], page["body_text"]).alias("_d"),
+        *without(CARRIED, keep),
+        title_seed(F.col("o_title"), F.col("_h1"), existing["title"], F.col("domain")).alias("_t"),
+        description_seed(F.col("o_description"), F.col("_packed")).alias("_d"),
         F.coalesce(F.col("o_keywords"), existing["keywords"], F.lit("")).alias("keywords"),
     )
     return seeds.select(
         *keep,
-        "url", "existing", "h2s", "page_type", "domain", "keywords",
+        *without(CARRIED, keep),
+        "keywords",
         optimize_title("_t", "domain").alias("title"),
         trim_to_length("_d", options.rule_description_length).alias("description"),
     )
@@ -204,11 +233,11 @@ def generate_rules(
     options: Options = DEFAULTS,
 ) -> DataFrame:
     """``url`` plus the metadata record of every page record."""
-    seeds = rule_seeds(with_overrides(pages, overrides), keep, options)
+    seeds = rule_seeds(pages, overrides, keep, options)
     page = {n: F.col(n) for n in ("url", "existing", "h2s", "page_type", "domain")}
     return seeds.select(
         *keep,
-        "url",
+        *without(("url",), keep),
         *metadata_columns(
             page,
             F.col("title"),

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.sources import tables as T
 
 # Head elements added after the title.
 _HEAD = """concat('</title>',
@@ -129,6 +128,12 @@ ATTEMPTS = {
       WHEN 'click' THEN 'API error 429: slow down' ELSE 'API error 503: busy' END""",
 }
 
+# Client addresses as a proxy may hand them over, and job names as a caller may.
+ADDRESS = """CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN ''
+  WHEN 2 THEN concat('2001:DB8::', cast(user_id AS string), '%eth0') WHEN 3 THEN concat('[fe80::', cast(user_id AS string), ']:8080')
+  WHEN 4 THEN concat('10.0.', cast(user_id % 256 AS string), '.1, 192.168.0.1') ELSE concat(' 10.1.', cast(user_id % 256 AS string), '.9', chr(10)) END"""
+JOB_NAME = "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('../job ', cast(user_id AS string)) ELSE concat('job_', cast(user_id AS string), '-é!') END"
+
 JOB_STATES = {
     "job_id": "concat('job-', cast(user_id AS string))",
     "status": "event_type",
@@ -200,7 +205,7 @@ SITE_DOCS = [
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return T.spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -87,7 +87,10 @@ def falsy(x: str) -> str:
 
 
 def host(url: str) -> str:
-    return grab(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)")
+    # Authority first, then without user and port; brackets hold their colons.
+    authority = sub(grab(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"), r"^[^@]*@")
+    return f"""CASE WHEN starts_with({authority}, '[') THEN {grab(authority, r'^[^]]*]', 0)}
+      ELSE split_part({authority}, ':', 1) END"""
 
 
 def scheme(url: str) -> str:
@@ -447,6 +450,13 @@ def oracle_sql() -> dict[str, str]:
     def documents(expr: str, name: str) -> str:
         return f"SELECT doc_id, {expr} AS {name} FROM documents"
 
+    response_apply = f"""{META}, {texts_ctes()}, {applied}
+          SELECT page_id, url, provider_name AS provider, {usable} AS ai_powered, title, description, keywords,
+            {json_ld()} AS jsonld,
+            CASE WHEN {usable} THEN coalesce({field('llms_txt')}, {llms()}) ELSE {llms()} END AS llms_txt,
+            CASE WHEN {usable} THEN coalesce(array_to_string(cast(json_extract(answer, '$.suggestions') AS VARCHAR[]), chr(10)), '') END AS suggestions,
+            CASE WHEN NOT ({usable}) AND error IS NULL THEN {lit(M.UNUSABLE_ANSWER)} END AS ai_error, error
+          FROM final JOIN registry ON provider_key = {_PROVIDER_KEY.replace('provider IN', 'asked IN').replace('THEN provider', 'THEN asked')}"""
     return {
         "page_title_h1": f"{PLAIN_RECORDS} SELECT page_id, title, h1 FROM records",
         "page_body_text": f"{PLAIN_RECORDS} SELECT page_id, body_text, length(body_text)::BIGINT AS n_chars FROM records",
@@ -493,13 +503,9 @@ def oracle_sql() -> dict[str, str]:
             END AS request_json FROM answers JOIN registry ON provider_key = {_PROVIDER_KEY}""",
         "response_text": f"WITH {texts_ctes()} SELECT page_id, text, error FROM texts",
         "response_salvage": f"WITH {ANSWERS} SELECT page_id, {salvage('answer')} AS salvaged FROM answers",
-        "response_apply": f"""{META}, {texts_ctes()}, {applied}
-          SELECT page_id, url, provider_name AS provider, {usable} AS ai_powered, title, description, keywords,
-            {json_ld()} AS jsonld,
-            CASE WHEN {usable} THEN coalesce({field('llms_txt')}, {llms()}) ELSE {llms()} END AS llms_txt,
-            CASE WHEN {usable} THEN coalesce(array_to_string(cast(json_extract(answer, '$.suggestions') AS VARCHAR[]), chr(10)), '') END AS suggestions,
-            CASE WHEN NOT ({usable}) AND error IS NULL THEN {lit(M.UNUSABLE_ANSWER)} END AS ai_error, error
-          FROM final JOIN registry ON provider_key = {_PROVIDER_KEY.replace('provider IN', 'asked IN').replace('THEN provider', 'THEN asked')}""",
+        "response_apply": response_apply,
+        "mode_dispatch": f"""SELECT 'none' AS mode, url, title, false AS ai_powered FROM ({META} SELECT url, title FROM meta)
+          UNION ALL SELECT 'model', url, title, ai_powered FROM ({response_apply})""",
         "model_generate": f"""{META_OVERRIDDEN}, prompts AS (SELECT page_id, url, {prompt()} AS prompt FROM meta)
           SELECT url, CASE WHEN length(prompt) % 3 = 0 THEN NULL ELSE '{{"title":"' || length(prompt) || '"}}' END AS text,
             CASE WHEN length(prompt) % 3 = 0 THEN 'API error 400: rejected' END AS error FROM prompts""",
@@ -524,7 +530,10 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT page_id, 1, 'https://x.example.com/' || page_id FROM pages WHERE page_id % 2 = 0)
           SELECT 'job-' || page_id AS job_id, pos::BIGINT AS pos, u AS url, NULL::VARCHAR AS site FROM listed
           UNION ALL SELECT 'job-' || page_id, 0, NULL, url FROM pages WHERE page_id % 2 = 1""",
-        "records_roundtrip": f"{META_OVERRIDDEN} SELECT url, title, description, keywords FROM meta",
+        "records_roundtrip": f"""SELECT * FROM ({META_OVERRIDDEN} SELECT url, title, description, keywords FROM meta)
+          UNION ALL SELECT * FROM ({META} SELECT url, title, description, keywords FROM meta)""",
+        "address_key": f"""SELECT event_id, regexp_replace(coalesce({I.ADDRESS}, '0'), '[^a-fA-F0-9.:]', '', 'g') AS key FROM events""",
+        "job_id_clean": f"""SELECT event_id, regexp_replace(coalesce({I.JOB_NAME}, ''), '[^a-zA-Z0-9_-]', '', 'g') AS job_id FROM events""",
         "csv_export": f"WITH {rows_ctes(FETCHED)} SELECT page_id, url, title, description, status, error FROM results",
         "job_document": f"WITH {JOB} {SUMMARY}",
         "stream_pages": f"WITH {rows_ctes('SELECT *, 200 AS http_status, NULL::VARCHAR AS fetch_error FROM pages')} SELECT page_id, url, {', '.join(_FIELDS)} FROM results",

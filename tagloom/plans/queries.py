@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.config import DEFAULTS
-from tagloom.functions.errors import error_code
+from tagloom.functions.errors import clean_job_id, error_code, key_of_address
 from tagloom.functions.text import build_description, optimize_title, trim_to_length
 from tagloom.functions.urls import url_host
 from tagloom.operators import discovery as D
@@ -23,7 +23,7 @@ from tagloom.operators import rules as R
 from tagloom.operators.pages import EXISTING_FIELDS, extract_pages
 from tagloom.operators.ratelimit import rate_limit
 from tagloom.plans import inputs as I
-from tagloom.session import scratch_path
+from tagloom.session import materialize, scratch_path
 from tagloom.sources import tables as T
 from tagloom.streaming import streams as S
 
@@ -202,19 +202,8 @@ def llms_txt(spark, sf_dir):
 
 
 def length_compliance(spark, sf_dir):
-    typed = R.generate_rules(
-        records(spark, sf_dir), keep=()
-    ).withColumn("page_type", F.get_json_object("jsonld", "$['@type']"))
-    kinds = F.create_map(
-        *[F.lit(x) for pair in {
-            "Article": "article", "Product": "product", "Organization": "organization",
-            "WebPage": "website",
-        }.items() for x in pair]
-    )
-    by_kind = typed.withColumn("page_type", kinds[F.col("page_type")])
-    return R.compliance_report(by_kind, "page_type").select(
-        "page_type", "n", "title_ok", "description_ok"
-    )
+    typed = R.generate_rules(records(spark, sf_dir), keep=("page_type",))
+    return R.compliance_report(typed, "page_type").select("page_type", "n", "title_ok", "description_ok")
 
 
 # ── Model answers ─────────────────────────────────────────────────────────────
@@ -291,7 +280,8 @@ def retry_set(spark, sf_dir):
 
 
 def retry_merge(spark, sf_dir):
-    base = job_rows(spark, sf_dir)
+    # Read three times: extracted once.
+    base = materialize(job_rows(spark, sf_dir), "job")
     again = J.run_job(J.retry_set(base).distinct(), I.page_refetch(spark, sf_dir))
     fetched = again.filter(F.col("error").isNull() | (F.col("error") != J.NOT_FETCHED))
     return J.merge_retry(base, fetched, keep=("job_id",)).select("job_id", "url", "status", "error")
@@ -336,15 +326,17 @@ def url_lists(spark, sf_dir):
 
 
 def records_roundtrip(spark, sf_dir):
+    """Every document twice under one url, the second without overrides: each keeps its own."""
     path = scratch_path(spark, "records")
     overrides = I.overrides(spark, sf_dir).withColumnRenamed("url", "_url")
     pages = records(spark, sf_dir)
     page = F.struct(*[c for c in pages.columns if c != "page_id"]).alias("page")
     given = F.struct(*R.OVERRIDE_FIELDS).alias("overrides")
     stored = pages.join(overrides, F.col("url") == F.col("_url"), "left").select(page, given)
-    stored.write.json(path)
-    found, given_back, _ = T.read_records(spark, path)
-    return R.generate_rules(found, given_back).select("url", "title", "description", "keywords")
+    bare = stored.withColumn("overrides", F.lit(None).cast(stored.schema["overrides"].dataType))
+    stored.unionByName(bare).write.json(path)
+    found, _ = T.read_records(spark, path)
+    return R.generate_rules(found).select("url", "title", "description", "keywords")
 
 
 def csv_export(spark, sf_dir):
@@ -390,10 +382,10 @@ def stream_counters(spark, sf_dir):
 
 
 def stream_rate_limit(spark, sf_dir):
-    out, state = scratch_path(spark, "stream-limit"), scratch_path(spark, "limit-state")
+    out = scratch_path(spark, "stream-limit")
     requests = I.as_requests(_stream(spark, sf_dir, "events"))
     S.stream_rate_limit(
-        requests, out, state, scratch_path(spark, "checkpoint"), max_requests=2, window_seconds=86_400
+        requests, out, scratch_path(spark, "checkpoint"), max_requests=2, window_seconds=86_400
     ).awaitTermination()
     return spark.read.parquet(out).select("key", "id", "window_start", "request_count", "allowed")
 
@@ -406,6 +398,25 @@ def stream_latest_state(spark, sf_dir):
     return S.read_latest_state(spark, out)
 
 
+def address_key(spark, sf_dir):
+    addresses = I.derive(I.events(spark, sf_dir), {"event_id": "event_id", "address": I.ADDRESS})
+    return addresses.select("event_id", key_of_address("address").alias("key"))
+
+
+def job_id_clean(spark, sf_dir):
+    names = I.derive(I.events(spark, sf_dir), {"event_id": "event_id", "name": I.JOB_NAME})
+    return names.select("event_id", clean_job_id("name").alias("job_id"))
+
+
+def mode_dispatch(spark, sf_dir):
+    """Both modes of one entry point over all pages."""
+    pages, texts = records(spark, sf_dir), M.response_texts(I.responses(spark, sf_dir))
+    fields = ["url", "title", "ai_powered"]
+    by_rule = M.generate_metadata(pages, "none").select(F.lit("none").alias("mode"), *fields)
+    by_model = M.generate_metadata(pages, "openai", texts).select(F.lit("model").alias("mode"), *fields)
+    return by_rule.unionByName(by_model)
+
+
 def queries() -> dict[str, Query]:
     return {
         "page_title_h1": page_title_h1,
@@ -456,6 +467,9 @@ def queries() -> dict[str, Query]:
         "job_document": job_document,
         "stream_pages": stream_pages,
         "stream_counters": stream_counters,
+        "address_key": address_key,
+        "job_id_clean": job_id_clean,
+        "mode_dispatch": mode_dispatch,
         "stream_rate_limit": stream_rate_limit,
         "stream_latest_state": stream_latest_state,
     }

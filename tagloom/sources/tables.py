@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.operators.pages import EXISTING_FIELDS
+from tagloom.operators.rules import OVERRIDE_FIELDS
 
 FETCH_SCHEMA = "url string, http_status int, fetch_error string, html string"
 SITE_DOC_SCHEMA = "doc_url string, http_status int, body string"
@@ -42,17 +43,6 @@ def read_site_docs(spark: SparkSession, path: str, format: str = "parquet") -> D
     return read_table(spark, path, SITE_DOC_SCHEMA, format)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan that cannot be split into enough tasks.
-
-    A small file with one row group is one task however many cores wait.  Its
-    rows are then dealt out; a scan with a task per core or more, i.e. any large
-    table, is returned as it is and never exchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_stream(
     spark: SparkSession, path: str, schema: str, format: str = "parquet", **options: str
 ) -> DataFrame:
@@ -67,19 +57,20 @@ def fetches_of_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored ``{page, overrides}`` documents: records, overrides, failures.
+def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Stored ``{page, overrides}`` documents: records and failures.
 
-    A document without a page becomes a row of ``failures(url, error)``.
+    Overrides belong to their own document: they become ``o_*`` columns of its
+    record, also where several documents share a url.  A document without a page
+    becomes a row of ``failures(url, error)``.
     """
     documents = spark.read.schema(RECORD_SCHEMA).json(path)
-    found = documents.filter(F.col("page").isNotNull())
-    pages = found.select("page.*")
-    overrides = found.filter(F.col("overrides").isNotNull()).select("page.url", "overrides.*")
+    own = [F.col(f"overrides.{f}").alias(f"o_{f}") for f in OVERRIDE_FIELDS]
+    pages = documents.filter(F.col("page").isNotNull()).select("page.*", *own)
     failures = documents.filter(F.col("page").isNull()).select(
         F.lit(None).cast("string").alias("url"), F.lit(RECORD_MISSING).alias("error")
     )
-    return pages, overrides, failures
+    return pages, failures
 
 
 def write_rows(rows: DataFrame, path: str, format: str = "parquet", mode: str = "error") -> None:

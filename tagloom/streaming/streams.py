@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tagloom.config import DEFAULTS, Options
 from tagloom.operators.jobs import page_results
-from tagloom.operators.ratelimit import open_windows, rate_limit
-
-STATE_SCHEMA = "key string, window_start bigint, used bigint"
 
 
 def _writer(df: DataFrame, checkpoint: str, mode: str, available_now: bool):
@@ -78,46 +76,75 @@ def read_counters(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_DECIDED = "key string, us bigint, id bigint, window_start bigint, request_count bigint, allowed boolean"
+
+
+def _decide(max_requests: int, window_seconds: int):
+    """Decisions of one key: its open window is the state, dropped once no later request can fall into it."""
+
+    def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(chunks)).sort_values(["us", "id"])
+        seconds = (rows["us"] // 1_000_000).to_numpy()
+        start, used = state.get if state.exists else (None, 0)
+        starts, counts = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        at = 0
+        while at < len(rows):
+            if start is None or seconds[at] > start + window_seconds:
+                start, used = int(seconds[at]), 0
+            end = int(np.searchsorted(seconds, start + window_seconds, side="right"))
+            starts[at:end], counts[at:end] = start, used + np.arange(1, end - at + 1)
+            used, at = used + end - at, end
+        state.update((start, used))
+        closes = (start + window_seconds + 1) * 1000
+        state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
+        yield rows.assign(
+            key=key[0], window_start=starts, request_count=counts, allowed=counts <= max_requests
+        )[["key", "us", "id", "window_start", "request_count", "allowed"]]
+
+    return fold
+
+
 def stream_rate_limit(
     requests: DataFrame,
     path: str,
-    state_path: str,
     checkpoint: str,
     max_requests: int = DEFAULTS.rate_limit_requests,
     window_seconds: int = DEFAULTS.rate_limit_window,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Rate-limit decisions for a stream of ``(key, ts, id)`` in time order.
+    """Append rate-limit decisions for a stream of ``(key, ts, id)`` in time order.
 
-    Each micro-batch runs the batch operator, continuing the windows that the
-    previous one left open.  Decisions need every request of a key in order;
-    a per-key state operator would collect a hot key in one task, this spreads
-    it over its seconds.  Windows that can no longer matter are dropped, so the
-    state holds only keys that were active within one window length.
+    The open windows live in Spark's state store and expire by event time.
+    Micro-batches follow each other in time; inside one, rows may be in any
+    order.  A key's requests of one micro-batch are decided by one task, so
+    ``maxFilesPerTrigger`` bounds what it holds.  Requests without a time pass
+    with NULL decisions, as in a batch.
     """
-
-    def decide(batch: DataFrame, batch_id: int) -> None:
-        spark, state = batch.sparkSession, None
-        if batch_id > 0:
-            state = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/batch={batch_id - 1}")
-        decided = rate_limit(batch, "key", "ts", "id", max_requests, window_seconds, state)
-        saved = f"{path}/batch={batch_id}"
-        decided.write.mode("overwrite").parquet(saved)
-        # The next state follows from the written decisions: nothing runs twice.
-        decided = spark.read.schema(decided.schema).parquet(saved)
-        opened = open_windows(decided)
-        if state is not None:
-            idle = state.join(opened.select("key"), "key", "left_anti")
-            opened = opened.unionByName(idle)
-        newest = decided.agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("_now"))
-        live = opened.crossJoin(F.broadcast(newest)).filter(  # newest is one row
-            F.col("_now").isNull() | (F.col("_now") - F.col("window_start") <= window_seconds)
-        )
-        live.select("key", "window_start", "used").write.mode("overwrite").parquet(
-            f"{state_path}/batch={batch_id}"
-        )
-
-    return _writer(requests, checkpoint, "append", available_now).foreachBatch(decide).start()
+    keyed = requests.select(F.coalesce("key", F.lit("0")).alias("key"), "ts", F.col("id").cast("bigint").alias("id"))
+    timed = (
+        keyed.filter(F.col("ts").isNotNull())
+        .withWatermark("ts", f"{window_seconds} seconds")
+        .select("key", "ts", F.unix_micros("ts").alias("us"), "id")
+    )
+    decided = timed.groupBy("key").applyInPandasWithState(
+        _decide(max_requests, window_seconds),
+        outputStructType=_DECIDED,
+        stateStructType="window_start bigint, used bigint",
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    )
+    fields = ["key", "ts", "id", "window_start", "request_count", "allowed"]
+    decided = decided.withColumn("ts", F.timestamp_micros("us")).select(*fields)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in zip(fields[3:], ("bigint", "bigint", "boolean"))]
+    untimed = requests.filter(F.col("ts").isNull()).select(
+        F.coalesce("key", F.lit("0")).alias("key"), "ts", F.col("id").cast("bigint").alias("id"), *nothing
+    )
+    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if available_now else {}
+    with _start_settings(requests.sparkSession, settings):
+        return _writer(decided.unionByName(untimed), checkpoint, "append", available_now).format("parquet").start(path)
 
 
 LATEST_SCHEMA = "job_id string, updated bigint, done bigint, errors bigint, status string"

@@ -1,3 +1,4 @@
+import pytest
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -45,8 +46,8 @@ def test_link_functions(spark):
 
 
 def test_url_checks(spark):
-    good = ["https://a.com", "http://a-b.com:80/x?y#z", "ftp://h/x", "http://[::1]/", "http://u:p@h/", "http://a" + ".b" * 20_000 + "."]
-    bad = ["a.com", "http://", "http://-a.com", "http://a_b.com", "http://ä.de", "http://a b", None, "http://a.com/ü"]
+    good = ["https://a.com", "http://a-b.com:80/x?y#z", "ftp://h/x", "http://[::1]/", "http://u:p@h/", "http://a" + ".b" * 120 + ".", "mailto:x@y", "news:z", "http://" + "a" * 63 + ".b"]
+    bad = ["a.com", "http://", "http://-a.com", "http://a_b.com", "http://ä.de", "http://a b", None, "http://a.com/ü", "http://a" + ".b" * 20_000, "mailto:", "http://" + "a" * 64 + ".b"]
     df = spark.createDataFrame([(x,) for x in good + bad], "u string")
     assert [r[0] for r in df.select(is_valid_url("u")).collect()] == [True] * len(good) + [False] * len(bad)
     sites = spark.createDataFrame([("https://a.com:81/x",), ("//a.com",)], "u string")
@@ -98,7 +99,21 @@ def test_nested_indexes_and_cycles_end(spark):
         "https://a.com/u3.xml": urlset("https://a.com/3"),
     }
     want = ["https://a.com/3", "https://a.com/1", "https://a.com/2"]
-    assert found(spark, "https://a.com", docs, sitemap_max_depth=4) == want
+    assert found(spark, "https://a.com", docs) == want
+
+
+@pytest.mark.parametrize("n", [100, 300])
+def test_deep_chains_and_self_references_lose_nothing(spark, n):
+    urls = [f"https://a.com/p{i}" for i in range(n)]
+    deep = {f"https://a.com/i{k}.xml": index(f"https://a.com/i{k + 1}.xml") for k in range(12)}
+    deep |= {"https://a.com/sitemap.xml": index("https://a.com/i0.xml"), "https://a.com/i12.xml": urlset(*urls)}
+    assert found(spark, "https://a.com", deep) == urls[:250]
+    own = {
+        "https://a.com/sitemap.xml": index("https://a.com/sitemap.xml", "https://a.com/u.xml"),
+        "https://a.com/u.xml": urlset(*urls),
+    }
+    assert found(spark, "https://a.com", own) == urls[:250]
+    assert found(spark, "https://a.com", own, max_urls_per_site=None) == urls
 
 
 def test_links_only_without_any_sitemap_url(spark):

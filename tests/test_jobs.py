@@ -123,8 +123,8 @@ def test_stored_records_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     lines = [{"page": page, "overrides": {"description": "0", "keywords": "k"}}, {"overrides": {}}]
     (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps(x) for x in lines))
-    pages, overrides, failures = T.read_records(spark, str(tmp_path / "in"))
-    meta = generate_rules(pages, overrides).collect()
+    pages, failures = T.read_records(spark, str(tmp_path / "in"))
+    meta = generate_rules(pages).collect()
     assert [(m.title, m.description, m.keywords) for m in meta] == [(" – A", "Body text.", "k")]
     assert meta[0].llms_txt == "#  – A\n\nBody text.\n\n## Themen\n- One\n\n## Seiten\n- [ – A](https://a.com/x)"
     assert [f.error for f in failures.collect()] == [T.RECORD_MISSING]

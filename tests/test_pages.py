@@ -1,7 +1,10 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom import extract_pages
+from tagloom.operators.discovery import page_links
 from tagloom.functions.html import decode_entities
 from tagloom.functions.json_text import has_json_value
 
@@ -77,7 +80,9 @@ def test_body_text(spark):
       <p>a</p><p>b</p><style>p{}</style><header>H<script>"</header>"</script></header>
       <script>x = "<!--"; y = "<body>";</script> c &lt;b&gt;d&lt;/b&gt; 1 &lt; 2<footer>unclosed"""
     assert record(spark, html).body_text == " ab c d 1 < 2"
-    assert record(spark, "<p>no body tag").body_text == ""
+    assert record(spark, "<p>no body tag").body_text == "no body tag"
+    assert record(spark, "<title>t</title><meta name=a><h1>H</h1><p>text<nav>n</nav>").body_text == "Htext"
+    assert record(spark, "<head><title>t</title><noscript>x</noscript></head><p>after").body_text == "after"
     assert record(spark, None).body_text == ""
     long = record(spark, "<body>" + "ä" * 50_010 + "</body>").body_text
     assert long == "ä" * 50_000
@@ -90,6 +95,34 @@ def test_broken_markup_is_linear(spark):
     assert record(spark, "<!--" + "-" * 50_000).body_text == ""
 
 
+@pytest.mark.parametrize(
+    "shape",
+    ["<a ", "<meta ", "<h1 ", "<h2>", "<p ", "<body ", "<script ", "<title ", "<!--", "<a 'x", '<a ">" ', "<a href=\"x", "a=", "<", "</h1 ", "&#"],
+)
+def test_broken_markup_takes_linear_time(spark, shape):
+    def seconds(size):
+        page = spark.createDataFrame([("https://a.com/", shape * (size // len(shape)))], "url string, html string")
+        start = time.perf_counter()
+        extract_pages(page).collect()
+        page_links(page).count()
+        return time.perf_counter() - start
+
+    seconds(1_000)
+    small, large = seconds(240_000), seconds(1_000_000)
+    # Quadratic time would be 17 times as much.
+    assert large < 10 and large < 8 * small + 2
+
+
+def test_references_that_are_no_character_vanish(spark):
+    html = "<h1>a&#xFFFFFFFFFFFFFFFFFFFFFF;b&#99999999999999999999999;c&#x0;d&#x00000041;&#65;&#x110000;</h1>"
+    assert record(spark, html).h1 == "abcdAA"
+
+
+def test_hosts(spark):
+    assert record(spark, "", "http://user@[2001:db8::1]:8080/p").domain == "[2001:db8::1]"
+    assert record(spark, "", "http://u:p@a.com:80/p").domain == "a.com"
+
+
 @pytest.mark.parametrize(
     "blocks, url, want",
     [

@@ -68,3 +68,21 @@ def test_requests_without_key_share_one(spark):
     rows = [(None, START, 1), (None, START, 2)]
     got = decisions(rate_limit(spark.createDataFrame(rows, SCHEMA), max_requests=1))
     assert sorted(v[2] for v in got.values()) == [False, True]
+
+
+def test_requests_without_a_time_stay(spark):
+    rows = [("a", None, 1), ("a", START, 2), ("a", START, 3), (None, None, 4)]
+    got = decisions(rate_limit(spark.createDataFrame(rows, SCHEMA), max_requests=1, window_seconds=60))
+    base = int(START.timestamp())
+    assert got == {1: (None, None, None), 4: (None, None, None), 2: (base, 1, True), 3: (base, 2, False)}
+
+
+def test_one_second_over_many_partitions(spark):
+    rows = [("a", START + timedelta(microseconds=i % 50), i) for i in range(3000)]
+    rows += [("b", START + timedelta(seconds=i), 5000 + i) for i in range(200)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = decisions(rate_limit(spark.createDataFrame(rows, SCHEMA), max_requests=5, window_seconds=60))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == model(rows, 5, 60)
