@@ -18,6 +18,9 @@ from tagloom.plans import inputs as I
 _ATTRS = r"""(?:[^>"']+|"[^"]*"|'[^']*')*"""
 
 
+PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>"
+
+
 def lit(text: str) -> str:
     """A DuckDB literal; control characters are spelled with chr()."""
     parts = ["'" + p.replace("'", "''") + "'" for p in text.split("\n")]
@@ -186,7 +189,7 @@ def record_ctes(source: str) -> str:
     texts = f"""list_filter(list_transform({grab_all('markup', '(?is)' + tag('h2') + r'(.*?)(?:</h2\s*>|\z)', 1)},
       lambda t: {trim(decode(untag('t')))}), lambda t: NOT {falsy('t')})[1:5]"""
     cut = sub("p", P.H.BLOCK_BOUNDARY)
-    pieces = f"regexp_split_to_array(markup, {pat(P.H.PARAGRAPH_START)})[2:]"
+    pieces = f"regexp_split_to_array(markup, {pat(PARAGRAPH)})[2:]"
     paragraphs = f"""list_filter(list_transform(list_filter(list_transform({pieces},
       lambda p: {decode(untag(cut))}), lambda p: length(p) > 80), lambda p: {trim('p')}), lambda p: NOT {falsy('p')})[1:6]"""
     body = grab(_removed("markup", "nav", "header", "footer"), rf"(?is){tag('body')}(.*?)(?:</body\s*>|\z)")
