@@ -143,7 +143,8 @@ JOB_STATES = {
 
 # Every page stands for a site of its own.  Its six documents follow a class:
 # 0 plain sitemap, 1 index behind a malformed sitemap, 2 robots only, 3 links
-# only, 4 foreign hosts only, 5 nested index.
+# only, 4 foreign hosts only, 5 nested index, 6 an index that lists itself first
+# and then a chain of ten indexes.
 SITE = "concat('https://s', cast(page_id AS string), '.example.com')"
 SITES = {"site": f"concat({SITE}, '/')"}
 
@@ -160,7 +161,9 @@ def _index(*paths: str) -> str:
 
 _FOREIGN = "'https://foreign.example.org'"
 _NO_DOC = "NULL"
-_CLASS = "page_id % 6"
+SITE_CLASS = "CASE WHEN page_id % 12 = 11 THEN 6 ELSE page_id % 6 END"
+_CLASS = SITE_CLASS
+_CHAIN = 10
 SITE_DOCS = [
     (
         "/sitemap.xml",
@@ -173,6 +176,7 @@ SITE_DOCS = [
           WHEN 1 THEN '<urlset><url><loc>https://broken.example.com/</loc></url>'
           WHEN 4 THEN {_urlset('/x', '/y', host=_FOREIGN)}
           WHEN 5 THEN {_index('/nested.xml', '/child-1.xml')}
+          WHEN 6 THEN {_index('/sitemap.xml', '/deep-1.xml', '/child-1.xml')}
           ELSE {_NO_DOC} END""",
     ),
     (
@@ -185,11 +189,11 @@ SITE_DOCS = [
     ),
     (
         "/child-1.xml",
-        f"CASE WHEN {_CLASS} IN (1, 2, 5) THEN {_urlset('/1a', '/1b')} ELSE {_NO_DOC} END",
+        f"CASE WHEN {_CLASS} IN (1, 2, 5, 6) THEN {_urlset('/1a', '/1b')} ELSE {_NO_DOC} END",
     ),
     (
         "/child-2.xml",
-        f"CASE WHEN {_CLASS} IN (1, 5) THEN {_urlset('/2a', '/1b', '/2c')} ELSE {_NO_DOC} END",
+        f"CASE WHEN {_CLASS} IN (1, 5, 6) THEN {_urlset('/2a', '/1b', '/2c')} ELSE {_NO_DOC} END",
     ),
     ("/child-3.xml", f"CASE WHEN {_CLASS} IN (1, 5) THEN {_urlset('/3a')} ELSE {_NO_DOC} END"),
     (
@@ -201,6 +205,10 @@ SITE_DOCS = [
           ELSE {_NO_DOC} END""",
     ),
     ("", "html"),
+    *[
+        (f"/deep-{k}.xml", f"CASE {_CLASS} WHEN 6 THEN {_index('/child-2.xml' if k == _CHAIN else f'/deep-{k + 1}.xml')} ELSE {_NO_DOC} END")
+        for k in range(1, _CHAIN + 1)
+    ],
 ]
 
 

@@ -286,6 +286,7 @@ _SITE_URLS = [
     (1, "3,0", "/3a"),
     (2, "0", "/1a"), (2, "1", "/1b"),
     (4, "0", "!/x"), (4, "1", "!/y"),
+    *[(6, "1," + "0," * 10 + str(i), path) for i, path in enumerate(("/2a", "/1b", "/2c"))], (6, "2,0", "/1a"), (6, "2,1", "/1b"),
     (5, "0,1,0", "/2a"), (5, "0,1,1", "/1b"), (5, "0,1,2", "/2c"), (5, "1,0", "/1a"), (5, "1,1", "/1b"),
 ]
 
@@ -299,7 +300,7 @@ def site_urls_ctes(skip: tuple[tuple[int, str], ...] = ()) -> str:
       mapped AS (SELECT page_id, {I.SITES['site']} AS site, ord,
         CASE WHEN starts_with(path, '!') THEN 'https://foreign.example.org' || substring(path, 2)
         ELSE {I.SITE} || replace(path, '#', cast(page_id AS VARCHAR)) END AS url
-        FROM pages JOIN offered ON page_id % 6 = class)"""
+        FROM pages JOIN offered ON {I.SITE_CLASS} = class)"""
 
 
 def discovered(cap: int, skip: tuple[tuple[int, str], ...] = ()) -> str:
