@@ -4,8 +4,8 @@ A pair of bytes that stands next to each other in no token of the vocabulary
 can never be merged across, so every such pair marks a certain cut.  Words are
 cut there, the fragments are encoded on their own, only the last one with the
 word-end mark, and the ids are concatenated.  White space ends a word too, so a
-piece of text without white space always has the same ids: a bounded table per
-Python worker remembers the recent pieces.
+piece of text without white space always has the same ids: bounded tables per
+Python worker remember recent words and pieces.
 
 Which characters are letters, numbers and lower-case forms is the library's own
 business: beyond Latin its normaliser and splitter are asked for the words.  The
@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -41,7 +42,26 @@ _PIECE = re.compile(f"[^{_SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 # Beyond Latin, which characters are letters depends on the Unicode version of the library.
 _FAR = re.compile("[^\0-\u024f]")
-_REMEMBERED, _LONGEST = 200_000, 64
+_REMEMBERED, _LONGEST, _SHORT, _NONE = 120_000, 64, 64, 1 << 60
+
+
+class Recent:
+    """The last seen keys, between one and two times ``size`` of them: two generations of a dictionary."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) <= _LONGEST:
+            if len(self.young) >= self.size:
+                self.young, self.old = {}, self.young
+            self.young[key] = value
 
 
 def byte_symbols() -> dict[str, int]:
@@ -66,7 +86,7 @@ class Vocabulary:
             data = [symbols[c] for c in body if c in symbols]
             self.joined.update(a << 8 | b for a, b in zip(data, data[1:]))
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.merges = {ids[a] << 20 | ids[b]: rank << 20 | ids[a + b] for rank, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -76,16 +96,32 @@ class Vocabulary:
         self.tokens = [""] * (max([*ids.values(), *self.special.values()]) + 1)
         for token, number in [*ids.items(), *self.special.items()]:
             self.tokens[number] = token
-        self.memory: dict[str, bytes] = {}
+        self.words_seen, self.pieces_seen = Recent(_REMEMBERED), Recent(_REMEMBERED)
 
     def merged(self, ids: list[int]) -> list[int]:
-        """Merge the pair of lowest rank, leftmost first, until none is left: a heap over linked places."""
+        """Merge the pair of lowest rank, leftmost first, until none is left."""
+        if len(ids) > _SHORT:
+            return self.merged_long(ids)
+        merges = self.merges
+        ranks = [merges.get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < _NONE:
+            i = ranks.index(least)
+            ids[i] = new = least & 0xFFFFF
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = merges.get(ids[i - 1] << 20 | new, _NONE)
+            if i < len(ranks):
+                ranks[i] = merges.get(new << 20 | ids[i + 1], _NONE)
+        return ids
+
+    def merged_long(self, ids: list[int]) -> list[int]:
+        """The same in n log n steps: a heap over linked places."""
         n = len(ids)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):
-            if found := self.merges.get((ids[i], ids[i + 1])):
-                heap.append((found[0], i, found[1], ids[i], ids[i + 1]))
+            if (found := self.merges.get(ids[i] << 20 | ids[i + 1])) is not None:
+                heap.append((found >> 20, i, found & 0xFFFFF, ids[i], ids[i + 1]))
         heapq.heapify(heap)
         while heap:
             _, i, new, left, right = heapq.heappop(heap)
@@ -96,46 +132,50 @@ class Vocabulary:
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (found := self.merges.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (found[0], a, found[1], ids[a], ids[b]))
+                if a >= 0 and b >= 0 and (found := self.merges.get(ids[a] << 20 | ids[b])) is not None:
+                    heapq.heappush(heap, (found >> 20, a, found & 0xFFFFF, ids[a], ids[b]))
         return [x for x in ids if x >= 0]
 
     def fragments(self, data: bytes) -> list[bytes]:
         """A word cut at every pair of bytes that no token joins."""
-        cuts = [i for i in range(1, len(data)) if data[i - 1] << 8 | data[i] not in self.joined]
-        return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
+        joined = self.joined
+        cuts = [i for i, (a, b) in enumerate(zip(data, data[1:]), 1) if a << 8 | b not in joined]
+        return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])] if cuts else [data]
 
     def word(self, word: str) -> list[int]:
         parts, out = self.fragments(word.encode()), []
-        for number, part in enumerate(parts):
-            ids = [self.inner[b] for b in part]
-            if number + 1 == len(parts):
-                ids[-1] = self.last[part[-1]]
-            out += self.merged([i for i in ids if i >= 0])
-        return out
-
-    def plain(self, piece: str) -> list[int]:
-        """Ids of text without special tokens: words by pattern, each by its fragments."""
+        for part in parts[:-1]:
+            out += self.merged([i for i in map(self.inner.__getitem__, part) if i >= 0])
+        ids = [*map(self.inner.__getitem__, parts[-1][:-1]), self.last[parts[-1][-1]]]
+        return out + self.merged([i for i in ids if i >= 0])
+
+    def packed_word(self, word: str) -> bytes:
+        known = self.words_seen.get(word)
+        if known is None:
+            ids = self.word(word)
+            known = struct.pack(f"<{len(ids)}I", *ids)
+            self.words_seen.put(word, known)
+        return known
+
+    def plain(self, piece: str) -> bytes:
+        """Packed ids of text without special tokens: words by pattern, each by its fragments."""
         if _FAR.search(piece):
             split = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))
             words = [w for w, _ in split]
         else:
-            words = self.words.findall(unicodedata.normalize("NFC", piece).lower())
-        return [i for w in words for i in self.word(w)]
+            words = self.words.findall((piece if piece.isascii() else unicodedata.normalize("NFC", piece)).lower())
+        return b"".join(map(self.packed_word, words))
 
     def piece(self, piece: str) -> bytes:
-        known = self.memory.get(piece)
+        known = self.pieces_seen.get(piece)
         if known is not None:
             return known
         out, at = [], 0
         for special in self.special_pattern.finditer(piece):
-            out += [*self.plain(piece[at : special.start()]), self.special[special[0]]]
+            out += [self.plain(piece[at : special.start()]), struct.pack("<I", self.special[special[0]])]
             at = special.end()
-        packed = np.array(out + self.plain(piece[at:]), "<u4").tobytes()
-        if len(piece) <= _LONGEST:
-            if len(self.memory) >= _REMEMBERED:
-                self.memory.clear()
-            self.memory[piece] = packed
+        packed = b"".join([*out, self.plain(piece[at:])])
+        self.pieces_seen.put(piece, packed)
         return packed
 
     def encode(self, text: str) -> bytes:
