@@ -2,8 +2,10 @@
 
 Spark's JSON readers stop at the end of the first value, so trailing garbage
 would go unnoticed.  The text is therefore read as the first element of an
-array that ends with a sentinel: it is one valid JSON value exactly when the
-array parses, has two elements and the second one is the sentinel.
+array that ends with a sentinel, and once more as the only member of an object:
+it is one valid JSON value exactly when the array has two elements, the second
+one is the sentinel, and the object has that one member.  A text that closes the
+array by itself breaks the object.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ FALSY_JSON = (
 def is_valid_json(x: str) -> str:
     wrapped = f"concat('[', {x}, {quote(f',"{_SENTINEL}"]')})"
     parts = f"array(from_json({wrapped}, 'array<string>', {_STRICT}))"
-    # Bound once through the lambda, so the text is parsed once.
-    return f"""coalesce(get(transform({parts},
+    member = f"""from_json(concat('{{"v":', {x}, '}}'), 'map<string,string>', {_STRICT})"""
+    # Bound once through the lambda, so each form is parsed once.
+    listed = f"""coalesce(get(transform({parts},
         v -> size(v) = 2 AND get(v, 1) = '{_SENTINEL}'), 0), false)"""
+    return f"({listed} AND coalesce(size({member}) = 1, false))"
 
 
 def is_falsy_json(x: str) -> str:

@@ -19,6 +19,8 @@ RECOMMENDED = {
 }
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+# One temporary folder per local session.
+_LOCAL: dict[str, str] = {}
 
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -37,7 +39,10 @@ def scratch_root(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors can reach")
-    return tempfile.mkdtemp(prefix="tagloom-")
+    name = spark.sparkContext.applicationId
+    if name not in _LOCAL:
+        _LOCAL[name] = tempfile.mkdtemp(prefix="tagloom-")
+    return _LOCAL[name]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

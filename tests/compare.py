@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -66,6 +67,7 @@ def main() -> int:
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="compare-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -74,7 +76,11 @@ def main() -> int:
     for name in sys.argv[2:] or queries:
         start = time.time()
         try:
-            problem = compare(spark, con, queries[name], oracle[name], sf_dir)
+            if name not in oracle:
+                problem, n = None, queries[name](spark, sf_dir).count()
+                print(f"{name:22s} {n} rows, no oracle", flush=True)
+            else:
+                problem = compare(spark, con, queries[name], oracle[name], sf_dir)
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         failures += problem is not None

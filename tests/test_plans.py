@@ -57,6 +57,20 @@ def test_documents_are_not_exchanged_by_a_job(spark, sf_dir):
         assert "html" not in head and "body_text" not in head
 
 
+@pytest.mark.parametrize(
+    "name", "meta_rules overrides_apply prompt_build model_generate response_apply job_rows link_frontier page_links".split()
+)
+def test_no_registered_query_exchanges_documents(spark, sf_dir, name):
+    from tagloom.plans.queries import queries
+
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        df = queries()[name](spark, sf_dir)
+        text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    for columns in re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*?)\]\n", text):
+        names = {c.rsplit("#", 1)[0].strip() for c in columns.split(",")}
+        assert not names & {"html", "body", "body_text", "paragraphs", "_markup", "_body", "_text"}, columns
+
+
 def test_hot_keys_are_split(spark):
     """A third of the left rows share a key and both sides are shuffled."""
     left = spark.range(300_000).select(
