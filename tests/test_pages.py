@@ -35,7 +35,7 @@ def test_json_values(spark):
     good = ['{"a":1}', '[{"b":[1,2]}]', '"x"', "7", " true ", '{"a":1,"a":2}']
     bad = [
         "{}", "[]", "0", '""', '"0"', "null", "false", "{bad", '{"a":1};', '{"a":1}]', '{"a":1}]}',
-        '{"a":1},{"b":2}', "", None, "{'a':1}", "NaN", "-0.0", " { } ",
+        '{"a":1},{"b":2}', '1,"~end of value~"], [2', "", None, "{'a':1}", "NaN", "-0.0", " { } ",
     ]
     df = spark.createDataFrame([(x,) for x in good + bad], "x string")
     got = [r.v for r in df.select(F.expr(has_json_value("x")).alias("v")).collect()]

@@ -1,8 +1,10 @@
+import time
 from datetime import datetime, timedelta, timezone
 
 from tests_support import model_limit
 
 from tagloom import page_results
+from tagloom.config import Options
 from tagloom.sources import tables as T
 from tagloom.streaming import streams as S
 
@@ -64,3 +66,37 @@ def test_latest_state_over_batches(spark, tmp_path):
     got = {r.job_id: (r.updated, r.status, r.done, r.errors) for r in S.read_latest_state(spark, out).collect()}
     assert got == {"a": (5, "done", 3, 0), "b": (9, "done", 4, 1)}
     assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
+def test_idle_jobs_expire(spark, tmp_path):
+    """The state of a job goes once its time to live is over."""
+    schema = "job_id string, updated bigint, status string, done bigint, errors bigint"
+    source = str(tmp_path / "in")
+
+    def arrive(job):
+        spark.createDataFrame([(job, 1, "running", 0, 0)], schema).coalesce(1).write.mode("append").parquet(source)
+
+    arrive("a")
+    query = S.stream_latest_state(
+        T.read_stream(spark, source, schema), str(tmp_path / "out"), str(tmp_path / "cp"), Options(job_ttl_seconds=1),
+        available_now=False,
+    )
+    try:
+        held = []
+        for _ in range(60):
+            time.sleep(0.5)
+            operators = (query.lastProgress or {}).get("stateOperators") or [{}]
+            held.append(operators[0].get("numRowsTotal", 0))
+            if 0 < max(held) and held[-1] == 0:
+                break
+        assert max(held) == 1 and held[-1] == 0
+        # A later state of another job starts afresh.
+        arrive("b")
+        for _ in range(40):
+            time.sleep(0.5)
+            seen = {r.job_id for r in S.read_latest_state(spark, str(tmp_path / "out")).collect()}
+            if "b" in seen:
+                break
+        assert seen == {"a", "b"}
+    finally:
+        query.stop()
