@@ -2,26 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-
 import numpy as np
-
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-_MEMORY: dict[str, int] = {}
-_KEPT, _LONGEST = 300_000, 64
-
-
-def _code(word: str) -> int:
-    code = _MEMORY.get(word)
-    if code is None:
-        code = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(word) <= _LONGEST:
-            if len(_MEMORY) >= _KEPT:
-                _MEMORY.clear()
-            _MEMORY[word] = code
-    return code
+import xxhash
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -34,25 +16,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_codes(text: str | None) -> np.ndarray:
-    """64-bit codes of the words; A to Z are lowered, other letters are not."""
+    """64-bit codes of the words; A to Z are lowered, other letters are not.
+
+    On bytes, lowering and white space are those of ASCII: exactly the rule.
+    """
     if not text:
         return np.zeros(0, np.uint64)
-    if text.isascii():
-        words = _WORDS.findall(text.lower())
-    else:
-        words = _WORDS.findall(text.translate(_LOWER))
-    return np.fromiter(map(_code, words), np.uint64, len(words))
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_codes(words: np.ndarray, width: int) -> np.ndarray:
     """Codes of all runs of ``width`` words in order; fewer words make one shingle of them all."""
     if not len(words):
-        return words
+        return words.astype(np.uint64)
     width = min(width, len(words))
-    total = np.full(len(words) - width + 1, 0x2545F4914F6CDD1D + width, np.uint64)
+    total = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
-        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - width + 1 + i])
-    return total
+        # Odd factors, no two alike: the order of words counts.
+        factor = pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)
+        total += words[i : len(words) - width + 1 + i] * np.uint64(factor)
+    return mixed(total)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:

@@ -7,13 +7,18 @@ the place of the least value has that value as its min-hash.  Only nodes at
 least as wide as the shortest passage matter; they are the places that are least
 in some window of that width, so the tree is built over these few alone.
 
-Windows of different documents with equal hash and value may hold similar
-passages.  Each such group is a star: its documents with the smallest and the
-largest id are paired with the others, so pairs grow with the rows.  A pair
-goes on if windows of enough hashes overlap on a long enough interval.  It is
-then verified on both whole sequences: a passage is a run of common shingles
-with small gaps, at least ``min_words`` words long and of Jaccard similarity
-``similarity`` or more on both sides.  Linked passages form classes.
+Texts that hold windows of equal hash and value may hold similar passages.
+Equal texts are one node.  Each group of nodes with a common value is a star:
+its smallest and its largest node are paired with the others, so pairs grow with
+the rows.  A pair that shares values of enough hashes is verified on both whole
+sequences: its windows are joined on their values, intervals of enough hashes
+must overlap on the length of a passage, and a passage is then a run of common
+shingles with small gaps, at least ``min_words`` words long and of Jaccard
+similarity ``similarity`` or more on both sides.  Linked passages form classes.
+
+A passage that two texts share word for word has the same value under every
+hash.  With 4 hashes, 2 of which must agree, a single window at similarity 0.8
+passes with probability 0.97; longer passages have more windows.
 
 Defined results: null and short texts and rows with a null id have no passages;
 passages that repeat inside one document only are not reported; rows that
@@ -31,32 +36,42 @@ from tagloom.llm.graph import components
 from tagloom.llm.shingles import mixed, shingle_codes, word_codes
 
 WIDTH, MIN_WORDS, SIMILARITY = 5, 50, 80
-HASHES, ENOUGH = 6, 2
+HASHES, ENOUGH = 4, 2
 # Shingles without a partner that a passage may pass over: two changed words and those between them.
 _GAP = 2 * WIDTH + 2
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick (minimum or maximum) over all windows of ``width`` places."""
-    places, done = len(values) - width + 1, 1
+    """pick (minimum or maximum) over all windows of ``width`` places of each row."""
+    places, done = values.shape[1] - width + 1, 1
     while done * 2 <= width:
-        values = pick(values[:-done], values[done:])
+        values = pick(values[:, :-done], values[:, done:])
         done *= 2
-    return pick(values[:places], values[width - done : width - done + places])
+    return pick(values[:, :places], values[:, width - done : width - done + places])
+
+
+def hashed(codes: np.ndarray, hashes: int) -> np.ndarray:
+    """One row of hashed codes per hash."""
+    seeds = mixed(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mixed(codes[None, :] ^ seeds[:, None])
+
+
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """Per row the places that are least in some window of ``width``: the wide nodes of its tree."""
+    least = _slide(values, width, np.minimum)
+    edge = np.zeros((len(values), width - 1), values.dtype)
+    return _slide(np.concatenate([edge, least, edge], axis=1), width, np.maximum) == values
 
 
-def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(values: np.ndarray, width: int, values_too: bool = False) -> tuple[list, list, list]:
     """(left, least, right) of all nodes of the Cartesian tree that are at least ``width`` wide; ends inclusive.
 
-    Of equal values the first is the least.
+    Of equal values the first is the least.  ``values_too`` gives the least value in place of its place.
     """
     n = len(values)
     if n < width:
-        return (np.zeros(0, np.int64),) * 3
-    least = _slide(values, width, np.minimum)
-    edge = np.zeros(width - 1, values.dtype)
-    opened = _slide(np.concatenate([edge, least, edge]), width, np.maximum)
-    places = np.flatnonzero(opened == values)
+        return [], [], []
+    places = np.flatnonzero(least_places(values[None, :], width)[0])
     # The nearest smaller values around such a place are such places themselves.
     own, numbers = values[places].tolist(), places.tolist()
     left, right, stack = [0] * len(own), [n - 1] * len(own), []
@@ -65,30 +80,35 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
             right[stack.pop()] = numbers[i] - 1
         left[i] = numbers[stack[-1]] + 1 if stack else 0
         stack.append(i)
-    left, right = np.array(left), np.array(right)
-    wide = right - left + 1 >= width
-    return left[wide], places[wide], right[wide]
+    middle = own if values_too else numbers
+    kept = [(a, m, b) for a, m, b in zip(left, middle, right) if b - a + 1 >= width]
+    return tuple(map(list, zip(*kept))) if kept else ([], [], [])
+
 
+def window_keys(codes: np.ndarray, shortest: int, hashes: int) -> np.ndarray:
+    """Distinct values of all compact windows, with the number of the hash in the last three bits."""
+    if len(codes) < shortest:
+        return np.zeros(0, np.int64)
+    values = hashed(codes, hashes)
+    row, place = np.nonzero(least_places(values, shortest))
+    keys = values[row, place] & np.uint64(0xFFFFFFFFFFFFFFF8) | row.astype(np.uint64)
+    return np.unique(keys).view(np.int64)
 
-def windows(docs: DataFrame, id_col: str, text_col: str, width: int, shortest: int, hashes: int) -> DataFrame:
-    """(key, hash, doc, low, high) of all compact windows of all texts."""
 
-    def make(ids: list, texts: list) -> list[np.ndarray]:
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
-        for doc, text in zip(ids, texts):
-            codes = shingle_codes(word_codes(text), width)
-            if len(codes) < shortest:
-                continue
-            for h in range(hashes):
-                values = mixed(codes ^ np.uint64(0x9E3779B97F4A7C15 * (h + 1) & 0xFFFFFFFFFFFFFFFF))
-                low, least, high = compact_windows(values, shortest)
-                keys = mixed(values[least] + np.uint64(h)).view(np.int64)
-                for column, part in zip(out, (keys, np.full(len(keys), h), np.full(len(keys), doc), low, high)):
-                    column.append(part)
-        return [np.concatenate(c) for c in out]
+def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, node, text): equal texts are one node."""
+    rows = narrow(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
+    return rows.filter("doc IS NOT NULL AND text IS NOT NULL").withColumn("node", F.xxhash64("text"))
 
-    rows = narrow(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long")).filter("doc IS NOT NULL")
-    return arrow_rows(rows, make, "key long, hash int, doc long, low int, high int", "doc", "text", rows=200)
+
+def windows(rows: DataFrame, width: int, shortest: int, hashes: int) -> DataFrame:
+    """(key, node) of all compact windows of all texts."""
+
+    def make(nodes: list, texts: list) -> list[np.ndarray]:
+        keys = [window_keys(shingle_codes(word_codes(t), width), shortest, hashes) for t in texts]
+        return [np.concatenate([*keys, np.zeros(0, np.int64)]), np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])]
+
+    return arrow_rows(rows, make, "key long, node long", "node", "text", rows=200)
 
 
 def overlap(hashes: list[int], low: list[int], high: list[int], enough: int, shortest: int) -> bool:
@@ -108,10 +128,34 @@ def overlap(hashes: list[int], low: list[int], high: list[int], enough: int, sho
     return False
 
 
+def intervals_agree(one: np.ndarray, two: np.ndarray, shortest: int, hashes: int, enough: int) -> bool:
+    """Join the windows of two sequences on hash and value, until enough of them overlap in the second."""
+    numbers, low, high = [], [], []
+    for h, (first, second) in enumerate(zip(hashed(one, hashes), hashed(two, hashes))):
+        known = set(first[least_places(first[None, :], shortest)[0]].tolist()) if len(first) >= shortest else ()
+        for left, value, right in zip(*compact_windows(second, shortest, values_too=True)):
+            if value in known:
+                numbers.append(h)
+                low.append(left)
+                high.append(right)
+        if h + 1 >= enough and overlap(numbers, low, high, enough, shortest):
+            return True
+    return False
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    codes = np.sort(codes)
+    new = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    return codes[new]
+
+
 def _partners(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Per place of ``two`` a place of ``one`` with the same shingle, else -1; n-th occurrences go together."""
     places = np.argsort(one, kind="stable")
-    unique, first, counts = np.unique(one[places], return_index=True, return_counts=True)
+    ordered = one[places]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(one) else places
+    unique, counts = ordered[first], np.diff(np.append(first, len(one)))
     at = np.searchsorted(unique, two)
     at[at == len(unique)] = 0
     order = np.argsort(two, kind="stable")
@@ -124,47 +168,44 @@ def _partners(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 def passages(one: np.ndarray, two: np.ndarray, shortest: int, similarity: int) -> list[tuple[int, int, int, int]]:
     """Similar passages of two sequences: (start, end) in each, ends exclusive, in shingles."""
+    if min(len(one), len(two)) < shortest:
+        return []
     partners = _partners(one, two)
-    matched = np.flatnonzero(partners >= 0)
-    found = []
-    todo = [matched]
+    found: list[tuple[int, int, int, int]] = []
+
+    def pieces(run: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
+        """Parts of a run that are long enough for a passage."""
+        bounds = [0, *cuts, len(run)]
+        return [run[a:b] for a, b in zip(bounds, bounds[1:]) if a < b and run[b - 1] - run[a] + 1 >= shortest]
+
+    todo = pieces(np.flatnonzero(partners >= 0), [])
     while todo:
         run = todo.pop()
-        if not len(run) or run[-1] - run[0] + 1 < shortest:
-            continue
-        # Both sides go on together: a jump in either ends a run, but for shingles that occur twice.
-        partner = partners[run]
         step = np.diff(run)
         if step.max(initial=1) > _GAP:
-            cuts = np.flatnonzero(step > _GAP) + 1
-            todo += np.split(run, cuts)
-            continue
-        shift = partner - run
-        middle = int(np.median(shift))
-        near = np.abs(shift - middle) <= _GAP
-        if near.sum() * 2 < len(run):
-            jumps = np.flatnonzero(np.abs(np.diff(shift)) > _GAP) + 1
-            if len(jumps):
-                todo += np.split(run, jumps)
+            todo += pieces(run, (np.flatnonzero(step > _GAP) + 1).tolist())
             continue
-        kept = run[near]
-        start, end = int(kept[0]), int(kept[-1]) + 1
-        other = partners[kept]
-        begin, stop = int(other.min()), int(other.max()) + 1
-        if end - start >= shortest and stop - begin >= shortest:
-            a, b = np.unique(one[begin:stop]), np.unique(two[start:end])
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= similarity * (len(a) + len(b) - both):
-                found.append((begin, stop, start, end))
-                # What lies on other diagonals before and after may be a passage too.
-                todo += [run[run < start], run[run >= end]]
-                continue
-        jumps = np.flatnonzero(np.abs(np.diff(shift)) > _GAP) + 1
+        # Both sides go on together: a jump in either ends a run, but for shingles that occur twice.
+        shift = partners[run] - run
+        near = np.abs(shift - int(np.median(shift))) <= _GAP
+        jumps = (np.flatnonzero(np.abs(np.diff(shift)) > _GAP) + 1).tolist()
+        if near.sum() * 2 >= len(run):
+            kept = run[near]
+            start, end = int(kept[0]), int(kept[-1]) + 1
+            begin, stop = int(partners[kept].min()), int(partners[kept].max()) + 1
+            if end - start >= shortest and stop - begin >= shortest:
+                a, b = _distinct(one[begin:stop]), _distinct(two[start:end])
+                either = len(_distinct(np.concatenate([a, b])))
+                if 100 * (len(a) + len(b) - either) >= similarity * either:
+                    found.append((begin, stop, start, end))
+                    # What lies before and after on other diagonals may be a passage too.
+                    for rest in (run[run < start], run[run >= end]):
+                        todo += pieces(rest, [])
+                    continue
+            if not len(jumps) and step.max(initial=1) > 1:
+                jumps = [int(step.argmax()) + 1]
         if len(jumps):
-            todo += np.split(run, jumps)
-        elif len(step) and step.max() > 1:
-            cut = int(step.argmax()) + 1
-            todo += [run[:cut], run[cut:]]
+            todo += pieces(run, jumps)
     return found
 
 
@@ -177,75 +218,87 @@ def repeated_passages(
     ``class_id`` is the smallest doc_id that holds a passage of the class.
     """
     shortest = max(min_words - width + 1, 1)
-    found = windows(docs, id_col, text_col, width, shortest, hashes)
-    ends = found.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    shared = found.join(ends, "key")
-    centres = F.array(F.col("first"), F.when(F.col("doc") != F.col("first"), F.col("last")))
-    star = (
-        shared.withColumn("a", F.explode(centres)).filter("a IS NOT NULL AND a <> doc")
-        .select("a", F.col("doc").alias("b"), "hash", "low", "high")
+    rows = _nodes(docs, id_col, text_col)
+    names = written(rows.select("doc", "node").distinct(), "names")
+    copies = names.groupBy("node").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies"))
+
+    found = windows(rows, width, shortest, hashes)
+    # 24 bits tell the nodes of a group apart, but for one pair in 16 million.
+    mark = F.col("node").bitwiseAND(0xFFFFFF).cast("int")
+    ends = (
+        found.select("key", mark.alias("mark")).groupBy("key").agg(F.min("mark").alias("first"), F.max("mark").alias("last"))
+        .filter("first < last").select("key")
     )
-    pairs = (
-        star.groupBy("a", "b", "hash", "low", "high").agg(F.lit(1).alias("one"))
-        .groupBy("a", "b").agg(F.collect_list(F.struct("hash", "low", "high")).alias("w"))
-        .filter(F.size(F.array_distinct("w.hash")) >= enough)
+    shared = written(found.join(ends, "key", "left_semi"), "windows")
+    ends = shared.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    ends = ends.withColumn("tag", F.xxhash64("key"))
+    centres = F.array(F.col("first"), F.when(F.col("node") != F.col("first"), F.col("last")))
+    star = (
+        shared.withColumn("tag", F.xxhash64("key")).join(ends, ["key", "tag"])
+        .select(F.explode(centres).alias("a"), F.col("node").alias("b"), F.expr("shiftleft(1, cast(key & 7 AS int))").alias("hash"))
+        .filter("a IS NOT NULL AND a <> b")
     )
+    pairs = star.groupBy("a", "b").agg(F.bit_or("hash").alias("hashes")).filter(F.bit_count("hashes") >= enough).select("a", "b")
+    pairs = written(pairs, "pairs")
 
-    def joined_up(a: list, b: list, h: list, low: list, high: list) -> list[list]:
-        keep = [overlap(*w, enough, shortest) for w in zip(h, low, high)]
-        return [[x for x, k in zip(a, keep) if k], [x for x, k in zip(b, keep) if k]]
-
-    flat = pairs.select("a", "b", F.col("w.hash").alias("h"), F.col("w.low").alias("low"), F.col("w.high").alias("high"))
-    pairs = written(arrow_rows(flat, joined_up, "a long, b long", "a", "b", "h", "low", "high"), "pairs")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = narrow(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
-    texts = texts.join(wanted, F.col("doc") == F.col("key"), "left_semi")
-    sequences = written(
-        arrow_rows(
-            texts, lambda ids, values: [ids, [shingle_codes(word_codes(t), width).tobytes() for t in values]],
-            "doc long, codes binary", "doc", "text",
-        ),
-        "sequences",
-    )
+    repeated = copies.filter("copies > 1").select("node")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(repeated).distinct()
+    chosen = wanted.join(copies, "node").select(F.col("node").alias("n"), F.col("least").alias("d"))
+    texts = rows.join(chosen, (F.col("doc") == F.col("d")) & (F.col("node") == F.col("n")), "left_semi")
+
+    def encode(nodes: list, values: list) -> list[list]:
+        words = [word_codes(t).astype(np.uint32) for t in values]
+        return [nodes, [len(w) for w in words], [w.tobytes() for w in words]]
+
+    sequences = written(arrow_rows(texts, encode, "node long, n int, words binary", "node", "text").dropDuplicates(["node"]), "sequences")
     both = (
-        pairs.join(sequences.select(F.col("doc").alias("a"), F.col("codes").alias("one")), "a")
-        .join(sequences.select(F.col("doc").alias("b"), F.col("codes").alias("two")), "b")
+        pairs.join(sequences.select(F.col("node").alias("a"), F.col("words").alias("one")), "a")
+        .join(sequences.select(F.col("node").alias("b"), F.col("words").alias("two")), "b")
     )
 
     def verify(a: list, b: list, one: list, two: list) -> list[list]:
-        rows = [
-            (x, y, *p) for x, y, s, t in zip(a, b, one, two)
-            for p in passages(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), shortest, similarity)
-        ]
-        return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(6)]
+        out = []
+        for x, y, s, t in zip(a, b, one, two):
+            first, second = (shingle_codes(np.frombuffer(w, np.uint32).astype(np.uint64), width) for w in (s, t))
+            # The cheaper of the two tests goes first.
+            found = passages(first, second, shortest, similarity)
+            if found and intervals_agree(first, second, shortest, hashes, enough):
+                out += [(x, y, *p) for p in found]
+        return [list(c) for c in zip(*out)] if out else [[] for _ in range(6)]
 
     schema = "a long, b long, a_start int, a_end int, b_start int, b_end int"
     links = written(arrow_rows(both, verify, schema, "a", "b", "one", "two", rows=50), "passages")
 
-    # Overlapping passages of a document are one; equal ones are counted once before.
-    sides = [links.select(F.col(x).alias("doc"), F.col(f"{x}_start").alias("start"), F.col(f"{x}_end").alias("end")) for x in "ab"]
-    spans = sides[0].unionByName(sides[1]).distinct()
-    order = Window.partitionBy("doc").orderBy("start", F.desc("end"))
+    # Overlapping passages of a node are one; equal ones are counted once before.
+    sides = [links.select(F.col(x).alias("node"), F.col(f"{x}_start").alias("start"), F.col(f"{x}_end").alias("end")) for x in "ab"]
+    whole_texts = (
+        sequences.join(repeated, "node", "left_semi").filter(F.col("n") - width + 1 >= shortest)
+        .select("node", F.lit(0).alias("start"), (F.col("n") - width + 1).alias("end"))
+    )
+    spans = sides[0].unionByName(sides[1]).unionByName(whole_texts).distinct()
+    order = Window.partitionBy("node").orderBy("start", F.desc("end"))
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = (
         spans.withColumn("new", F.when(F.col("start") < before, 0).otherwise(1))
         .withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    runs = written(runs.select("doc", "start", "end", "run", F.xxhash64("doc", "run").alias("node")), "runs")
+    runs = written(runs.select("node", "start", "end", F.xxhash64("node", "run").alias("part")), "runs")
     side = lambda x: runs.select(
-        F.col("doc").alias(x), F.col("start").alias(f"{x}_start"), F.col("end").alias(f"{x}_end"), F.col("node").alias(f"{x}_node")
+        F.col("node").alias(x), F.col("start").alias(f"{x}_start"), F.col("end").alias(f"{x}_end"), F.col("part").alias(f"{x}_part")
     )
     edges = (
         links.join(side("a"), ["a", "a_start", "a_end"]).join(side("b"), ["b", "b_start", "b_end"])
-        .select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+        .select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct()
     )
-    labels = components(edges)
-    whole = runs.groupBy("doc", "node").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    whole = whole.join(labels, "node")
+    labels = components(edges).withColumnRenamed("node", "part")
+    parts = runs.groupBy("node", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    parts = parts.join(labels, "part", "left").withColumn("label", F.coalesce("label", "part"))
+    # Every copy of a text holds its passages.
+    parts = parts.withColumn("tag", F.xxhash64("node"))
+    whole = names.withColumn("tag", F.xxhash64("node")).join(parts, ["node", "tag"]).select("doc", "label", "start", "end").distinct()
     per_doc = whole.groupBy("label", "doc").agg(F.lit(1).alias("one"))
     classes = per_doc.groupBy("label").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("n_docs"))
-    classes = classes.withColumn("tag", F.xxhash64("label"))
+    classes = classes.filter("n_docs > 1").withColumn("tag", F.xxhash64("label"))
     return whole.withColumn("tag", F.xxhash64("label")).join(classes, ["label", "tag"]).select(
         F.col("doc").alias("doc_id"), F.col("start").cast("long").alias("start_word"),
         (F.col("end") + width - 1).cast("long").alias("end_word"), "class_id", "n_docs",

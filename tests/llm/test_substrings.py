@@ -18,7 +18,7 @@ def test_windows_are_the_wide_nodes_of_the_tree():
     for trial in range(300):
         n, width = int(r.integers(1, 60)), int(r.integers(1, 12))
         values = r.integers(0, 15 if trial % 2 else 10**9, n).astype(np.uint64)
-        got = sorted(zip(*(x.tolist() for x in compact_windows(values, width))))
+        got = sorted(zip(*compact_windows(values, width)))
         assert got == sorted(tree(values, width, 0, n - 1))
 
 
