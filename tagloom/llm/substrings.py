@@ -27,16 +27,19 @@ repeat an id are one document.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import arrow_rows, narrow, written
+from tagloom.llm.common import WORD, arrow_rows, narrow, written
 from tagloom.llm.graph import components
 from tagloom.llm.shingles import mixed, shingle_codes, word_codes
 
 WIDTH, MIN_WORDS, SIMILARITY = 5, 50, 80
 HASHES, ENOUGH = 4, 2
+_WORD = re.compile(WORD)
 # Shingles without a partner that a passage may pass over: two changed words and those between them.
 _GAP = 2 * WIDTH + 2
 
@@ -303,3 +306,30 @@ def repeated_passages(
         F.col("doc").alias("doc_id"), F.col("start").cast("long").alias("start_word"),
         (F.col("end") + width - 1).cast("long").alias("end_word"), "class_id", "n_docs",
     )
+
+
+def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) of the documents that lose passages: each stays in its class's first document only.
+
+    ``found`` are rows of ``repeated_passages``.  Words outside keep their white space.
+    """
+    gone = found.filter("doc_id <> class_id").groupBy(F.col("doc_id").alias("key"))
+    gone = gone.agg(F.collect_set(F.struct("start_word", "end_word")).alias("gone"))
+    rows = narrow(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
+    rows = rows.join(gone, F.col("doc") == F.col("key")).select(
+        "doc", "text", F.col("gone.start_word").alias("starts"), F.col("gone.end_word").alias("ends")
+    )
+
+    def cut(ids: list, texts: list, starts: list, ends: list) -> list[list]:
+        out = []
+        for text, first, last in zip(texts, starts, ends):
+            words = [m.span() for m in _WORD.finditer(text or "")]
+            parts, at = [], 0
+            for a, b in sorted(zip(first, last)):
+                if a < len(words):
+                    parts.append(text[at : max(words[a][0], at)])
+                    at = max(words[min(b, len(words)) - 1][1], at)
+            out.append("".join([*parts, (text or "")[at:]]))
+        return [ids, out]
+
+    return arrow_rows(rows, cut, "doc_id long, text string", "doc", "text", "starts", "ends")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from conftest import PASSAGE
 
-from tagloom.llm.substrings import compact_windows, overlap, repeated_passages
+from tagloom.llm.substrings import compact_windows, overlap, repeated_passages, without_repeats
 
 
 def tree(values, width, a, b):
@@ -53,3 +53,5 @@ def test_odd_rows(odd, none):
     assert {(10, 1, 71, 10, 2), (11, 4, 74, 10, 2)} <= got
     assert {g[0] for g in got} == {7, 8, 10, 11} and len(PASSAGE.split()) == 70
     assert repeated_passages(none).collect() == []
+    left = {r.doc_id: r.text for r in without_repeats(odd, repeated_passages(odd)).collect()}
+    assert left[11] == "other words come first  and last" and left[8].strip() == "" and set(left) == {8, 11}
