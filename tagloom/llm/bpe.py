@@ -42,7 +42,7 @@ _PIECE = re.compile(f"[^{_SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 # Beyond Latin, which characters are letters depends on the Unicode version of the library.
 _FAR = re.compile("[^\0-\u024f]")
-_REMEMBERED, _LONGEST, _SHORT, _NONE = 120_000, 64, 64, 1 << 60
+_REMEMBERED, _LONGEST, _SHORT, _NONE = 60_000, 64, 64, 1 << 60
 
 
 class Recent:
@@ -91,7 +91,9 @@ class Vocabulary:
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"\s", _SPACE))
-        self.normalizer = Tokenizer.from_str(raw).normalizer
+        # Only its normaliser is wanted, so the library gets no tokens to hold.
+        bare = {**spec, "added_tokens": [], "model": {**model, "vocab": {}, "merges": []}}
+        self.normalizer = Tokenizer.from_str(json.dumps(bare)).normalizer
         self.splitter = Split(Regex(pattern), "removed", invert=True)
         self.tokens = [""] * (max([*ids.values(), *self.special.values()]) + 1)
         for token, number in [*ids.items(), *self.special.items()]:
@@ -188,7 +190,7 @@ class Vocabulary:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _loaded(raw: str) -> Vocabulary:
     return Vocabulary(raw)
 
@@ -221,3 +223,16 @@ def bpe_decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
 
     schema = "doc_id long, n_tokens long, ids binary, decoded string"
     return arrow_rows(encoded, make, schema, "doc_id", "n_tokens", "ids")
+
+
+def bpe_round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): encode and decode in one stage, with one Python worker for a task."""
+    raw = _shared(docs, vocabulary_path)
+
+    def make(ids: list, texts: list) -> list[list]:
+        vocabulary = _loaded(raw.value)
+        packed = [vocabulary.encode(t) if t else b"" for t in texts]
+        return [ids, [len(p) // 4 for p in packed], packed, [vocabulary.decode(p) if p else "" for p in packed]]
+
+    rows = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return arrow_rows(rows, make, "doc_id long, n_tokens long, ids binary, decoded string", "doc_id", "text")

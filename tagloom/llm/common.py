@@ -49,5 +49,7 @@ def arrow_rows(
                 columns = function(*[c.to_pylist() for c in part.columns])
                 arrays = [pa.array(v, f.type) for v, f in zip(columns, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        # The worker lives on for other tasks: what Arrow holds in reserve goes back.
+        pa.default_memory_pool().release_unused()
 
     return df.select(*inputs).mapInArrow(run, schema)

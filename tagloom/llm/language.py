@@ -13,7 +13,8 @@ symbol at a time, as arrays.
 
 The models are fitted on a bounded sample of labelled rows, ``sample_rows`` per
 language of at most ``longest`` characters each, taken by the hash of doc_id,
-and ``sample_chars`` characters of their texts.  Everything else covers all rows.
+and ``sample_chars`` characters of their texts, ``total_chars`` over all languages.
+Everything else covers all rows.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 so is every text when nothing was learned; languages that are null are not
@@ -41,6 +42,7 @@ _OWN, _CLASSES = 200, 254
 def learn(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     training: Column | None = None, sample_rows: int = 200, longest: int = 20_000, sample_chars: int = 60_000,
+    total_chars: int = 600_000,
 ) -> dict[str, str]:
     """Labelled text per language, in a bounded sample; by default of rows whose fold is not 1."""
     rows = narrow(docs, doc_id=id_col, text=text_col, lang=lang_col)
@@ -48,11 +50,16 @@ def learn(
     rows = rows.filter(chosen & F.col("lang").isNotNull() & F.length("text").between(1, longest))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_rows)
+    before = F.coalesce(F.sum(F.length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("before", before).filter(F.col("before") < sample_chars).select("lang", "n", "text")
     samples: dict[str, list[str]] = {}
-    for row in sorted(rows.select("lang", "n", "text").collect(), key=lambda r: (r.lang, r.n)):
-        texts = samples.setdefault(row.lang, [])
-        if sum(map(len, texts)) < sample_chars:
-            texts.append(row.text)
+    for row in sorted(rows.collect(), key=lambda r: (r.lang, r.n)):
+        samples.setdefault(row.lang, []).append(row.text)
+    # Many languages share what a worker may hold of automata.
+    share = min(sample_chars, total_chars // max(len(samples), 1))
+    for texts in samples.values():
+        while len(texts) > 1 and sum(map(len, texts[:-1])) >= share:
+            texts.pop()
     return {lang: "\n".join(texts) for lang, texts in samples.items()}
 
 
@@ -132,6 +139,7 @@ class Models:
         self.symbol[seen[_OWN:]] = _OWN + 1 + seen[_OWN:] % (_CLASSES - _OWN)
         self.alphabet = int(self.symbol[seen].max()) + 2 if len(seen) else 2
         self.symbol[self.symbol == 255] = self.alphabet - 1
+        self.symbol = self.symbol.astype(np.uint8)
         self.names = [name for name, _ in samples]
         self.automata = [Automaton(self.symbols(text), self.alphabet) for _, text in samples]
 
@@ -141,7 +149,7 @@ class Models:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        streams = [self.symbols(t) if t else np.zeros(0, np.int64) for t in texts]
+        streams = [self.symbols(t) if t else np.zeros(0, np.uint8) for t in texts]
         rows = [i for i, s in enumerate(streams) if s.any()]
         if not rows or not self.names:
             return langs, scores
@@ -152,7 +160,7 @@ class Models:
                 parts.append(streams[i][start : start + _SEGMENT])
         sizes = np.array([len(p) for p in parts])
         order = np.argsort(-sizes, kind="stable")
-        columns = np.zeros((int(sizes.max()), len(parts)), np.int64)
+        columns = np.zeros((int(sizes.max()), len(parts)), np.uint8)
         for place, number in enumerate(order.tolist()):
             columns[: sizes[number], place] = parts[number]
         active = np.searchsorted(-sizes[order], -np.arange(len(columns)), side="left").tolist()
@@ -176,7 +184,8 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-@lru_cache(maxsize=2)
+# One: a worker that serves several tables must not hold the automata of them all.
+@lru_cache(maxsize=1)
 def _models(key: str, samples: tuple[tuple[str, str], ...]) -> Models:
     return Models(samples)
 

@@ -43,13 +43,13 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
-    from tagloom.llm.bpe import bpe_decode, bpe_encode
+    from tagloom.llm.bpe import bpe_round_trip
 
     if vocabulary_path is None:
         import public_tokenizers
 
         vocabulary_path = public_tokenizers.path("word_bpe_49k.json")
-    tokens = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), vocabulary_path), vocabulary_path)
+    tokens = bpe_round_trip(_table(spark, sf_dir, "documents"), vocabulary_path)
     return tokens.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -4,7 +4,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from tagloom.llm.bpe import Vocabulary, bpe_decode, bpe_encode  # noqa: E402
+from tagloom.llm.bpe import Vocabulary, bpe_decode, bpe_encode, bpe_round_trip  # noqa: E402
 
 PATH = P.path("word_bpe_49k.json")
 TEXTS = [
@@ -44,7 +44,8 @@ def test_odd_rows(odd, rows, library, none):
         ids = library.encode(r[1] or "", add_special_tokens=False).ids
         want.append((r[0] or -1, len(ids), np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False)))
     assert got == sorted(want)
-    assert bpe_decode(bpe_encode(none, PATH), PATH).collect() == []
+    assert sorted(map(tuple, bpe_round_trip(odd, PATH).fillna(-1, ["doc_id"]).collect())) == sorted(want)
+    assert bpe_decode(bpe_encode(none, PATH), PATH).collect() == [] == bpe_round_trip(none, PATH).collect()
 
 
 def test_documents(documents, library):
