@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.bpe import bpe_decode, bpe_encode
+from tagloom.llm.bpe import bpe_round_trip
 from tagloom.llm.common import written
 from tagloom.llm.exact_dedup import exact_dedup
 from tagloom.llm.language import determined, learn
@@ -59,7 +59,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary_path: s
         import public_tokenizers
 
         vocabulary_path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe_decode(bpe_encode(docs, vocabulary_path), vocabulary_path)
+    encoded = bpe_round_trip(docs, vocabulary_path)
     return encoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
