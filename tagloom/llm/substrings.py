@@ -17,8 +17,8 @@ shingles with small gaps, at least ``min_words`` words long and of Jaccard
 similarity ``similarity`` or more on both sides.  Linked passages form classes.
 
 A passage that two texts share word for word has the same value under every
-hash.  With 4 hashes, 2 of which must agree, a single window at similarity 0.8
-passes with probability 0.97; longer passages have more windows.
+hash.  With 6 hashes, 2 of which must agree, a single window at similarity 0.8
+passes with probability 0.998; longer passages have more windows.
 
 Defined results: null and short texts and rows with a null id have no passages;
 passages that repeat inside one document only are not reported; rows that
@@ -38,7 +38,7 @@ from tagloom.llm.graph import components
 from tagloom.llm.shingles import mixed, shingle_codes, word_codes
 
 WIDTH, MIN_WORDS, SIMILARITY = 5, 50, 80
-HASHES, ENOUGH = 4, 2
+HASHES, ENOUGH = 6, 2
 _WORD = re.compile(WORD)
 # Shingles without a partner that a passage may pass over: two changed words and those between them.
 _GAP = 2 * WIDTH + 2

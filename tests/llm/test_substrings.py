@@ -1,9 +1,10 @@
+import math
 import random
 
 import numpy as np
 from conftest import PASSAGE
 
-from tagloom.llm.substrings import compact_windows, overlap, repeated_passages, without_repeats
+from tagloom.llm.substrings import ENOUGH, HASHES, compact_windows, overlap, repeated_passages, without_repeats
 
 
 def tree(values, width, a, b):
@@ -55,3 +56,8 @@ def test_odd_rows(odd, none):
     assert repeated_passages(none).collect() == []
     left = {r.doc_id: r.text for r in without_repeats(odd, repeated_passages(odd)).collect()}
     assert left[11] == "other words come first  and last" and left[8].strip() == "" and set(left) == {8, 11}
+
+
+def test_a_window_at_the_limit_is_rarely_missed():
+    miss = sum(math.comb(HASHES, k) * 0.8**k * 0.2 ** (HASHES - k) for k in range(ENOUGH))
+    assert miss < 0.002
