@@ -226,8 +226,8 @@ def repeated_passages(
     copies = names.groupBy("node").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies"))
 
     found = windows(rows, width, shortest, hashes)
-    # 24 bits tell the nodes of a group apart, but for one pair in 16 million.
-    mark = F.col("node").bitwiseAND(0xFFFFFF).cast("int")
+    # 24 bits tell the nodes of a group apart; they depend on the key, so no two nodes are alike in all their groups.
+    mark = F.xxhash64("node", "key").bitwiseAND(0xFFFFFF).cast("int")
     ends = (
         found.select("key", mark.alias("mark")).groupBy("key").agg(F.min("mark").alias("first"), F.max("mark").alias("last"))
         .filter("first < last").select("key")

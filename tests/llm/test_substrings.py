@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 from conftest import PASSAGE
+from pyspark.sql import functions as F
 
 from tagloom.llm.substrings import ENOUGH, HASHES, compact_windows, overlap, repeated_passages, without_repeats
 
@@ -61,3 +62,11 @@ def test_odd_rows(odd, none):
 def test_a_window_at_the_limit_is_rarely_missed():
     miss = sum(math.comb(HASHES, k) * 0.8**k * 0.2 ** (HASHES - k) for k in range(ENOUGH))
     assert miss < 0.002
+
+
+def test_nodes_with_equal_low_bits_keep_their_passages(spark):
+    text = F.concat(F.lit(PASSAGE + " end"), F.col("id").cast("string"))
+    marks = spark.range(40000).groupBy(F.xxhash64(text).bitwiseAND(0xFFFFFF).alias("mark"))
+    twins = marks.agg(F.collect_list("id").alias("ids")).filter("size(ids) > 1").first().ids[:2]
+    docs = spark.createDataFrame([(i, f"{PASSAGE} end{i}") for i in twins], "doc_id long, text string")
+    assert {(g[0], g[4]) for g in spans(repeated_passages(docs))} == {(i, 2) for i in twins}
