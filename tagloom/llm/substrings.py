@@ -16,6 +16,11 @@ must overlap on the length of a passage, and a passage is then a run of common
 shingles with small gaps, at least ``min_words`` words long and of Jaccard
 similarity ``similarity`` or more on both sides.  Linked passages form classes.
 
+A star could miss two texts that share a passage neither shares with a centre, as
+when a group is one of a frequent line.  So every group whose windows lie in
+passages of several classes, or in none, is compared in full, inside tasks of
+bounded blocks.  A pair is compared in the least such group that both are in.
+
 A passage that two texts share word for word has the same value under every
 hash.  With 6 hashes, 2 of which must agree, a single window at similarity 0.8
 passes with probability 0.998; longer passages have more windows.
@@ -28,13 +33,16 @@ repeat an id are one document.  Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import WORD, arrow_rows, narrow, written
 from tagloom.llm.graph import components
+from tagloom.llm.near_dedup import _groups
 from tagloom.llm.shingles import mixed, shingle_codes, word_codes
 
 WIDTH, MIN_WORDS, SIMILARITY = 5, 50, 80
@@ -42,6 +50,7 @@ HASHES, ENOUGH = 6, 2
 _WORD = re.compile(WORD)
 # Shingles without a partner that a passage may pass over: two changed words and those between them.
 _GAP = 2 * WIDTH + 2
+_BLOCK = 256
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -88,14 +97,18 @@ def compact_windows(values: np.ndarray, width: int, values_too: bool = False) ->
     return tuple(map(list, zip(*kept))) if kept else ([], [], [])
 
 
-def window_keys(codes: np.ndarray, shortest: int, hashes: int) -> np.ndarray:
-    """Distinct values of all compact windows, with the number of the hash in the last three bits."""
+def window_keys(codes: np.ndarray, shortest: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of all compact windows, with the number of the hash in the last three bits, and their places.
+
+    A value with several places has the place -1.
+    """
     if len(codes) < shortest:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
     values = hashed(codes, hashes)
     row, place = np.nonzero(least_places(values, shortest))
     keys = values[row, place] & np.uint64(0xFFFFFFFFFFFFFFF8) | row.astype(np.uint64)
-    return np.unique(keys).view(np.int64)
+    keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+    return keys.view(np.int64), np.where(counts > 1, -1, place[first]).astype(np.int32)
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,13 +118,13 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def windows(rows: DataFrame, width: int, shortest: int, hashes: int) -> DataFrame:
-    """(key, node) of all compact windows of all texts."""
+    """(key, node, place) of all compact windows of all texts."""
 
     def make(nodes: list, texts: list) -> list[np.ndarray]:
-        keys = [window_keys(shingle_codes(word_codes(t), width), shortest, hashes) for t in texts]
-        return [np.concatenate([*keys, np.zeros(0, np.int64)]), np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])]
+        keys, places = zip(*[window_keys(shingle_codes(word_codes(t), width), shortest, hashes) for t in texts])
+        return [np.concatenate(keys), np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]), np.concatenate(places)]
 
-    return arrow_rows(rows, make, "key long, node long", "node", "text", rows=200)
+    return arrow_rows(rows, make, "key long, node long, place int", "node", "text", rows=200)
 
 
 def overlap(hashes: list[int], low: list[int], high: list[int], enough: int, shortest: int) -> bool:
@@ -212,6 +225,57 @@ def passages(one: np.ndarray, two: np.ndarray, shortest: int, similarity: int) -
     return found
 
 
+def _may_share(one: np.ndarray, two: np.ndarray, shortest: int) -> bool:
+    """Whether a run of common shingles with small gaps is long enough; ``one`` is ascending."""
+    at = np.searchsorted(one, two)
+    at[at == len(one)] = 0
+    run = np.flatnonzero(one[at] == two)
+    if len(run) < 2 or run[-1] - run[0] + 1 < shortest:
+        return len(run) >= shortest
+    cuts = np.flatnonzero(np.diff(run) > _GAP)
+    first, last = run[np.append(0, cuts + 1)], run[np.append(cuts, len(run) - 1)]
+    return bool((last - first + 1 >= shortest).any())
+
+
+def compare_block(
+    key: int, nodes: list, blocks: list, sequences: list[np.ndarray], windows: list[dict], shortest: int, similarity: int,
+    agree, both_blocks: bool,
+) -> list[tuple]:
+    """Links between members of one open group; ``windows`` holds each member's (label, place) by key of open groups.
+
+    A pair is left out if its windows of every common open group are in one class already.
+    """
+    ordered = [_distinct(s) for s in sequences]
+    root: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def top(x: tuple[int, int]) -> tuple[int, int]:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    found = []
+    for i in range(len(nodes)):
+        for j in range(i + 1, len(nodes)):
+            if both_blocks and blocks[i] == blocks[j]:
+                continue
+            mine, other = windows[i], windows[j]
+            common = [k for k in mine.keys() & other.keys() if mine[k][0] != other[k][0]]
+            if not common or min(common) != key or not _may_share(ordered[i], sequences[j], shortest):
+                continue
+            if all(top((k, mine[k][0])) == top((k, other[k][0])) for k in common):
+                continue
+            got = passages(sequences[i], sequences[j], shortest, similarity)
+            if not got or not agree(sequences[i], sequences[j]):
+                continue
+            found += [(nodes[i], nodes[j], *p) for p in got]
+            for k in common:
+                x, y = mine[k][1], other[k][1]
+                if any(a <= x < b and c <= y < d for a, b, c, d in got):
+                    root[top((k, mine[k][0]))] = top((k, other[k][0]))
+    return found
+
+
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, min_words: int = MIN_WORDS,
     similarity: int = SIMILARITY, hashes: int = HASHES, enough: int = ENOUGH,
@@ -272,30 +336,78 @@ def repeated_passages(
     schema = "a long, b long, a_start int, a_end int, b_start int, b_end int"
     links = written(arrow_rows(both, verify, schema, "a", "b", "one", "two", rows=50), "passages")
 
-    # Overlapping passages of a node are one; equal ones are counted once before.
-    sides = [links.select(F.col(x).alias("node"), F.col(f"{x}_start").alias("start"), F.col(f"{x}_end").alias("end")) for x in "ab"]
-    whole_texts = (
-        sequences.join(repeated, "node", "left_semi").filter(F.col("n") - width + 1 >= shortest)
-        .select("node", F.lit(0).alias("start"), (F.col("n") - width + 1).alias("end"))
+    def labelled(links: DataFrame, sequences: DataFrame) -> DataFrame:
+        """(part, node, start, end, label) of all passages."""
+        # Overlapping passages of a node are one; equal ones are counted once before.
+        sides = [links.select(F.col(x).alias("node"), F.col(f"{x}_start").alias("start"), F.col(f"{x}_end").alias("end")) for x in "ab"]
+        whole_texts = (
+            sequences.join(repeated, "node", "left_semi").filter(F.col("n") - width + 1 >= shortest)
+            .select("node", F.lit(0).alias("start"), (F.col("n") - width + 1).alias("end"))
+        )
+        spans = sides[0].unionByName(sides[1]).unionByName(whole_texts).distinct()
+        order = Window.partitionBy("node").orderBy("start", F.desc("end"))
+        before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        runs = (
+            spans.withColumn("new", F.when(F.col("start") < before, 0).otherwise(1))
+            .withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        )
+        runs = written(runs.select("node", "start", "end", F.xxhash64("node", "run").alias("part")), "runs")
+        side = lambda x: runs.select(
+            F.col("node").alias(x), F.col("start").alias(f"{x}_start"), F.col("end").alias(f"{x}_end"), F.col("part").alias(f"{x}_part")
+        )
+        edges = (
+            links.join(side("a"), ["a", "a_start", "a_end"]).join(side("b"), ["b", "b_start", "b_end"])
+            .select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct()
+        )
+        labels = components(edges).withColumnRenamed("node", "part")
+        parts = runs.groupBy("node", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        return parts.join(labels, "part", "left").withColumn("label", F.coalesce("label", "part"))
+
+    parts = written(labelled(links, sequences), "parts")
+
+    # Groups of up to three nodes are stars of all their pairs.
+    large = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 3").select("key")
+    inside = (
+        shared.join(large, "key", "left_semi")
+        .join(parts.select(F.col("node").alias("n"), "start", "end", "label"), F.expr("node = n AND place >= start AND place < end"), "left")
+        .select("key", "node", "place", F.coalesce("label", F.xxhash64(F.lit("alone"), "node", "key")).alias("label"))
     )
-    spans = sides[0].unionByName(sides[1]).unionByName(whole_texts).distinct()
-    order = Window.partitionBy("node").orderBy("start", F.desc("end"))
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = (
-        spans.withColumn("new", F.when(F.col("start") < before, 0).otherwise(1))
-        .withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = written(inside, "inside")
+    open_ = (
+        inside.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .filter("low <> high").select("key", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks"))
     )
-    runs = written(runs.select("node", "start", "end", F.xxhash64("node", "run").alias("part")), "runs")
-    side = lambda x: runs.select(
-        F.col("node").alias(x), F.col("start").alias(f"{x}_start"), F.col("end").alias(f"{x}_end"), F.col("part").alias(f"{x}_part")
+    open_ = written(open_, "open")
+    members = written(inside.join(open_, "key"), "members")
+    lists = members.groupBy("node").agg(F.collect_list(F.struct("key", "label", "place")).alias("windows"))
+    unread = lists.select("node").join(copies, "node").select(F.col("node").alias("n"), F.col("least").alias("d"))
+    more = rows.join(unread, (F.col("doc") == F.col("d")) & (F.col("node") == F.col("n")), "left_semi")
+    more = arrow_rows(more, encode, "node long, n int, words binary", "node", "text").dropDuplicates(["node"])
+    carried = written(lists.join(more, "node").select("node", "words", "windows"), "carried")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    cells = (
+        members.select("key", "node", "blocks").withColumn("block", block).withColumn("other", F.explode(other))
+        .select("key", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    edges = (
-        links.join(side("a"), ["a", "a_start", "a_end"]).join(side("b"), ["b", "b_start", "b_end"])
-        .select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct()
+    agree = lambda one, two: intervals_agree(one, two, shortest, hashes, enough)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, ["key", "i", "j"]):
+            codes = [shingle_codes(np.frombuffer(w, np.uint32).astype(np.uint64), width) for w in group["words"]]
+            held = [{w["key"]: (w["label"], w["place"]) for w in ws} for ws in group["windows"]]
+            key, i, j = (int(group[c].iloc[0]) for c in ("key", "i", "j"))
+            got = compare_block(
+                key, group["node"].tolist(), group["block"].tolist(), codes, held, shortest, similarity, agree, i != j
+            )
+            yield pd.DataFrame(got, columns=["a", "b", "a_start", "a_end", "b_start", "b_end"])
+
+    rest = (
+        cells.join(carried, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(compare, schema)
     )
-    labels = components(edges).withColumnRenamed("node", "part")
-    parts = runs.groupBy("node", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    parts = parts.join(labels, "part", "left").withColumn("label", F.coalesce("label", "part"))
+    rest = written(rest, "passages")
+    if not rest.isEmpty():
+        parts = labelled(links.unionByName(rest), sequences)
     # Every copy of a text holds its passages.
     parts = parts.withColumn("tag", F.xxhash64("node"))
     whole = names.withColumn("tag", F.xxhash64("node")).join(parts, ["node", "tag"]).select("doc", "label", "start", "end").distinct()

@@ -5,7 +5,8 @@ import numpy as np
 from conftest import PASSAGE
 from pyspark.sql import functions as F
 
-from tagloom.llm.substrings import ENOUGH, HASHES, compact_windows, overlap, repeated_passages, without_repeats
+from tagloom.llm.shingles import shingle_codes, word_codes
+from tagloom.llm.substrings import ENOUGH, HASHES, compact_windows, overlap, passages, repeated_passages, without_repeats
 
 
 def tree(values, width, a, b):
@@ -70,3 +71,17 @@ def test_nodes_with_equal_low_bits_keep_their_passages(spark):
     twins = marks.agg(F.collect_list("id").alias("ids")).filter("size(ids) > 1").first().ids[:2]
     docs = spark.createDataFrame([(i, f"{PASSAGE} end{i}") for i in twins], "doc_id long, text string")
     assert {(g[0], g[4]) for g in spans(repeated_passages(docs))} == {(i, 2) for i in twins}
+
+
+def test_passages_of_shared_lines_equal_a_comparison_of_all_pairs(spark):
+    r = random.Random(5)
+    fill = lambda n: " ".join(f"f{r.randrange(10**9)}" for _ in range(n))
+    lines = [fill(20) for _ in range(3)]
+    made = " ".join(lines)
+    rows = [(i, f"{fill(60)} {r.choice(lines)} {fill(60)}") for i in range(240)]
+    rows += [(1000 + i, f"{fill(40 + i)} {made} {fill(30)}") for i in range(2)]
+    got = spans(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")))
+    codes = {i: shingle_codes(word_codes(t), 5) for i, t in rows}
+    linked = {(a, b) for a in codes for b in codes if a < b and passages(codes[a], codes[b], 46, 80)}
+    assert linked == {(1000, 1001)}
+    assert got == {(1000 + i, 40 + i, 100 + i, 1000, 2) for i in range(2)}
