@@ -166,27 +166,79 @@ def _distinct(codes: np.ndarray) -> np.ndarray:
     return codes[new]
 
 
-def _partners(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Per place of ``two`` a place of ``one`` with the same shingle, else -1; n-th occurrences go together."""
+def _occurrences(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of ``one`` by shingle, and per place of ``two`` where its shingle begins there and how often it occurs."""
     places = np.argsort(one, kind="stable")
     ordered = one[places]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(one) else places
-    unique, counts = ordered[first], np.diff(np.append(first, len(one)))
-    at = np.searchsorted(unique, two)
-    at[at == len(unique)] = 0
-    order = np.argsort(two, kind="stable")
-    ranked = two[order]
-    rank = np.zeros(len(two), np.int64)
-    rank[order] = np.arange(len(two)) - np.searchsorted(ranked, ranked)
-    found = places[first[at] + np.minimum(rank, counts[at] - 1)]
-    return np.where(unique[at] == two, found, -1)
+    low = np.searchsorted(ordered, two)
+    return places, low, np.searchsorted(ordered, two, side="right") - low
+
+
+def _extent(one: np.ndarray, two: np.ndarray, i: int, j: int) -> int:
+    """How many shingles are equal from i in ``one`` and j in ``two`` on."""
+    done, step = 0, 32
+    while True:
+        n = min(step, len(one) - i - done, len(two) - j - done)
+        if n <= 0:
+            return done
+        differ = np.flatnonzero(one[i + done : i + done + n] != two[j + done : j + done + n])
+        if len(differ):
+            return done + int(differ[0])
+        done, step = done + n, step * 2
+
+
+def _alignments(one: np.ndarray, two: np.ndarray, shortest: int) -> list[np.ndarray]:
+    """Per place of ``two`` a place of ``one`` with the same shingle, else -1, in up to two ways.
+
+    A shingle that ``one`` holds more than once continues the shift of its neighbour where it can: of the one
+    before it in the first way, of the one after it in the second.  Where no shift goes on, the longest copy does.
+    """
+    places, low, counts = _occurrences(one, two)
+    partners = np.where(counts > 0, places[np.minimum(low, len(one) - 1)], -1)
+    matched = np.flatnonzero(counts > 0)
+    if len(matched) < 2 or matched[-1] - matched[0] + 1 < shortest:
+        return [partners]
+    cuts = np.flatnonzero(np.diff(matched) > _GAP)
+    first, last = np.append(0, cuts + 1), np.append(cuts, len(matched) - 1)
+    several = counts[matched] > 1
+    ways = [partners, partners]
+    for way in range(2):
+        partners = ways[way] = ways[0].copy()
+        for start, end in zip(first.tolist(), last.tolist()):
+            if matched[end] - matched[start] + 1 < shortest:
+                continue
+            for k in (np.flatnonzero(several[start : end + 1]) + start).tolist()[:: -1 if way else 1]:
+                j = int(matched[k])
+                options = places[low[j] : low[j] + counts[j]]
+                near = k + 1 if way else k - 1
+                if start <= near <= end:
+                    away = np.abs(options - j - (partners[matched[near]] - matched[near]))
+                    best = int(away.argmin())
+                    if away[best] <= _GAP:
+                        partners[j] = options[best]
+                        continue
+                if not way:
+                    partners[j] = max(options.tolist(), key=lambda i: _extent(one, two, i, j))
+    return ways[:1] if np.array_equal(*ways) else ways
 
 
 def passages(one: np.ndarray, two: np.ndarray, shortest: int, similarity: int) -> list[tuple[int, int, int, int]]:
     """Similar passages of two sequences: (start, end) in each, ends exclusive, in shingles."""
     if min(len(one), len(two)) < shortest:
         return []
-    partners = _partners(one, two)
+    found: list[tuple[int, int, int, int]] = []
+    for partners in _alignments(one, two, shortest):
+        found += _aligned(one, two, partners, shortest, similarity)
+    # What one way finds may be a part of what the other finds.
+    within = lambda p, q: q[0] <= p[0] and p[1] <= q[1] and q[2] <= p[2] and p[3] <= q[3]
+    found = list(dict.fromkeys(found))
+    return [p for p in found if not any(p != q and within(p, q) for q in found)]
+
+
+def _aligned(
+    one: np.ndarray, two: np.ndarray, partners: np.ndarray, shortest: int, similarity: int
+) -> list[tuple[int, int, int, int]]:
+    """Similar passages of one alignment."""
     found: list[tuple[int, int, int, int]] = []
 
     def pieces(run: np.ndarray, cuts: list[int]) -> list[np.ndarray]:

@@ -85,3 +85,22 @@ def test_passages_of_shared_lines_equal_a_comparison_of_all_pairs(spark):
     linked = {(a, b) for a in codes for b in codes if a < b and passages(codes[a], codes[b], 46, 80)}
     assert linked == {(1000, 1001)}
     assert got == {(1000 + i, 40 + i, 100 + i, 1000, 2) for i in range(2)}
+
+
+def test_edge_lines_that_occur_earlier_stay_in_the_passage():
+    r = random.Random(7)
+    fill = lambda n: [f"f{r.randrange(10**9)}" for _ in range(n)]
+    codes = lambda words: shingle_codes(word_codes(" ".join(words)), 5)
+    line, last, rest = fill(20), fill(20), fill(40)
+    for passage in (line + rest, rest + last, line + rest + last, line + last + fill(20)):
+        n = len(passage) - 4
+        one = codes(fill(7) + line + fill(9) + last + fill(30) + passage + fill(5))
+        two = codes(fill(11) + passage + fill(8))
+        at = 7 + 20 + 9 + 20 + 30
+        assert passages(one, two, 46, 80) == [(at, at + n, 11, 11 + n)]
+        assert passages(two, one, 46, 80) == [(11, 11 + n, at, at + n)]
+    # Neighbours that share their edge line keep it both.
+    left, right = fill(50), fill(50)
+    one = codes(left + line + fill(60) + line + right)
+    two = codes(fill(3) + left + line + right)
+    assert {(0, 66, 3, 69), (130, 196, 53, 119)} <= set(passages(one, two, 46, 80))
