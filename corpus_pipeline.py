@@ -1,15 +1,17 @@
 """A corpus from raw documents to token ids, one operator per stage.
 
 Every stage works on all rows that the stage before kept, and all but the last
-return the columns of ``documents``.  Filters remove the ids that an operator
-decided against, by an anti-join whose small side Spark may broadcast under its
-own size limit; rows without an id stay, and an id that several rows carry stays
-if any of them does.
+return the columns of ``documents``.  Inside a stage every row has a unique key,
+its file and place in it, which operators get as id: a decision holds for its row,
+also if the row's doc_id is null or carried by others, and of a group one row stays,
+by doc_id and then by the key.  Filters remove the keys that an operator decided
+against, by an anti-join whose small side Spark may broadcast under its own size limit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.bpe import bpe_round_trip
@@ -20,11 +22,31 @@ from tagloom.llm.mixing import mix
 from tagloom.llm.near_dedup import near_duplicates
 
 
-def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of ``docs`` but for ids of which ``decisions(doc_id, kept)`` keeps no row."""
-    gone = decisions.groupBy("doc_id").agg(F.max("kept").alias("any")).filter(~F.col("any"))
-    gone = gone.select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique key per row, ``row_``: the number of its file and its place there.  Other inputs are written first."""
+    at = ["_metadata.file_path", "_metadata.row_index"]
+    try:
+        placed = docs.select("*", F.col(at[0]).alias("path_"), F.col(at[1]).alias("index_"))
+        placed.schema
+    except AnalysisException:
+        docs = written(docs, "rows")
+        placed = docs.select("*", F.col(at[0]).alias("path_"), F.col(at[1]).alias("index_"))
+    files = placed.select(F.col("path_").alias("file_")).distinct()
+    files = written(files.withColumn("number_", F.row_number().over(Window.orderBy("file_"))), "files")
+    placed = placed.join(F.broadcast(files), F.col("path_") == F.col("file_"))
+    key = F.shiftleft(F.col("number_").cast("long"), 40) + F.col("index_")
+    return placed.withColumn("row_", key).select(*[docs[c] for c in docs.columns], "row_")
+
+
+def _without(docs: DataFrame, rows: DataFrame, groups: DataFrame, *order: Column) -> DataFrame:
+    """Of each group of ``groups(row, group)`` the first of ``rows`` by ``order``, doc_id and key; rows without a group stay."""
+    ranked = rows.select(F.col("row_").alias("row"), F.struct(*order, F.col("doc_id").isNull(), "doc_id", "row_").alias("rank"))
+    named = written(groups.join(ranked, "row"), "groups")
+    first = named.groupBy("group").agg(F.min("rank").alias("first"))
+    # The tag makes the planner exchange both sides, so that AQE can split a hot group.
+    tag = F.xxhash64("group")
+    gone = named.withColumn("tag", tag).join(first.withColumn("tag", tag), ["group", "tag"]).filter("row <> first.row_")
+    return rows.join(gone.select("row"), F.col("row_") == F.col("row"), "left_anti").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,23 +56,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of equal texts: the longest, then the smallest id."""
-    return _without(docs, written(exact_dedup(docs).select("doc_id", "kept"), "exact"))
+    rows = _keyed(docs)
+    groups = exact_dedup(rows, "row_").filter("group_size > 1").select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group"))
+    return _without(docs, rows, groups, -F.coalesce(F.length("text"), F.lit(0)))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    return _without(docs, written(near_duplicates(docs).select("doc_id", "kept"), "near"))
+    rows = _keyed(docs)
+    groups = near_duplicates(rows, "row_").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    return _without(docs, rows, groups)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it: none, once or twice.
-
-    Rows that repeat an id share the largest number; a row without an id is taken once.
-    """
-    copies = mix(docs).groupBy(F.col("doc_id").alias("id_")).agg(F.max("copies").alias("copies_"))
-    joined = docs.join(copies, docs["doc_id"] == copies["id_"], "left")
-    times = F.coalesce("copies_", F.lit(1)).cast("int")
-    return joined.withColumn("copy_", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    """Each document as many times as the mix takes it: none, once or twice."""
+    rows = _keyed(docs)
+    # The order of rows is that of their ids and texts, whatever file they lie in.
+    mixed = mix(rows.withColumn("order_", F.xxhash64("doc_id", "text")), "row_", order_col="order_")
+    copies = mixed.select(F.col("doc_id").alias("id_"), F.col("copies").alias("copies_"))
+    joined = rows.join(copies, F.col("row_") == F.col("id_"))
+    return joined.withColumn("copy_", F.explode(F.array_repeat(F.lit(1), F.col("copies_").cast("int")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:

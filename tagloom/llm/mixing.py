@@ -31,10 +31,13 @@ MOST = 2
 _PIECE = 4096
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    rows = narrow(docs, doc_id=id_col, text=text_col, source=source_col)
+def sizes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", order_col: str | None = None
+) -> DataFrame:
+    rows = narrow(docs, doc_id=id_col, text=text_col, source=source_col, **({"hash": order_col} if order_col else {}))
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return rows.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"))
+    hash_ = F.col("hash") if order_col else F.xxhash64("doc_id")
+    return rows.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), hash_.alias("hash"))
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -142,14 +145,15 @@ def _round_cells(batches):
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights=WEIGHTS, share: float = SHARE, most: int = MOST, rounds: int = 40, tolerance: float = 1e-9,
+    order_col: str | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
     Rows of a hot source are counted by size before any exchange.  Copies of one
-    (source, size) go to documents by the hash of their id; ranks are taken in
+    (source, size) go to documents by the hash of their id or by a given column; ranks are taken in
     pieces of bounded size, each with its own quota.
     """
-    rows = written(sizes(docs, id_col, text_col, source_col), "sizes")
+    rows = written(sizes(docs, id_col, text_col, source_col, order_col), "sizes")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     rows = rows.withColumn("key", key)
     cells = written(rows.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
@@ -179,7 +183,6 @@ def mix(
     )
     spread = (
         rows.join(quota, ["key", "size"])
-        .withColumn("hash", F.xxhash64("doc_id"))
         .withColumn("piece", F.pmod(F.shiftrightunsigned("hash", 3), F.col("pieces")))
     )
     # Pieces of a cell share its copies by running totals of their rows.

@@ -20,3 +20,17 @@ def test_decisions_take_effect(spark, documents, sf_dir):
     exact = corpus_pipeline.exact(spark, documents, sf_dir)
     squeezed = exact.select(F.regexp_replace("text", r"[\x20\x09-\x0D]", "").alias("t"))
     assert squeezed.distinct().count() == squeezed.count()
+
+
+def test_decisions_hold_for_rows_without_an_own_id(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, f"{text} a"), (None, f"{text} a"), (4, f"{text} a"), (4, f"{text} a"), (4, "another text"), (9, f"{text} b")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    left = written(corpus_pipeline.exact(spark, docs, ""), "test")
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(4, "another text"), (4, f"{text} a"), (9, f"{text} b")]
+    left = corpus_pipeline.near(spark, left, "")
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(4, "another text"), (4, f"{text} a")]
+    none = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", "source")
+    assert corpus_pipeline.exact(spark, none, "").count() == 3
+    empty = spark.createDataFrame([(None, "", "x"), (None, "one two", "x")], docs.schema)
+    assert corpus_pipeline.mixture(spark, empty, "").filter("text = ''").count() == 0
