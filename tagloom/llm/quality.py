@@ -152,7 +152,11 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     sample_rows: int = 6000, bits: int = BITS,
 ) -> Model:
-    """Fit on the bounded sample: its ids are broadcast, so texts are not shuffled; features come from the tasks."""
+    """Fit on at most ``sample_rows`` rows: the sampled ids are broadcast, features come from the tasks.
+
+    Of rows that share an id one counts, that of the smallest text hash; they are reduced before the exchange,
+    so only texts of the sample are shuffled.
+    """
     marks = narrow(labels, key=id_col, label=label_col).filter(F.col("label").isin(0, 1) & (fold(F.col("key")) != 1))
     marks = marks.filter(F.col("key").isNotNull()).groupBy("key").agg(F.max("label").cast("int").alias("label"))
     sample = F.broadcast(marks.orderBy(F.xxhash64("key"), "key").limit(sample_rows))
@@ -161,6 +165,7 @@ def train(
     def make(keys: list, marks_: list, texts: list) -> list[list]:
         return [keys, marks_, [features(t, bits).tobytes() for t in texts]]
 
+    rows = rows.groupBy("key").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = rows.withColumn("key", F.col("key").cast("long"))
     found = arrow_rows(rows, make, "key long, label int, places binary", "key", "label", "text").collect()
     found.sort(key=lambda r: (r.key, r.places))

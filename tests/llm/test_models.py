@@ -84,3 +84,13 @@ def test_quality_odd_rows(odd, none):
     assert quality.quality(none, quality.train(none, none)).collect() == []
     both = odd.withColumn("quality", F.when(F.col("doc_id") < 4, 0).otherwise(1))
     assert all(0 <= r.score <= 1 for r in quality.quality(odd, quality.train(both, both)).collect())
+
+
+def test_rows_of_one_id_count_once_in_the_fit(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels, bits: fitted.append(len(rows)))
+    ids = [i for i in range(40) if spark.range(1).select(fold(F.lit(i).cast("long"))).first()[0] != 1][:5]
+    docs = spark.createDataFrame([(i, f"text {i} {n}") for i in ids for n in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    quality.train(docs, labels)
+    assert fitted == [5]
