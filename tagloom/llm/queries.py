@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import spans
-from tagloom.llm.common import fold
+from tagloom.llm.common import WORD, fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,5 +99,36 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """Texts of the ids that the contract names, with a periodic tail; all other rows as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    chosen = docs.filter(h % 10 == 0).select("doc_id", "text", words.alias("words"), F.floor(h / 10).alias("g"))
+    n, g = F.greatest(F.size("words"), F.lit(1)), F.col("g")
+    shaped = chosen.withColumn("a", (g % n).cast("int")).withColumn("rest", n - F.col("a"))
+    shaped = shaped.withColumn("p", (1 + F.floor(F.col("rest") / (3 + g % 8))).cast("int"))
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    times = F.ceil(F.col("rest") / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(period, times)), F.lit(1), F.col("rest"))
+    new = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    changed = shaped.select("doc_id", F.when(F.size("words") > 0, new).otherwise(F.col("text")).alias("text"))
+    return docs.filter((h % 10 != 0) | h.isNull()).select("doc_id", "text").unionByName(changed)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.llm.periodic import periodic_runs
+
+    found = periodic_runs(_planted(_table(spark, sf_dir, "documents")))
+    rank = F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.select("*", F.array_max(rank).alias("best"), F.array_join(lines, "").alias("lines"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"),
+        F.col("best.n").alias("length"), (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.n div -best.p").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
