@@ -55,6 +55,49 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM c LEFT JOIN n USING (doc_id)
 """
 
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10
+), cells AS (
+  SELECT t.lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY ALL
+), totals AS (
+  SELECT g.lang, g.source, coalesce(sum(c), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL
+), p AS (
+  SELECT k.lang, t.source, k.term, coalesce(c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(c, 0) + 2)) // (t.n + 2 * v) AS p,
+    1 + (1000000000::HUGEINT * (k.n + 2)) // (s.n + 2 * v) AS q
+  FROM kept k JOIN totals t USING (lang) JOIN sizes s USING (lang)
+  LEFT JOIN cells x ON x.lang = k.lang AND x.source = t.source AND x.term = k.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM totals a JOIN totals b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), apart AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value,
+    row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+  UNION ALL
+  SELECT * FROM (
+    SELECT lang, source, 'term', item, value,
+      row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM apart
+  ) WHERE rank <= 10
+)
+SELECT * FROM ranked
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_near_dedup": NEAR, "op1_exact_topk": TOP_K, "op10_exact_dedup": EXACT}
+    return {"op6_near_dedup": NEAR, "op1_exact_topk": TOP_K, "op10_exact_dedup": EXACT, "op12_source_divergence": DIVERGENCE}
