@@ -42,7 +42,7 @@ from tagloom.operators.joins import lookup
 SCALE = 1_000_000_000
 LEAST_DOCS = 10
 TOP_TERMS = 10
-BLOCK_CELLS = 1 << 20
+BLOCK_CELLS = 1 << 17
 # Bytes of terms: letters, lowered, and all bytes of other characters; the rest separates.
 _LETTERS = bytes(
     b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
