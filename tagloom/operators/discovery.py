@@ -1,9 +1,11 @@
 """URL discovery: site, sitemap and robots tables to an ordered frontier.
 
 Order is data here: every step carries a sortable position, nothing relies on
-row order.  Sitemap documents are parsed once into a table; walking an index
-touches only its narrow edge list, and url arrays are exploded at the end for
-the documents that survived.
+row order.  Sitemap documents are parsed once into a table.  How many urls an index
+brings is computed once per document, from its children up, whoever lists it; then
+each site's first candidate with urls is walked down once, a document at the first
+place that lists it.  Both directions join narrow edges, a round per nesting level,
+and url arrays are exploded at the end for the documents that survived.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import sys
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tagloom.config import DEFAULTS, Options
@@ -26,6 +28,7 @@ from tagloom.functions.urls import (
     strip_trailing_slashes,
     url_host,
 )
+from tagloom.operators.joins import lookup
 from tagloom.session import materialize
 
 # Where a sitemap is looked for, in this order.
@@ -105,85 +108,126 @@ def sitemap_candidates(sites: DataFrame, site_docs: DataFrame) -> DataFrame:
     )
 
 
+# Sizes beyond any cap are alike; without a cap they would outgrow 64 bits in deep lattices.
+_MOST = 1 << 40
+
+
+def _node(doc: str, root: Column | None = None) -> Column:
+    """A place in the walk: a document, or a document as seen from ``root`` if it leads into a circle."""
+    return F.struct((F.lit("") if root is None else root).alias("root"), F.col(doc).alias("doc"))
+
+
 def index_edges(parsed: DataFrame, cap: int) -> DataFrame:
-    """``(doc_url, pos, child, child_is_index, child_n)``: an index and its children that exist.
+    """``(node, pos, child, n, child_round)``: an index and its children that exist.
 
-    What follows ``cap`` urls of earlier url lists is never reached, whatever
-    nested indexes between them bring, and is left out here.
+    ``n`` is the number of urls a child brings, null while unknown.  What follows
+    ``cap`` urls of earlier url lists is never reached, whatever nested indexes
+    between them bring, and is left out here.
     """
     children = parsed.select(
-        F.col("doc_url").alias("child"),
-        F.col("is_index").alias("child_is_index"),
-        F.when(~F.col("is_index"), F.size("urls").cast("bigint")).alias("child_n"),
+        F.col("doc_url").alias("_child"),
+        F.when(~F.col("is_index"), F.size("urls").cast("bigint")).alias("n"),
     )
-    listed = parsed.filter("is_index").select("doc_url", F.posexplode("children").alias("pos", "child"))
+    listed = parsed.filter("is_index").select("doc_url", F.posexplode("children").alias("pos", "_child"))
     earlier = Window.partitionBy("doc_url").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    found = listed.join(children, "child").withColumn("_before", F.sum("child_n").over(earlier))
-    return found.filter(F.coalesce("_before", F.lit(0)) < cap).drop("_before")
+    found = lookup(listed, children, "_child", "inner").withColumn("_before", F.sum("n").over(earlier))
+    found = found.filter(F.coalesce("_before", F.lit(0)) < cap)
+    # An index of nothing that exists brings nothing.
+    inner = found.select(F.col("doc_url").alias("_child")).distinct().withColumn("_inner", F.lit(True))
+    known = lookup(found.drop("_before"), inner, "_child", "left")
+    n = F.when(F.col("n").isNull() & F.col("_inner").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n"))
+    return known.select(
+        _node("doc_url").alias("node"), "pos", _node("_child").alias("child"), n.alias("n"), F.lit(0).alias("child_round")
+    )
 
 
-def walk_indexes(roots: DataFrame, edges: DataFrame) -> list[DataFrame]:
-    """Levels of ``(site, rank, path, doc_url, is_index, n)`` below ``roots``, until no index is left.
+def resolve_sizes(edges: DataFrame, cap: int, first_round: int = 1) -> tuple[list[DataFrame], DataFrame | None]:
+    """Sizes of indexes, each computed once from its children's: one table per round, and the edges left over.
 
-    A path never returns to a document it came through, so cycles end by
-    themselves and any depth is followed.  The path of positions keeps the order.
+    Round by round the nodes are resolved whose children are known, as far as the
+    cap lets them be reached; a node with a ``total`` keeps its edges in that
+    round's table.  Edges that no round resolves lead into circles.
     """
-    level = roots.select(
-        "site", "rank", F.array().cast("array<int>").alias("path"), F.array("doc_url").alias("trail"),
-        "doc_url", "is_index", "n",
-    )
-    levels = [materialize(level, "sitemap-level")]
-    while not levels[-1].filter("is_index").isEmpty():
-        below = levels[-1].filter("is_index").drop("is_index", "n").join(edges, "doc_url")
-        below = below.filter(~F.array_contains("trail", F.col("child"))).select(
-            "site",
-            "rank",
-            F.concat("path", F.array("pos")).alias("path"),
-            F.concat("trail", F.array("child")).alias("trail"),
-            F.col("child").alias("doc_url"),
-            F.col("child_is_index").alias("is_index"),
-            F.col("child_n").alias("n"),
+    by_pos = Window.partitionBy("node").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("node")
+    reached = F.col("before") < cap
+    rounds, left = [], edges
+    while True:
+        number = first_round + len(rounds)
+        seen = Observation()
+        sized = (
+            left.withColumn("before", F.coalesce(F.sum("n").over(by_pos), F.lit(0)))
+            .withColumn("_unknown", F.max(reached & F.col("n").isNull()).over(whole))
+            .withColumn("total", F.when(~F.col("_unknown"), F.least(F.sum(F.when(reached, F.col("n"))).over(whole), F.lit(_MOST))))
+            .drop("_unknown")
+            .observe(seen, F.count("total").alias("resolved"), F.count(F.lit(1)).alias("rows"))
+        )
+        table = materialize(sized, "sitemap-sizes")
+        counted = seen.get
+        if not counted["resolved"]:
+            return rounds, table if counted["rows"] else None
+        rounds.append(table.filter("total IS NOT NULL").withColumn("round", F.lit(number)))
+        if counted["resolved"] == counted["rows"]:
+            return rounds, None
+        totals = rounds[-1].groupBy(F.col("node").alias("child")).agg(F.max("total").alias("_n"))
+        rest = table.filter("total IS NULL").drop("before", "total")
+        left = lookup(rest, totals, "child", "left").select(
+            "node", "pos", "child", F.coalesce("n", "_n").alias("n"),
+            F.when(F.col("_n").isNotNull(), F.lit(number)).otherwise(F.col("child_round")).alias("child_round"),
         )
-        levels.append(materialize(below, "sitemap-level"))
-    return levels
-
-
-def _above() -> Column:
-    return F.slice("path", F.lit(1), F.size("path") - 1)
 
 
-def followed(levels: list[DataFrame], cap: int) -> tuple[DataFrame, DataFrame]:
-    """Roots that bring urls, and the url documents below the first of each site.
+def open_circles(stuck: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges without circles below each of ``roots(doc)``, documents that lead into one.
 
-    Sizes grow from the deepest level up: a child counts as long as its earlier
-    siblings bring fewer than ``cap`` urls.
+    Seen from a root, a document that leads into a circle is followed only from
+    documents nearer to the root.  Nothing that can be reached is lost, as shortest
+    paths remain, and every circle is open.
     """
-    node = ["site", "rank", "path"]
-
-    def sized(level: DataFrame, totals: DataFrame | None) -> DataFrame:
-        if totals is None:
-            return level.withColumn("n", F.coalesce("n", F.lit(0)))
-        return level.join(totals, node, "left").withColumn("n", F.coalesce("n", "total", F.lit(0))).drop("total")
-
-    totals, kept = None, []
-    for level in reversed(levels[1:]):
-        children = sized(level, totals).withColumn("_above", _above())
-        siblings = Window.partitionBy("site", "rank", "_above").orderBy(F.element_at("path", -1))
-        before = F.coalesce(F.sum("n").over(siblings.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        children = children.withColumn("_before", before).filter((F.col("_before") < cap) & (F.col("n") > 0))
-        # Read for the sizes above and for the walk back down.
-        kept.append(materialize(children.drop("_before"), "sitemap-kept"))
-        totals = kept[-1].groupBy("site", "rank", F.col("_above").alias("path")).agg(F.sum("n").alias("total"))
-    tops = sized(levels[0], totals).filter("n > 0")
-    first = tops.groupBy("site").agg(F.min("rank").alias("rank"))
-    alive = materialize(tops.join(first, ["site", "rank"]).select(*node, "doc_url", "is_index"), "sitemap-roots")
-    found = [alive.filter(~F.col("is_index"))]
-    above = alive
-    for level in reversed(kept):
-        parents = above.select("site", "rank", F.col("path").alias("_above"))
-        above = level.join(parents, ["site", "rank", "_above"], "left_semi").select(*node, "doc_url", "is_index")
-        found.append(above.filter(~F.col("is_index")))
-    return alive, reduce(DataFrame.unionByName, found).select("site", "path", "doc_url")
+    inner = stuck.select(F.col("node.doc").alias("doc")).distinct()
+    among = stuck.select(F.col("node.doc").alias("doc"), F.col("child.doc").alias("_to"))
+    among = materialize(among.join(inner.select(F.col("doc").alias("_to")), "_to", "left_semi"), "sitemap-circles")
+    front = roots.join(inner, "doc", "left_semi").select(F.col("doc").alias("root"), "doc").distinct()
+    levels = [materialize(front.withColumn("level", F.lit(0)), "sitemap-levels")]
+    while True:
+        beyond = levels[-1].select("root", "doc").join(among, "doc").select("root", F.col("_to").alias("doc")).distinct()
+        for level in levels:
+            beyond = beyond.join(level.select("root", "doc"), ["root", "doc"], "left_anti")
+        seen = Observation()
+        beyond = beyond.withColumn("level", F.lit(len(levels))).observe(seen, F.count(F.lit(1)).alias("rows"))
+        beyond = materialize(beyond, "sitemap-levels")
+        if not seen.get["rows"]:
+            break
+        # One table of all levels after some rounds: the plan stays short.
+        levels = [*levels, beyond] if len(levels) % 8 else [materialize(reduce(DataFrame.unionByName, levels), "sitemap-levels"), beyond]
+    reached = reduce(DataFrame.unionByName, levels)
+    edges = stuck.select(F.col("node.doc").alias("doc"), "pos", F.col("child.doc").alias("_to"), "n", "child_round")
+    own = reached.join(edges, "doc")
+    targets = reached.select("root", F.col("doc").alias("_to"), F.col("level").alias("_level"))
+    met = own.join(targets, ["root", "_to"], "left").filter(F.col("_level").isNull() | (F.col("_level") > F.col("level")))
+    child = F.when(F.col("_level").isNotNull(), _node("_to", F.col("root"))).otherwise(_node("_to"))
+    return met.select(_node("doc", F.col("root")).alias("node"), "pos", child.alias("child"), "n", "child_round")
+
+
+def first_visits(tops: DataFrame, rounds: list[DataFrame], cap: int) -> DataFrame:
+    """``(site, path, doc_url)``: the url documents below ``tops(site, node, round)``, each at its first place.
+
+    Every document lists only documents of earlier rounds, so going through the
+    rounds backwards meets a document after all that list it: its smallest path
+    is known and it is passed on once.
+    """
+    start = tops.select("site", F.array().cast("array<int>").alias("path"), "node", "round")
+    reached = [materialize(start, "sitemap-visits")]
+    for number in range(len(rounds), 0, -1):
+        edges = rounds[number - 1].filter((F.col("before") < cap) & (F.col("n") > 0)).select("node", "pos", "child", "child_round")
+        now = reduce(DataFrame.unionByName, reached).filter(F.col("round") == number)
+        now = now.groupBy("site", "node").agg(F.min("path").alias("path"))
+        below = now.join(edges, "node").select(
+            "site", F.concat("path", F.array("pos")).alias("path"), F.col("child").alias("node"), F.col("child_round").alias("round")
+        )
+        reached.append(materialize(below, "sitemap-visits"))
+    lists = reduce(DataFrame.unionByName, reached).filter("round = 0")
+    return lists.groupBy("site", F.col("node.doc").alias("doc_url")).agg(F.min("path").alias("path"))
 
 
 def _sitemap_plan(
@@ -201,8 +245,24 @@ def _sitemap_plan(
     )
     # A robots file may name one address twice; the first place counts.
     candidates = sitemap_candidates(sites, site_docs).groupBy("site", "doc_url").agg(F.min("rank").alias("rank"))
-    edges = materialize(index_edges(parsed, cap), "sitemap-edges")
-    roots, documents = followed(walk_indexes(candidates.join(heads, "doc_url"), edges), cap)
+    candidates = materialize(candidates.join(heads, "doc_url"), "sitemap-candidates")
+    rounds, stuck = resolve_sizes(index_edges(parsed, cap), cap)
+    if stuck is not None:
+        opened = open_circles(stuck, candidates.filter("is_index").select(F.col("doc_url").alias("doc")))
+        more, _ = resolve_sizes(opened, cap, len(rounds) + 1)
+        rounds = rounds + more
+    # Sizes belong to documents, so the first candidate that brings urls is found without a walk.
+    tops = candidates.filter("NOT is_index").select("site", "rank", _node("doc_url").alias("node"), "n", F.lit(0).alias("round"))
+    if rounds:
+        sizes = reduce(DataFrame.unionByName, [r.select("node", "round", "total") for r in rounds])
+        sizes = sizes.groupBy("node").agg(F.max(F.struct("round", "total")).alias("_s"))
+        sizes = sizes.filter((F.col("node.root") == "") | (F.col("node.root") == F.col("node.doc")))
+        sizes = sizes.select(F.col("node.doc").alias("doc_url"), "node", F.col("_s.total").alias("_n"), F.col("_s.round").alias("round"))
+        indexes = lookup(candidates.filter("is_index").drop("n"), sizes, "doc_url", "inner")
+        tops = tops.unionByName(indexes.select("site", "rank", "node", F.col("_n").alias("n"), "round"))
+    first = tops.filter("n > 0").groupBy("site").agg(F.min(F.struct("rank", "node", "round")).alias("_t"))
+    roots = materialize(first.select("site", "_t.node", "_t.round"), "sitemap-roots")
+    documents = first_visits(roots, rounds, cap)
     urls = documents.join(parsed.select("doc_url", "urls"), "doc_url").select(
         "site", "path", F.posexplode("urls").alias("_i", "url")
     )
@@ -214,7 +274,8 @@ def sitemap_urls(
 ) -> DataFrame:
     """``(site, order, url)`` of the first sitemap of each site that has urls.
 
-    ``sites`` is the output of ``normalize_sites``.
+    A document that is listed again counts towards the cap again, but its urls
+    appear at its first place only.  ``sites`` is the output of ``normalize_sites``.
     """
     return _sitemap_plan(sites, site_docs, options)[1]
 

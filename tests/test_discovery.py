@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from dataclasses import replace
 
@@ -131,3 +133,71 @@ def test_page_links_keep_order(spark):
     assert [r.url for r in page_links(df).orderBy("pos").collect()] == [
         "https://a.com", "https://a.com/2", "https://a.com/1",
     ]
+
+
+def plain_walk(docs, root, cap):
+    """Recursive reading of an index, children in order until the cap; no document lists itself over others."""
+    kind, items = docs.get(root, ("list", []))
+    if kind == "list":
+        return list(items)
+    urls = []
+    for child in items:
+        urls += plain_walk(docs, child, cap)
+        if len(urls) >= cap:
+            break
+    return urls
+
+
+def test_shared_indexes_equal_a_recursive_walk(spark):
+    """Indexes that share children, at random; a document that is listed again counts again."""
+    rng, bodies, want, sites = random.Random(8), [], {}, []
+    for s in range(60):
+        host, docs = f"https://s{s}.com", {}
+        names = [f"{host}/d{i}.xml" for i in range(rng.randint(1, 14))]
+        for i, name in enumerate(names):
+            later = names[i + 1 :] + [f"{host}/gone.xml"]
+            if rng.random() < 0.6:
+                docs[name] = ("index", [rng.choice(later) for _ in range(rng.randint(1, 5))])
+            else:
+                docs[name] = ("list", [f"{host}/p{rng.randrange(30)}" for _ in range(rng.randint(0, 5))])
+        docs[f"{host}/sitemap.xml"] = ("index", rng.sample(names, min(3, len(names))))
+        bodies += [(u, 200, index(*x) if k == "index" else urlset(*x)) for u, (k, x) in docs.items()]
+        urls = list(dict.fromkeys(plain_walk(docs, f"{host}/sitemap.xml", 7)))[:7]
+        # Without any sitemap url the start page itself is the frontier; it is not in the table here.
+        want |= {(f"{host}/", i): u for i, u in enumerate(urls)}
+        sites.append((f"{host}/",))
+    site_docs = spark.createDataFrame(bodies, "doc_url string, http_status int, body string")
+    out = discover_urls(spark.createDataFrame(sites, "site string"), site_docs, replace(DEFAULTS, max_urls_per_site=7))
+    assert {(r.site, r.pos): r.url for r in out.collect()} == want
+
+
+def test_a_clique_of_indexes_and_a_lattice_end(spark):
+    names = [f"https://a.com/i{k}.xml" for k in range(30)]
+    clique = {n: index(*names, n.replace("/i", "/u")) for n in names}
+    clique |= {n.replace("/i", "/u"): urlset(f"https://a.com/p{k}") for k, n in enumerate(names)}
+    clique |= {"https://a.com/sitemap.xml": index(*names)}
+    assert sorted(found(spark, "https://a.com", clique)) == sorted(f"https://a.com/p{k}" for k in range(30))
+    two = ["l", "r"]
+    lattice = {
+        f"https://b.com/{s}{k}.xml": index(*[f"https://b.com/{t}{k + 1}.xml" for t in two]) for k in range(10) for s in two
+    }
+    lattice |= {f"https://b.com/{s}10.xml": urlset(f"https://b.com/{s}") for s in two}
+    lattice |= {"https://b.com/sitemap.xml": index("https://b.com/l0.xml", "https://b.com/r0.xml")}
+    assert found(spark, "https://b.com", lattice, max_urls_per_site=None) == ["https://b.com/l", "https://b.com/r"]
+    # 2^10 repeated documents exceed the cap before the second half of the lattice; both urls stand in the first.
+    assert found(spark, "https://b.com", lattice) == ["https://b.com/l", "https://b.com/r"]
+
+
+def test_circles_lose_no_document_and_stop_where_the_cap_is_reached(spark):
+    ring = {f"https://a.com/i{k}.xml": index(f"https://a.com/i{(k + 1) % 6}.xml", f"https://a.com/u{k}.xml") for k in range(6)}
+    ring |= {f"https://a.com/u{k}.xml": urlset(f"https://a.com/p{k}") for k in range(6)}
+    ring |= {"https://a.com/sitemap_index.xml": index("https://a.com/i2.xml")}
+    assert found(spark, "https://a.com", ring) == [f"https://a.com/p{k}" for k in (1, 0, 5, 4, 3, 2)]
+    # The cap is reached before the entry that closes the circle: no circle at all.
+    early = {
+        "https://a.com/sitemap.xml": index("https://a.com/u.xml", "https://a.com/sitemap.xml", "https://a.com/v.xml"),
+        "https://a.com/u.xml": urlset(*[f"https://a.com/p{i}" for i in range(5)]),
+        "https://a.com/v.xml": urlset("https://a.com/v"),
+    }
+    assert found(spark, "https://a.com", early, max_urls_per_site=5) == [f"https://a.com/p{i}" for i in range(5)]
+    assert found(spark, "https://a.com", early, max_urls_per_site=6)[-1] == "https://a.com/v"
