@@ -13,7 +13,7 @@ partitions before hold, so a second with a third of all requests is spread too.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -96,21 +96,17 @@ def window_chain(
     return ordered.mapInPandas(_chain(window_seconds), _CHAIN_SCHEMA)
 
 
-def rate_limit(
+def place_requests(
     requests: DataFrame,
-    key: Column | str = "key",
-    ts: Column | str = "ts",
-    id: Column | str = "id",
-    max_requests: int = DEFAULTS.rate_limit_requests,
-    window_seconds: int = DEFAULTS.rate_limit_window,
-    state: DataFrame | None = None,
+    chain: Callable[[DataFrame], DataFrame],
+    key: Column | str,
+    ts: Column | str,
+    id: Column | str,
+    max_requests: int,
 ) -> DataFrame:
-    """Add ``window_start``, ``request_count`` and ``allowed`` to every request.
+    """Decisions of ``requests``: ``chain`` turns counts per (key, second) into their windows.
 
-    Times count in whole seconds; requests of a key are ordered by (ts, id).
-    Rejected requests count too.  A request without a time is returned with NULL
-    decisions and counts for nobody.  ``state(key, window_start, used)``
-    continues the windows of earlier input.
+    A (key, second) without a window gives NULL decisions, as a request without a time does.
     """
     stamped = requests.withColumns(
         {
@@ -131,8 +127,7 @@ def rate_limit(
     earlier = Window.partitionBy("rl_key", "rl_sec").orderBy("rl_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("rl_shift", F.coalesce(F.sum("rl_m").over(earlier), F.lit(0)))
     per_second = parts.groupBy("rl_key", "rl_sec").agg(F.sum("rl_m").alias("rl_n"))
-    chain = window_chain(per_second, window_seconds, state)
-    places = parts.join(chain, ["rl_key", "rl_sec"])
+    places = parts.join(chain(per_second), ["rl_key", "rl_sec"], "left")
     in_part = F.row_number().over(Window.partitionBy("rl_key", "rl_sec", "rl_part").orderBy("rl_ts", "rl_id"))
     placed = (
         timed.withColumn("rl_rank", in_part)
@@ -146,6 +141,27 @@ def rate_limit(
     return placed.select(*requests.columns, *added).unionByName(untimed)
 
 
+def rate_limit(
+    requests: DataFrame,
+    key: Column | str = "key",
+    ts: Column | str = "ts",
+    id: Column | str = "id",
+    max_requests: int = DEFAULTS.rate_limit_requests,
+    window_seconds: int = DEFAULTS.rate_limit_window,
+    state: DataFrame | None = None,
+) -> DataFrame:
+    """Add ``window_start``, ``request_count`` and ``allowed`` to every request.
+
+    Times count in whole seconds; requests of a key are ordered by (ts, id).
+    Rejected requests count too.  A request without a time is returned with NULL
+    decisions and counts for nobody.  ``state(key, window_start, used)``
+    continues the windows of earlier input.
+    """
+    return place_requests(
+        requests, lambda per_second: window_chain(per_second, window_seconds, state), key, ts, id, max_requests
+    )
+
+
 def open_windows(decided: DataFrame, key: str = "key") -> DataFrame:
     """Last window per key, ``(key, window_start, used)``, of decided requests.
 

@@ -544,5 +544,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_counters": """SELECT 'job-' || user_id AS job_id, count(*) AS done, count(*) FILTER (event_type = 'error') AS errors,
           count(*) FILTER (event_type <> 'error') AS success FROM events GROUP BY user_id""",
         "stream_rate_limit": RATE_LIMIT,
-        "stream_latest_state": LATEST,
+        "stream_rate_limit_restarted": RATE_LIMIT,
+        "stream_latest_state": f"""WITH l AS ({LATEST}), m AS (SELECT max(updated) AS now FROM l)
+          SELECT l.*, now - updated > 3600 AS expired FROM l, m""",
     }

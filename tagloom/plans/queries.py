@@ -390,6 +390,21 @@ def stream_rate_limit(spark, sf_dir):
     return spark.read.parquet(out).select("key", "id", "window_start", "request_count", "allowed")
 
 
+def stream_rate_limit_restarted(spark, sf_dir):
+    """Three slices of time, each by a new query that goes on from the checkpoint."""
+    source, out = scratch_path(spark, "slices"), scratch_path(spark, "stream-limit")
+    checkpoint, requests = scratch_path(spark, "checkpoint"), I.requests(spark, sf_dir)
+    cuts = F.percentile_approx(F.unix_seconds("ts"), [1 / 3, 2 / 3], F.lit(1000))
+    number = F.size(F.filter("cuts", lambda c: F.unix_seconds("ts") >= c))
+    sliced = requests.join(F.broadcast(requests.agg(cuts.alias("cuts")))).withColumn("slice", number)
+    sliced = materialize(sliced.drop("cuts"), "sliced")
+    for part in range(3):
+        sliced.filter(F.col("slice") == part).drop("slice").write.mode("append").parquet(source)
+        stream = T.read_stream(spark, source, "key string, ts timestamp, id bigint")
+        S.stream_rate_limit(stream, out, checkpoint, max_requests=2, window_seconds=86_400).awaitTermination()
+    return spark.read.parquet(out).select("key", "id", "window_start", "request_count", "allowed")
+
+
 def stream_latest_state(spark, sf_dir):
     out, checkpoint = scratch_path(spark, "stream-states"), scratch_path(spark, "checkpoint")
     events = _stream(spark, sf_dir, "events")
@@ -471,5 +486,6 @@ def queries() -> dict[str, Query]:
         "job_id_clean": job_id_clean,
         "mode_dispatch": mode_dispatch,
         "stream_rate_limit": stream_rate_limit,
+        "stream_rate_limit_restarted": stream_rate_limit_restarted,
         "stream_latest_state": stream_latest_state,
     }

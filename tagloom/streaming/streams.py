@@ -12,13 +12,16 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tagloom.config import DEFAULTS, Options
 from tagloom.operators.jobs import page_results
+from tagloom.operators.ratelimit import place_requests
+from tagloom.session import materialize
 
 
 def _writer(df: DataFrame, checkpoint: str, mode: str, available_now: bool):
@@ -76,35 +79,72 @@ def read_counters(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-_DECIDED = "key string, us bigint, id bigint, window_start bigint, request_count bigint, allowed boolean"
-
-
-def _decide(max_requests: int, window_seconds: int):
-    """Decisions of one key: its open window is the state, dropped once no later request can fall into it."""
-
-    def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(chunks)).sort_values(["us", "id"])
-        seconds = (rows["us"] // 1_000_000).to_numpy()
-        start, used = state.get if state.exists else (None, 0)
-        starts, counts = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+_STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+_COUNTED = "rl_key string, rl_sec bigint, rl_n bigint"
+_CHAINED = "rl_key string, rl_sec bigint, window_start bigint, rl_before bigint"
+# Rows of counts that a task holds before it passes them on.
+_HELD_COUNTS = 200_000
+
+
+def _count_seconds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests per (key, second), combined inside a task before the exchange."""
+    held: list[pa.Table] = []
+
+    def combined() -> pa.Table:
+        table = pa.concat_tables(held).group_by(["rl_key", "rl_sec"]).aggregate([("rl_n", "sum")])
+        return table.rename_columns({"rl_n_sum": "rl_n"}).select(["rl_key", "rl_sec", "rl_n"])
+
+    rows = 0
+    for batch in batches:
+        ones = pa.array(np.ones(batch.num_rows, np.int64))
+        held.append(pa.Table.from_batches([batch]).append_column("rl_n", ones))
+        rows += batch.num_rows
+        if rows > _HELD_COUNTS:
+            held = [combined()]
+            rows = held[0].num_rows
+            if 2 * rows > _HELD_COUNTS:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if held:
+        yield from combined().to_batches()
+
+
+class _OpenWindows(StatefulProcessor):
+    """The open window of a key, ``(window_start, used)``; a micro-batch brings counts per second."""
+
+    def __init__(self, window_seconds: int, forget_after: int | None):
+        self.window_seconds, self.forget_after = window_seconds, forget_after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = None if self.forget_after is None else self.forget_after * 1000
+        self.window = handle.getValueState("window", "window_start bigint, used bigint", ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seconds, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for chunk in rows:
+            # One number per active second, however many tasks and requests it had.
+            found = np.concatenate([seconds, chunk["rl_sec"].to_numpy(np.int64)])
+            seconds, places = np.unique(found, return_inverse=True)
+            counts = np.bincount(places, np.concatenate([counts, chunk["rl_n"].to_numpy(np.int64)])).astype(np.int64)
+        start, used = self.window.get() if self.window.exists() else (int(seconds[0]), 0)
+        starts, before = np.zeros(len(seconds), np.int64), np.zeros(len(seconds), np.int64)
+        running = np.concatenate([[0], np.cumsum(counts)])
         at = 0
-        while at < len(rows):
-            if start is None or seconds[at] > start + window_seconds:
+        while at < len(seconds):
+            if seconds[at] > start + self.window_seconds:
                 start, used = int(seconds[at]), 0
-            end = int(np.searchsorted(seconds, start + window_seconds, side="right"))
-            starts[at:end], counts[at:end] = start, used + np.arange(1, end - at + 1)
-            used, at = used + end - at, end
-        state.update((start, used))
-        closes = (start + window_seconds + 1) * 1000
-        state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(
-            key=key[0], window_start=starts, request_count=counts, allowed=counts <= max_requests
-        )[["key", "us", "id", "window_start", "request_count", "allowed"]]
+            # Also what came late, before the open window: it counts by arrival.
+            end = int(np.searchsorted(seconds, start + self.window_seconds, side="right"))
+            starts[at:end], before[at:end] = start, used + running[at:end] - running[at]
+            used, at = used + int(running[end] - running[at]), end
+        self.window.update((int(start), int(used)))
+        yield pd.DataFrame({"rl_key": key[0], "rl_sec": seconds, "window_start": starts, "rl_before": before})
 
-    return fold
+    def close(self) -> None:
+        pass
 
 
 def stream_rate_limit(
@@ -114,67 +154,84 @@ def stream_rate_limit(
     max_requests: int = DEFAULTS.rate_limit_requests,
     window_seconds: int = DEFAULTS.rate_limit_window,
     available_now: bool = True,
+    forget_after: int | None = None,
 ) -> StreamingQuery:
-    """Append rate-limit decisions for a stream of ``(key, ts, id)`` in time order.
-
-    The open windows live in Spark's state store and expire by event time.
-    Micro-batches follow each other in time; inside one, rows may be in any
-    order.  A key's requests of one micro-batch are decided by one task, so
-    ``maxFilesPerTrigger`` bounds what it holds.  Requests without a time pass
-    with NULL decisions, as in a batch.
+    """Rate-limit decisions for a stream of ``(key, ts, id)``, one folder per micro-batch.
+
+    Only counts per (key, second) meet the state, so a key with a third of all requests
+    costs its task one number per active second; the requests themselves are ranked and
+    placed over all tasks, as in a batch.  Every request gets one row.  Inside a
+    micro-batch rows may be in any order; over micro-batches a request that is older than
+    its key's open window came late and counts in that window, as requests count when they
+    arrive.  Requests without a time pass with NULL decisions.
+
+    An open window is two numbers in Spark's RocksDB state store.  ``forget_after`` lets
+    keys go that sent nothing for so many seconds of processing time; without it none goes,
+    so a stream that is read later than it was written is decided alike.
     """
-    keyed = requests.select(F.coalesce("key", F.lit("0")).alias("key"), "ts", F.col("id").cast("bigint").alias("id"))
-    timed = (
-        keyed.filter(F.col("ts").isNotNull())
-        .withWatermark("ts", f"{window_seconds} seconds")
-        .select("key", "ts", F.unix_micros("ts").alias("us"), "id")
-    )
-    decided = timed.groupBy("key").applyInPandasWithState(
-        _decide(max_requests, window_seconds),
-        outputStructType=_DECIDED,
-        stateStructType="window_start bigint, used bigint",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    keyed = requests.select(
+        F.coalesce(F.col("key").cast("string"), F.lit("0")).alias("key"), "ts", F.col("id").cast("bigint").alias("id")
     )
-    fields = ["key", "ts", "id", "window_start", "request_count", "allowed"]
-    decided = decided.withColumn("ts", F.timestamp_micros("us")).select(*fields)
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in zip(fields[3:], ("bigint", "bigint", "boolean"))]
-    untimed = requests.filter(F.col("ts").isNull()).select(
-        F.coalesce("key", F.lit("0")).alias("key"), "ts", F.col("id").cast("bigint").alias("id"), *nothing
+    timed = keyed.filter(F.col("ts").isNotNull()).select(F.col("key").alias("rl_key"), F.unix_seconds("ts").alias("rl_sec"))
+    chained = timed.mapInArrow(_count_seconds, _COUNTED).groupBy("rl_key").transformWithStateInPandas(
+        _OpenWindows(window_seconds, forget_after), _CHAINED, "Append", "None" if forget_after is None else "ProcessingTime"
     )
-    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if available_now else {}
-    with _start_settings(requests.sparkSession, settings):
-        return _writer(decided.unionByName(untimed), checkpoint, "append", available_now).format("parquet").start(path)
+    windows = [c.split()[0] for c in _CHAINED.split(", ")]
+    both = keyed.withColumn("request", F.lit(True)).unionByName(chained, allowMissingColumns=True)
 
+    def save(batch: DataFrame, batch_id: int) -> None:
+        # Evaluated once: the state moves with every evaluation.
+        rows = materialize(batch, "limit-batch")
+        found = rows.filter("request IS NULL").select(*windows)
+        own = rows.filter("request").select("key", "ts", "id")
+        decided = place_requests(own, lambda _: found, "key", "ts", "id", max_requests)
+        decided.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-LATEST_SCHEMA = "job_id string, updated bigint, done bigint, errors bigint, status string"
+    with _start_settings(requests.sparkSession, _STATE_STORE):
+        return _writer(both, checkpoint, "append", available_now).foreachBatch(save).start()
 
 
 STATE_FIELDS = ["updated", "done", "errors", "status"]
+_STATE = "updated bigint, done bigint, errors bigint, status string"
+LATEST_SCHEMA = f"job_id string, {_STATE}, expired boolean"
 
 
-def _latest_state(ttl_seconds: int):
-    """Newest state per job, forgotten when no state came for its time to live.
+class _LatestState(StatefulProcessor):
+    """Newest state of a job; a timer on its ``updated`` returns it once more, as expired, and lets it go.
 
-    A maximum needs no order, so rows are folded chunk by chunk and a busy job
-    costs one pass over its rows of the micro-batch, not their memory.
+    A maximum needs no order: a busy job costs one pass over its rows, not their memory.
     """
 
-    def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = tuple(state.get) if state.exists else None
-        for chunk in chunks:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", _STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old = best = tuple(self.state.get()) if self.state.exists() else None
+        for chunk in rows:
             newest = chunk[chunk["updated"] == chunk["updated"].max()]
             row = newest.sort_values(STATE_FIELDS).iloc[-1]
             found = (int(row["updated"]), int(row["done"]), int(row["errors"]), str(row["status"]))
             best = found if best is None else max(best, found)
-        state.update(best)
-        state.setTimeoutDuration(ttl_seconds * 1000)
-        yield pd.DataFrame([(key[0], *best)], columns=["job_id", *STATE_FIELDS])
+        self.state.update(best)
+        if old is None or old[0] != best[0]:
+            if old is not None:
+                self.handle.deleteTimer(old[0] * 1000)
+            self.handle.registerTimer(best[0] * 1000)
+        yield self._row(key, best, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            last = tuple(self.state.get())
+            self.state.clear()
+            yield self._row(key, last, True)
+
+    @staticmethod
+    def _row(key, state: tuple, expired: bool) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *state, expired)], columns=["job_id", *STATE_FIELDS, "expired"])
 
-    return fold
+    def close(self) -> None:
+        pass
 
 
 def stream_latest_state(
@@ -184,26 +241,42 @@ def stream_latest_state(
     options: Options = DEFAULTS,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Newest state per job as states arrive, expiring idle jobs."""
-    latest = states.groupBy("job_id").applyInPandasWithState(
-        _latest_state(options.job_ttl_seconds),
-        outputStructType=LATEST_SCHEMA,
-        stateStructType="updated bigint, done bigint, errors bigint, status string",
-        outputMode="update",
-        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
+    """Newest state per job as states arrive; idle jobs expire by ``updated``.
+
+    Now is the newest ``updated`` of all jobs.  A job whose state is older than its time
+    to live is returned once more with ``expired`` set, then forgotten: the watermark
+    trails now by the time to live, and a timer at ``updated`` fires once it is behind.
+    States that are behind it when they arrive are expired already: they come out once
+    and start nothing.  A later state of the job starts afresh.
+    """
+    ttl = options.job_ttl_seconds
+    fields = states.select("job_id", *STATE_FIELDS)
+    latest = (
+        fields.withColumn("at", F.timestamp_seconds("updated"))
+        # One millisecond more: what is exactly as old as its time to live still counts.
+        .withWatermark("at", f"{1000 * ttl + 1} milliseconds")
+        .groupBy("job_id")
+        .transformWithStateInPandas(_LatestState(), LATEST_SCHEMA, "Update", "EventTime")
     )
+    arrived = fields.withColumn("expired", F.lit(None).cast("boolean"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows = materialize(batch, "state-batch")
+        held = rows.filter("expired IS NOT NULL")
+        # Jobs of this batch that the state never saw: all their rows were behind the watermark.
+        late = rows.filter("expired IS NULL").join(held.select("job_id").distinct(), "job_id", "left_anti")
+        late = late.groupBy("job_id").agg(F.max(F.struct(*STATE_FIELDS)).alias("_s"))
+        late = late.select("job_id", "_s.*", F.lit(True).alias("expired"))
+        held.unionByName(late).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    # Pending timeouts would keep an available-now run busy with empty batches
-    # for ever, so those are off then.
-    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if available_now else {}
-    with _start_settings(states.sparkSession, settings):
-        return _writer(latest, checkpoint, "update", available_now).foreachBatch(save).start()
+    with _start_settings(states.sparkSession, _STATE_STORE):
+        both = latest.unionByName(arrived)
+        return _writer(both, checkpoint, "update", available_now).foreachBatch(save).start()
 
 
 def read_latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """Newest state per job of the batches written so far, and whether it has expired since."""
     saved = spark.read.schema(f"{LATEST_SCHEMA}, batch bigint").parquet(path)
-    newest = F.max_by(F.struct(*STATE_FIELDS), "batch").alias("_s")
+    # A batch may hold a job's new state and the end of an older one.
+    newest = F.max(F.struct(*STATE_FIELDS, "expired")).alias("_s")
     return saved.groupBy("job_id").agg(newest).select("job_id", "_s.*")

@@ -1,10 +1,10 @@
-import time
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
 from tests_support import model_limit
 
 from tagloom import page_results
-from tagloom.config import Options
+from tagloom.operators.ratelimit import rate_limit
 from tagloom.sources import tables as T
 from tagloom.streaming import streams as S
 
@@ -65,38 +65,82 @@ def test_latest_state_over_batches(spark, tmp_path):
         S.stream_latest_state(stream, out, str(tmp_path / "cp")).awaitTermination(120)
     got = {r.job_id: (r.updated, r.status, r.done, r.errors) for r in S.read_latest_state(spark, out).collect()}
     assert got == {"a": (5, "done", 3, 0), "b": (9, "done", 4, 1)}
-    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+    assert "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or "")
 
 
-def test_idle_jobs_expire(spark, tmp_path):
-    """The state of a job goes once its time to live is over."""
-    schema = "job_id string, updated bigint, status string, done bigint, errors bigint"
-    source = str(tmp_path / "in")
+STATES = "job_id string, updated bigint, status string, done bigint, errors bigint"
+
+
+def states_after(spark, tmp_path, rows, **options):
+    """What the batches so far hold after ``rows`` arrived; every call starts a new query from the checkpoint."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.createDataFrame([(job, at, status, 0, 0) for job, at, status in rows], STATES)
+    df.coalesce(1).write.mode("append").parquet(source)
+    stream = T.read_stream(spark, source, STATES)
+    S.stream_latest_state(stream, out, str(tmp_path / "cp"), **options).awaitTermination(120)
+    saved = spark.read.schema(f"{S.LATEST_SCHEMA}, batch bigint").parquet(out).collect()
+    latest = {r.job_id: (r.updated, r.status, r.expired) for r in S.read_latest_state(spark, out).collect()}
+    return latest, sorted((r.job_id, r.updated) for r in saved if r.expired)
+
+
+def test_idle_jobs_expire_once_by_updated(spark, tmp_path):
+    """Now is the newest ``updated``; strictly more than the time to live later a state is returned once more."""
+    latest, gone = states_after(spark, tmp_path, [("a", 10_000, "running"), ("b", 12_000, "running")])
+    assert latest == {"a": (10_000, "running", False), "b": (12_000, "running", False)} and gone == []
+    # Exactly one time to live later nothing is over yet.
+    latest, gone = states_after(spark, tmp_path, [("c", 13_600, "queued")])
+    assert latest["a"] == (10_000, "running", False) and gone == []
+    latest, gone = states_after(spark, tmp_path, [("c", 13_601, "running")])
+    assert latest["a"] == (10_000, "running", True) and not latest["b"][2] and gone == [("a", 10_000)]
+    # A newer state moves the end of b; the one that came before it does not fire.
+    latest, gone = states_after(spark, tmp_path, [("b", 15_000, "running"), ("c", 17_000, "done")])
+    assert latest["b"] == (15_000, "running", False) and gone == [("a", 10_000)]
+    # Expired on arrival: out once, nothing starts, and a's later state is a fresh one.
+    latest, gone = states_after(spark, tmp_path, [("d", 9_000, "running"), ("a", 17_100, "queued"), ("b", 9_000, "old")])
+    assert latest["d"] == (9_000, "running", True) and latest["a"] == (17_100, "queued", False)
+    assert latest["b"] == (15_000, "running", False)
+    latest, gone = states_after(spark, tmp_path, [("e", 30_000, "running")])
+    assert {j for j, v in latest.items() if v[2]} == set("abcd")
+    assert gone.count(("a", 10_000)) == 1 and ("a", 17_100) in gone and ("b", 15_000) in gone and ("c", 17_000) in gone
 
-    def arrive(job):
-        spark.createDataFrame([(job, 1, "running", 0, 0)], schema).coalesce(1).write.mode("append").parquet(source)
 
-    arrive("a")
-    query = S.stream_latest_state(
-        T.read_stream(spark, source, schema), str(tmp_path / "out"), str(tmp_path / "cp"), Options(job_ttl_seconds=1),
-        available_now=False,
+def test_late_requests_count_where_they_arrive(spark, tmp_path):
+    """No request is lost: one older than the open window counts in it."""
+    schema, source, out = "key string, ts timestamp, id bigint", str(tmp_path / "in"), str(tmp_path / "out")
+    at = lambda s: START + timedelta(seconds=s)
+    parts = [
+        [("a", at(1000), 1), ("a", at(1010), 2), ("b", at(5000), 3)],
+        [("a", at(0), 4), ("a", at(1020), 5), ("a", at(500), 6), (None, at(3), 7)],
+        [("a", at(1061), 8), ("a", at(1060), 9), ("b", None, 10)],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        S.stream_rate_limit(T.read_stream(spark, source, schema), out, str(tmp_path / "cp"), 4, 60).awaitTermination(120)
+    base = int(START.timestamp())
+    got = {r.id: (r.key, r.window_start and r.window_start - base, r.request_count, r.allowed) for r in spark.read.parquet(out).collect()}
+    assert got == {
+        1: ("a", 1000, 1, True), 2: ("a", 1000, 2, True), 3: ("b", 5000, 1, True),
+        4: ("a", 1000, 3, True), 6: ("a", 1000, 4, True), 5: ("a", 1000, 5, False), 7: ("0", 3, 1, True),
+        9: ("a", 1000, 6, False), 8: ("a", 1061, 1, True), 10: ("b", None, None, None),
+    }
+
+
+def test_a_hot_key_meets_the_state_as_counts(spark, tmp_path):
+    """A third of many requests on one key, in three micro-batches: the batch operator's decisions."""
+    schema, source, out = "key string, ts timestamp, id bigint", str(tmp_path / "in"), str(tmp_path / "out")
+    n, slices = 300_000, 3
+    ids = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("key"),
+        (F.lit(START) + F.make_dt_interval(secs=F.floor(F.col("id") * 3600 / n).cast("decimal(18,6)"))).alias("ts"), "id",
     )
-    try:
-        held = []
-        for _ in range(60):
-            time.sleep(0.5)
-            operators = (query.lastProgress or {}).get("stateOperators") or [{}]
-            held.append(operators[0].get("numRowsTotal", 0))
-            if 0 < max(held) and held[-1] == 0:
-                break
-        assert max(held) == 1 and held[-1] == 0
-        # A later state of another job starts afresh.
-        arrive("b")
-        for _ in range(40):
-            time.sleep(0.5)
-            seen = {r.job_id for r in S.read_latest_state(spark, str(tmp_path / "out")).collect()}
-            if "b" in seen:
-                break
-        assert seen == {"a", "b"}
-    finally:
-        query.stop()
+    for part in range(slices):
+        slice_ = ids.filter((F.col("id") >= part * n / slices) & (F.col("id") < (part + 1) * n / slices))
+        slice_.repartition(3).write.mode("append").parquet(source)
+        stream = T.read_stream(spark, source, schema)
+        query = S.stream_rate_limit(stream, out, str(tmp_path / "cp"), 20, 60)
+        query.awaitTermination(120)
+        seen = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+        assert max(s["numRowsTotal"] for s in seen) <= 501
+    want = rate_limit(ids, max_requests=20, window_seconds=60)
+    got = spark.read.parquet(out).select(want.columns)
+    assert got.count() == n and got.exceptAll(want).isEmpty()
