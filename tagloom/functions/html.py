@@ -58,7 +58,20 @@ def element(names: str, group: int) -> str:
 # wins: a comment marker inside a script is script text and vice versa.
 _COMMENT = r"!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
 OPAQUE = rf"(?is)<(?:{_COMMENT}|{element('script|style', 1)})"
-PAGE_FURNITURE = rf"(?is)<{element('nav|footer|header', 1)}"
+# Containers that are no part of the main text.
+_FURNITURE = "nav|footer|header"
+PAGE_FURNITURE = rf"(?is)<{element(_FURNITURE, 1)}"
+# Such a container, up to its first closing tag, that opens its own kind again.
+OPENS_AGAIN = rf"(?is)^<({_FURNITURE})(?:>|[\s/]{_TAG_END}).*<\1[\s/>]"
+FURNITURE_OPEN = rf"(?i)^<({_FURNITURE})[\s/>]"
+FURNITURE_CLOSE = rf"(?i)^</({_FURNITURE})\s*>\z"
+# The document as tags of these containers and the stretches between them.
+FURNITURE_TOKEN = (
+    rf"(?is)<(?:{_FURNITURE})(?:>|[\s/]{_TAG_END})|</(?:{_FURNITURE})\s*>"
+    rf"|(?:[^<]++|<(?!(?:{_FURNITURE})[\s/>]|/(?:{_FURNITURE})\s*>))++"
+)
+# Kept stretches are gathered in chunks of this size: appending copies no more than one.
+_CHUNK = 256
 ANY_TAG = rf"(?is)<[a-z/!?]{_TAG_END}"
 PARAGRAPH_START = r"(?i)<p(?:>|\s[^>]*+(?:>|\z))"
 # Tags whose start or end closes an open paragraph.
@@ -187,13 +200,43 @@ def paragraph_texts(markup: str, longer_than: int) -> str:
     return _clean_texts(f"filter({texts}, p -> length(p) > {longer_than})")
 
 
-def body_markup(markup: str) -> str:
-    """Inside of the first ``<body>`` without navigation, header and footer.
+def _balanced(markup: str) -> str:
+    """What lies outside the containers, each closed by its own closing tag.
+
+    One pass over the tokens with the outermost open container and its depth; other
+    containers inside it, and closing tags that close nothing, do not count.
+    """
+    tokens = f"""transform({extract_all_sql(markup, FURNITURE_TOKEN)}, t -> struct(t AS text,
+        lower({extract_sql('t', FURNITURE_OPEN, 1)}) AS opens, lower({extract_sql('t', FURNITURE_CLOSE, 1)}) AS closes))"""
+    outside = "s.outer = '' AND t.opens = ''"
+    return f"""aggregate({tokens},
+        struct('' AS outer, 0 AS depth, cast(array() AS array<string>) AS chunk, cast(array() AS array<array<string>>) AS chunks),
+        (s, t) -> struct(
+          CASE WHEN s.outer = '' THEN t.opens WHEN t.closes = s.outer AND s.depth = 1 THEN '' ELSE s.outer END AS outer,
+          CASE WHEN s.outer = '' THEN cast(t.opens <> '' AS int) WHEN t.opens = s.outer THEN s.depth + 1
+            WHEN t.closes = s.outer THEN s.depth - 1 ELSE s.depth END AS depth,
+          CASE WHEN NOT ({outside}) THEN s.chunk WHEN size(s.chunk) >= {_CHUNK} THEN array(t.text)
+            ELSE concat(s.chunk, array(t.text)) END AS chunk,
+          CASE WHEN {outside} AND size(s.chunk) >= {_CHUNK} THEN concat(s.chunks, array(s.chunk)) ELSE s.chunks END AS chunks),
+        s -> array_join(flatten(concat(s.chunks, array(s.chunk))), ''))"""
+
+
+def without_furniture(markup: str) -> str:
+    """The document without navigation, headers and footers, however deep they are nested.
+
+    A pattern does for documents whose containers do not contain their own kind.
+    """
+    nested = f"exists({extract_all_sql(markup, PAGE_FURNITURE, 0)}, e -> e RLIKE {quote(OPENS_AGAIN)})"
+    return f"""CASE WHEN {nested} THEN {_balanced(markup)}
+        ELSE {replace_sql(markup, PAGE_FURNITURE)} END"""
+
+
+def body_markup(plain: str) -> str:
+    """Inside of the first ``<body>`` of a document without furniture.
 
     Without that tag, which is optional, the body is what follows the head: the
     document behind ``</head>``, or without the title where that is left out too.
     """
-    plain = replace_sql(markup, PAGE_FURNITURE)
     behind = f"""CASE WHEN {plain} RLIKE {quote(HEAD_END)} THEN {extract_sql(plain, HEAD_END, 1)}
         ELSE {replace_sql(plain, rf'(?is)<{element("title", 1)}')} END"""
     return f"""CASE WHEN {plain} RLIKE {quote(r'(?i)<body[\s/>]')}

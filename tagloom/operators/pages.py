@@ -122,7 +122,9 @@ def extract_pages(
         f"filter(coalesce({blocks}, array()), x -> {has_json_value('x')}) AS jsonld",
     )
     paragraphs = H.paragraph_texts("_markup", options.paragraph_min_length)
-    parts = cleaned.selectExpr(
+    # The body refers to it several times: a projection of its own computes it once.
+    plain = cleaned.select("*", F.expr(H.without_furniture("_markup")).alias("_plain"))
+    parts = plain.selectExpr(
         *kept,
         "url",
         "jsonld",
@@ -132,7 +134,7 @@ def extract_pages(
         f"{H.element_text('_markup', 'h1')} AS _h1",
         f"slice({H.element_texts('_markup', 'h2')}, 1, {options.h2_limit or H.ALL}) AS h2s",
         f"slice({paragraphs}, 1, {options.paragraph_limit or H.ALL}) AS paragraphs",
-        f"{H.drop_tags(H.body_markup('_markup'))} AS _body",
+        f"{H.drop_tags(H.body_markup('_plain'))} AS _body",
     )
     decoded = parts.selectExpr(
         *kept,

@@ -1,6 +1,7 @@
 """Body text and paragraphs against an independent event parser, on real rows."""
 
 import html
+import random
 import re
 from html.parser import HTMLParser
 
@@ -17,7 +18,7 @@ BLOCKS = set(
 class Model(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=False)
-        self.skip, self.raw, self.in_body = None, False, False
+        self.skip, self.depth, self.raw, self.in_body = None, 0, False, False
         self.body, self.paragraphs, self.open = [], [], None
 
     def handle_starttag(self, tag, attrs):
@@ -26,6 +27,7 @@ class Model(HTMLParser):
             self.in_body = True
         if tag in FURNITURE and self.skip is None:
             self.skip = tag
+        self.depth += tag == self.skip
         if tag in BLOCKS:
             self.close_paragraph()
         if tag == "p":
@@ -34,7 +36,9 @@ class Model(HTMLParser):
     def handle_endtag(self, tag):
         self.raw = False
         if tag == self.skip:
-            self.skip = None
+            self.depth -= 1
+            if not self.depth:
+                self.skip = None
         if tag in BLOCKS:
             self.close_paragraph()
         if tag == "body":
@@ -62,8 +66,23 @@ class Model(HTMLParser):
         self.text(html.unescape(f"&#{name};"))
 
 
+def nested(rng, depth):
+    """Containers in containers, some never closed, some closed twice, with other markup between."""
+    name = rng.choice(["nav", "NAV", "footer", "header"])
+    inner = "".join(nested(rng, depth - 1) if rng.random() < 0.7 else f"<i>t{rng.randrange(99)}</i> " for _ in range(2)) if depth else "x"
+    end = rng.choice([f"</{name}>"] * 12 + [f"</{name} >", "", f"</{name}></{name}>"])
+    return f"a{depth} <{name} class='<nav>'>{inner}{end} b{depth} "
+
+
 def test_text_agrees_with_event_parser(spark, sf_dir):
-    for pages in (I.pages(spark, sf_dir), I.pages_enriched(spark, sf_dir)):
+    rng = random.Random(6)
+    shapes = [nested(rng, rng.randrange(7)) for _ in range(300)]
+    shapes += ["<nav>" * n + "in" + "</nav>" * n + "out" + "<header>" * n + "</header>" * (n - 1) + "lost" for n in (1, 2, 50)]
+    made = spark.createDataFrame(
+        [(i, f"https://a.com/{i}", f"<html><body>{t}<p>end</p></body></html>") for i, t in enumerate(shapes)],
+        "page_id long, url string, html string",
+    )
+    for pages in (I.pages(spark, sf_dir), I.pages_enriched(spark, sf_dir), made):
         source = {r.page_id: r.html for r in pages.collect()}
         for row in extract_pages(pages, keep=("page_id",)).collect():
             model = Model()

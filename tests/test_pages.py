@@ -97,7 +97,8 @@ def test_broken_markup_is_linear(spark):
 
 @pytest.mark.parametrize(
     "shape",
-    ["<a ", "<meta ", "<h1 ", "<h2>", "<p ", "<body ", "<script ", "<title ", "<!--", "<a 'x", '<a ">" ', "<a href=\"x", "a=", "<", "</h1 ", "&#"],
+    ["<a ", "<meta ", "<h1 ", "<h2>", "<p ", "<body ", "<script ", "<title ", "<!--", "<a 'x", '<a ">" ', "<a href=\"x", "a=", "<", "</h1 ", "&#",
+     "<nav>", "<nav ", "</nav>", "<nav><nav></nav>", "<nav></nav><nav>x</nav>t", "<nav><footer>", "<nav/><header>t</header></nav>"],
 )
 def test_broken_markup_takes_linear_time(spark, shape):
     def seconds(size):
