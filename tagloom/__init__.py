@@ -6,6 +6,7 @@ from tagloom.functions.text import build_description, optimize_title, trim_to_le
 from tagloom.functions.urls import canonical_url
 from tagloom.operators.discovery import discover_urls
 from tagloom.operators.jobs import (
+    job_frontier,
     job_summary,
     latest_state,
     live_states,
@@ -31,7 +32,7 @@ from tagloom.operators.rules import compliance_report, generate_rules
 __all__ = [
     "DEFAULTS", "Options", "apply_responses", "build_description", "build_prompts",
     "build_requests", "canonical_url", "compliance_report", "discover_urls", "error_code",
-    "extract_pages", "generate_metadata", "generate_rules", "generate_texts", "is_transient", "job_summary",
+    "extract_pages", "generate_metadata", "generate_rules", "generate_texts", "is_transient", "job_frontier", "job_summary",
     "latest_state", "live_states", "merge_retry", "optimize_title", "page_results", "page_type",
     "rate_limit", "resolve_attempts", "response_texts", "retry_set", "run_job",
     "trim_to_length", "url_lists",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,12 @@ from tagloom.functions.errors import clean_job_id, error_code, is_transient
 from tagloom.functions.json_text import is_valid_json
 from tagloom.functions.text import falsy, to_col
 from tagloom.functions.urls import is_valid_url, url_scheme
+from tagloom.operators.discovery import discover_urls
 from tagloom.operators.joins import lookup
 from tagloom.operators.pages import extract_pages
 from tagloom.operators.responses import apply_responses
 from tagloom.operators.rules import generate_rules
+from tagloom.session import materialize
 
 RESULT_FIELDS = {
     "title": "string",
@@ -120,6 +124,36 @@ def page_results(
     return rows.select(*keep, "url", *[c.alias(f) for f, c in cells.items()])
 
 
+# Bits of the frontier's filter: its size is fixed, whatever the frontier holds.
+FILTER_BITS = 1 << 23
+_HASHES = 4
+
+
+def _places(url: Column | str, bits: int) -> list[Column]:
+    first, step = [F.pmod(F.xxhash64(url, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+    return [F.pmod(first + F.lit(i) * step, F.lit(bits)) for i in range(_HASHES)]
+
+
+def wanted_fetches(fetches: DataFrame, frontier: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Fetches whose url may be in the frontier: all that are, and few others.
+
+    The frontier becomes a Bloom filter, one row of ``bits`` bits built by aggregates.
+    That row is broadcast, its size being fixed, and tested before a document is read any
+    further, so documents stay where they are.  A frontier of far more than ``bits / 10``
+    urls lets more and more through; the join with the frontier decides in the end.
+    """
+    words = bits // 64
+    hits = frontier.select(F.explode(F.array(*_places("url", bits))).alias("place"))
+    hits = hits.select(F.floor(F.col("place") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place % 64 AS int))").alias("set"))
+    every = frontier.sparkSession.range(words).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("bigint").alias("set"))
+    packed = hits.groupBy("word").agg(F.bit_or("set").alias("set")).unionByName(every).groupBy("word").agg(F.bit_or("set").alias("set"))
+    row = packed.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "set"))), lambda w: w["set"]).alias("_set"))
+    found = [
+        F.getbit(F.get("_set", F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1 for place in _places("url", bits)
+    ]
+    return fetches.join(F.broadcast(row), reduce(Column.__and__, found), "left_semi")
+
+
 def run_job(
     frontier: DataFrame,
     fetches: DataFrame,
@@ -129,15 +163,15 @@ def run_job(
 ) -> DataFrame:
     """Result rows for every row of ``frontier(…, url)``.
 
-    Documents are turned into narrow result rows first, so html is never
-    exchanged; several fetches of one url are reduced to one row before the
+    Only fetches that the frontier may want are extracted.  They are turned into narrow
+    result rows first, so html is never exchanged; several fetches of one url are reduced to one row before the
     join (combined map-side), so the join cannot multiply frontier rows.
     ``newest`` names a column of the fetches, such as their time: of several
     fetches the one with its largest value counts.  Among equal ones, and
     without it, a successful fetch goes first and then the largest cells.
     """
     order = () if newest is None else (newest,)
-    results = page_results(fetches, texts, keep=order, options=options)
+    results = page_results(wanted_fetches(fetches, frontier), texts, keep=order, options=options)
     fields = list(RESULT_FIELDS)
     best = F.max(
         F.struct(*[F.col(c).alias("_newest") for c in order], (F.col("status") == "ok").alias("_ok"), *[F.col(f) for f in fields])
@@ -256,3 +290,26 @@ def url_lists(jobs: DataFrame) -> DataFrame:
         arg.alias("site"),
     )
     return listed.unionByName(sites)
+
+
+NO_URLS = "no URLs found for this site"
+
+
+def job_frontier(
+    jobs: DataFrame, site_docs: DataFrame, options: Options = DEFAULTS
+) -> tuple[DataFrame, DataFrame]:
+    """Job arguments to the urls of every job: ``(job_id, pos, url)``, and failures ``(job_id, error)``.
+
+    A list is taken as it is, in its order and with its duplicates; a site is discovered
+    once, whatever number of jobs name it.  A job without any url is a failure.
+    """
+    given = materialize(url_lists(jobs), "job-arguments")
+    sites = given.filter(F.col("site").isNotNull()).select("job_id", "site")
+    found = discover_urls(sites.select("site").distinct(), site_docs, options)
+    # Many urls of a site meet the many jobs that name it: both are wanted in full.
+    discovered = sites.join(found, "site").select("job_id", "pos", "url")
+    listed = given.filter(F.col("url").isNotNull()).select("job_id", "pos", "url")
+    frontier = materialize(listed.unionByName(discovered), "job-frontier")
+    ids = jobs.select(clean_job_id("job_id").alias("job_id")).distinct()
+    failures = ids.join(frontier.select("job_id").distinct(), "job_id", "left_anti")
+    return frontier, failures.select("job_id", F.lit(NO_URLS).alias("error"))

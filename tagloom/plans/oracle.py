@@ -530,6 +530,12 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (length(description) BETWEEN 150 AND 160) AS description_ok
           FROM meta GROUP BY page_type""",
         "rate_limit": RATE_LIMIT,
+        "job_frontier": f"""WITH found AS (SELECT * FROM ({discovered(250)})),
+          found_jobs AS (SELECT 'job-' || page_id || '-' || k AS job_id, f.pos, f.url
+            FROM pages CROSS JOIN (VALUES (0), (1)) n(k) LEFT JOIN found f ON f.site = {I.SITES['site']})
+          SELECT * FROM found_jobs UNION ALL
+          SELECT 'job-' || page_id || '-2', pos::BIGINT, CASE pos WHEN 1 THEN 'https://x.example.com/' || page_id ELSE url END
+          FROM pages CROSS JOIN (VALUES (0), (1), (2)) n(pos) WHERE page_id % 2 = 0""",
         "url_lists": """WITH listed AS (SELECT page_id, 0 AS pos, url AS u FROM pages WHERE page_id % 2 = 0
             UNION ALL SELECT page_id, 1, 'https://x.example.com/' || page_id FROM pages WHERE page_id % 2 = 0)
           SELECT 'job-' || page_id AS job_id, pos::BIGINT AS pos, u AS url, NULL::VARCHAR AS site FROM listed

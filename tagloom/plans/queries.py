@@ -322,6 +322,18 @@ def url_lists(spark, sf_dir):
     return J.url_lists(jobs).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def job_frontier(spark, sf_dir):
+    """Every page's site is named by two jobs, and every other page by a list of urls."""
+    site = F.expr(I.SITES["site"])
+    given = F.expr("""concat('["', url, '","https://x.example.com/', cast(page_id AS string), '","', url, '"]')""")
+    args = F.when(F.col("page_id") % 2 == 0, F.array(site, site, given)).otherwise(F.array(site, site))
+    jobs = I.pages(spark, sf_dir).select("page_id", F.posexplode(args).alias("k", "arg"))
+    jobs = jobs.select(F.concat_ws("-", F.lit("job"), "page_id", "k").alias("job_id"), "arg")
+    frontier, failures = J.job_frontier(jobs, I.site_docs(spark, sf_dir))
+    failed = failures.select("job_id", F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("url"))
+    return frontier.withColumn("pos", F.col("pos").cast("bigint")).unionByName(failed)
+
+
 # ── Sources and sinks ─────────────────────────────────────────────────────────
 
 
@@ -348,12 +360,9 @@ def csv_export(spark, sf_dir):
 
 
 def job_document(spark, sf_dir):
-    path = scratch_path(spark, "job")
-    rows = job_rows(spark, sf_dir)
-    T.write_job(rows, J.job_summary(rows), path)
-    return spark.read.schema(
-        "job_id string, total bigint, done bigint, errors bigint, success bigint"
-    ).json(f"{path}/summary")
+    path, rows = scratch_path(spark, "job"), job_rows(spark, sf_dir)
+    T.write_job(rows, path)
+    return T.read_job(spark, path, rows.schema)[1]
 
 
 # ── Streams ───────────────────────────────────────────────────────────────────
@@ -477,6 +486,7 @@ def queries() -> dict[str, Query]:
         "job_ttl": job_ttl,
         "rate_limit": query_rate_limit,
         "url_lists": url_lists,
+        "job_frontier": job_frontier,
         "records_roundtrip": records_roundtrip,
         "csv_export": csv_export,
         "job_document": job_document,

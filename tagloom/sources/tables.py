@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.operators.jobs import job_summary
 from tagloom.operators.pages import EXISTING_FIELDS
 from tagloom.operators.rules import OVERRIDE_FIELDS
 
@@ -28,6 +29,7 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": False,
 }
 RECORD_MISSING = "page data missing"
+_MARK = "total bigint, errors bigint"
 
 
 def read_table(spark: SparkSession, path: str, schema: str, format: str = "parquet") -> DataFrame:
@@ -77,10 +79,35 @@ def write_rows(rows: DataFrame, path: str, format: str = "parquet", mode: str =
     rows.write.format(format).mode(mode).save(path)
 
 
-def write_job(rows: DataFrame, counters: DataFrame, path: str, mode: str = "error") -> None:
-    """A job's result document: its rows and its counters, as JSON tables."""
-    rows.write.mode(mode).json(f"{path}/rows")
-    counters.write.mode(mode).json(f"{path}/summary")
+def write_job(rows: DataFrame, path: str, by: str = "job_id", mode: str = "error") -> None:
+    """A job's result document: its rows, then its counters, then a mark that both are whole.
+
+    The rows are evaluated once; counters come from what was written and are held against
+    the rows that were seen going in.  Without ``done``, which is written last, the
+    document is not there for ``read_job``.
+    """
+    spark, seen = rows.sparkSession, Observation()
+    failed = F.count_if(F.col("status") == "error")
+    if mode == "overwrite":
+        # An older mark must not vouch for half a document.
+        spark.createDataFrame([], _MARK).write.mode(mode).json(f"{path}/done")
+    observed = rows.observe(seen, F.count(F.lit(1)).alias("total"), failed.alias("errors"))
+    observed.write.mode(mode).json(f"{path}/rows")
+    stored = spark.read.schema(rows.schema).json(f"{path}/rows")
+    job_summary(stored.select(by, "status"), by).write.mode(mode).json(f"{path}/summary")
+    written = spark.read.schema("total bigint, errors bigint").json(f"{path}/summary")
+    total, errors = written.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("errors"), F.lit(0))).first()
+    if (total, errors) != (seen.get["total"], seen.get["errors"]):
+        raise OSError(f"{path}: {total} rows and {errors} errors were stored of {seen.get}")
+    spark.createDataFrame([(total, errors)], _MARK).coalesce(1).write.mode(mode).json(f"{path}/done")
+
+
+def read_job(spark: SparkSession, path: str, schema: str, by: str = "job_id") -> tuple[DataFrame, DataFrame]:
+    """Rows and counters of a whole job document."""
+    if spark.read.schema(_MARK).json(f"{path}/done").isEmpty():
+        raise OSError(f"{path} holds no whole job document")
+    counters = f"{by} string, total bigint, done bigint, errors bigint, success bigint"
+    return spark.read.schema(schema).json(f"{path}/rows"), spark.read.schema(counters).json(f"{path}/summary")
 
 
 def export_csv(rows: DataFrame, path: str, mode: str = "error") -> None:

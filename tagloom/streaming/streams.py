@@ -7,7 +7,7 @@ batch after a failure leaves the same table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -55,6 +55,44 @@ def stream_results(
     return _writer(rows, checkpoint, "append", available_now).format("parquet").start(path)
 
 
+# After so many micro-batches what they changed is merged into one table of latest rows.
+COMPACT_EVERY = 16
+
+
+def _saved(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """The newest merged table and the changes since, with their ``batch``; older folders are not read."""
+    rows = spark.read.schema(f"{schema}, kind string, batch bigint").parquet(path)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    merged = rows.filter("kind = 'merged'").agg(F.max("batch")).first()[0]
+    if merged is None:
+        return rows.filter("kind = 'changes'")
+    return rows.filter(f"(kind = 'merged' AND batch = {merged}) OR (kind = 'changes' AND batch > {merged})")
+
+
+def _saver(path: str, schema: str, latest: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Writes each batch to its own folder, so a replayed batch leaves the same table."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/kind=changes/batch={batch_id}")
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            # What came before, and this batch itself: also in a replay, which has its merged table already.
+            earlier = _saved(batch.sparkSession, path, schema, before=batch_id)
+            own = batch.sparkSession.read.schema(schema).parquet(f"{path}/kind=changes/batch={batch_id}")
+            rows = earlier.drop("kind").unionByName(own.withColumn("batch", F.lit(batch_id).cast("bigint")))
+            latest(rows).write.mode("overwrite").parquet(f"{path}/kind=merged/batch={batch_id}")
+
+    return save
+
+
+COUNTER_SCHEMA = "job_id string, done bigint, errors bigint"
+
+
+def _latest_counters(saved: DataFrame) -> DataFrame:
+    latest = F.max_by(F.struct("done", "errors"), "batch").alias("_c")
+    return saved.groupBy("job_id").agg(latest).select("job_id", "_c.done", "_c.errors")
+
+
 def stream_counters(
     rows: DataFrame, path: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
@@ -64,19 +102,14 @@ def stream_counters(
         F.count(F.lit(1)).alias("done"), F.count_if(failed).alias("errors")
     )
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
+    save = _saver(path, COUNTER_SCHEMA, _latest_counters)
     return _writer(counters, checkpoint, "update", available_now).foreachBatch(save).start()
 
 
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
     """Latest counters per job from the batches written so far."""
-    saved = spark.read.schema("job_id string, done bigint, errors bigint, batch bigint").parquet(path)
-    latest = F.max_by(F.struct("done", "errors"), "batch").alias("_c")
-    return saved.groupBy("job_id").agg(latest).select(
-        "job_id", "_c.done", "_c.errors", (F.col("_c.done") - F.col("_c.errors")).alias("success")
-    )
+    latest = _latest_counters(_saved(spark, path, COUNTER_SCHEMA))
+    return latest.select("*", (F.col("done") - F.col("errors")).alias("success"))
 
 
 _STATE_STORE = {
@@ -258,6 +291,7 @@ def stream_latest_state(
         .groupBy("job_id")
         .transformWithStateInPandas(_LatestState(), LATEST_SCHEMA, "Update", "EventTime")
     )
+    keep = _saver(path, LATEST_SCHEMA, _newest_states)
     arrived = fields.withColumn("expired", F.lit(None).cast("boolean"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -267,16 +301,19 @@ def stream_latest_state(
         late = rows.filter("expired IS NULL").join(held.select("job_id").distinct(), "job_id", "left_anti")
         late = late.groupBy("job_id").agg(F.max(F.struct(*STATE_FIELDS)).alias("_s"))
         late = late.select("job_id", "_s.*", F.lit(True).alias("expired"))
-        held.unionByName(late).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        keep(held.unionByName(late), batch_id)
 
     with _start_settings(states.sparkSession, _STATE_STORE):
         both = latest.unionByName(arrived)
         return _writer(both, checkpoint, "update", available_now).foreachBatch(save).start()
 
 
-def read_latest_state(spark: SparkSession, path: str) -> DataFrame:
-    """Newest state per job of the batches written so far, and whether it has expired since."""
-    saved = spark.read.schema(f"{LATEST_SCHEMA}, batch bigint").parquet(path)
+def _newest_states(saved: DataFrame) -> DataFrame:
     # A batch may hold a job's new state and the end of an older one.
     newest = F.max(F.struct(*STATE_FIELDS, "expired")).alias("_s")
     return saved.groupBy("job_id").agg(newest).select("job_id", "_s.*")
+
+
+def read_latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """Newest state per job of the batches written so far, and whether it has expired since."""
+    return _newest_states(_saved(spark, path, LATEST_SCHEMA))

@@ -1,10 +1,12 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom import (
     generate_rules,
+    job_frontier,
     job_summary,
     latest_state,
     live_states,
@@ -14,7 +16,7 @@ from tagloom import (
     run_job,
     url_lists,
 )
-from tagloom.operators.jobs import NOT_FETCHED
+from tagloom.operators.jobs import NOT_FETCHED, wanted_fetches
 from tagloom.sources import tables as T
 
 HTML = "<title>t</title><body><h1>A heading of sufficient length here</h1><p>" + "Words. " * 20 + "</p></body>"
@@ -133,7 +135,64 @@ def test_stored_records_and_sinks(spark, tmp_path):
     T.export_csv(rows, str(tmp_path / "csv"))
     back = T.read_csv(spark, str(tmp_path / "csv"), "x string, y string")
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in rows.collect()}
-    T.write_job(rows, rows.agg(F.count("*").alias("total")), str(tmp_path / "job"))
-    assert spark.read.json(str(tmp_path / "job" / "summary")).collect()[0].total == 2
     T.write_rows(rows, str(tmp_path / "orc"), "orc")
     assert T.read_table(spark, str(tmp_path / "orc"), "x string, y string", "orc").count() == 2
+
+
+def test_job_document_is_evaluated_once_and_marked_last(spark, tmp_path, sf_dir):
+    path, evaluated = str(tmp_path / "job"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            evaluated.add(batch.num_rows)
+            yield batch
+
+    schema = "job_id string, url string, status string"
+    values = [("a", "u1", "ok"), ("a", "u2", "error"), ("b", "ü", "ok")]
+    rows = spark.createDataFrame(values, schema).mapInArrow(counted, schema)
+    T.write_job(rows, path)
+    assert evaluated.value == 3
+    stored, counters = T.read_job(spark, path, schema)
+    assert sorted(map(tuple, stored.collect())) == sorted(values)
+    assert sorted(map(tuple, counters.collect())) == [("a", 2, 2, 1, 1), ("b", 1, 1, 0, 1)]
+
+    def broken(batches):
+        yield next(batches)
+        raise OSError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        T.write_job(spark.createDataFrame(values, schema).mapInArrow(broken, schema), path, mode="overwrite")
+    # The older mark no longer vouches for what is there now.
+    with pytest.raises(OSError, match="no whole job"):
+        T.read_job(spark, path, schema)
+    T.write_job(spark.createDataFrame([], schema), path, mode="overwrite")
+    assert T.read_job(spark, path, schema)[1].collect() == []
+
+
+def test_job_arguments_become_urls(spark):
+    docs = [
+        ("https://a.com/sitemap.xml", 200, "<urlset><url><loc>https://a.com/1</loc></url><url><loc>https://a.com/2</loc></url></urlset>"),
+    ]
+    site_docs = spark.createDataFrame(docs, "doc_url string, http_status int, body string")
+    jobs = spark.createDataFrame(
+        [("j1", "https://a.com/"), ("j/2", ' ["u", "v", "u"] '), ("j3", "https://gone.com"), ("j4", "[]"), ("j5", "https://a.com/")],
+        "job_id string, arg string",
+    )
+    frontier, failures = job_frontier(jobs, site_docs)
+    assert sorted((r.job_id, r.pos, r.url) for r in frontier.collect()) == [
+        ("j1", 0, "https://a.com/1"), ("j1", 1, "https://a.com/2"), ("j2", 0, "u"), ("j2", 1, "v"), ("j2", 2, "u"),
+        ("j5", 0, "https://a.com/1"), ("j5", 1, "https://a.com/2"),
+    ]
+    assert sorted(r.job_id for r in failures.collect()) == ["j3", "j4"]
+
+
+def test_only_wanted_fetches_are_extracted(spark):
+    fetches = spark.range(20_000).select(F.concat(F.lit("https://a.com/"), "id").alias("url"), F.lit("x").alias("html"))
+    frontier = fetches.filter(F.xxhash64("url") % 100 == 0).select("url")
+    n = frontier.count()
+    kept = wanted_fetches(fetches, frontier)
+    assert n <= kept.count() <= n + 20 and kept.join(frontier, "url", "left_semi").count() == n
+    # Too small a filter lets more through and loses nothing.
+    small = wanted_fetches(fetches, frontier, bits=256)
+    assert n < small.count() and small.join(frontier, "url", "left_semi").count() == n
+    assert wanted_fetches(fetches, frontier.limit(0)).count() == 0

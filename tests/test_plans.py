@@ -57,6 +57,17 @@ def test_documents_are_not_exchanged_by_a_job(spark, sf_dir):
         assert "html" not in head and "body_text" not in head
 
 
+def test_a_job_extracts_what_its_frontier_wants(spark, sf_dir):
+    """With broadcasts off: the filter stands below the extraction, and its fixed size is broadcast all the same."""
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        fetches = T.fetches_of_pages(pages(spark, sf_dir))
+        frontier = I.frontier(spark, sf_dir).limit(1)
+        rows = run_job(frontier, fetches)
+        text = plan(rows)
+        assert text.index("regexp_extract") < text.index("BroadcastNestedLoopJoin")
+        assert rows.collect()[0].status == "ok"
+
+
 @pytest.mark.parametrize(
     "name", "meta_rules overrides_apply prompt_build model_generate response_apply job_rows link_frontier page_links".split()
 )

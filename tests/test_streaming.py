@@ -35,6 +35,21 @@ def test_counters_over_batches(spark, tmp_path):
     assert got == {"a": (6, 3, 3), "only0": (1, 0, 1), "only1": (1, 0, 1), "only2": (1, 0, 1)}
 
 
+def test_merged_tables_stand_for_the_batches_before(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "COMPACT_EVERY", 2)
+    out, schema = str(tmp_path / "out"), S.COUNTER_SCHEMA
+    save = S._saver(out, schema, S._latest_counters)
+    batches = [[("a", 1, 0), ("b", 1, 1)], [("a", 2, 0)], [("c", 1, 0)], [("a", 3, 1)], [("b", 2, 1)]]
+    for number, rows in enumerate(batches):
+        save(spark.createDataFrame(rows, schema), number)
+    # A replay of a batch that was merged already.
+    save(spark.createDataFrame(batches[3], schema), 3)
+    want = {"a": (3, 1, 2), "b": (2, 1, 1), "c": (1, 0, 1)}
+    assert {r.job_id: (r.done, r.errors, r.success) for r in S.read_counters(spark, out).collect()} == want
+    read = S._saved(spark, out, schema)
+    assert {(r.kind, r.batch) for r in read.select("kind", "batch").collect()} == {("merged", 3), ("changes", 4)}
+
+
 def test_rate_limit_over_batches(spark, tmp_path):
     rows = [("ab"[i % 3 == 0], START + timedelta(seconds=7 * i), i) for i in range(60)]
     rows += [("late", START + timedelta(seconds=500 + i), 100 + i) for i in range(5)]
