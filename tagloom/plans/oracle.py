@@ -406,6 +406,29 @@ JOB = f"""{rows_ctes(FETCHED)}, frontier AS ({select(I.FRONTIER, 'pages')}),
 SUMMARY = """SELECT job_id, count(*) AS total, count(*) AS done, count(*) FILTER (status = 'error') AS errors,
   count(*) FILTER (status <> 'error') AS success FROM job GROUP BY job_id"""
 
+# A job of the same pages in which every url is fetched.
+ALL_JOBS = f"""{rows_ctes(FETCHED)},
+  job AS (SELECT 'job-' || page_id % 5 AS job_id, page_id AS pos, r.* FROM results r)"""
+
+
+def events_of(job: str) -> str:
+    """Events of the jobs in ``job``, a list of common table expressions."""
+    row = ", ".join(f"'{f}': {f}" for f in _FIELDS if f not in ("error", "error_code"))
+    head = "'current': k, 'total': n"
+    return f"""WITH {job},
+      placed AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY job_id) AS n FROM job)
+      SELECT job_id, 0::BIGINT AS seq, 'urls_found' AS event,
+        to_json({{'count': count(*), 'urls': list(url ORDER BY k)}})::VARCHAR AS data FROM placed GROUP BY job_id
+      UNION ALL SELECT job_id, 16 * k, 'progress', to_json({{{head}, 'url': url, 'phase': 'crawling'}})::VARCHAR FROM placed
+      UNION ALL SELECT job_id, 16 * k + 1, 'progress', to_json({{{head}, 'url': url, 'phase': 'generating'}})::VARCHAR
+        FROM placed WHERE status = 'ok'
+      UNION ALL SELECT job_id, 16 * k + 15, 'result', CASE status
+        WHEN 'ok' THEN to_json({{{head}, 'row': {{'url': url, {row}}}}})::VARCHAR
+        ELSE to_json({{{head}, 'row': {{'url': url, 'status': status, 'error': error, 'errorCode': error_code}}}})::VARCHAR END FROM placed
+      UNION ALL SELECT job_id, 16 * (count(*) + 1), 'done', to_json({{'total': count(*),
+        'success': count(*) FILTER (status <> 'error'), 'errors': count(*) FILTER (status = 'error')}})::VARCHAR FROM placed GROUP BY job_id"""
+
+
 _TRANSIENT = "(coalesce(error LIKE '%503%', false) OR coalesce(error LIKE '%429%', false))"
 RESOLVED = f"""WITH log AS ({select(I.ATTEMPTS, 'events')}),
   seen AS (SELECT *, coalesce(sum(CASE WHEN ok OR NOT {_TRANSIENT} THEN 1 ELSE 0 END) OVER (
@@ -542,6 +565,8 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT 'job-' || page_id, 0, NULL, url FROM pages WHERE page_id % 2 = 1""",
         "records_roundtrip": f"""SELECT * FROM ({META_OVERRIDDEN} SELECT url, title, description, keywords FROM meta)
           UNION ALL SELECT * FROM ({META} SELECT url, title, description, keywords FROM meta)""",
+        "job_events": events_of(JOB),
+        "stream_feed": events_of(ALL_JOBS),
         "address_key": f"""SELECT event_id, regexp_replace(coalesce({I.ADDRESS}, '0'), '[^a-fA-F0-9.:]', '', 'g') AS key FROM events""",
         "job_id_clean": f"""SELECT event_id, regexp_replace(coalesce({I.JOB_NAME}, ''), '[^a-zA-Z0-9_-]', '', 'g') AS job_id FROM events""",
         "csv_export": f"WITH {rows_ctes(FETCHED)} SELECT page_id, url, title, description, status, error FROM results",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.config import DEFAULTS
@@ -17,6 +17,7 @@ from tagloom.functions.errors import clean_job_id, error_code, key_of_address
 from tagloom.functions.text import build_description, optimize_title, trim_to_length
 from tagloom.functions.urls import url_host
 from tagloom.operators import discovery as D
+from tagloom.operators import events as E
 from tagloom.operators import jobs as J
 from tagloom.operators import responses as M
 from tagloom.operators import rules as R
@@ -25,6 +26,7 @@ from tagloom.operators.ratelimit import rate_limit
 from tagloom.plans import inputs as I
 from tagloom.session import materialize, scratch_path
 from tagloom.sources import tables as T
+from tagloom.sources.feed import read_feed
 from tagloom.streaming import streams as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,6 +424,27 @@ def stream_latest_state(spark, sf_dir):
     return S.read_latest_state(spark, out)
 
 
+def _dense(frontier):
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("pos")) - 1
+    return frontier.withColumn("pos", place)
+
+
+def job_events(spark, sf_dir):
+    frontier = materialize(_dense(I.frontier(spark, sf_dir)), "frontier")
+    rows = materialize(J.run_job(frontier, I.page_fetch(spark, sf_dir)), "job")
+    return E.job_events(frontier, rows)
+
+
+def stream_feed(spark, sf_dir):
+    """The same pages as they arrive; every url of every job is fetched."""
+    path, fetched = scratch_path(spark, "feed"), I.page_fetch(spark, sf_dir)
+    jobs = F.concat(F.lit("job-"), (F.col("page_id") % 5).cast("string")).alias("job_id")
+    frontier = _dense(fetched.select(jobs, F.col("page_id").alias("pos"), "url"))
+    fetches = I.derive(_stream(spark, sf_dir, "pages"), I.PAGE_FETCH).drop("page_id")
+    S.stream_events(frontier, fetches, path, scratch_path(spark, "checkpoint")).awaitTermination()
+    return read_feed(spark, path).drop("batch")
+
+
 def address_key(spark, sf_dir):
     addresses = I.derive(I.events(spark, sf_dir), {"event_id": "event_id", "address": I.ADDRESS})
     return addresses.select("event_id", key_of_address("address").alias("key"))
@@ -492,6 +515,8 @@ def queries() -> dict[str, Query]:
         "job_document": job_document,
         "stream_pages": stream_pages,
         "stream_counters": stream_counters,
+        "job_events": job_events,
+        "stream_feed": stream_feed,
         "address_key": address_key,
         "job_id_clean": job_id_clean,
         "mode_dispatch": mode_dispatch,

@@ -19,9 +19,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tagloom.config import DEFAULTS, Options
-from tagloom.operators.jobs import page_results
+from tagloom.operators.events import done_event, numbered_frontier, url_events, urls_found
+from tagloom.operators.jobs import page_results, wanted_fetches
 from tagloom.operators.ratelimit import place_requests
 from tagloom.session import materialize
+from tagloom.sources.feed import FEED, register_feed
 
 
 def _writer(df: DataFrame, checkpoint: str, mode: str, available_now: bool):
@@ -112,6 +114,83 @@ def read_counters(spark: SparkSession, path: str) -> DataFrame:
     return latest.select("*", (F.col("done") - F.col("errors")).alias("success"))
 
 
+_RESULTS = "job_id string, total bigint, n bigint, errors bigint"
+_STEPS = "job_id string, event string, total bigint, errors bigint"
+
+
+def _count_results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results and errors per job, combined inside a task before the exchange."""
+    counts: dict[tuple[str, int], list[int]] = {}
+    schema = pa.schema([("job_id", pa.string()), ("total", pa.int64()), ("n", pa.int64()), ("errors", pa.int64())])
+
+    def flush() -> pa.RecordBatch:
+        rows = [(*key, *found) for key, found in counts.items()]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    for batch in batches:
+        for job, total, failed in zip(*[c.to_pylist() for c in batch.columns]):
+            found = counts.setdefault((job, total), [0, 0])
+            found[0] += 1
+            found[1] += failed
+        if len(counts) > _HELD_COUNTS:
+            yield flush()
+    if counts:
+        yield flush()
+
+
+class _JobProgress(StatefulProcessor):
+    """Says when a job's first result came and when its last one did."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "done bigint, errors bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.seen.exists()
+        done, errors = self.seen.get() if known else (0, 0)
+        before, total = done, 0
+        for chunk in rows:
+            done, errors = done + int(chunk["n"].sum()), errors + int(chunk["errors"].sum())
+            total = int(chunk["total"].max())
+        self.seen.update((done, errors))
+        steps = ([] if known else ["urls_found"]) + (["done"] if before < total <= done else [])
+        if steps:
+            yield pd.DataFrame([(key[0], s, total, errors) for s in steps], columns=["job_id", "event", "total", "errors"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_events(
+    frontier: DataFrame,
+    fetches: DataFrame,
+    path: str,
+    checkpoint: str,
+    options: Options = DEFAULTS,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """The events of running jobs, appended to a feed as pages arrive; ``read_feed`` reads it.
+
+    ``frontier(job_id, pos, url)`` is a table.  A job's ``urls_found`` comes with its first
+    result and its ``done`` with the last of its urls, one fetch per url; the state behind
+    both sees counts per job and task, never the results.
+    """
+    spark = fetches.sparkSession
+    numbered = materialize(numbered_frontier(frontier), "feed-frontier")
+    results = page_results(wanted_fetches(fetches, numbered), options=options)
+    rows = results.join(numbered, "url")
+    failed = (F.col("status") == "error").cast("bigint").alias("failed")
+    steps = rows.select("job_id", "total", failed).mapInArrow(_count_results, _RESULTS)
+    steps = steps.groupBy("job_id").transformWithStateInPandas(_JobProgress(), _STEPS, "Append", "None")
+    done = steps.filter("event = 'done'").select("job_id", done_event(F.col("total"), F.col("errors")).alias("e")).select("job_id", "e.*")
+    lists = materialize(urls_found(numbered), "feed-lists")
+    found = steps.filter("event = 'urls_found'").select("job_id").join(lists, "job_id")
+    register_feed(spark)
+    with _start_settings(spark, _STATE_STORE):
+        events = url_events(rows, options).unionByName(found.select("job_id", "seq", "event", "data")).unionByName(done)
+        return _writer(events, checkpoint, "append", available_now).format(FEED).option("path", path).start()
+
+
 _STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
