@@ -5,7 +5,8 @@ can never be merged across, so every such pair marks a certain cut.  Words are
 cut there, the fragments are encoded on their own, only the last one with the
 word-end mark, and the ids are concatenated.  White space ends a word too, so a
 piece of text without white space always has the same ids: bounded tables per
-Python worker remember recent words and pieces.
+Python worker remember recent pieces.  The new pieces of a bounded stretch of text are
+encoded together, all their fragments in whole-array steps.
 
 Which characters are letters, numbers and lower-case forms is the library's own
 business: beyond Latin its normaliser and splitter are asked for the words.  The
@@ -25,6 +26,7 @@ import json
 import re
 import struct
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,30 +40,14 @@ from tagloom.llm.common import arrow_rows, narrow
 
 # Fixed: the characters that the pattern \s stands for.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECE = re.compile(f"[^{_SPACE}]+")
+_PIECE, _BLANK = re.compile(f"[^{_SPACE}]+"), re.compile(f"[{_SPACE}]")
 _ODD = re.compile("[\x1c-\x1f]")
 # Beyond Latin, which characters are letters depends on the Unicode version of the library.
 _FAR = re.compile("[^\0-\u024f]")
-_REMEMBERED, _LONGEST, _SHORT, _NONE = 60_000, 64, 64, 1 << 60
-
-
-class Recent:
-    """The last seen keys, between one and two times ``size`` of them: two generations of a dictionary."""
-
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def get(self, key: str) -> bytes | None:
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(key) <= _LONGEST:
-            if len(self.young) >= self.size:
-                self.young, self.old = {}, self.young
-            self.young[key] = value
+_REMEMBERED, _LONGEST, _SHORT = 60_000, 64, 64
+# Characters of text whose pieces are looked at together.
+_TOGETHER = 1 << 19
+_NONE = np.int64(1 << 60)
 
 
 def byte_symbols() -> dict[str, int]:
@@ -86,11 +72,24 @@ class Vocabulary:
             data = [symbols[c] for c in body if c in symbols]
             self.joined.update(a << 8 | b for a, b in zip(data, data[1:]))
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {ids[a] << 20 | ids[b]: rank << 20 | ids[a + b] for rank, (a, b) in enumerate(merges)}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.merges = {ids[a] << 20 | ids[b]: rank << 20 | ids[a + b] for rank, (a, b) in enumerate(pairs)}
+        keys = np.fromiter(self.merges, np.int64, len(self.merges))
+        order = np.argsort(keys)
+        self.keys, self.found = keys[order], np.fromiter(self.merges.values(), np.int64, len(keys))[order]
+        made = {found & 0xFFFFF: found >> 20 for found in self.merges.values()}
+        # A pair is merged in all places of a fragment at once if no merge builds on a later one.
+        self.ordered = all(
+            found >> 20 > max(made.get(key >> 20, -1), made.get(key & 0xFFFFF, -1)) for key, found in self.merges.items()
+        )
+        self.symbols = np.array([self.inner, self.last], np.int64)
+        self.inside = np.zeros(1 << 16, bool)
+        self.inside[list(self.joined)] = True
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"\s", _SPACE))
+        self.letters_are_words = not any(t.isalpha() for t in self.special) and self.words.findall("abc") == ["abc"]
         # Only its normaliser is wanted, so the library gets no tokens to hold.
         bare = {**spec, "added_tokens": [], "model": {**model, "vocab": {}, "merges": []}}
         self.normalizer = Tokenizer.from_str(json.dumps(bare)).normalizer
@@ -98,23 +97,57 @@ class Vocabulary:
         self.tokens = [""] * (max([*ids.values(), *self.special.values()]) + 1)
         for token, number in [*ids.items(), *self.special.items()]:
             self.tokens[number] = token
-        self.words_seen, self.pieces_seen = Recent(_REMEMBERED), Recent(_REMEMBERED)
-
-    def merged(self, ids: list[int]) -> list[int]:
-        """Merge the pair of lowest rank, leftmost first, until none is left."""
-        if len(ids) > _SHORT:
-            return self.merged_long(ids)
-        merges = self.merges
-        ranks = [merges.get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
-        while ranks and (least := min(ranks)) < _NONE:
-            i = ranks.index(least)
-            ids[i] = new = least & 0xFFFFF
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = merges.get(ids[i - 1] << 20 | new, _NONE)
-            if i < len(ranks):
-                ranks[i] = merges.get(new << 20 | ids[i + 1], _NONE)
-        return ids
+        # Packed ids of recent pieces, in two generations.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and product of pairs of tokens, as one number; those that do not merge get the largest."""
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.found[at], _NONE)
+
+    def merged(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fragments that begin at ``starts``, each merged on its own: ids, and the fragment of each.
+
+        In every round each fragment merges its pair of lowest rank wherever it stands, from
+        left to right; fragments without one are done and leave the arrays.
+        """
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+        names = np.arange(len(starts))
+        rank = np.full(len(ids), _NONE)
+        rank[:-1] = np.where(owner[1:] == owner[:-1], self.ranks(ids[:-1], ids[1:]), _NONE)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            least = np.minimum.reduceat(rank, starts)
+            alive = least < _NONE
+            if not alive.all():
+                stays = alive[owner]
+                done.append((ids[~stays], names[owner[~stays]]))
+                ids, rank = ids[stays], rank[stays]
+                owner = (np.cumsum(alive) - 1)[owner[stays]]
+                names, least = names[alive], least[alive]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == least[owner])
+            # Of overlapping places, equal tokens in a row, every second one.
+            first = np.append(True, np.diff(at) > 1)
+            at = at[(np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]) % 2 == 0]
+            ids[at] = rank[at] & 0xFFFFF
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            at = at - np.arange(len(at))
+            ids, rank, owner = ids[stays], rank[stays], owner[stays]
+            for i in (at, at[at > 0] - 1):
+                i = i[i + 1 < len(ids)]
+                rank[i] = np.where(owner[i] == owner[i + 1], self.ranks(ids[i], ids[i + 1]), _NONE)
+            rank[-1] = _NONE
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        if not done:
+            return ids, owner
+        ids, names = (np.concatenate(c) for c in zip(*done))
+        order = np.argsort(names, kind="stable")
+        return ids[order], names[order]
 
     def merged_long(self, ids: list[int]) -> list[int]:
         """The same in n log n steps: a heap over linked places."""
@@ -138,58 +171,127 @@ class Vocabulary:
                     heapq.heappush(heap, (found >> 20, a, found & 0xFFFFF, ids[a], ids[b]))
         return [x for x in ids if x >= 0]
 
-    def fragments(self, data: bytes) -> list[bytes]:
-        """A word cut at every pair of bytes that no token joins."""
-        joined = self.joined
-        cuts = [i for i, (a, b) in enumerate(zip(data, data[1:]), 1) if a << 8 | b not in joined]
-        return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])] if cuts else [data]
-
-    def word(self, word: str) -> list[int]:
-        parts, out = self.fragments(word.encode()), []
-        for part in parts[:-1]:
-            out += self.merged([i for i in map(self.inner.__getitem__, part) if i >= 0])
-        ids = [*map(self.inner.__getitem__, parts[-1][:-1]), self.last[parts[-1][-1]]]
-        return out + self.merged([i for i in ids if i >= 0])
-
-    def packed_word(self, word: str) -> bytes:
-        known = self.words_seen.get(word)
-        if known is None:
-            ids = self.word(word)
-            known = struct.pack(f"<{len(ids)}I", *ids)
-            self.words_seen.put(word, known)
-        return known
-
-    def plain(self, piece: str) -> bytes:
-        """Packed ids of text without special tokens: words by pattern, each by its fragments."""
-        if _FAR.search(piece):
-            split = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))
-            words = [w for w, _ in split]
+    def words_encoded(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words: cut at every pair of bytes that no token joins, fragments on their own, concatenated."""
+        if not words:
+            return []
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        ends = np.cumsum([len(w) for w in words])
+        word = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+        last = np.zeros(len(data), np.int64)
+        last[ends - 1] = 1
+        begins = np.ones(len(data), bool)
+        begins[1:] = (last[:-1] == 1) | ~self.inside[data[:-1] << 8 | data[1:]]
+        ids = self.symbols[last, data]
+        fragment = np.cumsum(begins) - 1
+        # Bytes without a symbol vanish; a fragment of nothing else has no ids.
+        known = ids >= 0
+        ids, fragment, word = ids[known], fragment[known], word[known]
+        starts = np.flatnonzero(np.append(True, fragment[1:] != fragment[:-1])) if len(ids) else np.zeros(0, np.int64)
+        owners = word[starts]
+        long = np.diff(np.append(starts, len(ids))) > (_SHORT if self.ordered else 0)
+        if long.any():
+            parts = np.split(ids, starts[1:])
+            merged = [self.merged_long(p.tolist()) if n else p.tolist() for p, n in zip(parts, long.tolist())]
+            ids = np.array([i for m in merged for i in m], np.int64)
+            starts = np.cumsum([0, *[len(m) for m in merged[:-1]]])
+            short, names = ~long, np.arange(len(starts))
+            inside = np.repeat(short, [len(m) for m in merged])
+            kept = ids[inside]
+            begin = np.cumsum([0, *[len(m) for m, s in zip(merged, short.tolist()) if s][:-1]]) if short.any() else starts[:0]
+            fresh, which = self.merged(kept, begin) if len(kept) else (kept, kept)
+            which = np.flatnonzero(short)[which]
+            ids = np.concatenate([fresh, ids[~inside]])
+            which = np.concatenate([which, np.repeat(names, [len(m) for m in merged])[~inside]])
+            order = np.argsort(which, kind="stable")
+            ids, which = ids[order], which[order]
         else:
-            words = self.words.findall((piece if piece.isascii() else unicodedata.normalize("NFC", piece)).lower())
-        return b"".join(map(self.packed_word, words))
-
-    def piece(self, piece: str) -> bytes:
-        known = self.pieces_seen.get(piece)
-        if known is not None:
-            return known
-        out, at = [], 0
+            ids, which = self.merged(ids, starts)
+        sizes = 4 * np.bincount(owners[which], minlength=len(words))
+        packed, upto = ids.astype("<u4").tobytes(), np.cumsum(sizes).tolist()
+        return [packed[a:b] for a, b in zip([0, *upto], upto)]
+
+    def words_of(self, text: str) -> list[str]:
+        """Words by pattern of text without special tokens and white space."""
+        if _FAR.search(text):
+            return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        return self.words.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+
+    def parts_of(self, piece: str) -> list[str | int]:
+        """Words and ids of special tokens of a piece, in order."""
+        if self.letters_are_words and piece.isalpha() and piece.isascii():
+            return [piece.lower()]
+        parts, at = [], 0
         for special in self.special_pattern.finditer(piece):
-            out += [self.plain(piece[at : special.start()]), struct.pack("<I", self.special[special[0]])]
+            parts += [*self.words_of(piece[at : special.start()]), self.special[special[0]]]
             at = special.end()
-        packed = b"".join([*out, self.plain(piece[at:])])
-        self.pieces_seen.put(piece, packed)
-        return packed
+        return parts + self.words_of(piece[at:] if at else piece)
+
+    def learn(self, pieces: set[str]) -> list[str]:
+        """Have the packed ids of all ``pieces`` at hand; returns those that are too long to be remembered."""
+        young, old = self.young, self.old
+        new = {}
+        for piece in pieces:
+            if piece in young:
+                continue
+            known = old.get(piece)
+            if known is None:
+                new[piece] = self.parts_of(piece)
+            else:
+                young[piece] = known
+        words = list({w for parts in new.values() for w in parts if w.__class__ is str})
+        packed = dict(zip(words, self.words_encoded([w.encode() for w in words])))
+        for piece, parts in new.items():
+            young[piece] = b"".join([packed[p] if p.__class__ is str else struct.pack("<I", p) for p in parts])
+        return [p for p in new if len(p) > _LONGEST]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of texts as little-endian unsigned 32-bit integers; their pieces are learned together, a bounded stretch at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            once = self.learn(set().union(*[p for _, p in held]))
+            for i, pieces in held:
+                out[i].append(b"".join(map(self.young.__getitem__, pieces)))
+            held.clear()
+            for piece in once:
+                del self.young[piece]
+            if len(self.young) >= _REMEMBERED:
+                self.young, self.old = {}, self.young
+
+        for i, text in enumerate(texts):
+            for part in _stretches(text or ""):
+                held.append((i, part.split() if part.isascii() and not _ODD.search(part) else _PIECE.findall(part)))
+                size += len(part)
+                if size >= _TOGETHER:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        return [b"".join(parts) for parts in out]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        pieces = text.split() if text.isascii() and not _ODD.search(text) else _PIECE.findall(text)
-        return b"".join(map(self.piece, pieces))
+        return self.encode_all([text])[0]
 
     def decode(self, packed: bytes) -> str:
         """Without a decoder the library joins token strings by spaces."""
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
+def _stretches(text: str) -> Iterator[str]:
+    """A long text in stretches, cut at white space."""
+    at = 0
+    while len(text) - at > _TOGETHER:
+        space = _BLANK.search(text, at + _TOGETHER)
+        if space is None:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:] if at else text
+
+
 @lru_cache(maxsize=1)
 def _loaded(raw: str) -> Vocabulary:
     return Vocabulary(raw)
@@ -206,7 +308,7 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
 
     def make(ids: list, texts: list) -> list[list]:
         vocabulary = _loaded(raw.value)
-        packed = [vocabulary.encode(t) if t else b"" for t in texts]
+        packed = vocabulary.encode_all(texts)
         return [ids, [len(p) // 4 for p in packed], packed]
 
     rows = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -231,7 +333,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
 
     def make(ids: list, texts: list) -> list[list]:
         vocabulary = _loaded(raw.value)
-        packed = [vocabulary.encode(t) if t else b"" for t in texts]
+        packed = vocabulary.encode_all(texts)
         return [ids, [len(p) // 4 for p in packed], packed, [vocabulary.decode(p) if p else "" for p in packed]]
 
     rows = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -1,9 +1,12 @@
+import random
+
 import numpy as np
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
+from tagloom.llm import bpe  # noqa: E402
 from tagloom.llm.bpe import Vocabulary, bpe_decode, bpe_encode, bpe_round_trip  # noqa: E402
 
 PATH = P.path("word_bpe_49k.json")
@@ -28,13 +31,33 @@ def test_texts_equal_the_library(library):
         assert known.decode(packed) == library.decode(want, skip_special_tokens=False)
 
 
-def test_cuts_never_cross_a_merge(library):
+def test_fragments_are_encoded_on_their_own(library):
+    """Concatenated fragments are the word; no fragment holds a pair that no token joins."""
+    known = Vocabulary(open(PATH, encoding="utf-8").read())
+    words = ["internationalisation", "xqzjxqv", "été", "naïveté", "a" * 63, "a" * 64, "a" * 65, "ab" * 40 + "c", "x", "9", "​"]
+    together = known.words_encoded([w.encode() for w in words])
+    for word, packed in zip(words, together):
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode(word, add_special_tokens=False).ids, word
+    data = np.frombuffer("xqzjxqv".encode(), np.uint8).astype(int)
+    assert not known.inside[data[:-1] << 8 | data[1:]].all()
+    assert known.words_encoded([]) == []
+    # Merges that build on later ones are merged one by one.
+    known.ordered = False
+    assert known.words_encoded([w.encode() for w in words]) == together
+
+
+def test_random_words_and_stretches_equal_the_library(library, monkeypatch):
     known = Vocabulary(open(PATH, encoding="utf-8").read())
-    for word in ("internationalisation", "xqzjxqv", "été", "naïveté"):
-        parts = known.fragments(word.encode())
-        assert b"".join(parts) == word.encode()
-        assert known.word(word) == library.encode(word, add_special_tokens=False).ids
-    assert len(known.fragments("xqzjxqv".encode())) > 1
+    rng = random.Random(3)
+    alphabet = "aabbeeioutnrs'stdLé9.,!-ß日🙂 \n"
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 400))) for _ in range(300)] + TEXTS
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(p, "<u4").tolist() for p in known.encode_all(texts)] == want
+    # The same with stretches of a few characters and memories of a few pieces.
+    monkeypatch.setattr(bpe, "_TOGETHER", 50)
+    monkeypatch.setattr(bpe, "_REMEMBERED", 20)
+    assert [np.frombuffer(p, "<u4").tolist() for p in known.encode_all(texts)] == want
+    assert len(known.young) + len(known.old) < 200
 
 
 def test_odd_rows(odd, rows, library, none):
