@@ -23,6 +23,7 @@ from tagloom.functions.sql_text import (
     present_sql,
     quote,
     replace_sql,
+    scan_sql,
     strip_tags_sql,
     trim_sql,
 )
@@ -70,8 +71,6 @@ FURNITURE_TOKEN = (
     rf"(?is)<(?:{_FURNITURE})(?:>|[\s/]{_TAG_END})|</(?:{_FURNITURE})\s*>"
     rf"|(?:[^<]++|<(?!(?:{_FURNITURE})[\s/>]|/(?:{_FURNITURE})\s*>))++"
 )
-# Kept stretches are gathered in chunks of this size: appending copies no more than one.
-_CHUNK = 256
 ANY_TAG = rf"(?is)<[a-z/!?]{_TAG_END}"
 PARAGRAPH_START = r"(?i)<p(?:>|\s[^>]*+(?:>|\z))"
 # Tags whose start or end closes an open paragraph.
@@ -208,17 +207,17 @@ def _balanced(markup: str) -> str:
     """
     tokens = f"""transform({extract_all_sql(markup, FURNITURE_TOKEN)}, t -> struct(t AS text,
         lower({extract_sql('t', FURNITURE_OPEN, 1)}) AS opens, lower({extract_sql('t', FURNITURE_CLOSE, 1)}) AS closes))"""
-    outside = "s.outer = '' AND t.opens = ''"
-    return f"""aggregate({tokens},
-        struct('' AS outer, 0 AS depth, cast(array() AS array<string>) AS chunk, cast(array() AS array<array<string>>) AS chunks),
-        (s, t) -> struct(
-          CASE WHEN s.outer = '' THEN t.opens WHEN t.closes = s.outer AND s.depth = 1 THEN '' ELSE s.outer END AS outer,
-          CASE WHEN s.outer = '' THEN cast(t.opens <> '' AS int) WHEN t.opens = s.outer THEN s.depth + 1
-            WHEN t.closes = s.outer THEN s.depth - 1 ELSE s.depth END AS depth,
-          CASE WHEN NOT ({outside}) THEN s.chunk WHEN size(s.chunk) >= {_CHUNK} THEN array(t.text)
-            ELSE concat(s.chunk, array(t.text)) END AS chunk,
-          CASE WHEN {outside} AND size(s.chunk) >= {_CHUNK} THEN concat(s.chunks, array(s.chunk)) ELSE s.chunks END AS chunks),
-        s -> array_join(flatten(concat(s.chunks, array(s.chunk))), ''))"""
+
+    def step(s: str, t: str) -> str:
+        return f"""struct(
+          CASE WHEN {s}.outer = '' THEN {t}.opens WHEN {t}.closes = {s}.outer AND {s}.depth = 1 THEN '' ELSE {s}.outer END AS outer,
+          CASE WHEN {s}.outer = '' THEN cast({t}.opens <> '' AS int) WHEN {t}.opens = {s}.outer THEN {s}.depth + 1
+            WHEN {t}.closes = {s}.outer THEN {s}.depth - 1 ELSE {s}.depth END AS depth)"""
+
+    kept = scan_sql("tokens", "struct('' AS outer, 0 AS depth)", step, lambda s, t: f"{s}.outer = '' AND {t}.opens = ''", "boolean")
+    outside = f"""get(transform(array({kept}), kept ->
+        array_join(transform(filter(tokens, (t, k) -> get(kept, k)), t -> t.text), '')), 0)"""
+    return f"get(transform(array({tokens}), tokens -> {outside}), 0)"
 
 
 def without_furniture(markup: str) -> str:

@@ -6,6 +6,8 @@ call instead of thousands of driver round trips to build the same tree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from tagloom.functions.text import TAG_LIKE, TRIM_CHARS
 
 
@@ -39,3 +41,23 @@ def extract_all_sql(x: str, pattern: str, group: int = 0) -> str:
 
 def strip_tags_sql(x: str) -> str:
     return replace_sql(x, TAG_LIKE)
+
+
+_RUN = 256
+
+
+def scan_sql(items: str, state: str, step: Callable[[str, str], str], out: Callable[[str, str], str], kind: str) -> str:
+    """One value per element of the array ``items``: ``out`` of the state before it and the element.
+
+    ``state`` is a small struct that ``step`` carries on.  An accumulator is copied at every
+    step, so results are not gathered in one: states are kept at every 256th element, and
+    each such run is then worked off with a list of its own.  ``items`` names a column or a
+    lambda variable, ``kind`` is the type of ``out``.
+    """
+    runs = f"sequence(0, cast(greatest(size({items}) - 1, 0) div {_RUN} AS int))"
+    run = f"slice({items}, i * {_RUN} + 1, {_RUN})"
+    starts = f"""aggregate({runs}, array({state}), (z, i) -> concat(z, array(
+        aggregate({run}, element_at(z, -1), (s, e) -> {step('s', 'e')}))))"""
+    each = f"""aggregate({run}, struct(get(z, i) AS s, cast(array() AS array<{kind}>) AS o),
+        (a, e) -> struct({step('a.s', 'e')} AS s, concat(a.o, array({out('a.s', 'e')})) AS o), a -> a.o)"""
+    return f"get(transform(array({starts}), z -> flatten(transform({runs}, i -> {each}))), 0)"
