@@ -11,7 +11,7 @@ against, by an anti-join whose small side Spark may broadcast under its own size
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.bpe import bpe_round_trip
@@ -23,7 +23,7 @@ from tagloom.llm.near_dedup import near_duplicates
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique key per row, ``row_``: the number of its file and its place there.  Other inputs are written first."""
+    """``docs`` with a unique key per row, ``row_``: from its file and its place there.  Other inputs are written first."""
     at = ["_metadata.file_path", "_metadata.row_index"]
     try:
         placed = docs.select("*", F.col(at[0]).alias("path_"), F.col(at[1]).alias("index_"))
@@ -31,10 +31,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     except AnalysisException:
         docs = written(docs, "rows")
         placed = docs.select("*", F.col(at[0]).alias("path_"), F.col(at[1]).alias("index_"))
-    files = placed.select(F.col("path_").alias("file_")).distinct()
-    files = written(files.withColumn("number_", F.row_number().over(Window.orderBy("file_"))), "files")
-    placed = placed.join(F.broadcast(files), F.col("path_") == F.col("file_"))
-    key = F.shiftleft(F.col("number_").cast("long"), 40) + F.col("index_")
+    # The key is the hash of the file's path above the place in it.  Hashes of so many bits
+    # that no two files share one: one row per file tells, and another seed is tried if not.
+    files = written(placed.groupBy("path_").agg(F.max("index_").alias("top_")), "files")
+    n, top = files.agg(F.count(F.lit(1)), F.coalesce(F.max("top_"), F.lit(0))).first()
+    bits = max(int(top).bit_length(), 1)
+    name = lambda seed: F.shiftrightunsigned(F.xxhash64("path_", F.lit(seed)), bits + 1)
+    seed = next(s for s in range(1000) if files.select(name(s)).distinct().count() == n)
+    key = F.shiftleft(name(seed), bits) + F.col("index_")
     return placed.withColumn("row_", key).select(*[docs[c] for c in docs.columns], "row_")
 
 
