@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import spans
 from tagloom.llm.common import narrow, written
+from tagloom.operators.joins import lookup
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns.  The guards keep long runs from being tried at each of their characters:
@@ -60,11 +61,11 @@ def find(text: Column) -> Column:
     return spans.ordered(F.concat(email, ip, card, phone))
 
 
-def terms_of(text: Column, base: Column) -> Column:
-    """Lower-case words of a text outside its base spans, with their spans."""
-    words = spans.matches(text, "term", len(KINDS), TERM)
-    free = F.filter(words, lambda w: ~F.exists(base, lambda b: (w["start"] < b["end"]) & (w["end"] > b["start"])))
-    return F.transform(free, lambda w: w.withField("value", F.lower(w["value"])))
+def with_terms(df: DataFrame) -> DataFrame:
+    """Add ``terms``: the lower-case words of ``text`` outside the spans of ``base``, with their places."""
+    words = df.withColumn("terms", spans.matches(F.col("text"), "term", len(KINDS), TERM))
+    lower = "transform(terms, w -> struct(w.start AS start, w.end AS end, lower(w.value) AS value))"
+    return words.withColumn("terms", F.expr(lower)).withColumn("terms", F.expr(spans.outside("terms", "base")))
 
 
 def disclosures(held: DataFrame, corpus: DataFrame, disclose: float, remove: float, support: int) -> DataFrame:
@@ -74,14 +75,17 @@ def disclosures(held: DataFrame, corpus: DataFrame, disclose: float, remove: flo
     copies of a text are counted before pairs are formed.
     """
     texts = held.groupBy("content", "entities", "words").agg(F.count(F.lit(1)).alias("m"))
-    single = texts.select("content", "words", "m", F.explode("entities").alias("entity"))
-    supported = (
+    # Narrow rows decide which entities have support; words never meet an exchange by entity.
+    single = texts.select("content", "m", F.explode("entities").alias("entity"))
+    supported = written(
         single.groupBy("entity").agg(F.sum("m").alias("n_e"), F.count(F.lit(1)).alias("texts"))
-        .filter(F.col("texts") >= support).select("entity", "n_e")
+        .filter(F.col("texts") >= support).select("entity", "n_e"), "supported",
     )
-    single = single.join(supported.select("entity"), "entity", "left_semi")
+    own = lookup(single.select("content", "entity"), supported.select("entity"), "entity", "inner")
+    own = own.groupBy("content").agg(F.collect_set("entity").alias("own"))
     pairs = (
-        single.select("entity", "m", F.explode("words").alias("term"))
+        texts.select("content", "words", "m").join(own, "content")
+        .select("m", "words", F.explode("own").alias("entity")).select("entity", "m", F.explode("words").alias("term"))
         .groupBy("entity", "term").agg(F.sum("m").alias("n_te"), F.count(F.lit(1)).alias("texts"))
         .filter(F.col("texts") >= support)
     )
@@ -89,7 +93,7 @@ def disclosures(held: DataFrame, corpus: DataFrame, disclose: float, remove: flo
     frequency = corpus.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = corpus.agg(F.count(F.lit(1)).alias("n"))
     # One row on the right side: its size is fixed.
-    rated = pairs.join(supported, "entity").join(frequency, "term").join(F.broadcast(total), how="inner")
+    rated = lookup(lookup(pairs, supported, "entity", "inner"), frequency, "term", "inner").join(F.broadcast(total), how="inner")
     pmi = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
     information = F.log2(F.col("n") / F.col("n_e"))
     rated = rated.withColumn("pmi", pmi).withColumn("ic", information)
@@ -100,24 +104,23 @@ def disclosures(held: DataFrame, corpus: DataFrame, disclose: float, remove: flo
     )
 
 
-def sanitised(text: Column, found: Column) -> Column:
-    """The text with spans replaced: base spans by their tag, terms by ``[TERM]`` or nothing."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    tag = lambda s: F.coalesce(
-        F.element_at(F.create_map(*[F.lit(v) for pair in TAGS.items() for v in pair]), s["kind"]),
-        F.when(s["value"].startswith("-"), F.lit("")).otherwise(F.lit("[TERM]")),
-    )
-
-    def step(acc: Column, s: Column) -> Column:
-        clear = F.greatest(s["start"], acc["at"])
-        before = F.substring(text, (acc["at"] + 1).cast("int"), (clear - acc["at"]).cast("int"))
-        return F.when(s["end"] <= acc["at"], acc).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], before, tag(s)).alias("out"))
-        )
+def sanitised(text: str, found: str) -> str:
+    """SQL: the text with its ordered spans replaced, base spans by their tag, terms by ``[TERM]`` or nothing.
 
-    folded = F.aggregate(found, start, step)
-    rest = lambda f: F.concat(f["out"], F.substring(text, (f["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(found) == 0, text).otherwise(F.transform(F.array(folded), rest)[0])
+    Spans are taken in runs of 256 with their own stretch of the text: cutting a piece out of
+    a text, and appending to one, takes time by its length.
+    """
+    tags = " ".join(f"WHEN '{kind}' THEN '{tag}'" for kind, tag in TAGS.items())
+    tag = f"CASE f.kind {tags} ELSE CASE WHEN startswith(f.value, '-') THEN '' ELSE '[TERM]' END END"
+    runs = f"transform(sequence(0, cast((size({found}) - 1) div 256 AS int)), i -> slice({found}, i * 256 + 1, 256))"
+    length = "cast(greatest(array_max(transform(r, f -> f.end)) - s.at, 0L) AS int)"
+    run = f"""aggregate(r, struct(s.at AS at, '' AS out), (a, f) -> CASE WHEN f.end <= a.at THEN a ELSE struct(f.end AS at,
+        concat(a.out, substring(p, cast(a.at - s.at + 1 AS int), cast(greatest(f.start - a.at, 0L) AS int)), {tag}) AS out) END)"""
+    bound = f"get(transform(array(substring({text}, cast(s.at + 1 AS int), {length})), p -> {run}), 0)"
+    return f"""CASE WHEN size({found}) = 0 THEN {text} ELSE aggregate({runs},
+        struct(0L AS at, cast(array() AS array<string>) AS outs),
+        (s, r) -> get(transform(array({bound}), x -> struct(x.at AS at, concat(s.outs, array(x.out)) AS outs)), 0),
+        s -> concat(array_join(s.outs, ''), substring({text}, cast(s.at + 1 AS int)))) END"""
 
 
 def find_personal_data(
@@ -141,28 +144,17 @@ def find_personal_data(
     )
     content = F.xxhash64("text")
     held = table.filter(has).select("doc_id", "base", "text", "entities", content.alias("content"))
-    word = F.array_distinct(F.transform(terms_of(F.col("text"), F.col("base")), lambda w: w["value"]))
+    word = F.array_distinct(F.transform("terms", lambda w: w["value"]))
     revealing = written(
-        disclosures(held.select("content", "entities", word.alias("words")), rows, disclose, remove, support), "revealing"
+        disclosures(with_terms(held).select("content", "entities", word.alias("words")), rows, disclose, remove, support), "revealing"
     )
     # Rows with equal text share entities: the choice is made once per content.
-    told = (
-        held.select("content", "entities").dropDuplicates(["content"]).select("content", F.explode("entities").alias("entity"))
-        .join(revealing, "entity")
-        .groupBy("content").agg(F.flatten(F.collect_list(F.map_entries("revealing"))).alias("telling"))
-        .withColumn("tag", F.xxhash64("content"))
-    )
-    joined = held.withColumn("tag", F.xxhash64("content")).join(told, ["content", "tag"], "left")
-    names = F.transform("telling", lambda t: t["key"])
-    gone = F.transform(F.filter("telling", lambda t: t["value"]), lambda t: t["key"])
-    added = F.when(
-        F.col("telling").isNotNull(),
-        F.transform(
-            F.filter(terms_of(F.col("text"), F.col("base")), lambda w: F.array_contains(names, w["value"])),
-            lambda w: w.withField("value", F.when(F.array_contains(gone, w["value"]), F.concat(F.lit("-"), w["value"])).otherwise(w["value"])),
-        ),
-    ).otherwise(spans.nothing())
+    each = held.select("content", "entities").dropDuplicates(["content"]).select("content", F.explode("entities").alias("entity"))
+    told = lookup(each, revealing, "entity", "inner").groupBy("content")
+    told = told.agg(F.flatten(F.collect_list(F.map_entries("revealing"))).alias("telling"))
+    joined = with_terms(lookup(held, told, "content"))
+    added = F.when(F.col("telling").isNotNull(), F.expr(spans.named("terms", "telling", "term", len(KINDS)))).otherwise(spans.nothing())
     full = joined.withColumn("found", spans.ordered(F.concat("base", added)))
-    full = full.select("doc_id", "base", "found", sanitised(F.col("text"), F.col("found")).alias("clean"))
+    full = full.select("doc_id", "base", "found", F.expr(sanitised("text", "found")).alias("clean"))
     plain = table.filter(~has).select("doc_id", "base", F.col("base").alias("found"), F.lit(None).cast("string").alias("clean"))
     return plain.unionByName(full)

@@ -40,16 +40,31 @@ def find(text: Column) -> Column:
 def scan_blobs(versions: DataFrame, ledger: DataFrame | None, rules: str = RULES_VERSION) -> DataFrame:
     """New ledger rows for ``versions(blob, text)``: its distinct blobs that the ledger lacks.
 
-    Without a ledger nothing is joined, and copies of a blob meet before any exchange.
+    Copies of a blob meet before any exchange.
     """
-    unseen = versions
-    if ledger is not None:
-        unseen = versions.join(ledger.filter(F.col("rules") == rules).select("blob"), "blob", "left_anti")
     # Equal blobs are equal texts: any one stands for all, chosen by its address alone.
-    distinct = unseen.groupBy("blob").agg(F.any_value("text").alias("text"))
+    distinct = versions.groupBy("blob").agg(F.any_value("text").alias("text"))
+    if ledger is not None:
+        # Distinct blobs lie by address already: only the ledger's addresses move.
+        known = ledger.filter(F.col("rules") == rules).select("blob")
+        distinct = distinct.join(known, "blob", "left_anti")
     return distinct.select("blob", F.lit(rules).alias("rules"), find(F.col("text")).alias("spans"))
 
 
+def scan_commits(
+    commits: list[DataFrame], id_col: str = "doc_id", text_col: str = "text", rules: str = RULES_VERSION
+) -> tuple[DataFrame, DataFrame]:
+    """Scan versions of a table one after the other with one ledger: the last one's findings and the ledger.
+
+    Every commit scans only blobs that no earlier one held.
+    """
+    ledger, found = None, None
+    for commit in commits:
+        found, fresh = secret_scan(commit, ledger, id_col, text_col, rules)
+        ledger = fresh if ledger is None else ledger.unionByName(fresh)
+    return found, ledger
+
+
 def secret_scan(
     versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
     rules: str = RULES_VERSION,

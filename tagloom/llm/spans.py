@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagloom.functions.sql_text import scan_sql
+
 _RUN = 256
 SPAN = "array<struct<kind:string,rank:int,start:long,end:long,value:string>>"
 
@@ -64,6 +66,45 @@ def ordered(spans: Column) -> Column:
     )
 
 
+def outside(words: str, spans: str) -> str:
+    """SQL: the spans of ``words`` that overlap none of ``spans``, as ``struct<start, word, end, value>``.
+
+    Both are put into one order and passed once; a word is also dropped if the next span
+    begins inside it.
+    """
+    events = f"""array_sort(concat(
+        transform({spans}, b -> struct(b.start AS start, false AS word, b.end AS end, '' AS value)),
+        transform({words}, w -> struct(w.start AS start, true AS word, w.end AS end, w.value AS value))))"""
+    reach = scan_sql(
+        "events", "-1L", lambda s, e: f"CASE WHEN {e}.word THEN {s} ELSE greatest({s}, {e}.end) END", lambda s, e: s, "bigint"
+    )
+    free = """e.word AND e.start >= get(reach, k)
+        AND NOT coalesce(NOT get(events, k + 1).word AND e.end > get(events, k + 1).start, false)"""
+    found = f"get(transform(array({reach}), reach -> filter(events, (e, k) -> {free})), 0)"
+    return f"get(transform(array({events}), events -> {found}), 0)"
+
+
+def named(words: str, names: str, kind: str, rank: int) -> str:
+    """SQL: spans of the ``words`` whose value is a key of ``names``, entries of (key, value).
+
+    Names with a true value mark their words by a leading ``-``.  Sorted by value a name
+    stands before its words, a true one last, so one pass finds them.
+    """
+    events = f"""array_sort(concat(
+        transform({names}, n -> struct(n.key AS value, -1L AS start, -1L AS end, n.value AS gone)),
+        transform({words}, w -> struct(w.value AS value, w.start AS start, w.end AS end, false AS gone))))"""
+    last = scan_sql(
+        "events", "struct('' AS name, false AS gone)",
+        lambda s, e: f"CASE WHEN {e}.start < 0 THEN struct({e}.value AS name, {e}.gone AS gone) ELSE {s} END",
+        lambda s, e: s, "struct<name: string, gone: boolean>",
+    )
+    made = f"""struct('{kind}' AS kind, {rank} AS rank, m.e.start AS start, m.e.end AS end,
+        CASE WHEN m.l.gone THEN concat('-', m.e.value) ELSE m.e.value END AS value)"""
+    paired = "transform(events, (e, k) -> struct(e AS e, get(last, k) AS l))"
+    found = f"transform(filter({paired}, m -> m.e.start >= 0 AND m.e.value = m.l.name), m -> {made})"
+    return f"get(transform(array({events}), events -> get(transform(array({last}), last -> {found}), 0)), 0)"
+
+
 def listed(spans: Column) -> Column:
     """``kind:start:end`` of ordered spans, joined by commas."""
     return F.array_join(
