@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import arrow_rows, narrow, written
 from tagloom.llm.graph import components
 from tagloom.llm.shingles import mixed, shingle_set
+from tagloom.operators.joins import lookup
 
 BANDS, ROWS = 40, 6
 _BLOCK = 256
@@ -224,14 +225,14 @@ def near_duplicates(
     # Rows of buckets with more than one node.
     cells = one_each.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("rep"))
     shared = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(cells.join(shared, "bucket"), "members")
+    members = written(lookup(cells, shared, "bucket", "inner"), "members")
     busy = members.groupBy("rep").agg(F.sum("size").alias("busy"))
     centre = (
         members.join(busy, "rep").groupBy("bucket")
         .agg(F.max(F.struct("busy", (-F.col("rep")).alias("minus"))).alias("m"))
         .select("bucket", (-F.col("m.minus")).alias("a"))
     )
-    stars = members.join(centre, "bucket").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    stars = lookup(members, centre, "bucket", "inner").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
 
     wanted = members.select(F.col("rep").alias("key")).distinct()
     texts = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
