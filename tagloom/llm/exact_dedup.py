@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import arrow_rows, narrow, written
+from tagloom.operators.joins import lookup
 
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _MULTIPLIER = np.uint32(2654435761)
@@ -87,13 +88,17 @@ def verified(table: DataFrame) -> DataFrame:
         .groupBy(F.col("c.keys").alias("key"), F.col("c.digests").alias("digest")).agg(F.lit(1).alias("one"))
     )
     clashes = chunks.groupBy("key").count().filter("count > 1").select("key")
+    none = F.array().cast("array<binary>").alias("check")
+    # Nearly always no key has two contents, and then no recipe has to be looked up.
+    clashes = written(clashes, "clashes")
+    if clashes.isEmpty():
+        return table.select("doc_id", "n_chars", "text_sha256", "keys", none)
     touched = (
         distinct.select("keys", F.explode("keys").alias("key")).join(clashes, "key", "left_semi")
         .groupBy("keys").agg(F.lit(True).alias("touched"))
     )
-    return table.join(touched, "keys", "left").select(
-        "doc_id", "n_chars", "text_sha256", "keys",
-        F.when(F.col("touched"), F.col("digests")).otherwise(F.array().cast("array<binary>")).alias("check"),
+    return lookup(table, touched, "keys").select(
+        "doc_id", "n_chars", "text_sha256", "keys", F.when(F.col("touched"), F.col("digests")).otherwise(none).alias("check"),
     )
 
 
