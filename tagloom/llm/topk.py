@@ -182,7 +182,9 @@ def top_k(
         return pd.DataFrame({"query_id": right["query_id"].to_numpy()[found[0]], "vec_id": found[1], "score": found[2]})
 
     def pairs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-        spread = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("band", "chunk", "vec_id", "ints")
+        # Vectors go only where a query visits their band: at most bands times chunks narrow rows say so.
+        visited = wanted.select(F.col("band").alias("seen"), F.col("chunk").alias("by")).distinct()
+        spread = rows.join(visited, F.col("band") == F.col("seen")).select("band", F.col("by").alias("chunk"), "vec_id", "ints")
         return spread.groupBy("band", "chunk").cogroup(wanted.groupBy("band", "chunk")).applyInPandas(scan, FOUND)
 
     first = queries.select(F.lit(order[0]).alias("band"), "chunk", "query_id", "ints", F.lit(float("-inf")).alias("least"))
