@@ -37,6 +37,7 @@ UNDETERMINED = "und"
 _SEGMENT = 256
 # Symbols: 0 separates, letters of the samples by frequency, the rest share classes; the last is unknown.
 _OWN, _CLASSES = 200, 254
+_PIECES = 256
 
 
 def learn(
@@ -48,12 +49,21 @@ def learn(
     rows = narrow(docs, doc_id=id_col, text=text_col, lang=lang_col)
     chosen = fold(F.col("doc_id")) != 1 if training is None else training
     rows = rows.filter(chosen & F.col("lang").isNotNull() & F.length("text").between(1, longest))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_rows)
-    before = F.coalesce(F.sum(F.length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("before", before).filter(F.col("before") < sample_chars).select("lang", "n", "text")
+    # Narrow rows are ranked, in two steps so that no task sees a language; texts follow for the chosen only.
+    rows = rows.withColumn("at", F.xxhash64("doc_id")).withColumn("key", F.xxhash64("doc_id", "text"))
+    size = rows.select("lang", "at", "key", F.length("text").alias("size"))
+    piece = Window.partitionBy("lang", F.pmod("at", F.lit(_PIECES))).orderBy("at", "key")
+    first = Window.partitionBy("lang").orderBy("at", "key")
+    size = size.withColumn("n", F.row_number().over(piece)).filter(F.col("n") <= sample_rows)
+    size = size.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_rows)
+    before = F.coalesce(F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sample = size.withColumn("before", before).filter(F.col("before") < sample_chars)
+    sample = sample.groupBy("lang", "key").agg(F.min("n").alias("n"))
+    # At most ``sample_rows`` rows a language; equal rows are one.
+    chosen_rows = rows.select("lang", "key", "text").join(F.broadcast(sample), ["lang", "key"])
+    chosen_rows = chosen_rows.groupBy("lang", "key", "n").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
-    for row in sorted(rows.collect(), key=lambda r: (r.lang, r.n)):
+    for row in sorted(chosen_rows.collect(), key=lambda r: (r.lang, r.n)):
         samples.setdefault(row.lang, []).append(row.text)
     # Many languages share what a worker may hold of automata.
     share = min(sample_chars, total_chars // max(len(samples), 1))
