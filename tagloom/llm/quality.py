@@ -59,6 +59,21 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
     return np.unique((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
 
 
+def packed(places: np.ndarray, bits: int) -> bytes:
+    """Places as whole numbers or, where that is shorter, as one bit per place: at most ``2**bits / 8`` bytes."""
+    if 4 * len(places) < (1 << bits) // 8:
+        return places.astype(np.int32).tobytes()
+    whole = np.zeros(1 << bits, bool)
+    whole[places] = True
+    return np.packbits(whole).tobytes()
+
+
+def unpacked(data: bytes, bits: int) -> np.ndarray:
+    if len(data) < (1 << bits) // 8:
+        return np.frombuffer(data, np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8))).astype(np.int32)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -155,7 +170,7 @@ def train(
     """Fit on at most ``sample_rows`` rows: the sampled ids are broadcast, features come from the tasks.
 
     Of rows that share an id one counts, that of the smallest text hash; they are reduced before the exchange,
-    so only texts of the sample are shuffled.
+    so only texts of the sample are shuffled.  The driver gets at most ``2**bits / 8`` bytes of each.
     """
     marks = narrow(labels, key=id_col, label=label_col).filter(F.col("label").isin(0, 1) & (fold(F.col("key")) != 1))
     marks = marks.filter(F.col("key").isNotNull()).groupBy("key").agg(F.max("label").cast("int").alias("label"))
@@ -163,13 +178,13 @@ def train(
     rows = narrow(docs, doc_id=id_col, text=text_col).join(sample, F.col("doc_id") == F.col("key")).select("key", "label", "text")
 
     def make(keys: list, marks_: list, texts: list) -> list[list]:
-        return [keys, marks_, [features(t, bits).tobytes() for t in texts]]
+        return [keys, marks_, [packed(features(t, bits), bits) for t in texts]]
 
     rows = rows.groupBy("key").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = rows.withColumn("key", F.col("key").cast("long"))
     found = arrow_rows(rows, make, "key long, label int, places binary", "key", "label", "text").collect()
     found.sort(key=lambda r: (r.key, r.places))
-    return fit([np.frombuffer(r.places, np.int32) for r in found], np.array([r.label for r in found], np.int64), bits)
+    return fit([unpacked(r.places, bits) for r in found], np.array([r.label for r in found], np.int64), bits)
 
 
 def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
