@@ -303,44 +303,64 @@ def apply_responses(
     )
 
 
-def generate_texts(
+ATTEMPTS = "url string, provider string, n int, ok boolean, final boolean, text string, error string"
+
+
+def generate_attempts(
     prompts: DataFrame,
     generate: Callable[[str], str],
     max_attempts: int = DEFAULTS.max_attempts,
     provider: str = "provider",
 ) -> DataFrame:
-    """The user's text generator over a prompt table: ``(url, provider, text, error)``.
+    """Every call of the user's text generator: ``(url, provider, n, ok, final, text, error)``.
 
     ``generate`` gets one prompt and returns text or raises.  It is called again
     (at most ``max_attempts`` times) only after a transient failure, i.e. when
     the message contains 503 or 429.  Rows stream through in Arrow batches and
-    are never grouped, so one slow url delays only its own task.
+    are never grouped, so one slow url delays only its own task.  The calls are
+    made when the result is evaluated: store it where it is read more than once.
+    ``(url, n, ok, error)`` is a log for ``resolve_attempts`` and ``job_events``.
     """
 
-    def attempt(prompt: str) -> tuple[str | None, str | None]:
-        for remaining in range(max_attempts - 1, -1, -1):
+    def attempts(prompt: str) -> list[tuple[int, bool, bool, str | None, str | None]]:
+        made = []
+        for n in range(1, max_attempts + 1):
             try:
-                return generate(prompt), None
+                return [*made, (n, True, True, generate(prompt), None)]
             except Exception as failure:  # noqa: BLE001 - failures become rows
                 message = str(failure)
-                if not remaining or not ("503" in message or "429" in message):
-                    return None, message
-        return None, "no attempt made"
+                final = n == max_attempts or not ("503" in message or "429" in message)
+                made.append((n, False, final, None, message))
+                if final:
+                    break
+        return made or [(0, False, True, None, "no attempt made")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["url", "provider", "n", "ok", "final", "text", "error"]
         for batch in batches:
-            outcomes = [attempt(p) for p in batch["prompt"]]
-            yield pd.DataFrame(
-                {
-                    "url": batch["url"],
-                    "provider": batch["provider"],
-                    "text": [text for text, _ in outcomes],
-                    "error": [error for _, error in outcomes],
-                }
-            )
+            rows = [
+                (url, name, *attempt)
+                for url, name, prompt in zip(batch["url"], batch["provider"], batch["prompt"])
+                for attempt in attempts(prompt)
+            ]
+            yield pd.DataFrame(rows, columns=columns)
 
     slim = prompts.select("url", F.col(provider).alias("provider"), "prompt")
-    return slim.mapInPandas(run, "url string, provider string, text string, error string")
+    return slim.mapInPandas(run, ATTEMPTS)
+
+
+def generate_texts(
+    prompts: DataFrame,
+    generate: Callable[[str], str],
+    max_attempts: int = DEFAULTS.max_attempts,
+    provider: str = "provider",
+) -> DataFrame:
+    """The outcome of ``generate_attempts`` per prompt: ``(url, provider, text, error)``."""
+    return final_texts(generate_attempts(prompts, generate, max_attempts, provider))
+
+
+def final_texts(attempts: DataFrame) -> DataFrame:
+    return attempts.filter("final").select("url", "provider", "text", "error")
 
 
 def rules_or_model(provider: str) -> str:

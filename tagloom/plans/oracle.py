@@ -536,6 +536,13 @@ def oracle_sql() -> dict[str, str]:
         "model_generate": f"""{META_OVERRIDDEN}, prompts AS (SELECT page_id, url, {prompt()} AS prompt FROM meta)
           SELECT url, CASE WHEN length(prompt) % 3 = 0 THEN NULL ELSE '{{"title":"' || length(prompt) || '"}}' END AS text,
             CASE WHEN length(prompt) % 3 = 0 THEN 'API error 400: rejected' END AS error FROM prompts""",
+        "model_attempts": f"""{META_OVERRIDDEN}, prompts AS (SELECT url, length({prompt()}) AS k FROM meta),
+          planned AS (SELECT *, CASE WHEN k % 3 = 0 THEN 1 WHEN k % 5 = 0 THEN 2 WHEN k % 7 = 0 THEN 3 ELSE 1 END AS attempts FROM prompts),
+          made AS (SELECT *, n = attempts AND k % 3 <> 0 AND (k % 5 = 0 OR k % 7 <> 0) AS ok
+            FROM planned CROSS JOIN (VALUES (1), (2), (3)) m(n) WHERE n <= attempts)
+          SELECT url, n, ok, n = attempts AS final, CASE WHEN ok THEN 'text' END AS text,
+            CASE WHEN ok THEN NULL WHEN k % 3 = 0 THEN 'API error 400: rejected' WHEN k % 5 = 0 THEN 'API error 503: busy'
+            ELSE 'API error 429: slow down' END AS error, attempts FROM made""",
         "fetch_gate": f"WITH f AS ({FETCHED}) SELECT page_id, {gate('url', 'http_status', 'fetch_error', 'html')} AS error, {code(gate('url', 'http_status', 'fetch_error', 'html'))} AS error_code FROM f",
         "job_rows": f"WITH {JOB} SELECT job_id, pos, url, {', '.join(_FIELDS)} FROM job",
         "job_summary": f"WITH {JOB} {SUMMARY}",

@@ -259,6 +259,29 @@ def model_generate(spark, sf_dir):
     return M.generate_texts(prompts, stub).select("url", "text", "error")
 
 
+def model_attempts(spark, sf_dir):
+    """Calls that fail for good, once, or for a passing reason once or always; and what comes of them."""
+    def flaky() -> M.Callable[[str], str]:
+        calls: dict[str, int] = {}
+
+        def stub(prompt: str) -> str:
+            n, calls[prompt] = len(prompt), calls.get(prompt, 0) + 1
+            if n % 3 == 0:
+                raise RuntimeError("API error 400: rejected")
+            if n % 5 == 0 and calls[prompt] == 1:
+                raise RuntimeError("API error 503: busy")
+            if n % 7 == 0 and n % 5:
+                raise RuntimeError("API error 429: slow down")
+            return "text"
+
+        return stub
+
+    prompts = _prompts(spark, sf_dir).withColumn("provider", F.lit("ownai"))
+    log = materialize(M.generate_attempts(prompts, flaky()), "attempts")
+    resolved = J.resolve_attempts(log.select("url", "n", "ok", "error"))
+    return log.join(resolved.select("url", "attempts"), "url").select("url", "n", "ok", "final", "text", "error", "attempts")
+
+
 # ── Jobs ──────────────────────────────────────────────────────────────────────
 
 
@@ -499,6 +522,7 @@ def queries() -> dict[str, Query]:
         "response_salvage": response_salvage,
         "response_apply": response_apply,
         "model_generate": model_generate,
+        "model_attempts": model_attempts,
         "fetch_gate": fetch_gate,
         "job_rows": job_rows,
         "job_summary": job_summary,

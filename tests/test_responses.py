@@ -102,6 +102,10 @@ def test_prompt_and_generator(spark, tmp_path):
     out = {r.url[-1]: (r.text, r.error) for r in generate_texts(prompts, generate).collect()}
     assert out == {"0": ('{"title":"x"}', None), "1": ('{"title":"x"}', None), "2": (None, "API error 400: no")}
     assert len(open(log).read().split()) == 1 + 3 + 1
+    attempts = M.generate_attempts(prompts, generate).collect()
+    assert [(r.n, r.ok, r.final) for r in attempts if r.url.endswith("2")] == [(1, False, True)]
+    assert sum(r.final for r in attempts) == 3
+    assert [(r.n, r.error) for r in M.generate_attempts(prompts, generate, max_attempts=0).collect()] == [(0, "no attempt made")] * 3
     by_rule = generate_metadata(pages(spark, 1), "none").collect()[0]
     assert (by_rule.provider, by_rule.ai_powered) == ("Regelbasiert", False)
     answers = generate_texts(prompts, generate)
