@@ -83,6 +83,8 @@ def tilts(cells: DataFrame, goals: DataFrame, most: int, rounds: int, tolerance:
         (F.col("target") >= most * F.col("source_size") * (1 - 1e-12)).alias("done"),
     ).withColumn("tilt", F.when(F.col("done"), F.lit(float("inf"))).otherwise(F.col("tilt")))
     state = written(state, "tilts")
+    # Decimals add up to the same in any order, so reruns take the same steps.
+    whole = lambda x: F.sum(x.cast("decimal(30,6)")).cast("double")
     for _ in range(rounds):
         x = F.col("size") / F.col("scale")
         power = F.least(F.col("tilt") * x, F.lit(700.0))
@@ -92,8 +94,8 @@ def tilts(cells: DataFrame, goals: DataFrame, most: int, rounds: int, tolerance:
         sums = (
             cells.filter("size > 0").join(live, _same(F.col("source"), F.col("s")))
             .groupBy("source").agg(
-                F.sum(F.col("n") * F.col("size") * rate).alias("got"),
-                F.sum(F.when(active, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"),
+                whole(F.col("n") * F.col("size") * rate).alias("got"),
+                whole(F.when(active, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"),
             ).withColumnRenamed("source", "s")
         )
         gap = F.col("got") - F.col("target")

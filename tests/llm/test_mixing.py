@@ -1,6 +1,8 @@
+import math
+import random
 import re
 
-from tagloom.llm.mixing import mix
+from tagloom.llm.mixing import mix, tilts
 
 
 def water(sizes, weights=(5, 2, 1), share=1.5, most=2):
@@ -67,3 +69,37 @@ def test_a_large_group_of_equal_sizes_is_split(spark):
             .withColumnsRenamed({"sum(taken)": "n", "max(target)": "t", "count(doc_id)": "g"}).collect()}
     for n, t, _ in sums.values():
         assert abs(n - t) <= 3
+
+
+def test_rates_are_the_entropy_optimum(spark):
+    """exp of a multiple of the size, at most 2, with the multiple that meets the target: found by bisection."""
+    rng = random.Random(4)
+    cells, goals = [], []
+    for source, share in (("a", 0.3), ("b", 1.0), ("c", 1.9), (None, 1.2), ("full", 2.0)):
+        sizes = rng.sample(range(1, 500), 40)
+        mine = [(source, size, rng.randint(1, 9)) for size in sizes]
+        cells += mine
+        total, filled = sum(s * n for _, s, n in mine), sum(n for *_, n in mine)
+        goals.append((source, total, filled, share * total))
+    state = tilts(
+        spark.createDataFrame(cells, "source string, size long, n long").repartition(5),
+        spark.createDataFrame(goals, "source string, source_size long, filled long, target double"), 2, 40, 1e-9,
+    )
+    got = {r.source: r.tilt / r.scale for r in state.collect()}
+    for source, _, _, target in goals:
+        mine = [(size, n) for s, size, n in cells if s == source]
+        taken = lambda k: sum(n * size * min(2.0, math.exp(min(k * size, 700))) for size, n in mine)  # noqa: E731, B023
+        if source == "full":
+            assert got[source] == math.inf
+            continue
+        low, high = -5.0, 5.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if taken(middle) < target else (low, middle)
+        for size, _ in mine:
+            assert abs(min(2, math.exp(got[source] * size)) - min(2, math.exp(high * size))) < 1e-6
+
+
+def test_reruns_agree_for_any_partitioning(documents):
+    rows = lambda df: sorted((r.doc_id, r.taken) for r in mix(df).collect())
+    assert rows(documents) == rows(documents.repartition(7)) == rows(documents.orderBy("text").coalesce(1))
