@@ -61,11 +61,10 @@ def find(text: Column) -> Column:
     return spans.ordered(F.concat(email, ip, card, phone))
 
 
-def with_terms(df: DataFrame) -> DataFrame:
-    """Add ``terms``: the lower-case words of ``text`` outside the spans of ``base``, with their places."""
-    words = df.withColumn("terms", spans.matches(F.col("text"), "term", len(KINDS), TERM))
+def terms_of(text: Column, base: str) -> tuple[Column, str]:
+    """The words of a text, and SQL that keeps those of the column ``terms`` outside the spans of ``base``, lower-case."""
     lower = "transform(terms, w -> struct(w.start AS start, w.end AS end, lower(w.value) AS value))"
-    return words.withColumn("terms", F.expr(lower)).withColumn("terms", F.expr(spans.outside("terms", "base")))
+    return spans.matches(text, "term", len(KINDS), TERM), f"get(transform(array({lower}), terms -> {spans.outside('terms', base)}), 0)"
 
 
 def disclosures(held: DataFrame, corpus: DataFrame, disclose: float, remove: float, support: int) -> DataFrame:
@@ -132,27 +131,28 @@ def find_personal_data(
     ``base`` are the spans of the four kinds, ``found`` also those of kind
     ``term``; ``clean`` is the sanitised text where anything was found, else
     null: texts without personal data stay as they are and are not moved.
-    Only texts with entities are kept aside, written once.
+    Only texts with entities are kept aside, written once with their words.
     """
     rows = narrow(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     base = rows.select("doc_id", "text", find(F.col("text")).alias("base"))
     has = F.size("base") > 0
     entity = F.transform("base", lambda b: F.concat(b["kind"], F.lit(":"), F.lower(b["value"])))
-    table = written(
-        base.select("doc_id", "base", F.when(has, F.col("text")).alias("text"), F.when(has, F.array_sort(F.array_distinct(entity))).alias("entities")),
-        "personal",
-    )
+    kept = base.select("doc_id", "base", F.when(has, F.col("text")).alias("text"), F.when(has, F.array_sort(F.array_distinct(entity))).alias("entities"))
+    # Words are found once, where the texts are read, and stored with the few texts that need them.
+    words, outside = terms_of(F.col("text"), "base")
+    kept = kept.withColumn("terms", F.when(F.col("text").isNotNull(), words))
+    table = written(kept.withColumn("terms", F.when(F.col("text").isNotNull(), F.expr(outside))), "personal")
     content = F.xxhash64("text")
-    held = table.filter(has).select("doc_id", "base", "text", "entities", content.alias("content"))
+    held = table.filter(has).select("doc_id", "base", "text", "entities", "terms", content.alias("content"))
     word = F.array_distinct(F.transform("terms", lambda w: w["value"]))
     revealing = written(
-        disclosures(with_terms(held).select("content", "entities", word.alias("words")), rows, disclose, remove, support), "revealing"
+        disclosures(held.select("content", "entities", word.alias("words")), rows, disclose, remove, support), "revealing"
     )
     # Rows with equal text share entities: the choice is made once per content.
     each = held.select("content", "entities").dropDuplicates(["content"]).select("content", F.explode("entities").alias("entity"))
     told = lookup(each, revealing, "entity", "inner").groupBy("content")
     told = told.agg(F.flatten(F.collect_list(F.map_entries("revealing"))).alias("telling"))
-    joined = with_terms(lookup(held, told, "content"))
+    joined = lookup(held, told, "content")
     added = F.when(F.col("telling").isNotNull(), F.expr(spans.named("terms", "telling", "term", len(KINDS)))).otherwise(spans.nothing())
     full = joined.withColumn("found", spans.ordered(F.concat("base", added)))
     full = full.select("doc_id", "base", "found", F.expr(sanitised("text", "found")).alias("clean"))
