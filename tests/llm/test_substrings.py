@@ -104,3 +104,51 @@ def test_edge_lines_that_occur_earlier_stay_in_the_passage():
     one = codes(left + line + fill(60) + line + right)
     two = codes(fill(3) + left + line + right)
     assert {(0, 66, 3, 69), (130, 196, 53, 119)} <= set(passages(one, two, 46, 80))
+
+
+def shared_words(texts, n=50):
+    """Words of each text inside a run of ``n`` words that another text holds too: plain strings, every run looked up."""
+    seen = {}
+    for i, text in texts.items():
+        words = text.split()
+        for a in range(len(words) - n + 1):
+            seen.setdefault(" ".join(words[a : a + n]), []).append((i, a))
+    inside = {i: set() for i in texts}
+    for places in seen.values():
+        if len({i for i, _ in places}) > 1:
+            for i, a in places:
+                inside[i].update(range(a, a + n))
+    return inside
+
+
+def recall(spark, texts):
+    """Share of the words in shared runs that lie in reported passages."""
+    rows = list(texts.items())
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    covered = {i: set() for i in texts}
+    for r in found:
+        covered[r.doc_id].update(range(r.start_word, r.end_word))
+    want = shared_words(texts)
+    total = sum(map(len, want.values()))
+    assert total
+    return sum(len(want[i] & covered[i]) for i in texts) / total
+
+
+def test_recall_on_planted_passages_of_common_lines(spark):
+    """Verbatim passages of 50 to 90 words, half of them made of lines that many texts hold."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(400)}"
+    lines = [" ".join(word() for _ in range(rng.randint(8, 20))) for _ in range(12)]
+    texts = {i: [rng.choice(lines) if rng.random() < 0.3 else " ".join(word() for _ in range(12)) for _ in range(rng.randint(4, 14))] for i in range(80)}
+    for p in range(40):
+        size = rng.randint(50, 90)
+        passage = " ".join(rng.sample(lines, 6)) if p % 2 else " ".join(word() for _ in range(size))
+        passage = " ".join(passage.split()[:size])
+        for i in rng.sample(sorted(texts), rng.randint(2, 4)):
+            texts[i].insert(rng.randrange(len(texts[i]) + 1), passage)
+    assert recall(spark, {i: " ".join(parts) for i, parts in texts.items()}) > 0.97
+
+
+def test_recall_on_documents(spark, documents):
+    texts = {r.doc_id: r.text for r in documents.collect() if r.text and len(r.text) < 20_000}
+    assert recall(spark, texts) > 0.97
