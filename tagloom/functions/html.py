@@ -3,7 +3,8 @@
 There is no DOM.  The contract is: comments vanish, script and style bodies are
 opaque, tag and attribute names ignore case, attribute values do not, quoted
 attribute values may hold ``>``, an unclosed container runs to the end of the
-document, and an entity counts only with its ``;``.
+document, navigation, headers and footers end at their own closing tag also if
+they are nested, and an entity counts only with its ``;``.
 
 All functions take and return Spark SQL expression text (see ``sql_text``).
 Quantifiers are possessive, and whatever opens a tag, comment or element is
