@@ -90,6 +90,10 @@ def optimize_title(raw: Column | str, domain: Column | str) -> Column:
     )
 
 
+def flat_text(text: Column | str) -> Column:
+    return collapse_whitespace(strip_tags(text))
+
+
 def build_description(text: Column | str) -> Column:
     """Whole sentences up to 160 characters, else the first 155 characters.
 
@@ -99,7 +103,7 @@ def build_description(text: Column | str) -> Column:
     most 159 characters (one is spent on the joining space), which a single
     greedy match finds without building a sentence array.
     """
-    flat = collapse_whitespace(strip_tags(text))
+    flat = flat_text(text)
     packed = trimmed(
         F.when(F.length(flat) <= 159, flat).otherwise(
             F.regexp_extract(F.substring(flat, 1, 160), r"(?s)^(.*[.!?]) ", 1)
@@ -108,6 +112,22 @@ def build_description(text: Column | str) -> Column:
     return F.when(falsy(packed), F.substring(flat, 1, 155)).otherwise(packed)
 
 
+def repeat_description(flat: str, times: str) -> Column:
+    """``build_description`` of a text that is listed ``times`` times: each sentence follows itself.
+
+    ``flat`` names a column with the first 160 characters of the flat text.
+    """
+    pieces = rf"""filter(split(regexp_replace({flat}, '([.!?]) ', '$1\u0001'), '\u0001'), s -> s <> '')"""
+    packed = trimmed(
+        F.expr(
+            f"""aggregate({pieces}, struct(0L AS n, '' AS o), (a, s) -> struct(
+                a.n + {times} * (length(s) + 1) AS n,
+                CASE WHEN a.n + {times} * (length(s) + 1) <= 160 THEN concat(a.o, repeat(concat(s, ' '), cast({times} AS int))) ELSE a.o END AS o), a -> a.o)"""
+        )
+    )
+    return F.when(falsy(packed), F.substring(flat, 1, 155)).otherwise(packed)
+
+
 def _drop_tail_stopwords(c: Column) -> Column:
     words = "|".join(dict.fromkeys(STOPWORDS))
     return F.regexp_replace(c, rf"(?iu)(?:[{TAIL_CHARS}]* (?:{words}))+\z", "")
