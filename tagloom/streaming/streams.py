@@ -7,13 +7,14 @@ batch after a failure leaves the same table.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -237,14 +238,16 @@ class _OpenWindows(StatefulProcessor):
         ttl = None if self.forget_after is None else self.forget_after * 1000
         self.window = handle.getValueState("window", "window_start bigint, used bigint", ttl)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seconds, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for chunk in rows:
-            # One number per active second, however many tasks and requests it had.
-            found = np.concatenate([seconds, chunk["rl_sec"].to_numpy(np.int64)])
-            seconds, places = np.unique(found, return_inverse=True)
-            counts = np.bincount(places, np.concatenate([counts, chunk["rl_n"].to_numpy(np.int64)])).astype(np.int64)
-        start, used = self.window.get() if self.window.exists() else (int(seconds[0]), 0)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # Rows, not frames: a frame for every key costs more than a key's few numbers.
+        found, sizes = array("q"), array("q")
+        for row in rows:
+            found.append(row.rl_sec)
+            sizes.append(row.rl_n)
+        # One number per active second, however many tasks and requests it had.
+        seconds, places = np.unique(np.frombuffer(found, np.int64), return_inverse=True)
+        counts = np.bincount(places, np.frombuffer(sizes, np.int64)).astype(np.int64)
+        start, used = self.window.get() or (int(seconds[0]), 0)
         starts, before = np.zeros(len(seconds), np.int64), np.zeros(len(seconds), np.int64)
         running = np.concatenate([[0], np.cumsum(counts)])
         at = 0
@@ -256,7 +259,8 @@ class _OpenWindows(StatefulProcessor):
             starts[at:end], before[at:end] = start, used + running[at:end] - running[at]
             used, at = used + int(running[end] - running[at]), end
         self.window.update((int(start), int(used)))
-        yield pd.DataFrame({"rl_key": key[0], "rl_sec": seconds, "window_start": starts, "rl_before": before})
+        for second, window, n in zip(seconds.tolist(), starts.tolist(), before.tolist()):
+            yield Row(rl_key=key[0], rl_sec=second, window_start=window, rl_before=n)
 
     def close(self) -> None:
         pass
@@ -288,7 +292,7 @@ def stream_rate_limit(
         F.coalesce(F.col("key").cast("string"), F.lit("0")).alias("key"), "ts", F.col("id").cast("bigint").alias("id")
     )
     timed = keyed.filter(F.col("ts").isNotNull()).select(F.col("key").alias("rl_key"), F.unix_seconds("ts").alias("rl_sec"))
-    chained = timed.mapInArrow(_count_seconds, _COUNTED).groupBy("rl_key").transformWithStateInPandas(
+    chained = timed.mapInArrow(_count_seconds, _COUNTED).groupBy("rl_key").transformWithState(
         _OpenWindows(window_seconds, forget_after), _CHAINED, "Append", "None" if forget_after is None else "ProcessingTime"
     )
     windows = [c.split()[0] for c in _CHAINED.split(", ")]
@@ -311,39 +315,65 @@ _STATE = "updated bigint, done bigint, errors bigint, status string"
 LATEST_SCHEMA = f"job_id string, {_STATE}, expired boolean"
 
 
+def _newest_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The newest state of each job, combined inside a task before the exchange; nulls are the least."""
+    order = [("job_id", "ascending"), *[(f, "descending") for f in STATE_FIELDS]]
+
+    def combined(held: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(held).sort_by(order)
+        places = pa.table({"job_id": table["job_id"], "place": np.arange(table.num_rows)})
+        return table.take(places.group_by("job_id").aggregate([("place", "min")])["place_min"])
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows > _HELD_COUNTS:
+            held = [combined(held)]
+            rows = held[0].num_rows
+            if 2 * rows > _HELD_COUNTS:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if held:
+        yield from combined(held).to_batches()
+
+
 class _LatestState(StatefulProcessor):
     """Newest state of a job; a timer on its ``updated`` returns it once more, as expired, and lets it go.
 
-    A maximum needs no order: a busy job costs one pass over its rows, not their memory.
+    A maximum needs no order: a busy job costs its tasks one pass, and the state one row per task.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", _STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = best = tuple(self.state.get()) if self.state.exists() else None
-        for chunk in rows:
-            newest = chunk[chunk["updated"] == chunk["updated"].max()]
-            row = newest.sort_values(STATE_FIELDS).iloc[-1]
-            found = (int(row["updated"]), int(row["done"]), int(row["errors"]), str(row["status"]))
-            best = found if best is None else max(best, found)
-        self.state.update(best)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = self.state.get()
+        old = best = None if old is None else tuple(old)
+        for row in rows:
+            if row.updated is not None:
+                found = (row.updated, row.done, row.errors, str(row.status))
+                best = found if best is None else max(best, found)
+        if best is None:
+            return
+        if old != best:
+            self.state.update(best)
         if old is None or old[0] != best[0]:
             if old is not None:
                 self.handle.deleteTimer(old[0] * 1000)
             self.handle.registerTimer(best[0] * 1000)
         yield self._row(key, best, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            last = tuple(self.state.get())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last = self.state.get()
+        if last is not None:
             self.state.clear()
-            yield self._row(key, last, True)
+            yield self._row(key, tuple(last), True)
 
     @staticmethod
-    def _row(key, state: tuple, expired: bool) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *state, expired)], columns=["job_id", *STATE_FIELDS, "expired"])
+    def _row(key, state: tuple, expired: bool) -> Row:
+        return Row(job_id=key[0], **dict(zip(STATE_FIELDS, state)), expired=expired)
 
     def close(self) -> None:
         pass
@@ -365,13 +395,15 @@ def stream_latest_state(
     and start nothing.  A later state of the job starts afresh.
     """
     ttl = options.job_ttl_seconds
-    fields = states.select("job_id", *STATE_FIELDS)
+    combined = f"job_id string, {_STATE}"
+    fields = states.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in combined.split(", ")])
+    fields = fields.mapInArrow(_newest_of_task, combined)
     latest = (
         fields.withColumn("at", F.timestamp_seconds("updated"))
         # One millisecond more: what is exactly as old as its time to live still counts.
         .withWatermark("at", f"{1000 * ttl + 1} milliseconds")
         .groupBy("job_id")
-        .transformWithStateInPandas(_LatestState(), LATEST_SCHEMA, "Update", "EventTime")
+        .transformWithState(_LatestState(), LATEST_SCHEMA, "Update", "EventTime")
     )
     keep = _saver(path, LATEST_SCHEMA, _newest_states)
     arrived = fields.withColumn("expired", F.lit(None).cast("boolean"))

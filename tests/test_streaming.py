@@ -159,3 +159,20 @@ def test_a_hot_key_meets_the_state_as_counts(spark, tmp_path):
     want = rate_limit(ids, max_requests=20, window_seconds=60)
     got = spark.read.parquet(out).select(want.columns)
     assert got.count() == n and got.exceptAll(want).isEmpty()
+
+
+def test_a_busy_job_meets_the_state_as_a_row_per_task(spark, tmp_path):
+    """Many states of few jobs in two files: the state gets the newest of each job and task."""
+    schema, source, out = STATES, str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.range(40_000).selectExpr(
+        "concat('j', id % 7) as job_id", "id % 1000 as updated", "if(id % 2 = 0, 'a', 'b') as status", "id as done", "id % 3 as errors"
+    )
+    rows.repartition(2).write.parquet(source)
+    query = S.stream_latest_state(T.read_stream(spark, source, schema), out, str(tmp_path / "cp"))
+    query.awaitTermination(120)
+    want = rows.groupBy("job_id").agg(F.max(F.struct(*S.STATE_FIELDS)).alias("s")).select("job_id", "s.*")
+    got = S.read_latest_state(spark, out)
+    assert {tuple(r) for r in got.drop("expired").collect()} == {tuple(r) for r in want.collect()}
+    # Two inputs of the plan see the combined rows: the state and what is held against it.
+    batches = list(S._newest_of_task(iter(rows.select("job_id", *S.STATE_FIELDS).toArrow().to_batches(max_chunksize=1000))))
+    assert sum(b.num_rows for b in batches) == 7
