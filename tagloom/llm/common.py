@@ -19,6 +19,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+# A setting of Spark 4.1: exchanges of an execution leave the executors' disks when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``written``, without leaving its exchanges on disk until the driver collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under new names: clashing extra columns cannot interfere."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -19,7 +19,9 @@ similarity ``similarity`` or more on both sides.  Linked passages form classes.
 A star could miss two texts that share a passage neither shares with a centre, as
 when a group is one of a frequent line.  So every group whose windows lie in
 passages of several classes, or in none, is compared in full, inside tasks of
-bounded blocks.  A pair is compared in the least such group that both are in.
+bounded blocks.  A pair is compared in the least such group that both are in, if
+it shares values of enough hashes.  The blocks are dealt out in slices, each of
+about two copies of the texts, so that disk does not grow with the groups of a text.
 
 A passage that two texts share word for word has the same value under every
 hash.  With 6 hashes, 2 of which must agree, a single window at similarity 0.8
@@ -40,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import WORD, arrow_rows, narrow, written
+from tagloom.llm.common import WORD, arrow_rows, narrow, settled
 from tagloom.llm.graph import components
 from tagloom.llm.near_dedup import _groups
 from tagloom.llm.shingles import mixed, shingle_codes, word_codes
@@ -51,6 +53,9 @@ _WORD = re.compile(WORD)
 # Shingles without a partner that a passage may pass over: two changed words and those between them.
 _GAP = 2 * WIDTH + 2
 _BLOCK = 256
+# Copies of its texts that a slice of the full comparison exchanges; columns of keys compared at once.
+_COPIES = 2
+_COLUMNS = 4096
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -289,17 +294,41 @@ def _may_share(one: np.ndarray, two: np.ndarray, shortest: int) -> bool:
     return bool((last - first + 1 >= shortest).any())
 
 
+def sharing(keys: list[np.ndarray], enough: int) -> np.ndarray:
+    """Per pair of members whether their window keys agree in ``enough`` hashes, as windows that overlap must."""
+    owner, flat = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
+    _, ids, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    agreed = np.zeros((len(keys), len(keys)), np.int8)
+    for number in range(8):
+        own = (counts[ids] > 1) & (flat & 7 == number)
+        columns = np.unique(ids[own], return_inverse=True)[1]
+        both = np.zeros(agreed.shape, bool)
+        for start in range(0, columns.max(initial=-1) + 1, _COLUMNS):
+            part = (columns >= start) & (columns < start + _COLUMNS)
+            held = np.zeros((len(keys), _COLUMNS if columns.max() >= start + _COLUMNS else columns.max() - start + 1), np.float32)
+            held[owner[own][part], columns[part] - start] = 1
+            both |= held @ held.T > 0
+        agreed += both
+    return agreed >= enough
+
+
 def compare_block(
-    key: int, nodes: list, blocks: list, sequences: list[np.ndarray], windows: list[dict], shortest: int, similarity: int,
-    agree, both_blocks: bool,
+    key: int, nodes: list, blocks: list, words: list[bytes], keys: list[np.ndarray], windows: list[dict], width: int,
+    shortest: int, similarity: int, hashes: int, enough: int, both_blocks: bool,
 ) -> list[tuple]:
     """Links between members of one open group; ``windows`` holds each member's (label, place) by key of open groups.
 
     A pair is left out if its windows of every common open group are in one class already.
     """
-    ordered = [_distinct(s) for s in sequences]
+    sequences: dict[int, np.ndarray] = {}
+    ordered: dict[int, np.ndarray] = {}
     root: dict[tuple[int, int], tuple[int, int]] = {}
 
+    def codes(i: int) -> np.ndarray:
+        if i not in sequences:
+            sequences[i] = shingle_codes(np.frombuffer(words[i], np.uint32).astype(np.uint64), width)
+        return sequences[i]
+
     def top(x: tuple[int, int]) -> tuple[int, int]:
         while (up := root.get(x, x)) != x:
             root[x] = root.get(up, up)
@@ -307,24 +336,28 @@ def compare_block(
         return x
 
     found = []
-    for i in range(len(nodes)):
-        for j in range(i + 1, len(nodes)):
-            if both_blocks and blocks[i] == blocks[j]:
-                continue
-            mine, other = windows[i], windows[j]
-            common = [k for k in mine.keys() & other.keys() if mine[k][0] != other[k][0]]
-            if not common or min(common) != key or not _may_share(ordered[i], sequences[j], shortest):
-                continue
-            if all(top((k, mine[k][0])) == top((k, other[k][0])) for k in common):
-                continue
-            got = passages(sequences[i], sequences[j], shortest, similarity)
-            if not got or not agree(sequences[i], sequences[j]):
-                continue
-            found += [(nodes[i], nodes[j], *p) for p in got]
-            for k in common:
-                x, y = mine[k][1], other[k][1]
-                if any(a <= x < b and c <= y < d for a, b, c, d in got):
-                    root[top((k, mine[k][0]))] = top((k, other[k][0]))
+    maybe = np.triu(sharing(keys, enough), 1)
+    if both_blocks:
+        maybe &= np.not_equal.outer(np.array(blocks), np.array(blocks))
+    for i, j in np.argwhere(maybe).tolist():
+        mine, other = windows[i], windows[j]
+        common = [k for k in mine.keys() & other.keys() if mine[k][0] != other[k][0]]
+        if not common or min(common) != key:
+            continue
+        if i not in ordered:
+            ordered[i] = _distinct(codes(i))
+        if not _may_share(ordered[i], codes(j), shortest):
+            continue
+        if all(top((k, mine[k][0])) == top((k, other[k][0])) for k in common):
+            continue
+        got = passages(codes(i), codes(j), shortest, similarity)
+        if not got or not intervals_agree(codes(i), codes(j), shortest, hashes, enough):
+            continue
+        found += [(nodes[i], nodes[j], *p) for p in got]
+        for k in common:
+            x, y = mine[k][1], other[k][1]
+            if any(a <= x < b and c <= y < d for a, b, c, d in got):
+                root[top((k, mine[k][0]))] = top((k, other[k][0]))
     return found
 
 
@@ -338,7 +371,7 @@ def repeated_passages(
     """
     shortest = max(min_words - width + 1, 1)
     rows = _nodes(docs, id_col, text_col)
-    names = written(rows.select("doc", "node").distinct(), "names")
+    names = settled(rows.select("doc", "node").distinct(), "names")
     copies = names.groupBy("node").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies"))
 
     found = windows(rows, width, shortest, hashes)
@@ -348,7 +381,7 @@ def repeated_passages(
         found.select("key", mark.alias("mark")).groupBy("key").agg(F.min("mark").alias("first"), F.max("mark").alias("last"))
         .filter("first < last").select("key")
     )
-    shared = written(found.join(ends, "key", "left_semi"), "windows")
+    shared = settled(found.join(ends, "key", "left_semi"), "windows")
     ends = shared.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     ends = ends.withColumn("tag", F.xxhash64("key"))
     centres = F.array(F.col("first"), F.when(F.col("node") != F.col("first"), F.col("last")))
@@ -358,7 +391,7 @@ def repeated_passages(
         .filter("a IS NOT NULL AND a <> b")
     )
     pairs = star.groupBy("a", "b").agg(F.bit_or("hash").alias("hashes")).filter(F.bit_count("hashes") >= enough).select("a", "b")
-    pairs = written(pairs, "pairs")
+    pairs = settled(pairs, "pairs")
 
     repeated = copies.filter("copies > 1").select("node")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(repeated).distinct()
@@ -369,7 +402,7 @@ def repeated_passages(
         words = [word_codes(t).astype(np.uint32) for t in values]
         return [nodes, [len(w) for w in words], [w.tobytes() for w in words]]
 
-    sequences = written(arrow_rows(texts, encode, "node long, n int, words binary", "node", "text").dropDuplicates(["node"]), "sequences")
+    sequences = settled(arrow_rows(texts, encode, "node long, n int, words binary", "node", "text").dropDuplicates(["node"]), "sequences")
     both = (
         pairs.join(sequences.select(F.col("node").alias("a"), F.col("words").alias("one")), "a")
         .join(sequences.select(F.col("node").alias("b"), F.col("words").alias("two")), "b")
@@ -386,7 +419,7 @@ def repeated_passages(
         return [list(c) for c in zip(*out)] if out else [[] for _ in range(6)]
 
     schema = "a long, b long, a_start int, a_end int, b_start int, b_end int"
-    links = written(arrow_rows(both, verify, schema, "a", "b", "one", "two", rows=50), "passages")
+    links = settled(arrow_rows(both, verify, schema, "a", "b", "one", "two", rows=50), "passages")
 
     def labelled(links: DataFrame, sequences: DataFrame) -> DataFrame:
         """(part, node, start, end, label) of all passages."""
@@ -403,7 +436,7 @@ def repeated_passages(
             spans.withColumn("new", F.when(F.col("start") < before, 0).otherwise(1))
             .withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         )
-        runs = written(runs.select("node", "start", "end", F.xxhash64("node", "run").alias("part")), "runs")
+        runs = settled(runs.select("node", "start", "end", F.xxhash64("node", "run").alias("part")), "runs")
         side = lambda x: runs.select(
             F.col("node").alias(x), F.col("start").alias(f"{x}_start"), F.col("end").alias(f"{x}_end"), F.col("part").alias(f"{x}_part")
         )
@@ -415,7 +448,7 @@ def repeated_passages(
         parts = runs.groupBy("node", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
         return parts.join(labels, "part", "left").withColumn("label", F.coalesce("label", "part"))
 
-    parts = written(labelled(links, sequences), "parts")
+    parts = settled(labelled(links, sequences), "parts")
 
     # Groups of up to three nodes are stars of all their pairs.
     large = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 3").select("key")
@@ -424,40 +457,47 @@ def repeated_passages(
         .join(parts.select(F.col("node").alias("n"), "start", "end", "label"), F.expr("node = n AND place >= start AND place < end"), "left")
         .select("key", "node", "place", F.coalesce("label", F.xxhash64(F.lit("alone"), "node", "key")).alias("label"))
     )
-    inside = written(inside, "inside")
+    inside = settled(inside, "inside")
     open_ = (
         inside.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
         .filter("low <> high").select("key", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks"))
     )
-    open_ = written(open_, "open")
-    members = written(inside.join(open_, "key"), "members")
+    open_ = settled(open_, "open")
+    members = settled(inside.join(open_, "key"), "members")
     lists = members.groupBy("node").agg(F.collect_list(F.struct("key", "label", "place")).alias("windows"))
     unread = lists.select("node").join(copies, "node").select(F.col("node").alias("n"), F.col("least").alias("d"))
     more = rows.join(unread, (F.col("doc") == F.col("d")) & (F.col("node") == F.col("n")), "left_semi")
     more = arrow_rows(more, encode, "node long, n int, words binary", "node", "text").dropDuplicates(["node"])
-    carried = written(lists.join(more, "node").select("node", "words", "windows"), "carried")
+    known = shared.join(lists.select("node"), "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    carried = settled(lists.join(more, "node").join(known, "node").select("node", "words", "windows", "keys"), "carried")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     cells = (
         members.select("key", "node", "blocks").withColumn("block", block).withColumn("other", F.explode(other))
         .select("key", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    agree = lambda one, two: intervals_agree(one, two, shortest, hashes, enough)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _groups(batches, ["key", "i", "j"]):
-            codes = [shingle_codes(np.frombuffer(w, np.uint32).astype(np.uint64), width) for w in group["words"]]
             held = [{w["key"]: (w["label"], w["place"]) for w in ws} for ws in group["windows"]]
             key, i, j = (int(group[c].iloc[0]) for c in ("key", "i", "j"))
             got = compare_block(
-                key, group["node"].tolist(), group["block"].tolist(), codes, held, shortest, similarity, agree, i != j
+                key, group["node"].tolist(), group["block"].tolist(), group["words"].tolist(), group["keys"].tolist(), held,
+                width, shortest, similarity, hashes, enough, i != j,
             )
             yield pd.DataFrame(got, columns=["a", "b", "a_start", "a_end", "b_start", "b_end"])
 
-    rest = (
-        cells.join(carried, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(compare, schema)
-    )
-    rest = written(rest, "passages")
+    lengths = carried.select("node", F.octet_length("words").cast("long").alias("length"))
+    dealt = members.join(lengths, "node").agg(F.sum(F.col("length") * F.col("blocks"))).first()[0] or 0
+    held = lengths.agg(F.sum("length")).first()[0] or 0
+    slices = max(1, -(-dealt // max(1, _COPIES * held)))
+    rest = None
+    for number in range(slices):
+        # The exchanges of a slice leave the disks before the next one begins.
+        own = cells.filter(F.pmod(F.xxhash64("key", "i", "j"), F.lit(slices)) == number)
+        own = own.join(carried, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(compare, schema)
+        own = settled(own, "passages")
+        rest = own if rest is None else rest.unionByName(own)
     if not rest.isEmpty():
         parts = labelled(links.unionByName(rest), sequences)
     # Every copy of a text holds its passages.

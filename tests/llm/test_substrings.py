@@ -1,12 +1,14 @@
 import math
 import random
+import time
 
 import numpy as np
 from conftest import PASSAGE
 from pyspark.sql import functions as F
 
+from tagloom.llm.common import settled
 from tagloom.llm.shingles import shingle_codes, word_codes
-from tagloom.llm.substrings import ENOUGH, HASHES, compact_windows, overlap, passages, repeated_passages, without_repeats
+from tagloom.llm.substrings import ENOUGH, HASHES, compact_windows, overlap, passages, repeated_passages, sharing, without_repeats
 
 
 def tree(values, width, a, b):
@@ -152,3 +154,34 @@ def test_recall_on_planted_passages_of_common_lines(spark):
 def test_recall_on_documents(spark, documents):
     texts = {r.doc_id: r.text for r in documents.collect() if r.text and len(r.text) < 20_000}
     assert recall(spark, texts) > 0.97
+
+
+def test_exchanges_of_a_table_leave_the_disk(spark):
+    """They stayed until the driver collected its garbage, and op7's filled the check's disk."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def left():
+        files = manager.getAllFiles()
+        return {n for k in range(files.size()) if (n := files.apply(k).getName()).startswith("shuffle_") and n.endswith(".data")}
+
+    before, key = left(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key, None)
+    table = settled(spark.range(50_000).groupBy((F.col("id") % 1000).alias("k")).count(), "counts")
+    assert table.count() == 1000 and spark.conf.get(key, None) == setting
+    for _ in range(50):
+        if not (left() - before):
+            break
+        time.sleep(0.2)
+    kept = left() - before
+    # The count above is no table and may keep its own, one row a task.
+    assert len(kept) <= 1
+
+
+def test_pairs_that_share_enough_hashes():
+    rng = random.Random(8)
+    keys = [np.unique([rng.randrange(40) * 8 + rng.randrange(6) - 160 for _ in range(rng.randrange(30))]).astype(np.int64) for _ in range(60)]
+    got = sharing(keys, 2)
+    for i, one in enumerate(keys):
+        for j, two in enumerate(keys):
+            if i != j:
+                assert got[i, j] == (len({int(k) & 7 for k in set(one.tolist()) & set(two.tolist())}) >= 2)
