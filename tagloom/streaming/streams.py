@@ -7,7 +7,6 @@ batch after a failure leaves the same table.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -228,39 +227,55 @@ def _count_seconds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from combined().to_batches()
 
 
+# Groups of keys that share a place in the state store; a checkpoint is bound to their number.
+_BUCKETS = 2048
+_WINDOWS = "keys array<string>, starts array<bigint>, used array<bigint>, seen array<bigint>"
+
+
+def _advance(seconds: np.ndarray, counts: np.ndarray, window_seconds: int, start: int, used: int) -> tuple:
+    """Window and count before it of each active second of a key, and its open window after them."""
+    starts, before = np.zeros(len(seconds), np.int64), np.zeros(len(seconds), np.int64)
+    running = np.concatenate([[0], np.cumsum(counts)])
+    at = 0
+    while at < len(seconds):
+        if seconds[at] > start + window_seconds:
+            start, used = int(seconds[at]), 0
+        # Also what came late, before the open window: it counts by arrival.
+        end = int(np.searchsorted(seconds, start + window_seconds, side="right"))
+        starts[at:end], before[at:end] = start, used + running[at:end] - running[at]
+        used, at = used + int(running[end] - running[at]), end
+    return starts, before, start, used
+
+
 class _OpenWindows(StatefulProcessor):
-    """The open window of a key, ``(window_start, used)``; a micro-batch brings counts per second."""
+    """The open windows of a bucket of keys; a micro-batch brings counts per key and second.
+
+    Every call to the state store is a trip to the JVM, so the keys of a bucket go together.
+    """
 
     def __init__(self, window_seconds: int, forget_after: int | None):
         self.window_seconds, self.forget_after = window_seconds, forget_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = None if self.forget_after is None else self.forget_after * 1000
-        self.window = handle.getValueState("window", "window_start bigint, used bigint", ttl)
+        self.windows = handle.getValueState("windows", _WINDOWS, ttl)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        # Rows, not frames: a frame for every key costs more than a key's few numbers.
-        found, sizes = array("q"), array("q")
-        for row in rows:
-            found.append(row.rl_sec)
-            sizes.append(row.rl_n)
-        # One number per active second, however many tasks and requests it had.
-        seconds, places = np.unique(np.frombuffer(found, np.int64), return_inverse=True)
-        counts = np.bincount(places, np.frombuffer(sizes, np.int64)).astype(np.int64)
-        start, used = self.window.get() or (int(seconds[0]), 0)
-        starts, before = np.zeros(len(seconds), np.int64), np.zeros(len(seconds), np.int64)
-        running = np.concatenate([[0], np.cumsum(counts)])
-        at = 0
-        while at < len(seconds):
-            if seconds[at] > start + self.window_seconds:
-                start, used = int(seconds[at]), 0
-            # Also what came late, before the open window: it counts by arrival.
-            end = int(np.searchsorted(seconds, start + self.window_seconds, side="right"))
-            starts[at:end], before[at:end] = start, used + running[at:end] - running[at]
-            used, at = used + int(running[end] - running[at]), end
-        self.window.update((int(start), int(used)))
-        for second, window, n in zip(seconds.tolist(), starts.tolist(), before.tolist()):
-            yield Row(rl_key=key[0], rl_sec=second, window_start=window, rl_before=n)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = 0 if self.forget_after is None else timerValues.getCurrentProcessingTimeInMs()
+        held = {k: (start, used, seen) for k, start, used, seen in zip(*(self.windows.get() or ((),) * 4))}
+        if self.forget_after is not None:
+            held = {k: v for k, v in held.items() if now - v[2] < self.forget_after * 1000}
+        # One number per key and active second, however many tasks and requests it had.
+        counted = pd.concat(list(rows)).groupby(["rl_key", "rl_sec"], as_index=False)["rl_n"].sum()
+        keys, seconds, counts = (counted[c].to_numpy() for c in ("rl_key", "rl_sec", "rl_n"))
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        starts, before = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for a, b in zip(edges, edges[1:]):
+            start, used, _ = held.get(keys[a], (int(seconds[a]), 0, now))
+            starts[a:b], before[a:b], start, used = _advance(seconds[a:b], counts[a:b], self.window_seconds, start, used)
+            held[keys[a]] = (start, used, now)
+        self.windows.update((list(held), *map(list, zip(*held.values()))))
+        yield pd.DataFrame({"rl_key": keys, "rl_sec": seconds, "window_start": starts, "rl_before": before})
 
     def close(self) -> None:
         pass
@@ -284,7 +299,8 @@ def stream_rate_limit(
     its key's open window came late and counts in that window, as requests count when they
     arrive.  Requests without a time pass with NULL decisions.
 
-    An open window is two numbers in Spark's RocksDB state store.  ``forget_after`` lets
+    An open window is three numbers in Spark's RocksDB state store, where a bucket of keys
+    is one row.  ``forget_after`` lets
     keys go that sent nothing for so many seconds of processing time; without it none goes,
     so a stream that is read later than it was written is decided alike.
     """
@@ -292,7 +308,9 @@ def stream_rate_limit(
         F.coalesce(F.col("key").cast("string"), F.lit("0")).alias("key"), "ts", F.col("id").cast("bigint").alias("id")
     )
     timed = keyed.filter(F.col("ts").isNotNull()).select(F.col("key").alias("rl_key"), F.unix_seconds("ts").alias("rl_sec"))
-    chained = timed.mapInArrow(_count_seconds, _COUNTED).groupBy("rl_key").transformWithState(
+    bucket = F.pmod(F.xxhash64("rl_key"), F.lit(_BUCKETS))
+    counted = timed.mapInArrow(_count_seconds, _COUNTED).withColumn("rl_bucket", bucket)
+    chained = counted.groupBy("rl_bucket").transformWithStateInPandas(
         _OpenWindows(window_seconds, forget_after), _CHAINED, "Append", "None" if forget_after is None else "ProcessingTime"
     )
     windows = [c.split()[0] for c in _CHAINED.split(", ")]

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -176,3 +177,32 @@ def test_a_busy_job_meets_the_state_as_a_row_per_task(spark, tmp_path):
     # Two inputs of the plan see the combined rows: the state and what is held against it.
     batches = list(S._newest_of_task(iter(rows.select("job_id", *S.STATE_FIELDS).toArrow().to_batches(max_chunksize=1000))))
     assert sum(b.num_rows for b in batches) == 7
+
+
+def test_many_keys_share_places_in_the_state(spark, tmp_path):
+    """Every place costs trips to the state store: they stay bounded while keys grow, and no key gets another's window."""
+    schema, source, out = "key string, ts timestamp, id bigint", str(tmp_path / "in"), str(tmp_path / "out")
+    n = 24_000
+    ids = spark.range(n).select(
+        F.concat(F.lit("k"), F.col("id") * 7919 % 6000).alias("key"),
+        (F.lit(START) + F.make_dt_interval(secs=(F.col("id") / 100).cast("decimal(18,6)"))).alias("ts"), "id",
+    )
+    for part in range(2):
+        ids.filter(F.floor(F.col("id") * 2 / n) == part).repartition(2).write.mode("append").parquet(source)
+        query = S.stream_rate_limit(T.read_stream(spark, source, schema), out, str(tmp_path / "cp"), 1, 90)
+        query.awaitTermination(240)
+        seen = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+        assert max(s["numRowsTotal"] for s in seen) <= 2048
+    want = rate_limit(ids, max_requests=1, window_seconds=90)
+    got = spark.read.parquet(out).select(want.columns)
+    assert got.count() == n and got.exceptAll(want).isEmpty()
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    schema, source, out = "key string, ts timestamp, id bigint", str(tmp_path / "in"), str(tmp_path / "out")
+    for part, wait in enumerate((6, 0)):
+        spark.createDataFrame([("a", START, part)], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = T.read_stream(spark, source, schema)
+        S.stream_rate_limit(stream, out, str(tmp_path / "cp"), 1, 60, forget_after=3).awaitTermination(120)
+        time.sleep(wait)
+    assert {r.id: r.request_count for r in spark.read.parquet(out).collect()} == {0: 1, 1: 1}
