@@ -19,9 +19,11 @@ similarity ``similarity`` or more on both sides.  Linked passages form classes.
 A star could miss two texts that share a passage neither shares with a centre, as
 when a group is one of a frequent line.  So every group whose windows lie in
 passages of several classes, or in none, is compared in full, inside tasks of
-bounded blocks.  A pair is compared in the least such group that both are in, if
-it shares values of enough hashes.  The blocks are dealt out in slices, each of
-about two copies of the texts, so that disk does not grow with the groups of a text.
+bounded blocks.  What is compared there is the context of each window's least
+place, a few hundred bytes that hold a piece of every passage around it, so an
+exchange does not grow with the lengths of the texts; the linked pairs are then
+verified on whole texts.  The blocks are dealt out in slices, each of about four
+copies of the texts at most, so that disk does not grow with the groups of a text.
 
 A passage that two texts share word for word has the same value under every
 hash.  With 6 hashes, 2 of which must agree, a single window at similarity 0.8
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import WORD, arrow_rows, narrow, settled
 from tagloom.llm.graph import components
-from tagloom.llm.near_dedup import _groups
+from tagloom.llm.near_dedup import _groups, shared_counts
 from tagloom.llm.shingles import mixed, shingle_codes, word_codes
 
 WIDTH, MIN_WORDS, SIMILARITY = 5, 50, 80
@@ -52,9 +54,10 @@ HASHES, ENOUGH = 6, 2
 _WORD = re.compile(WORD)
 # Shingles without a partner that a passage may pass over: two changed words and those between them.
 _GAP = 2 * WIDTH + 2
-_BLOCK = 256
-# Copies of its texts that a slice of the full comparison exchanges; columns of keys compared at once.
-_COPIES = 2
+# Members of a block of the full comparison.
+_BLOCK = 1024
+# Copies of the texts that a slice of it exchanges; columns of keys compared at once.
+_COPIES = 4
 _COLUMNS = 4096
 
 
@@ -193,7 +196,7 @@ def _extent(one: np.ndarray, two: np.ndarray, i: int, j: int) -> int:
 
 
 def _alignments(one: np.ndarray, two: np.ndarray, shortest: int) -> list[np.ndarray]:
-    """Per place of ``two`` a place of ``one`` with the same shingle, else -1, in up to two ways.
+    """Per place of ``two`` a place of ``one`` with the same shingle, else -1, in up to two ways; none if no run is long enough.
 
     A shingle that ``one`` holds more than once continues the shift of its neighbour where it can: of the one
     before it in the first way, of the one after it in the second.  Where no shift goes on, the longest copy does.
@@ -205,13 +208,14 @@ def _alignments(one: np.ndarray, two: np.ndarray, shortest: int) -> list[np.ndar
         return [partners]
     cuts = np.flatnonzero(np.diff(matched) > _GAP)
     first, last = np.append(0, cuts + 1), np.append(cuts, len(matched) - 1)
-    several = counts[matched] > 1
+    long = matched[last] - matched[first] + 1 >= shortest
+    if not long.any():
+        return []
+    first, last, several = first[long], last[long], counts[matched] > 1
     ways = [partners, partners]
     for way in range(2):
         partners = ways[way] = ways[0].copy()
         for start, end in zip(first.tolist(), last.tolist()):
-            if matched[end] - matched[start] + 1 < shortest:
-                continue
             for k in (np.flatnonzero(several[start : end + 1]) + start).tolist()[:: -1 if way else 1]:
                 j = int(matched[k])
                 options = places[low[j] : low[j] + counts[j]]
@@ -282,18 +286,6 @@ def _aligned(
     return found
 
 
-def _may_share(one: np.ndarray, two: np.ndarray, shortest: int) -> bool:
-    """Whether a run of common shingles with small gaps is long enough; ``one`` is ascending."""
-    at = np.searchsorted(one, two)
-    at[at == len(one)] = 0
-    run = np.flatnonzero(one[at] == two)
-    if len(run) < 2 or run[-1] - run[0] + 1 < shortest:
-        return len(run) >= shortest
-    cuts = np.flatnonzero(np.diff(run) > _GAP)
-    first, last = run[np.append(0, cuts + 1)], run[np.append(cuts, len(run) - 1)]
-    return bool((last - first + 1 >= shortest).any())
-
-
 def sharing(keys: list[np.ndarray], enough: int) -> np.ndarray:
     """Per pair of members whether their window keys agree in ``enough`` hashes, as windows that overlap must."""
     owner, flat = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
@@ -312,52 +304,137 @@ def sharing(keys: list[np.ndarray], enough: int) -> np.ndarray:
     return agreed >= enough
 
 
+def contexts(
+    words: np.ndarray, keys: list[int], places: list[int], width: int, shortest: int, hashes: int
+) -> Iterator[tuple[int, int, int, bytes]]:
+    """(number of the key, place, start, shingles) around the places of window keys.
+
+    Whatever passage holds a place, a piece of it of the shortest length lies in reach.  Shingles are told by 32 bits.
+    A key with several places has a context for each, equal ones once.
+    """
+    codes = shingle_codes(words.astype(np.uint64), width)
+    short, reach = codes.astype(np.uint32), shortest + _GAP
+    values = least = None
+    for number, (key, place) in enumerate(zip(keys, places)):
+        own = [place]
+        if place < 0:
+            if values is None:
+                values = hashed(codes, hashes)
+                least = least_places(values, shortest)
+            h = key & 7
+            same = values[h] & np.uint64(0xFFFFFFFFFFFFFFF8) == np.uint64((key & 0xFFFFFFFFFFFFFFFF) - h)
+            own = np.flatnonzero(same & least[h]).tolist()
+        seen = set()
+        for at in own:
+            start = max(at - reach, 0)
+            around = short[start : at + reach + 1].tobytes()
+            if place >= 0 or around not in seen:
+                seen.add(around)
+                yield number, at, start, around
+
+
+def _least_distinct(codes: np.ndarray, shortest: int) -> int:
+    """The fewest different shingles in any window of the shortest length."""
+    if len(_distinct(codes)) == len(codes):
+        return shortest
+    held = np.sort(np.lib.stride_tricks.sliding_window_view(codes, shortest), axis=1)
+    return int((held[:, 1:] != held[:, :-1]).sum(axis=1).min()) + 1
+
+
+def _partnered(codes: list[np.ndarray], needed: np.ndarray) -> np.ndarray:
+    """Numbers of the sets that have enough elements in common with the others together; the rest go, until none does."""
+    left = np.arange(len(codes))
+    while len(left):
+        sizes = np.array([len(codes[i]) for i in left])
+        _, ids, counts = np.unique(np.concatenate([codes[i] for i in left]), return_inverse=True, return_counts=True)
+        common = np.add.reduceat(counts[ids] > 1, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        kept = common >= needed[left]
+        if kept.all():
+            break
+        left = left[kept]
+    return left
+
+
+def _close(codes: list[np.ndarray], maybe: np.ndarray, least: np.ndarray, shortest: int, similarity: int) -> np.ndarray:
+    """Pairs (i, j) where j may hold a passage similar to one of i, by what j's places have in common with i.
+
+    A similar passage has ``similarity`` percent of the shingles of either side in common, and of those of both
+    sides together: i's are ``least`` at least, and as many as from the partner of the first place to that of the
+    last.  Where shingles of j repeat, the number of places says less, and its pairs stay.
+    """
+    sizes = np.array([len(c) for c in codes])
+    found, flat = np.unique(np.concatenate(codes), return_inverse=True)
+    ids = np.full((len(codes), sizes.max()), len(found))
+    ids[np.arange(ids.shape[1]) < sizes[:, None]] = flat
+    fresh = np.array([len(_distinct(c)) == len(c) for c in codes])
+    close = maybe & ~fresh
+    numbers, far = np.arange(ids.shape[1] + 1), np.int64(1) << 40
+    partner = np.full(len(found) + 1, -1)
+
+    def reached(opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+        lowest = np.minimum.accumulate(opens[:, : opens.shape[1] - shortest], axis=1)
+        return (closes[:, shortest:] - lowest).max(axis=1)
+
+    for i in range(len(codes)):
+        others = np.flatnonzero(maybe[i] & fresh)
+        if not len(others):
+            continue
+        partner[ids[i, : sizes[i]]] = np.arange(sizes[i])
+        at = partner[ids[others]]
+        partner[ids[i]] = -1
+        run = np.zeros((len(others), len(numbers)), np.int64)
+        np.cumsum(at >= 0, axis=1, out=run[:, 1:])
+        alone, both = 100 * run - similarity * numbers, (100 + similarity) * run - similarity * numbers
+        ok = (reached(alone, alone) >= 0) & (reached(both, both) >= similarity * least[i])
+        if fresh[i]:
+            opens, closes = np.full(run.shape, far), np.full(run.shape, -far)
+            opens[:, :-1] = np.where(at >= 0, both[:, :-1] - similarity * at, far)
+            closes[:, 1:] = np.where(at >= 0, both[:, 1:] - similarity * at, -far)
+            ok &= reached(opens, closes) >= similarity
+        close[i, others[ok]] = True
+    return close
+
+
 def compare_block(
-    key: int, nodes: list, blocks: list, words: list[bytes], keys: list[np.ndarray], windows: list[dict], width: int,
-    shortest: int, similarity: int, hashes: int, enough: int, both_blocks: bool,
+    nodes: np.ndarray, blocks: np.ndarray, labels: np.ndarray, places: np.ndarray, starts: np.ndarray,
+    around: list[np.ndarray], shortest: int, similarity: int, both_blocks: bool,
 ) -> list[tuple]:
-    """Links between members of one open group; ``windows`` holds each member's (label, place) by key of open groups.
+    """Links between members of one open group, by the contexts of the window they share: a spanning forest.
 
-    A pair is left out if its windows of every common open group are in one class already.
+    A similar passage has at least as many different shingles as the poorest window of each context, and at least
+    ``similarity`` percent of them in common.  Pairs whose classes are linked already are left out.
     """
-    sequences: dict[int, np.ndarray] = {}
-    ordered: dict[int, np.ndarray] = {}
-    root: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def codes(i: int) -> np.ndarray:
-        if i not in sequences:
-            sequences[i] = shingle_codes(np.frombuffer(words[i], np.uint32).astype(np.uint64), width)
-        return sequences[i]
+    sets = [_distinct(c) for c in around]
+    least = np.array([_least_distinct(c, shortest) for c in around])
+    left = _partnered(sets, -(-similarity * least // 100))
+    if len(left) < 2:
+        return []
+    nodes, blocks, labels, places, starts, least = (x[left] for x in (nodes, blocks, labels, places, starts, least))
+    around = [around[i] for i in left]
+    common = (100 + similarity) * shared_counts([sets[i] for i in left])
+    maybe = (common >= similarity * np.add.outer(least, least)) & np.not_equal.outer(nodes, nodes) & np.not_equal.outer(labels, labels)
+    if both_blocks:
+        maybe &= np.not_equal.outer(blocks, blocks)
+    if maybe.any():
+        maybe = _close(around, maybe, least, shortest, similarity)
+    maybe = np.triu(maybe & maybe.T, 1)
+    root: dict[int, int] = {}
 
-    def top(x: tuple[int, int]) -> tuple[int, int]:
+    def top(x: int) -> int:
         while (up := root.get(x, x)) != x:
             root[x] = root.get(up, up)
             x = up
         return x
 
     found = []
-    maybe = np.triu(sharing(keys, enough), 1)
-    if both_blocks:
-        maybe &= np.not_equal.outer(np.array(blocks), np.array(blocks))
+    names, begins, ends = labels.tolist(), starts.tolist(), places.tolist()
     for i, j in np.argwhere(maybe).tolist():
-        mine, other = windows[i], windows[j]
-        common = [k for k in mine.keys() & other.keys() if mine[k][0] != other[k][0]]
-        if not common or min(common) != key:
+        if top(names[i]) == top(names[j]):
             continue
-        if i not in ordered:
-            ordered[i] = _distinct(codes(i))
-        if not _may_share(ordered[i], codes(j), shortest):
-            continue
-        if all(top((k, mine[k][0])) == top((k, other[k][0])) for k in common):
-            continue
-        got = passages(codes(i), codes(j), shortest, similarity)
-        if not got or not intervals_agree(codes(i), codes(j), shortest, hashes, enough):
-            continue
-        found += [(nodes[i], nodes[j], *p) for p in got]
-        for k in common:
-            x, y = mine[k][1], other[k][1]
-            if any(a <= x < b and c <= y < d for a, b, c, d in got):
-                root[top((k, mine[k][0]))] = top((k, other[k][0]))
+        got = [(a + begins[i], b + begins[i], c + begins[j], d + begins[j]) for a, b, c, d in passages(around[i], around[j], shortest, similarity)]
+        found += [(int(nodes[i]), int(nodes[j]), *p) for p in got]
+        if any(a <= ends[i] < b and c <= ends[j] < d for a, b, c, d in got):
+            root[top(names[i])] = top(names[j])
     return found
 
 
@@ -374,20 +451,15 @@ def repeated_passages(
     names = settled(rows.select("doc", "node").distinct(), "names")
     copies = names.groupBy("node").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies"))
 
-    found = windows(rows, width, shortest, hashes)
-    # 24 bits tell the nodes of a group apart; they depend on the key, so no two nodes are alike in all their groups.
-    mark = F.xxhash64("node", "key").bitwiseAND(0xFFFFFF).cast("int")
-    ends = (
-        found.select("key", mark.alias("mark")).groupBy("key").agg(F.min("mark").alias("first"), F.max("mark").alias("last"))
-        .filter("first < last").select("key")
+    # One exchange tells which values are shared, and by whom.
+    group = Window.partitionBy("key")
+    shared = windows(rows, width, shortest, hashes).withColumns(
+        {"first": F.min("node").over(group), "last": F.max("node").over(group), "size": F.count(F.lit(1)).over(group)}
     )
-    shared = settled(found.join(ends, "key", "left_semi"), "windows")
-    ends = shared.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    ends = ends.withColumn("tag", F.xxhash64("key"))
+    shared = settled(shared.filter("first < last"), "windows")
     centres = F.array(F.col("first"), F.when(F.col("node") != F.col("first"), F.col("last")))
     star = (
-        shared.withColumn("tag", F.xxhash64("key")).join(ends, ["key", "tag"])
-        .select(F.explode(centres).alias("a"), F.col("node").alias("b"), F.expr("shiftleft(1, cast(key & 7 AS int))").alias("hash"))
+        shared.select(F.explode(centres).alias("a"), F.col("node").alias("b"), F.expr("shiftleft(1, cast(key & 7 AS int))").alias("hash"))
         .filter("a IS NOT NULL AND a <> b")
     )
     pairs = star.groupBy("a", "b").agg(F.bit_or("hash").alias("hashes")).filter(F.bit_count("hashes") >= enough).select("a", "b")
@@ -403,11 +475,6 @@ def repeated_passages(
         return [nodes, [len(w) for w in words], [w.tobytes() for w in words]]
 
     sequences = settled(arrow_rows(texts, encode, "node long, n int, words binary", "node", "text").dropDuplicates(["node"]), "sequences")
-    both = (
-        pairs.join(sequences.select(F.col("node").alias("a"), F.col("words").alias("one")), "a")
-        .join(sequences.select(F.col("node").alias("b"), F.col("words").alias("two")), "b")
-    )
-
     def verify(a: list, b: list, one: list, two: list) -> list[list]:
         out = []
         for x, y, s, t in zip(a, b, one, two):
@@ -419,7 +486,15 @@ def repeated_passages(
         return [list(c) for c in zip(*out)] if out else [[] for _ in range(6)]
 
     schema = "a long, b long, a_start int, a_end int, b_start int, b_end int"
-    links = settled(arrow_rows(both, verify, schema, "a", "b", "one", "two", rows=50), "passages")
+
+    def verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
+        both = (
+            pairs.join(sequences.select(F.col("node").alias("a"), F.col("words").alias("one")), "a")
+            .join(sequences.select(F.col("node").alias("b"), F.col("words").alias("two")), "b")
+        )
+        return settled(arrow_rows(both, verify, schema, "a", "b", "one", "two", rows=50), "passages")
+
+    links = verified(pairs, sequences)
 
     def labelled(links: DataFrame, sequences: DataFrame) -> DataFrame:
         """(part, node, start, end, label) of all passages."""
@@ -451,55 +526,60 @@ def repeated_passages(
     parts = settled(labelled(links, sequences), "parts")
 
     # Groups of up to three nodes are stars of all their pairs.
-    large = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 3").select("key")
     inside = (
-        shared.join(large, "key", "left_semi")
+        shared.filter("size > 3").select("key", "node", "place")
         .join(parts.select(F.col("node").alias("n"), "start", "end", "label"), F.expr("node = n AND place >= start AND place < end"), "left")
         .select("key", "node", "place", F.coalesce("label", F.xxhash64(F.lit("alone"), "node", "key")).alias("label"))
+        .withColumns({"low": F.min("label").over(group), "high": F.max("label").over(group), "size": F.count(F.lit(1)).over(group)})
     )
-    inside = settled(inside, "inside")
-    open_ = (
-        inside.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-        .filter("low <> high").select("key", F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks"))
-    )
-    open_ = settled(open_, "open")
-    members = settled(inside.join(open_, "key"), "members")
-    lists = members.groupBy("node").agg(F.collect_list(F.struct("key", "label", "place")).alias("windows"))
+    blocks = F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks")
+    members = settled(inside.filter("low <> high").select("key", "node", "place", "label", blocks), "members")
+    lists = members.groupBy("node").agg(F.collect_set(F.struct("key", "label", "place", "blocks")).alias("w"))
     unread = lists.select("node").join(copies, "node").select(F.col("node").alias("n"), F.col("least").alias("d"))
     more = rows.join(unread, (F.col("doc") == F.col("d")) & (F.col("node") == F.col("n")), "left_semi")
     more = arrow_rows(more, encode, "node long, n int, words binary", "node", "text").dropDuplicates(["node"])
-    known = shared.join(lists.select("node"), "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
-    carried = settled(lists.join(more, "node").join(known, "node").select("node", "words", "windows", "keys"), "carried")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = (
-        members.select("key", "node", "blocks").withColumn("block", block).withColumn("other", F.explode(other))
-        .select("key", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    )
+    carried = settled(lists.join(more, "node").select("node", "words", "w.key", "w.label", "w.place", "w.blocks"), "carried")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _groups(batches, ["key", "i", "j"]):
-            held = [{w["key"]: (w["label"], w["place"]) for w in ws} for ws in group["windows"]]
-            key, i, j = (int(group[c].iloc[0]) for c in ("key", "i", "j"))
-            got = compare_block(
-                key, group["node"].tolist(), group["block"].tolist(), group["words"].tolist(), group["keys"].tolist(), held,
-                width, shortest, similarity, hashes, enough, i != j,
-            )
+            columns = [group[c].to_numpy() for c in ("node", "block", "label", "place", "start")]
+            around = [np.frombuffer(c, np.uint32) for c in group["around"]]
+            got = compare_block(*columns, around, shortest, similarity, bool(group["i"].iloc[0] != group["j"].iloc[0]))
             yield pd.DataFrame(got, columns=["a", "b", "a_start", "a_end", "b_start", "b_end"])
 
-    lengths = carried.select("node", F.octet_length("words").cast("long").alias("length"))
-    dealt = members.join(lengths, "node").agg(F.sum(F.col("length") * F.col("blocks"))).first()[0] or 0
-    held = lengths.agg(F.sum("length")).first()[0] or 0
+    def cells(number: int, slices: int) -> DataFrame:
+        """The contexts of a slice, for every pair of blocks that a group has there."""
+
+        def cut(nodes: list, words: list, keys: list, labels: list, places: list, blocks: list) -> list[list]:
+            out = []
+            for node, text, ks, ls, ps, bs in zip(nodes, words, keys, labels, places, blocks):
+                own = [k for k in range(len(ks)) if bs[k] > 1 or (ks[k] >> 3) % slices == number]
+                if not own:
+                    continue
+                found = contexts(np.frombuffer(text, np.uint32), [ks[k] for k in own], [ps[k] for k in own], width, shortest, hashes)
+                out += [(ks[own[k]], node, ls[own[k]], bs[own[k]], at, start, around) for k, at, start, around in found]
+            return [list(c) for c in zip(*out)] if out else [[] for _ in range(7)]
+
+        columns = "key long, node long, label long, blocks int, place int, start int, around binary"
+        found = arrow_rows(carried, cut, columns, "node", "words", "key", "label", "place", "blocks", rows=50)
+        found = found.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        found = found.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        return found.filter((F.col("blocks") == 1) | (F.pmod(F.xxhash64("key", "i", "j"), F.lit(slices)) == number)).drop("blocks", "other")
+
+    held = carried.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
+    dealt = (members.agg(F.sum("blocks")).first()[0] or 0) * 4 * (2 * (shortest + _GAP) + 1)
     slices = max(1, -(-dealt // max(1, _COPIES * held)))
     rest = None
     for number in range(slices):
         # The exchanges of a slice leave the disks before the next one begins.
-        own = cells.filter(F.pmod(F.xxhash64("key", "i", "j"), F.lit(slices)) == number)
-        own = own.join(carried, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(compare, schema)
-        own = settled(own, "passages")
+        own = cells(number, slices).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(compare, schema)
+        own = settled(own.distinct(), "passages")
         rest = own if rest is None else rest.unionByName(own)
     if not rest.isEmpty():
-        parts = labelled(links.unionByName(rest), sequences)
+        # A context cuts a passage short: the whole texts have the rest of it.
+        ends = verified(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), carried)
+        parts = labelled(links.unionByName(rest).unionByName(ends).distinct(), sequences)
     # Every copy of a text holds its passages.
     parts = parts.withColumn("tag", F.xxhash64("node"))
     whole = names.withColumn("tag", F.xxhash64("node")).join(parts, ["node", "tag"]).select("doc", "label", "start", "end").distinct()

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import settled
 from tagloom.llm.shingles import shingle_codes, word_codes
-from tagloom.llm.substrings import ENOUGH, HASHES, compact_windows, overlap, passages, repeated_passages, sharing, without_repeats
+from tagloom.llm.substrings import (
+    ENOUGH, HASHES, compact_windows, compare_block, contexts, overlap, passages, repeated_passages, sharing, window_keys, without_repeats,
+)
 
 
 def tree(values, width, a, b):
@@ -185,3 +187,58 @@ def test_pairs_that_share_enough_hashes():
         for j, two in enumerate(keys):
             if i != j:
                 assert got[i, j] == (len({int(k) & 7 for k in set(one.tolist()) & set(two.tolist())}) >= 2)
+
+
+def test_the_full_comparison_sees_contexts_of_bounded_size():
+    """Whole texts went to the disks once per block of every open group."""
+    rng = random.Random(9)
+    line, words = [f"l{k}" for k in range(20)], [f"f{rng.randrange(10**9)}" for _ in range(3000)]
+    codes = word_codes(" ".join([*line, *words[:1500], *line, *words[1500:], *line])).astype(np.uint32)
+    shingles = shingle_codes(codes.astype(np.uint64), 5)
+    keys, places = window_keys(shingles, 46, HASHES)
+    got = list(contexts(codes, keys.tolist(), places.tolist(), 5, 46, HASHES))
+    assert {n for n, *_ in got} == set(range(len(keys))) and (places < 0).any()
+    for number, place, start, around in got:
+        held = np.frombuffer(around, np.uint32)
+        assert 46 <= len(held) <= 2 * 58 + 1 and start <= place < start + len(held)
+        assert held.tolist() == shingles[start : start + len(held)].astype(np.uint32).tolist()
+        assert places[number] in (-1, place)
+
+
+def test_contexts_of_a_block_link_what_all_pairs_link():
+    """Also where shingles repeat; pairs of a node, of a class or of a block stay out."""
+    rng = random.Random(10)
+    links = missed = 0
+    for trial in range(60):
+        alphabet = 12 if trial % 3 == 0 else 10**6
+        base = [rng.randrange(alphabet) for _ in range(117)]
+        around = []
+        for _ in range(14):
+            own = [c if rng.random() > rng.choice([0, 0.05, 0.1, 0.2, 0.5]) else rng.randrange(alphabet) for c in base]
+            cut = rng.randrange(60)
+            own[:cut] = [rng.randrange(alphabet) for _ in range(cut)]
+            around.append(np.array(own[rng.randrange(8) :], np.uint32))
+        nodes, blocks, labels = np.arange(14) % 12, np.arange(14) % 2, np.array([rng.randrange(9) for _ in range(14)])
+        places, starts = np.full(14, 1080), np.full(14, 1000)
+        for both in (False, True):
+            got = compare_block(nodes, blocks, labels, places, starts, around, 46, 80, both)
+            root = {x: x for x in labels.tolist()}
+
+            def top(x):
+                return x if root[x] == x else top(root[x])
+
+            for a, b, p, q, r, t in got:
+                i, j = ([k for k in range(14) if nodes[k] == n] for n in (a, b))
+                assert any((p - 1000, q - 1000, r - 1000, t - 1000) in passages(around[x], around[y], 46, 80) for x in i for y in j)
+                if p <= 1080 < q and r <= 1080 < t:
+                    for x in i:
+                        for y in j:
+                            if (p - 1000, q - 1000, r - 1000, t - 1000) in passages(around[x], around[y], 46, 80):
+                                root[top(int(labels[x]))] = top(int(labels[y]))
+            for x in range(14):
+                for y in range(x + 1, 14):
+                    if nodes[x] != nodes[y] and (not both or blocks[x] != blocks[y]):
+                        if any(a <= 80 < b and c <= 80 < d for a, b, c, d in passages(around[x], around[y], 46, 80)):
+                            links += 1
+                            missed += top(int(labels[x])) != top(int(labels[y]))
+    assert links > 500 and not missed
