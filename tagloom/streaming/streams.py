@@ -232,19 +232,36 @@ _BUCKETS = 2048
 _WINDOWS = "keys array<string>, starts array<bigint>, used array<bigint>, seen array<bigint>"
 
 
-def _advance(seconds: np.ndarray, counts: np.ndarray, window_seconds: int, start: int, used: int) -> tuple:
-    """Window and count before it of each active second of a key, and its open window after them."""
-    starts, before = np.zeros(len(seconds), np.int64), np.zeros(len(seconds), np.int64)
+def _advance(
+    edges: np.ndarray, seconds: np.ndarray, counts: np.ndarray, window_seconds: int, opened: np.ndarray, used: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Window and count before it of each active second of many keys at once.
+
+    The seconds of key g lie from ``edges[g]`` to ``edges[g + 1]``, ascending; ``opened`` and ``used`` are its open
+    window, whose start is its first second if it has none.
+    """
+    size, group = len(seconds), np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    # Keys lie further apart on one line than any window, so a window of a key ends at the next one's first second.
+    low, reach = int(seconds.min()), int(seconds.max()) - int(seconds.min())
+    span = reach + window_seconds + 1
+    line = group * span + (seconds - low)
+    following = np.searchsorted(line, line + window_seconds, side="right").tolist()
+    # Also what came late, before the open window: it counts by arrival.
+    last = np.arange(len(edges) - 1) * span + np.clip(opened + window_seconds - low, -1, reach)
+    carried = np.searchsorted(line, last, side="right")
+    opening = []
+    for at, end in zip(carried.tolist(), edges[1:].tolist()):
+        while at < end:
+            opening.append(at)
+            at = following[at]
+    opened_by = np.zeros(size, np.int64)
+    opened_by[opening] = opening
+    opened_by = np.maximum.accumulate(opened_by)
     running = np.concatenate([[0], np.cumsum(counts)])
-    at = 0
-    while at < len(seconds):
-        if seconds[at] > start + window_seconds:
-            start, used = int(seconds[at]), 0
-        # Also what came late, before the open window: it counts by arrival.
-        end = int(np.searchsorted(seconds, start + window_seconds, side="right"))
-        starts[at:end], before[at:end] = start, used + running[at:end] - running[at]
-        used, at = used + int(running[end] - running[at]), end
-    return starts, before, start, used
+    starts, before = seconds[opened_by], running[:-1] - running[opened_by]
+    still = np.arange(size) < carried[group]
+    starts = np.where(still, opened[group], starts)
+    return starts, np.where(still, used[group] + running[:-1] - running[edges[:-1]][group], before)
 
 
 class _OpenWindows(StatefulProcessor):
@@ -268,12 +285,13 @@ class _OpenWindows(StatefulProcessor):
         # One number per key and active second, however many tasks and requests it had.
         counted = pd.concat(list(rows)).groupby(["rl_key", "rl_sec"], as_index=False)["rl_n"].sum()
         keys, seconds, counts = (counted[c].to_numpy() for c in ("rl_key", "rl_sec", "rl_n"))
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        starts, before = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for a, b in zip(edges, edges[1:]):
-            start, used, _ = held.get(keys[a], (int(seconds[a]), 0, now))
-            starts[a:b], before[a:b], start, used = _advance(seconds[a:b], counts[a:b], self.window_seconds, start, used)
-            held[keys[a]] = (start, used, now)
+        edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        own = keys[edges[:-1]].tolist()
+        opened = np.array([held[k][0] if k in held else a for k, a in zip(own, seconds[edges[:-1]].tolist())], np.int64)
+        used = np.array([held[k][1] if k in held else 0 for k in own], np.int64)
+        starts, before = _advance(edges, seconds, counts, self.window_seconds, opened, used)
+        last = edges[1:] - 1
+        held.update((k, (a, n, now)) for k, a, n in zip(own, starts[last].tolist(), (before[last] + counts[last]).tolist()))
         self.windows.update((list(held), *map(list, zip(*held.values()))))
         yield pd.DataFrame({"rl_key": keys, "rl_sec": seconds, "window_start": starts, "rl_before": before})
 
