@@ -577,9 +577,9 @@ def repeated_passages(
         own = settled(own.distinct(), "passages")
         rest = own if rest is None else rest.unionByName(own)
     if not rest.isEmpty():
-        # A context cuts a passage short: the whole texts have the rest of it.
-        ends = verified(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), carried)
-        parts = labelled(links.unionByName(rest).unionByName(ends).distinct(), sequences)
+        # A context may cut a passage short or do without the rest of a run: whole texts decide.
+        more = rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        parts = labelled(links.unionByName(verified(more, carried)).distinct(), sequences)
     # Every copy of a text holds its passages.
     parts = parts.withColumn("tag", F.xxhash64("node"))
     whole = names.withColumn("tag", F.xxhash64("node")).join(parts, ["node", "tag"]).select("doc", "label", "start", "end").distinct()
