@@ -37,6 +37,7 @@ repeat an id are one document.  Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import WORD, arrow_rows, narrow, settled
 from tagloom.llm.graph import components
-from tagloom.llm.near_dedup import _groups, shared_counts
+from tagloom.llm.near_dedup import shared_counts
 from tagloom.llm.shingles import mixed, shingle_codes, word_codes
 
 WIDTH, MIN_WORDS, SIMILARITY = 5, 50, 80
@@ -59,6 +60,8 @@ _BLOCK = 1024
 # Copies of the texts that a slice of it exchanges; columns of keys compared at once.
 _COPIES = 4
 _COLUMNS = 4096
+# Links that a task hands on at once.
+_ROWS = 10_000
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -167,6 +170,20 @@ def intervals_agree(one: np.ndarray, two: np.ndarray, shortest: int, hashes: int
     return False
 
 
+def verbatim(one: np.ndarray, two: np.ndarray, found: list[tuple[int, int, int, int]], shortest: int) -> bool:
+    """Whether ``shortest`` shingles in a row are equal from the start, or up to the end, of a passage of both.
+
+    Every hash has a window around such a row in both, so ``intervals_agree`` need not look.
+    """
+    for a, b, c, d in found:
+        n = min(b - a, d - c)
+        for x, y in ((a, c), (b - n, d - n)):
+            differ = np.flatnonzero(one[x : x + n] != two[y : y + n])
+            if (np.diff(differ, prepend=-1, append=n) > shortest).any():
+                return True
+    return False
+
+
 def _distinct(codes: np.ndarray) -> np.ndarray:
     codes = np.sort(codes)
     new = np.ones(len(codes), bool)
@@ -174,25 +191,35 @@ def _distinct(codes: np.ndarray) -> np.ndarray:
     return codes[new]
 
 
+def _fresh(ordered: np.ndarray) -> bool:
+    """Whether sorted codes are all different."""
+    return not (ordered[1:] == ordered[:-1]).any()
+
+
 def _occurrences(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of ``one`` by shingle, and per place of ``two`` where its shingle begins there and how often it occurs."""
     places = np.argsort(one, kind="stable")
     ordered = one[places]
     low = np.searchsorted(ordered, two)
+    if _fresh(ordered):
+        return places, low, (ordered[np.minimum(low, len(one) - 1)] == two).astype(np.int64)
     return places, low, np.searchsorted(ordered, two, side="right") - low
 
 
-def _extent(one: np.ndarray, two: np.ndarray, i: int, j: int) -> int:
-    """How many shingles are equal from i in ``one`` and j in ``two`` on."""
-    done, step = 0, 32
-    while True:
-        n = min(step, len(one) - i - done, len(two) - j - done)
-        if n <= 0:
-            return done
-        differ = np.flatnonzero(one[i + done : i + done + n] != two[j + done : j + done + n])
-        if len(differ):
-            return done + int(differ[0])
-        done, step = done + n, step * 2
+def _longest(one: np.ndarray, two: np.ndarray, options: list[int], j: int) -> int:
+    """The first place of ``options`` from which ``one`` goes on longest like ``two`` from j on."""
+    left, done, step = np.array(options), 0, 32
+    while (reach := min(step, len(two) - j - done)) > 0:
+        at = left[:, None] + np.arange(done, done + reach)
+        same = (one[np.minimum(at, len(one) - 1)] == two[j + done : j + done + reach]) & (at < len(one))
+        whole = same.all(axis=1)
+        if not whole.any():
+            return int(left[same.argmin(axis=1).argmax()])
+        left, done = left[whole], done + reach
+        if len(left) == 1:
+            break
+        step = min(step * 2, max(32, (1 << 20) // len(left)))
+    return int(left[0])
 
 
 def _alignments(one: np.ndarray, two: np.ndarray, shortest: int) -> list[np.ndarray]:
@@ -211,23 +238,26 @@ def _alignments(one: np.ndarray, two: np.ndarray, shortest: int) -> list[np.ndar
     long = matched[last] - matched[first] + 1 >= shortest
     if not long.any():
         return []
-    first, last, several = first[long], last[long], counts[matched] > 1
-    ways = [partners, partners]
+    several, order, numbers = counts[matched] > 1, places.tolist(), matched.tolist()
+    begins, own, ways = low[matched], partners[matched].tolist(), []
+    begins, ends = begins.tolist(), (begins + counts[matched]).tolist()
     for way in range(2):
-        partners = ways[way] = ways[0].copy()
-        for start, end in zip(first.tolist(), last.tolist()):
+        for start, end in zip(first[long].tolist(), last[long].tolist()):
             for k in (np.flatnonzero(several[start : end + 1]) + start).tolist()[:: -1 if way else 1]:
-                j = int(matched[k])
-                options = places[low[j] : low[j] + counts[j]]
+                a, b = begins[k], ends[k]
                 near = k + 1 if way else k - 1
                 if start <= near <= end:
-                    away = np.abs(options - j - (partners[matched[near]] - matched[near]))
-                    best = int(away.argmin())
-                    if away[best] <= _GAP:
-                        partners[j] = options[best]
+                    wanted = numbers[k] + own[near] - numbers[near]
+                    best = bisect_left(order, wanted, a, b)
+                    if best == b or best > a and wanted - order[best - 1] <= order[best] - wanted:
+                        best -= 1
+                    if abs(order[best] - wanted) <= _GAP:
+                        own[k] = order[best]
                         continue
                 if not way:
-                    partners[j] = max(options.tolist(), key=lambda i: _extent(one, two, i, j))
+                    own[k] = _longest(one, two, order[a:b], numbers[k])
+        ways.append(partners.copy())
+        ways[way][matched] = own
     return ways[:1] if np.array_equal(*ways) else ways
 
 
@@ -236,18 +266,26 @@ def passages(one: np.ndarray, two: np.ndarray, shortest: int, similarity: int) -
     if min(len(one), len(two)) < shortest:
         return []
     found: list[tuple[int, int, int, int]] = []
-    for partners in _alignments(one, two, shortest):
-        found += _aligned(one, two, partners, shortest, similarity)
-    # What one way finds may be a part of what the other finds.
+    ways = _alignments(one, two, shortest)
+    fresh = bool(ways) and _fresh(np.sort(one)) and _fresh(np.sort(two))
+    for partners in ways:
+        found += _aligned(one, two, partners, shortest, similarity, fresh)
+    return _widest(found)
+
+
+def _widest(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """What is no part of another: what one way finds may be a part of what the other finds."""
+    if len(found) < 2:
+        return found
     within = lambda p, q: q[0] <= p[0] and p[1] <= q[1] and q[2] <= p[2] and p[3] <= q[3]
     found = list(dict.fromkeys(found))
     return [p for p in found if not any(p != q and within(p, q) for q in found)]
 
 
 def _aligned(
-    one: np.ndarray, two: np.ndarray, partners: np.ndarray, shortest: int, similarity: int
+    one: np.ndarray, two: np.ndarray, partners: np.ndarray, shortest: int, similarity: int, fresh: bool = False
 ) -> list[tuple[int, int, int, int]]:
-    """Similar passages of one alignment."""
+    """Similar passages of one alignment; of ``fresh`` sequences, neither of which repeats a shingle, partners are counted."""
     found: list[tuple[int, int, int, int]] = []
 
     def pieces(run: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
@@ -258,28 +296,43 @@ def _aligned(
     todo = pieces(np.flatnonzero(partners >= 0), [])
     while todo:
         run = todo.pop()
-        step = np.diff(run)
-        if step.max(initial=1) > _GAP:
+        step = run[1:] - run[:-1]
+        widest = int(step.max()) if len(step) else 1
+        if widest > _GAP:
             todo += pieces(run, (np.flatnonzero(step > _GAP) + 1).tolist())
             continue
         # Both sides go on together: a jump in either ends a run, but for shingles that occur twice.
-        shift = partners[run] - run
-        near = np.abs(shift - int(np.median(shift))) <= _GAP
-        jumps = (np.flatnonzero(np.abs(np.diff(shift)) > _GAP) + 1).tolist()
-        if near.sum() * 2 >= len(run):
-            kept = run[near]
+        own = partners[run]
+        shift = own - run
+        jumps: list[int] = []
+        straight = int(shift.max()) - int(shift.min()) <= _GAP
+        kept = run
+        if not straight:
+            ordered, half = np.sort(shift), len(shift) // 2
+            middle = int(ordered[half]) if len(shift) % 2 else int((int(ordered[half - 1]) + int(ordered[half])) / 2)
+            near = np.abs(shift - middle) <= _GAP
+            jumps = (np.flatnonzero(np.abs(shift[1:] - shift[:-1]) > _GAP) + 1).tolist()
+            kept, own = run[near], own[near]
+        if len(kept) * 2 >= len(run):
             start, end = int(kept[0]), int(kept[-1]) + 1
-            begin, stop = int(partners[kept].min()), int(partners[kept].max()) + 1
+            begin, stop = int(own.min()), int(own.max()) + 1
             if end - start >= shortest and stop - begin >= shortest:
-                a, b = _distinct(one[begin:stop]), _distinct(two[start:end])
-                either = len(_distinct(np.concatenate([a, b])))
-                if 100 * (len(a) + len(b) - either) >= similarity * either:
+                if not fresh:
+                    a, b = _distinct(one[begin:stop]), _distinct(two[start:end])
+                    either = len(_distinct(np.concatenate([a, b])))
+                    common = len(a) + len(b) - either
+                else:
+                    # A straight run holds every place between its ends that has a partner.
+                    between = partners[start:end]
+                    common = len(run) if straight else int(((between >= begin) & (between < stop)).sum())
+                    either = stop - begin + end - start - common
+                if 100 * common >= similarity * either:
                     found.append((begin, stop, start, end))
                     # What lies before and after on other diagonals may be a passage too.
-                    for rest in (run[run < start], run[run >= end]):
+                    for rest in (run[run < start], run[run >= end]) if not straight else ():
                         todo += pieces(rest, [])
                     continue
-            if not len(jumps) and step.max(initial=1) > 1:
+            if not len(jumps) and widest > 1:
                 jumps = [int(step.argmax()) + 1]
         if len(jumps):
             todo += pieces(run, jumps)
@@ -335,8 +388,6 @@ def contexts(
 
 def _least_distinct(codes: np.ndarray, shortest: int) -> int:
     """The fewest different shingles in any window of the shortest length."""
-    if len(_distinct(codes)) == len(codes):
-        return shortest
     held = np.sort(np.lib.stride_tricks.sliding_window_view(codes, shortest), axis=1)
     return int((held[:, 1:] != held[:, :-1]).sum(axis=1).min()) + 1
 
@@ -355,44 +406,22 @@ def _partnered(codes: list[np.ndarray], needed: np.ndarray) -> np.ndarray:
     return left
 
 
-def _close(codes: list[np.ndarray], maybe: np.ndarray, least: np.ndarray, shortest: int, similarity: int) -> np.ndarray:
-    """Pairs (i, j) where j may hold a passage similar to one of i, by what j's places have in common with i.
+def _close(at: np.ndarray, shortest: int, similarity: int) -> np.ndarray:
+    """Rows of partners (-1: none), of sequences without repeats, where a similar passage may lie.
 
-    A similar passage has ``similarity`` percent of the shingles of either side in common, and of those of both
-    sides together: i's are ``least`` at least, and as many as from the partner of the first place to that of the
-    last.  Where shingles of j repeat, the number of places says less, and its pairs stay.
+    Such a passage has ``similarity`` percent of the shingles of both sides together in common, and the other
+    side reaches from the partner of its first place to that of its last.
     """
-    sizes = np.array([len(c) for c in codes])
-    found, flat = np.unique(np.concatenate(codes), return_inverse=True)
-    ids = np.full((len(codes), sizes.max()), len(found))
-    ids[np.arange(ids.shape[1]) < sizes[:, None]] = flat
-    fresh = np.array([len(_distinct(c)) == len(c) for c in codes])
-    close = maybe & ~fresh
-    numbers, far = np.arange(ids.shape[1] + 1), np.int64(1) << 40
-    partner = np.full(len(found) + 1, -1)
-
-    def reached(opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
-        lowest = np.minimum.accumulate(opens[:, : opens.shape[1] - shortest], axis=1)
-        return (closes[:, shortest:] - lowest).max(axis=1)
-
-    for i in range(len(codes)):
-        others = np.flatnonzero(maybe[i] & fresh)
-        if not len(others):
-            continue
-        partner[ids[i, : sizes[i]]] = np.arange(sizes[i])
-        at = partner[ids[others]]
-        partner[ids[i]] = -1
-        run = np.zeros((len(others), len(numbers)), np.int64)
-        np.cumsum(at >= 0, axis=1, out=run[:, 1:])
-        alone, both = 100 * run - similarity * numbers, (100 + similarity) * run - similarity * numbers
-        ok = (reached(alone, alone) >= 0) & (reached(both, both) >= similarity * least[i])
-        if fresh[i]:
-            opens, closes = np.full(run.shape, far), np.full(run.shape, -far)
-            opens[:, :-1] = np.where(at >= 0, both[:, :-1] - similarity * at, far)
-            closes[:, 1:] = np.where(at >= 0, both[:, 1:] - similarity * at, -far)
-            ok &= reached(opens, closes) >= similarity
-        close[i, others[ok]] = True
-    return close
+    if at.shape[1] < shortest:
+        return np.zeros(len(at), bool)
+    matched, far = at >= 0, np.int32(1 << 29)
+    run = np.zeros((len(at), at.shape[1] + 1), np.int32)
+    np.cumsum(matched, axis=1, out=run[:, 1:])
+    run *= 100 + similarity
+    run -= similarity * np.arange(run.shape[1], dtype=np.int32)
+    opens = np.where(matched, run[:, :-1] - similarity * at, far)[:, : at.shape[1] - shortest + 1]
+    closes = np.where(matched, run[:, 1:] - similarity * at, -far)[:, shortest - 1 :]
+    return (closes - np.minimum.accumulate(opens, axis=1)).max(axis=1) >= similarity
 
 
 def compare_block(
@@ -405,7 +434,7 @@ def compare_block(
     ``similarity`` percent of them in common.  Pairs whose classes are linked already are left out.
     """
     sets = [_distinct(c) for c in around]
-    least = np.array([_least_distinct(c, shortest) for c in around])
+    least = np.array([shortest if len(s) == len(c) else _least_distinct(c, shortest) for s, c in zip(sets, around)])
     left = _partnered(sets, -(-similarity * least // 100))
     if len(left) < 2:
         return []
@@ -415,9 +444,9 @@ def compare_block(
     maybe = (common >= similarity * np.add.outer(least, least)) & np.not_equal.outer(nodes, nodes) & np.not_equal.outer(labels, labels)
     if both_blocks:
         maybe &= np.not_equal.outer(blocks, blocks)
-    if maybe.any():
-        maybe = _close(around, maybe, least, shortest, similarity)
-    maybe = np.triu(maybe & maybe.T, 1)
+    maybe = np.triu(maybe, 1)
+    if not maybe.any():
+        return []
     root: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -428,16 +457,57 @@ def compare_block(
 
     found = []
     names, begins, ends = labels.tolist(), starts.tolist(), places.tolist()
-    for i, j in np.argwhere(maybe).tolist():
-        if top(names[i]) == top(names[j]):
+    sizes = np.array([len(c) for c in around])
+    codes, flat = np.unique(np.concatenate(around), return_inverse=True)
+    ids = np.full((len(around), sizes.max()), len(codes))
+    ids[np.arange(ids.shape[1]) < sizes[:, None]] = flat
+    fresh = sizes == [len(sets[i]) for i in left]
+    partner = np.full(len(codes) + 1, -1, np.int32)
+    for i in np.flatnonzero(maybe.any(axis=1)).tolist():
+        others = np.flatnonzero(maybe[i])
+        if root:
+            others = others[[top(names[i]) != top(names[j]) for j in others.tolist()]]
+        if not len(others):
             continue
-        got = [(a + begins[i], b + begins[i], c + begins[j], d + begins[j]) for a, b, c, d in passages(around[i], around[j], shortest, similarity)]
-        found += [(int(nodes[i]), int(nodes[j]), *p) for p in got]
-        if any(a <= ends[i] < b and c <= ends[j] < d for a, b, c, d in got):
-            root[top(names[i])] = top(names[j])
+        # Where no shingle repeats, the partners of all others are looked up at once.
+        partner[ids[i, : sizes[i]]] = np.arange(sizes[i])
+        at = partner[ids[others]]
+        partner[ids[i]] = -1
+        both = fresh[others] & fresh[i]
+        kept = np.flatnonzero(~both | _close(at, shortest, similarity)).tolist()
+        for j, partners, plain in zip(others[kept].tolist(), at[kept], both[kept].tolist()):
+            if top(names[i]) == top(names[j]):
+                continue
+            if plain:
+                got = _widest(_aligned(around[i], around[j], partners[: sizes[j]], shortest, similarity, True))
+            else:
+                got = passages(around[i], around[j], shortest, similarity)
+            got = [(a + begins[i], b + begins[i], c + begins[j], d + begins[j]) for a, b, c, d in got]
+            found += [(int(nodes[i]), int(nodes[j]), *p) for p in got]
+            if any(a <= ends[i] < b and c <= ends[j] < d for a, b, c, d in got):
+                root[top(names[i])] = top(names[j])
     return found
 
 
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Runs of equal keys in sorted batches, whole across batch borders, as columns of plain arrays."""
+    held: list[dict[str, np.ndarray]] = []
+    for frame in batches:
+        columns = {c: frame[c].to_numpy() for c in frame.columns}
+        change = np.flatnonzero(np.any([columns[k][1:] != columns[k][:-1] for k in keys], axis=0)) + 1
+        edges = [0, *change.tolist(), len(frame)]
+        for start, end in zip(edges, edges[1:]):
+            if start == end:
+                continue
+            part = {c: v[start:end] for c, v in columns.items()}
+            if held and (start or any(held[-1][k][-1] != part[k][0] for k in keys)):
+                yield {c: np.concatenate([h[c] for h in held]) for c in part} if len(held) > 1 else held[0]
+                held = []
+            held.append(part)
+    if held:
+        yield {c: np.concatenate([h[c] for h in held]) for c in held[0]} if len(held) > 1 else held[0]
+
+
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, min_words: int = MIN_WORDS,
     similarity: int = SIMILARITY, hashes: int = HASHES, enough: int = ENOUGH,
@@ -479,9 +549,9 @@ def repeated_passages(
         out = []
         for x, y, s, t in zip(a, b, one, two):
             first, second = (shingle_codes(np.frombuffer(w, np.uint32).astype(np.uint64), width) for w in (s, t))
-            # The cheaper of the two tests goes first.
+            # The cheaper tests go first.
             found = passages(first, second, shortest, similarity)
-            if found and intervals_agree(first, second, shortest, hashes, enough):
+            if found and (enough <= hashes and verbatim(first, second, found, shortest) or intervals_agree(first, second, shortest, hashes, enough)):
                 out += [(x, y, *p) for p in found]
         return [list(c) for c in zip(*out)] if out else [[] for _ in range(6)]
 
@@ -541,11 +611,15 @@ def repeated_passages(
     carried = settled(lists.join(more, "node").select("node", "words", "w.key", "w.label", "w.place", "w.blocks"), "carried")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches, ["key", "i", "j"]):
-            columns = [group[c].to_numpy() for c in ("node", "block", "label", "place", "start")]
+        names, found = ["a", "b", "a_start", "a_end", "b_start", "b_end"], []
+        for group in _runs(batches, ["key", "i", "j"]):
+            columns = [group[c] for c in ("node", "block", "label", "place", "start")]
             around = [np.frombuffer(c, np.uint32) for c in group["around"]]
-            got = compare_block(*columns, around, shortest, similarity, bool(group["i"].iloc[0] != group["j"].iloc[0]))
-            yield pd.DataFrame(got, columns=["a", "b", "a_start", "a_end", "b_start", "b_end"])
+            found += compare_block(*columns, around, shortest, similarity, bool(group["i"][0] != group["j"][0]))
+            if len(found) >= _ROWS:
+                yield pd.DataFrame(found, columns=names)
+                found = []
+        yield pd.DataFrame(found, columns=names)
 
     def cells(number: int, slices: int) -> DataFrame:
         """The contexts of a slice, for every pair of blocks that a group has there."""
@@ -573,7 +647,7 @@ def repeated_passages(
     rest = None
     for number in range(slices):
         # The exchanges of a slice leave the disks before the next one begins.
-        own = cells(number, slices).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(compare, schema)
+        own = cells(number, slices).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node", "place").mapInPandas(compare, schema)
         own = settled(own.distinct(), "passages")
         rest = own if rest is None else rest.unionByName(own)
     if not rest.isEmpty():

@@ -3,13 +3,15 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 from conftest import PASSAGE
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import settled
 from tagloom.llm.shingles import shingle_codes, word_codes
 from tagloom.llm.substrings import (
-    ENOUGH, HASHES, compact_windows, compare_block, contexts, overlap, passages, repeated_passages, sharing, window_keys, without_repeats,
+    ENOUGH, HASHES, _longest, _runs, compact_windows, compare_block, contexts, intervals_agree, overlap, passages, repeated_passages,
+    sharing, verbatim, window_keys, without_repeats,
 )
 
 
@@ -242,3 +244,59 @@ def test_contexts_of_a_block_link_what_all_pairs_link():
                             links += 1
                             missed += top(int(labels[x])) != top(int(labels[y]))
     assert links > 500 and not missed
+
+
+def test_a_verbatim_row_needs_no_windows():
+    """Every verified pair had its windows joined in Python, which took most of the time of a pair."""
+    rng = random.Random(14)
+    seen = {True: 0, False: 0}
+    for trial in range(200):
+        alphabet = 60 if trial % 3 == 0 else 10**9
+        shared = [rng.randrange(alphabet) for _ in range(rng.randint(44, 130))]
+        own = [c if rng.random() > rng.choice([0, 0.01, 0.03]) else rng.randrange(alphabet) for c in shared]
+        fill = lambda: [rng.randrange(alphabet) for _ in range(rng.randrange(40))]
+        one, two = (np.array(fill() + c + fill(), np.uint64) for c in (shared, own))
+        found = passages(one, two, 46, 80)
+        got = verbatim(one, two, found, 46)
+        seen[got] += 1
+        assert not got or intervals_agree(one, two, 46, HASHES, ENOUGH)
+    assert min(seen.values()) > 20
+
+
+def test_the_longest_copy_is_the_first_of_the_longest():
+    rng = random.Random(15)
+    for _ in range(300):
+        one, two = (np.array([rng.randrange(2) if rng.random() < 0.05 else 0 for _ in range(rng.randint(1, 200))]) for _ in range(2))
+        j = rng.randrange(len(two))
+        options = sorted(rng.sample(range(len(one)), rng.randint(1, len(one))))
+
+        def extent(i):
+            n = 0
+            while i + n < len(one) and j + n < len(two) and one[i + n] == two[j + n]:
+                n += 1
+            return n
+
+        assert _longest(one, two, options, j) == max(options, key=extent)
+
+
+def test_runs_of_groups_are_whole_across_batches():
+    rows = [(k, i, n) for n, (k, i) in enumerate(sorted((k, i) for k in range(7) for i in range(2) for _ in range(k + i)))]
+    for size in (1, 2, 3, 50):
+        batches = [pd.DataFrame(rows[a : a + size], columns=["key", "i", "n"]) for a in range(0, len(rows), size)]
+        got = [(set(zip(r["key"].tolist(), r["i"].tolist())), r["n"].tolist()) for r in _runs(iter([pd.DataFrame(columns=["key", "i", "n"]), *batches]), ["key", "i"])]
+        assert all(len(names) == 1 for names, _ in got) and [n for _, ns in got for n in ns] == list(range(len(rows)))
+        assert len(got) == len({r[:2] for r in rows})
+
+
+def test_links_do_not_depend_on_the_order_of_rows(spark):
+    """The members of a group were compared as an exchange brought them, so two runs of one table differed."""
+    rng = random.Random(16)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(90)]
+    rows = []
+    for i in range(60):
+        own = [w if rng.random() > 0.03 else word() for w in base]
+        rows.append((i, " ".join([word() for _ in range(rng.randrange(30))] + own[rng.randrange(30) : 60 + rng.randrange(30)] + [word() for _ in range(9)])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(spans(repeated_passages(table.repartition(1))))
+    assert want and sorted(spans(repeated_passages(table.orderBy(F.desc("doc_id")).repartition(5)))) == want
