@@ -38,7 +38,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,6 +60,12 @@ _BLOCK = 1024
 # Copies of the texts that a slice of it exchanges; columns of keys compared at once.
 _COPIES = 4
 _COLUMNS = 4096
+# Members of groups that are compared at once, of a group that is compared by itself, and pairs of them.
+_TOGETHER = 2048
+_MANY = 64
+_PAIRS = 1024
+# Shingles of the pairs of texts that are verified at once.
+_SHINGLES = 1 << 16
 # Links that a task hands on at once.
 _ROWS = 10_000
 
@@ -82,8 +88,9 @@ def hashed(codes: np.ndarray, hashes: int) -> np.ndarray:
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
     """Per row the places that are least in some window of ``width``: the wide nodes of its tree."""
     least = _slide(values, width, np.minimum)
-    edge = np.zeros((len(values), width - 1), values.dtype)
-    return _slide(np.concatenate([edge, least, edge], axis=1), width, np.maximum) == values
+    padded = np.zeros((len(values), least.shape[1] + 2 * (width - 1)), values.dtype)
+    padded[:, width - 1 : width - 1 + least.shape[1]] = least
+    return _slide(padded, width, np.maximum) == values
 
 
 def compact_windows(values: np.ndarray, width: int, values_too: bool = False) -> tuple[list, list, list]:
@@ -118,6 +125,10 @@ def window_keys(codes: np.ndarray, shortest: int, hashes: int) -> tuple[np.ndarr
     values = hashed(codes, hashes)
     row, place = np.nonzero(least_places(values, shortest))
     keys = values[row, place] & np.uint64(0xFFFFFFFFFFFFFFF8) | row.astype(np.uint64)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    if _fresh(ordered):
+        return ordered.view(np.int64), place[order].astype(np.int32)
     keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
     return keys.view(np.int64), np.where(counts > 1, -1, place[first]).astype(np.int32)
 
@@ -196,6 +207,15 @@ def _fresh(ordered: np.ndarray) -> bool:
     return not (ordered[1:] == ordered[:-1]).any()
 
 
+def _before(codes: np.ndarray) -> np.ndarray:
+    """Per place the last one before it with the same shingle, else -1."""
+    places = np.argsort(codes, kind="stable")
+    same = np.flatnonzero(codes[places[1:]] == codes[places[:-1]])
+    before = np.full(len(codes), -1)
+    before[places[same + 1]] = places[same]
+    return before
+
+
 def _occurrences(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of ``one`` by shingle, and per place of ``two`` where its shingle begins there and how often it occurs."""
     places = np.argsort(one, kind="stable")
@@ -287,6 +307,7 @@ def _aligned(
 ) -> list[tuple[int, int, int, int]]:
     """Similar passages of one alignment; of ``fresh`` sequences, neither of which repeats a shingle, partners are counted."""
     found: list[tuple[int, int, int, int]] = []
+    before: list[np.ndarray] = []
 
     def pieces(run: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
         """Parts of a run that are long enough for a passage."""
@@ -318,9 +339,13 @@ def _aligned(
             begin, stop = int(own.min()), int(own.max()) + 1
             if end - start >= shortest and stop - begin >= shortest:
                 if not fresh:
-                    a, b = _distinct(one[begin:stop]), _distinct(two[start:end])
-                    either = len(_distinct(np.concatenate([a, b])))
-                    common = len(a) + len(b) - either
+                    before = before or [_before(one), _before(two)]
+                    both = int((before[0][begin:stop] < begin).sum()) + int((before[1][start:end] < start).sum())
+                    # Each common shingle has a place in the run: if these are too few, sets need not be made.
+                    common = min(len(run), both)
+                    if 100 * common >= similarity * (both - common):
+                        common = both - len(_distinct(np.concatenate([_distinct(one[begin:stop]), _distinct(two[start:end])])))
+                    either = both - common
                 else:
                     # A straight run holds every place between its ends that has a partner.
                     between = partners[start:end]
@@ -339,6 +364,237 @@ def _aligned(
     return found
 
 
+def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges of ``counts`` from ``starts`` on."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def _cut(rows: np.ndarray, place: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) of the runs of matched places, given by row and place, that are long enough for a passage."""
+    edges = np.flatnonzero((rows[1:] != rows[:-1]) | (place[1:] - place[:-1] > _GAP)) + 1
+    low, high = np.append(0, edges), np.append(edges, len(rows))
+    if not len(rows):
+        low = high = edges
+    long = place[high - 1] - place[low] + 1 >= shortest
+    return low[long], high[long]
+
+
+def _similar(
+    place: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, shortest: int, similarity: int,
+    repeats: Callable[..., tuple] | None = None,
+) -> tuple[np.ndarray, ...]:
+    """``_aligned`` of many runs at once, ranges of ``place`` with its partners in ``own``.
+
+    Returns (run, start and end in each, whether all of it has one shift, places) of the passages.  ``repeats`` gives
+    the places between the ends in each, and those of the range, whose shingle occurs before between these ends.
+    """
+    # One more element: a range may end with the last.
+    place, own = np.append(place, 0), np.append(own, 0)
+    shift, step = own - place, np.append(place[1:] - place[:-1], 0)
+    number, found = np.arange(len(low)), []
+    while len(low):
+        edges, count = np.stack([low, high], axis=1).ravel(), high - low
+        least, most = np.minimum.reduceat(shift, edges)[::2], np.maximum.reduceat(shift, edges)[::2]
+        begin, stop = np.minimum.reduceat(own, edges)[::2], np.maximum.reduceat(own, edges)[::2] + 1
+        start, end = place[low], place[high - 1] + 1
+        straight, common = most - least <= _GAP, count
+        either = stop - begin + end - start - count
+        long = np.flatnonzero(straight & (stop - begin >= shortest) & (end - start >= shortest))
+        if repeats is not None and len(long):
+            twice = repeats(number[long], begin[long], stop[long], start[long], end[long], low[long], high[long])
+            common, either = common.copy(), either
+            common[long] -= twice[2]
+            either[long] += twice[2] - twice[1] - twice[0]
+        good = np.zeros(len(low), bool)
+        good[long] = 100 * common[long] >= similarity * either[long]
+        found.append(np.stack([number, begin, stop, start, end, least == most, count])[:, good])
+        # What is not similar is cut where it pauses longest.
+        rest = np.flatnonzero(straight & ~good & (count > 1))
+        pieces = [np.zeros((3, 0), np.int64)]
+        if len(rest):
+            widest = np.maximum.reduceat(step, np.stack([low[rest], high[rest] - 1], axis=1).ravel())[::2]
+            rest, widest = rest[widest > 1], widest[widest > 1]
+            first, last = low[rest], high[rest]
+            inner, run = _expand(first, last - 1 - first), np.repeat(np.arange(len(rest)), last - 1 - first)
+            pauses = np.flatnonzero(step[inner] == widest[run])
+            cut = inner[pauses[np.flatnonzero(np.diff(run[pauses], prepend=-1))]] + 1
+            pieces += [np.stack([number[rest], first, cut]), np.stack([number[rest], cut, last])]
+        for k in np.flatnonzero(~straight).tolist():
+            passage, parts = _jumping(place, own, int(number[k]), int(low[k]), int(high[k]), shortest, similarity, repeats)
+            if passage:
+                found.append(np.array([[number[k], *passage, 0, 0]]).T)
+            if parts:
+                pieces.append(np.array([(number[k], *x) for x in parts]).T)
+        number, low, high = np.concatenate(pieces, axis=1)
+        long = place[high - 1] - place[low] + 1 >= shortest
+        number, low, high = number[long], low[long], high[long]
+    return tuple(np.concatenate(found, axis=1)) if found else tuple(np.zeros((7, 0), np.int64))
+
+
+def _jumping(
+    place: np.ndarray, own: np.ndarray, number: int, low: int, high: int, shortest: int, similarity: int, repeats: Callable[..., tuple] | None
+) -> tuple[tuple[int, int, int, int] | None, list[tuple[int, int]]]:
+    """The passage of one run whose shifts differ, if it is one, and the ranges that are still to be looked at."""
+    at, to = place[low:high], own[low:high]
+    shift, step = to - at, at[1:] - at[:-1]
+    widest = int(step.max())
+    ordered, half = np.sort(shift), len(shift) // 2
+    middle = int(ordered[half]) if len(shift) % 2 else int((int(ordered[half - 1]) + int(ordered[half])) / 2)
+    near = np.flatnonzero(np.abs(shift - middle) <= _GAP)
+    jumps = (np.flatnonzero(np.abs(shift[1:] - shift[:-1]) > _GAP) + 1).tolist()
+    if len(near) * 2 >= len(at):
+        first, last = int(near[0]), int(near[-1]) + 1
+        start, end = int(at[first]), int(at[last - 1]) + 1
+        begin, stop = int(to[near].min()), int(to[near].max()) + 1
+        if end - start >= shortest and stop - begin >= shortest:
+            inside = (to[first:last] >= begin) & (to[first:last] < stop)
+            common, lost = int(inside.sum()), (0, 0)
+            if repeats is not None:
+                *lost, again = repeats(*(np.array([x]) for x in (number, begin, stop, start, end, low + first, low + last)), inside)
+                common -= int(again[0])
+            either = stop - begin + end - start - int(lost[0]) - int(lost[1]) - common
+            if 100 * common >= similarity * either:
+                # What lies before and after on other diagonals may be a passage too.
+                return (begin, stop, start, end), [(low, low + first)] * (first > 0) + [(low + last, high)] * (low + last < high)
+        if not jumps and widest > 1:
+            jumps = [int(step.argmax()) + 1]
+    if not jumps:
+        return None, []
+    bounds = [0, *jumps, len(at)]
+    return None, [(low + a, low + b) for a, b in zip(bounds, bounds[1:])]
+
+
+def _partners(codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Shingles that the two sequences of pairs share; ``begins`` and ``sizes`` in ``codes`` have a row per pair.
+
+    Returns (partner of each place of the second sequences, -1: none; whether it is one of several; the place of an
+    equal shingle before each place of both, -1: none; whether to take a pair on its own).
+    """
+    lengths, starts = sizes.ravel(), begins.ravel()
+    offsets = np.append(0, np.cumsum(lengths))
+    total, place_bits, pair_bits = int(offsets[-1]), int(lengths.max()).bit_length(), (len(sizes) - 1).bit_length()
+    tail = place_bits + 1
+    # Sorted by pair, as many bits of the shingle as there is room for, sequence and place.
+    places = np.arange(int(lengths.max()), dtype=np.uint64)
+    short = codes >> np.uint64(pair_bits + tail) << np.uint64(tail)
+    keys = np.empty(total, np.uint64)
+    for k, (o, b, n) in enumerate(zip(offsets.tolist(), starts.tolist(), lengths.tolist())):
+        own = keys[o : o + n]
+        np.bitwise_or(short[b : b + n], places[:n], out=own)
+        own |= np.uint64((k >> 1 << 64 - pair_bits if pair_bits else 0) | (k & 1) << place_bits)
+    keys.sort()
+    same = keys[1:] ^ keys[:-1] < np.uint64(1 << tail)
+    # Only elements of runs of equal shingles matter.
+    whole = np.zeros(total, bool)
+    whole[1:], whole[0] = same, False
+    new = ~whole
+    whole[:-1] |= same
+    runs = np.flatnonzero(whole)
+    new = new[runs]
+    own = keys[runs]
+    pair = (own >> np.uint64(64 - pair_bits)).astype(np.int64) if pair_bits else np.zeros(len(own), np.int64)
+    side = (own >> np.uint64(place_bits) & np.uint64(1)).astype(np.int64)
+    at = (own & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+    where = offsets[2 * pair + side] + at
+    partner, several, before = np.full(total, -1), np.zeros(total, bool), np.full(total, -1)
+    alone = np.zeros(len(sizes), bool)
+    if len(runs):
+        full = codes[starts[2 * pair + side] + at]
+        alone[pair[1:][~new[1:] & (full[1:] != full[:-1])]] = True
+        again = np.flatnonzero(~new[1:] & (side[1:] == side[:-1])) + 1
+        before[where[again]] = where[again - 1]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        matched = (side == 1) & (side[first] == 0)
+        partner[where[matched]] = where[first[matched]]
+        second = first[matched] + 1
+        several[where[matched]] = side[second] == 0
+    return partner, several, before, alone
+
+
+def verified_pairs(
+    pairs: list[tuple[int, int]], words: list[np.ndarray], width: int, shortest: int, similarity: int, hashes: int, enough: int
+) -> Iterator[tuple[int, int, int, int, int]]:
+    """(number of the pair, start and end in each) of the passages of pairs of sequences of word codes, by ``words``.
+
+    The same as ``passages`` of each pair, if enough windows agree.
+    """
+    sizes = np.array([len(w) for w in words])
+    flat = np.concatenate([*words, np.zeros(width, np.uint32)]).astype(np.uint64)
+    codes = shingle_codes(flat, width)
+    begins = np.append(0, np.cumsum(sizes))[:-1]
+    counts = np.maximum(sizes - width + 1, 0)
+    both = np.array(pairs).reshape(-1, 2)
+    kept = np.flatnonzero(counts[both].min(axis=1) >= shortest)
+    if not len(kept):
+        return
+    both = both[kept]
+    sizes, begins = counts[both], begins[both]
+    partner, several, before, alone = _partners(codes, begins, sizes)
+    offsets = np.append(0, np.cumsum(sizes.ravel()))
+    ones, twos = offsets[:-1:2], offsets[1::2]
+    matched = np.flatnonzero(partner >= 0)
+    rows = np.searchsorted(ones, matched, side="right") - 1
+    place, own = matched - twos[rows], partner[matched] - ones[rows]
+    low, high = _cut(rows, place, shortest)
+    if len(low):
+        some = np.logical_or.reduceat(np.append(several[matched], False), np.stack([low, high], axis=1).ravel())[::2]
+        alone[rows[low[some]]] = True
+    plain = ~alone[rows[low]] if len(low) else np.zeros(0, bool)
+    low, high = low[plain], high[plain]
+    run_rows = rows[low]
+
+    twice = np.append(before >= 0, False)
+
+    def repeats(
+        run: np.ndarray, begin: np.ndarray, stop: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray,
+        counted: np.ndarray | None = None,
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places between the ends in each sequence, and of the run, whose shingle occurs before between the ends."""
+        row, out = run_rows[run], [np.zeros(len(run), np.int64) for _ in range(3)]
+        ranges = ((0, ones[row], begin, stop), (1, twos[row], start, end))
+        some = [np.logical_or.reduceat(twice, np.stack([o + a, o + b], axis=1).ravel())[::2] for _, o, a, b in ranges]
+        for k, offset, a, b in ranges:
+            own = np.flatnonzero(some[k])
+            if len(own):
+                inner, of_run = _expand((offset + a)[own], (b - a)[own]), np.repeat(own, (b - a)[own])
+                out[k] = np.bincount(of_run[before[inner] >= (offset + a)[of_run]], minlength=len(run))
+        own = np.flatnonzero(some[1])
+        if len(own):
+            inner, of_run = _expand(first[own], (last - first)[own]), np.repeat(own, (last - first)[own])
+            again = before[matched[inner]] >= (twos[row] + start)[of_run]
+            out[2] = np.bincount(of_run[again if counted is None else again & counted], minlength=len(run))
+        return tuple(out)
+
+    run, begin, stop, start, end, even, count = _similar(place, own, low, high, shortest, similarity, repeats)
+    found: dict[int, list[tuple[int, int, int, int]]] = {}
+    row = run_rows[run]
+    for r, *passage in zip(row.tolist(), begin.tolist(), stop.tolist(), start.tolist(), end.tolist()):
+        found.setdefault(r, []).append(tuple(passage))
+    # ``verbatim`` of all these passages.
+    length = np.minimum(stop - begin, end - start)
+    sure: set[int] = set()
+    for first, second in ((begin, start), (stop - length, end - length)) if len(row) else ():
+        # One more element after each parts them.
+        inner, ends = _expand(np.zeros(len(row), np.int64), length + 1), np.cumsum(length + 1) - 1
+        other = np.repeat(begins[row, 1] + second, length + 1) + inner
+        differ = codes[np.minimum(np.repeat(begins[row, 0] + first, length + 1) + inner, len(codes) - 1)] != codes[np.minimum(other, len(codes) - 1)]
+        differ[ends] = True
+        stops = np.flatnonzero(differ)
+        sure.update(row[np.searchsorted(ends, stops[np.diff(stops, prepend=-1) > shortest])].tolist())
+    of = lambda r, k: codes[begins[r, k] : begins[r, k] + sizes[r, k]]
+    for r in np.flatnonzero(alone).tolist():
+        found[r] = passages(of(r, 0), of(r, 1), shortest, similarity)
+    for r, got in found.items():
+        got = _widest(got)
+        # The cheaper tests go first.
+        if got and (
+            enough <= hashes and (r in sure or alone[r] and verbatim(of(r, 0), of(r, 1), got, shortest))
+            or intervals_agree(of(r, 0), of(r, 1), shortest, hashes, enough)
+        ):
+            yield from ((int(kept[r]), *p) for p in got)
+
+
 def sharing(keys: list[np.ndarray], enough: int) -> np.ndarray:
     """Per pair of members whether their window keys agree in ``enough`` hashes, as windows that overlap must."""
     owner, flat = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
@@ -392,20 +648,6 @@ def _least_distinct(codes: np.ndarray, shortest: int) -> int:
     return int((held[:, 1:] != held[:, :-1]).sum(axis=1).min()) + 1
 
 
-def _partnered(codes: list[np.ndarray], needed: np.ndarray) -> np.ndarray:
-    """Numbers of the sets that have enough elements in common with the others together; the rest go, until none does."""
-    left = np.arange(len(codes))
-    while len(left):
-        sizes = np.array([len(codes[i]) for i in left])
-        _, ids, counts = np.unique(np.concatenate([codes[i] for i in left]), return_inverse=True, return_counts=True)
-        common = np.add.reduceat(counts[ids] > 1, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-        kept = common >= needed[left]
-        if kept.all():
-            break
-        left = left[kept]
-    return left
-
-
 def _close(at: np.ndarray, shortest: int, similarity: int) -> np.ndarray:
     """Rows of partners (-1: none), of sequences without repeats, where a similar passage may lie.
 
@@ -428,64 +670,144 @@ def compare_block(
     nodes: np.ndarray, blocks: np.ndarray, labels: np.ndarray, places: np.ndarray, starts: np.ndarray,
     around: list[np.ndarray], shortest: int, similarity: int, both_blocks: bool,
 ) -> list[tuple]:
-    """Links between members of one open group, by the contexts of the window they share: a spanning forest.
+    """Links between members of one open group, by the contexts of the window they share: a spanning forest."""
+    columns = (np.asarray(x) for x in (nodes, blocks, labels, places, starts))
+    return compare_groups(np.array([len(around)]), *columns, around, shortest, similarity, np.array([both_blocks]))
+
+
+def compare_groups(
+    members: np.ndarray, nodes: np.ndarray, blocks: np.ndarray, labels: np.ndarray, places: np.ndarray, starts: np.ndarray,
+    around: list[np.ndarray], shortest: int, similarity: int, both_blocks: np.ndarray,
+) -> list[tuple]:
+    """``compare_block`` of several groups, one after the other in rows, of ``members`` rows each.
 
     A similar passage has at least as many different shingles as the poorest window of each context, and at least
     ``similarity`` percent of them in common.  Pairs whose classes are linked already are left out.
     """
-    sets = [_distinct(c) for c in around]
-    least = np.array([shortest if len(s) == len(c) else _least_distinct(c, shortest) for s, c in zip(sets, around)])
-    left = _partnered(sets, -(-similarity * least // 100))
+    sizes, group = np.array([len(c) for c in around]), np.repeat(np.arange(len(members)), members)
+    total = int(sizes.sum())
+    row = np.repeat(np.arange(len(around)), sizes)
+    place = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    flat = np.concatenate(around).astype(np.uint64)
+    # Sorted by group, shingle, row and place.
+    bits = [(len(x) - 1).bit_length() for x in (members, around)] + [int(sizes.max()).bit_length()]
+    if 32 + sum(bits) > 64:
+        half = np.cumsum(members)[: len(members) // 2]
+        if not len(half):
+            raise ValueError("a group of contexts that is too large")
+        cut, at = len(half), int(half[-1])
+        columns = (nodes, blocks, labels, places, starts, around)
+        parts = ((members[:cut], *(x[:at] for x in columns), both_blocks[:cut]), (members[cut:], *(x[at:] for x in columns), both_blocks[cut:]))
+        return [x for *p, across in parts for x in compare_groups(*p, shortest, similarity, across)]
+    low = np.uint64(bits[1] + bits[2])
+    keys = flat << low | row.astype(np.uint64) << np.uint64(bits[2]) | place.astype(np.uint64)
+    if bits[0]:
+        keys |= group[row].astype(np.uint64) << np.uint64(32 + bits[1] + bits[2])
+    keys.sort()
+    heads = keys >> low
+    row = (keys >> np.uint64(bits[2]) & np.uint64((1 << bits[1]) - 1)).astype(np.int64)
+    place = (keys & np.uint64((1 << bits[2]) - 1)).astype(np.int64)
+    new = np.append(True, heads[1:] != heads[:-1])
+    again = np.append(False, ~new[1:] & (row[1:] == row[:-1]))
+    fresh = np.ones(len(around), bool)
+    fresh[row[again]] = False
+    ids = np.cumsum(new) - 1
+    shared = np.bincount(ids, weights=~again) > 1
+    common = np.bincount(row[shared[ids] & ~again], minlength=len(around))
+    least = np.full(len(around), shortest)
+    for i in np.flatnonzero(~fresh).tolist():
+        least[i] = _least_distinct(around[i], shortest)
+    left = np.flatnonzero(100 * common >= similarity * least)
     if len(left) < 2:
         return []
-    nodes, blocks, labels, places, starts, least = (x[left] for x in (nodes, blocks, labels, places, starts, least))
-    around = [around[i] for i in left]
-    common = (100 + similarity) * shared_counts([sets[i] for i in left])
-    maybe = (common >= similarity * np.add.outer(least, least)) & np.not_equal.outer(nodes, nodes) & np.not_equal.outer(labels, labels)
-    if both_blocks:
-        maybe &= np.not_equal.outer(blocks, blocks)
-    maybe = np.triu(maybe, 1)
-    if not maybe.any():
-        return []
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
-    found = []
-    names, begins, ends = labels.tolist(), starts.tolist(), places.tolist()
-    sizes = np.array([len(c) for c in around])
-    codes, flat = np.unique(np.concatenate(around), return_inverse=True)
-    ids = np.full((len(around), sizes.max()), len(codes))
-    ids[np.arange(ids.shape[1]) < sizes[:, None]] = flat
-    fresh = sizes == [len(sets[i]) for i in left]
-    partner = np.full(len(codes) + 1, -1, np.int32)
-    for i in np.flatnonzero(maybe.any(axis=1)).tolist():
-        others = np.flatnonzero(maybe[i])
-        if root:
-            others = others[[top(names[i]) != top(names[j]) for j in others.tolist()]]
-        if not len(others):
-            continue
-        # Where no shingle repeats, the partners of all others are looked up at once.
-        partner[ids[i, : sizes[i]]] = np.arange(sizes[i])
-        at = partner[ids[others]]
-        partner[ids[i]] = -1
-        both = fresh[others] & fresh[i]
-        kept = np.flatnonzero(~both | _close(at, shortest, similarity)).tolist()
-        for j, partners, plain in zip(others[kept].tolist(), at[kept], both[kept].tolist()):
-            if top(names[i]) == top(names[j]):
+    # Columns of the shared shingles of each group; 0 is any other shingle.
+    widths = np.append(0, np.cumsum(np.bincount(group[row[new & shared[ids]]], minlength=len(members))))
+    columns = np.where(shared, np.cumsum(shared), 0)[ids]
+    column = np.zeros((len(around), int(sizes.max())), np.int32)
+    column[row, place] = np.maximum(columns - widths[group[row]], 0)
+    widths = np.diff(widths) + 1
+    classes = np.unique(np.stack([group, labels]), axis=1, return_inverse=True)[1].ravel()
+    bounds = np.append(0, np.cumsum(members))
+    lengths = np.arange(column.shape[1], dtype=np.int32)
+    found: list[tuple] = []
+
+    def linked(one: np.ndarray, two: np.ndarray) -> None:
+        """Compare pairs of rows, in order."""
+        apart = classes[one] != classes[two]
+        one, two = one[apart], two[apart]
+        if not len(one):
+            return
+        own = np.flatnonzero(np.diff(one, prepend=-1))
+        rows, at = one[own], np.cumsum(np.diff(one, prepend=-1) != 0) - 1
+        base = np.cumsum(widths[group[rows]]) - widths[group[rows]]
+        partner = np.full(int(widths[group[rows]].sum()), -1, np.int32)
+        partner[base[:, None] + column[rows]] = lengths
+        partner[base] = -1
+        to = partner[base[at][:, None] + column[two]]
+        count = (to >= 0).sum(axis=1)
+        plain = fresh[one] & fresh[two]
+        kept = np.flatnonzero((100 + similarity) * count >= similarity * (least[one] + least[two]))
+        kept = kept[~plain[kept] | _close(to[kept], shortest, similarity)]
+        if not len(kept):
+            return
+        one, two, to, plain = one[kept], two[kept], to[kept], plain[kept]
+        where = np.flatnonzero(to >= 0)
+        pair, inner = np.divmod(where, to.shape[1])
+        low, high = _cut(pair, inner, shortest)
+        # Where shingles repeat, pairs are taken on their own.
+        alone = set(pair[low].tolist()) - set(np.flatnonzero(plain).tolist())
+        own = plain[pair[low]]
+        low, high = low[own], high[own]
+        run, *passage, _, _ = _similar(inner, to.ravel()[where].astype(np.int64), low, high, shortest, similarity)
+        got: dict[int, list[tuple[int, int, int, int]]] = {}
+        for k, *p in zip(pair[low[run]].tolist(), *(x.tolist() for x in passage)):
+            got.setdefault(k, []).append(tuple(p))
+        for k in sorted(got.keys() | alone):
+            i, j = int(one[k]), int(two[k])
+            if classes[i] == classes[j]:
                 continue
-            if plain:
-                got = _widest(_aligned(around[i], around[j], partners[: sizes[j]], shortest, similarity, True))
-            else:
-                got = passages(around[i], around[j], shortest, similarity)
-            got = [(a + begins[i], b + begins[i], c + begins[j], d + begins[j]) for a, b, c, d in got]
-            found += [(int(nodes[i]), int(nodes[j]), *p) for p in got]
-            if any(a <= ends[i] < b and c <= ends[j] < d for a, b, c, d in got):
-                root[top(names[i])] = top(names[j])
+            spans = _widest(got[k]) if plain[k] else passages(around[i], around[j], shortest, similarity)
+            x, y = int(starts[i]), int(starts[j])
+            spans = [(a + x, b + x, c + y, d + y) for a, b, c, d in spans]
+            found.extend((int(nodes[i]), int(nodes[j]), *p) for p in spans)
+            if any(a <= places[i] < b and c <= places[j] < d for a, b, c, d in spans):
+                own = classes[bounds[group[i]] : bounds[group[i] + 1]]
+                own[own == classes[i]] = classes[j]
+
+    def differ(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return (nodes[one] != nodes[two]) & (~both_blocks[group[one]] | (blocks[one] != blocks[two])) & (classes[one] != classes[two])
+
+    if len(members) == 1 and len(left) > _MANY:
+        # Products of matrices tell the pairs of a large group.
+        maybe = (100 + similarity) * shared_counts([_distinct(around[i]) for i in left]) >= similarity * np.add.outer(least[left], least[left])
+        one, two = (left[x] for x in np.nonzero(np.triu(maybe, 1)))
+        del maybe
+        apart = differ(one, two)
+        one, two = one[apart], two[apart]
+        # Tables of partners of some rows at once.
+        rows = max(1, (1 << 21) // int(widths[0]))
+        while len(one):
+            end = min(_PAIRS, int(np.searchsorted(np.cumsum(np.diff(one, prepend=one[0]) != 0), rows)))
+            linked(one[:end], two[:end])
+            one, two = one[end:], two[end:]
+            if len(one) > _PAIRS:
+                apart = classes[one] != classes[two]
+                one, two = one[apart], two[apart]
+        return found
+    # Few rows of each group go first: what they link need not be compared.
+    kept = group[left]
+    ends = np.searchsorted(kept, kept, side="right")
+    rank = np.arange(len(left)) - np.searchsorted(kept, kept)
+    wave = 0
+    while wave <= rank.max():
+        rows = np.flatnonzero((rank >= wave) & (rank < 2 * wave + 1))
+        others = ends[rows] - rows - 1
+        one, two = left[np.repeat(rows, others)], left[_expand(rows + 1, others)]
+        apart = differ(one, two)
+        one, two = one[apart], two[apart]
+        for start in range(0, len(one), _PAIRS):
+            linked(one[start : start + _PAIRS], two[start : start + _PAIRS])
+        wave = 2 * wave + 1
     return found
 
 
@@ -545,14 +867,22 @@ def repeated_passages(
         return [nodes, [len(w) for w in words], [w.tobytes() for w in words]]
 
     sequences = settled(arrow_rows(texts, encode, "node long, n int, words binary", "node", "text").dropDuplicates(["node"]), "sequences")
+
     def verify(a: list, b: list, one: list, two: list) -> list[list]:
-        out = []
-        for x, y, s, t in zip(a, b, one, two):
-            first, second = (shingle_codes(np.frombuffer(w, np.uint32).astype(np.uint64), width) for w in (s, t))
-            # The cheaper tests go first.
-            found = passages(first, second, shortest, similarity)
-            if found and (enough <= hashes and verbatim(first, second, found, shortest) or intervals_agree(first, second, shortest, hashes, enough)):
-                out += [(x, y, *p) for p in found]
+        out, at = [], 0
+        while at < len(a):
+            # Some pairs at once, each text once.
+            words, numbers, pairs, first, size = [], {}, [], at, 0
+            while at < len(a) and (at == first or size + len(one[at]) + len(two[at]) <= 4 * _SHINGLES):
+                size += len(one[at]) + len(two[at])
+                for node, text in ((a[at], one[at]), (b[at], two[at])):
+                    if node not in numbers:
+                        numbers[node] = len(words)
+                        words.append(np.frombuffer(text, np.uint32))
+                pairs.append((numbers[a[at]], numbers[b[at]]))
+                at += 1
+            found = verified_pairs(pairs, words, width, shortest, similarity, hashes, enough)
+            out += [(a[first + k], b[first + k], *p) for k, *p in found]
         return [list(c) for c in zip(*out)] if out else [[] for _ in range(6)]
 
     schema = "a long, b long, a_start int, a_end int, b_start int, b_end int"
@@ -611,15 +941,30 @@ def repeated_passages(
     carried = settled(lists.join(more, "node").select("node", "words", "w.key", "w.label", "w.place", "w.blocks"), "carried")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, found = ["a", "b", "a_start", "a_end", "b_start", "b_end"], []
+        names, found, held, rows = ["a", "b", "a_start", "a_end", "b_start", "b_end"], [], [], 0
+
+        def links(groups: list[dict[str, np.ndarray]]) -> list[tuple]:
+            columns = [np.concatenate([g[c] for g in groups]) for c in ("node", "block", "label", "place", "start")]
+            around = [np.frombuffer(c, np.uint32) for g in groups for c in g["around"]]
+            across = np.array([g["i"][0] != g["j"][0] for g in groups])
+            return compare_groups(np.array([len(g["node"]) for g in groups]), *columns, around, shortest, similarity, across)
+
         for group in _runs(batches, ["key", "i", "j"]):
-            columns = [group[c] for c in ("node", "block", "label", "place", "start")]
-            around = [np.frombuffer(c, np.uint32) for c in group["around"]]
-            found += compare_block(*columns, around, shortest, similarity, bool(group["i"][0] != group["j"][0]))
+            n = len(group["node"])
+            if n < 2:
+                continue
+            if n > _MANY:
+                found += links([group])
+            else:
+                held.append(group)
+                rows += n
+                if rows >= _TOGETHER:
+                    found += links(held)
+                    held, rows = [], 0
             if len(found) >= _ROWS:
                 yield pd.DataFrame(found, columns=names)
                 found = []
-        yield pd.DataFrame(found, columns=names)
+        yield pd.DataFrame(found + (links(held) if held else []), columns=names)
 
     def cells(number: int, slices: int) -> DataFrame:
         """The contexts of a slice, for every pair of blocks that a group has there."""

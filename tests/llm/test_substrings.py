@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import settled
 from tagloom.llm.shingles import shingle_codes, word_codes
 from tagloom.llm.substrings import (
-    ENOUGH, HASHES, _longest, _runs, compact_windows, compare_block, contexts, intervals_agree, overlap, passages, repeated_passages,
-    sharing, verbatim, window_keys, without_repeats,
+    ENOUGH, HASHES, _longest, _runs, compact_windows, compare_block, compare_groups, contexts, intervals_agree, overlap, passages,
+    repeated_passages, sharing, verbatim, verified_pairs, window_keys, without_repeats,
 )
 
 
@@ -300,3 +300,55 @@ def test_links_do_not_depend_on_the_order_of_rows(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(spans(repeated_passages(table.repartition(1))))
     assert want and sorted(spans(repeated_passages(table.orderBy(F.desc("doc_id")).repartition(5)))) == want
+
+
+def _word_codes(words):
+    return word_codes(" ".join(words)).astype(np.uint32)
+
+
+def test_pairs_verified_at_once_equal_pairs_verified_alone():
+    r = random.Random(11)
+    fill = lambda n: [f"f{r.randrange(10**9)}" for _ in range(n)]
+    line, block, texts = fill(20), fill(90), [[], fill(3), fill(49)]
+    for k in range(60):
+        # Edited, moved, doubled and interleaved pieces, and lines that repeat in one text.
+        piece = [w if r.random() > 0.004 * (k % 12) else f"e{r.randrange(10**9)}" for w in block]
+        middle = [*line, *piece[:60], *(line if k % 3 else fill(8)), *piece[45:], *(piece if k % 5 == 0 else [])]
+        texts.append(fill(r.randrange(40)) + middle + fill(r.randrange(30)) + (line + fill(2)) * (k % 4) + piece[r.randrange(40) :])
+    words = [_word_codes(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b and (a * 7 + b) % 3 == 0]
+    codes = [shingle_codes(w.astype(np.uint64), 5) for w in words]
+    want = set()
+    for k, (a, b) in enumerate(pairs):
+        found = passages(codes[a], codes[b], 46, 80)
+        if found and (verbatim(codes[a], codes[b], found, 46) or intervals_agree(codes[a], codes[b], 46, HASHES, ENOUGH)):
+            want |= {(k, *p) for p in found}
+    got = [x for at in range(0, len(pairs), 70) for x in ((k + at, *p) for k, *p in verified_pairs(pairs[at : at + 70], words, 5, 46, 80, HASHES, ENOUGH))]
+    assert len(want) > 1000 and len(got) == len(want) and set(got) == want
+
+
+def _group(r, members, family):
+    """Contexts that share a line of 16 shingles; of ``family`` members each also what is around it."""
+    line = r.integers(0, 1 << 32, 16).astype(np.uint32)
+    around = []
+    for _ in range(0, members, family):
+        made = r.integers(0, 1 << 32, 101).astype(np.uint32)
+        for _ in range(family):
+            own = np.concatenate([made[:50], line, made[50:]])
+            own[r.integers(0, 117, 4)] = r.integers(0, 1 << 32, 4)
+            around.append(own)
+    return [around[i] for i in r.permutation(len(around))]
+
+
+def test_groups_compared_at_once_link_the_same_pairs():
+    r = np.random.default_rng(3)
+    groups = [_group(r, int(n), int(f)) for n, f in zip(r.integers(2, 40, 30), r.integers(1, 5, 30))]
+    columns = [
+        (np.arange(len(g)) + 100 * k, np.arange(len(g)) % 2, np.arange(len(g)) // 3, np.full(len(g), 58), np.zeros(len(g), int), g, k % 4 == 0)
+        for k, g in enumerate(groups)
+    ]
+    alone = [x for c in columns for x in compare_block(*c[:6], 46, 80, c[6])]
+    joined = [np.concatenate([c[i] for c in columns]) for i in range(5)]
+    sizes, across = np.array([len(g) for g in groups]), np.array([c[6] for c in columns])
+    assert len(alone) > 100
+    assert sorted(alone) == sorted(compare_groups(sizes, *joined, [c for g in groups for c in g], 46, 80, across))
