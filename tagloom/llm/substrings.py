@@ -47,7 +47,6 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import WORD, arrow_rows, narrow, settled
 from tagloom.llm.graph import components
-from tagloom.llm.near_dedup import shared_counts
 from tagloom.llm.shingles import mixed, shingle_codes, word_codes
 
 WIDTH, MIN_WORDS, SIMILARITY = 5, 50, 80
@@ -56,7 +55,7 @@ _WORD = re.compile(WORD)
 # Shingles without a partner that a passage may pass over: two changed words and those between them.
 _GAP = 2 * WIDTH + 2
 # Members of a block of the full comparison.
-_BLOCK = 1024
+_BLOCK = 8192
 # Copies of the texts that a slice of it exchanges; columns of keys compared at once.
 _COPIES = 4
 _COLUMNS = 4096
@@ -64,6 +63,8 @@ _COLUMNS = 4096
 _TOGETHER = 2048
 _MANY = 64
 _PAIRS = 1024
+# Places in the tables of partners that a comparison has at once.
+_CELLS = 1 << 20
 # Shingles of the pairs of texts that are verified at once.
 _SHINGLES = 1 << 16
 # Links that a task hands on at once.
@@ -666,6 +667,63 @@ def _close(at: np.ndarray, shortest: int, similarity: int) -> np.ndarray:
     return (closes - np.minimum.accumulate(opens, axis=1)).max(axis=1) >= similarity
 
 
+def _order(*columns: np.ndarray) -> np.ndarray:
+    """Places of the rows sorted by columns of whole numbers from 0 on, the first column first."""
+    n = len(columns[0])
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) + n.bit_length() > 63:
+        return np.lexsort(columns[::-1])
+    keys = np.zeros(n, np.int64)
+    for column, width in zip(columns, bits):
+        keys = keys << width | column
+    keys = keys << n.bit_length() | np.arange(n)
+    keys.sort()
+    return keys & (1 << n.bit_length()) - 1
+
+
+def _parts(row: np.ndarray, element: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """A number per set, the same for sets that may have ``needed`` elements in common, directly or by others; -1: none has.
+
+    Sets are given by row and element, each once.  Two sets with that many elements in common share one of the rarest
+    of each, all but ``needed`` - 1 of them: sets that share only what many others hold fall apart.
+    """
+    part = np.full(len(needed), -1)
+    while True:
+        own = np.bincount(element)[element] > 1
+        row, element = row[own], element[own]
+        size = np.bincount(row, minlength=len(needed))
+        kept = (size >= needed)[row]
+        if kept.all():
+            break
+        row, element = row[kept], element[kept]
+    if not len(row):
+        return part
+    order = _order(row, np.bincount(element)[element], element)
+    row, element = row[order], element[order]
+    rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+    rare = rank <= (size - needed)[row]
+    row, element = row[rare], element[rare]
+    own = np.bincount(element)[element] > 1
+    row, element = row[own], element[own]
+    if not len(row):
+        return part
+    # The smallest row that is reached, passed on by elements and rows in turn.
+    sets, first = np.unique(row, return_index=True)
+    by_element = np.argsort(element, kind="stable")
+    heads = np.flatnonzero(np.diff(element[by_element], prepend=-1))
+    widths = np.diff(np.append(heads, len(row)))
+    part[sets] = sets
+    while True:
+        passed = np.empty(len(row), np.int64)
+        passed[by_element] = np.repeat(np.minimum.reduceat(part[row[by_element]], heads), widths)
+        least = np.minimum.reduceat(passed, first)
+        least = np.minimum(least, part[least])
+        if (least == part[sets]).all():
+            return part
+        np.minimum.at(part, part[sets], least)
+        part[sets] = np.minimum(least, part[sets])
+
+
 def compare_block(
     nodes: np.ndarray, blocks: np.ndarray, labels: np.ndarray, places: np.ndarray, starts: np.ndarray,
     around: list[np.ndarray], shortest: int, similarity: int, both_blocks: bool,
@@ -712,22 +770,36 @@ def compare_groups(
     fresh = np.ones(len(around), bool)
     fresh[row[again]] = False
     ids = np.cumsum(new) - 1
-    shared = np.bincount(ids, weights=~again) > 1
-    common = np.bincount(row[shared[ids] & ~again], minlength=len(around))
     least = np.full(len(around), shortest)
     for i in np.flatnonzero(~fresh).tolist():
         least[i] = _least_distinct(around[i], shortest)
-    left = np.flatnonzero(100 * common >= similarity * least)
-    if len(left) < 2:
+    bounds = np.append(0, np.cumsum(members))
+    needed = -(-similarity * (least + np.minimum.reduceat(least, bounds[:-1])[group]) // (100 + similarity))
+    entry = np.flatnonzero(~again)
+    if members.max() > _MANY:
+        part = _parts(row[entry], ids[entry], needed)
+    else:
+        # Small groups are parts of their own.
+        common = np.bincount(row[entry], weights=np.bincount(ids[entry])[ids[entry]] > 1, minlength=len(around))
+        part = np.where(common >= needed, bounds[group], -1)
+    left = np.flatnonzero(part >= 0)
+    if not len(left):
         return []
-    # Columns of the shared shingles of each group; 0 is any other shingle.
-    widths = np.append(0, np.cumsum(np.bincount(group[row[new & shared[ids]]], minlength=len(members))))
-    columns = np.where(shared, np.cumsum(shared), 0)[ids]
+    # Columns of the shingles that rows of a part share; 0 is any other shingle.
+    own = np.flatnonzero(part[row] >= 0)
+    own = own[_order(part[row[own]], ids[own])]
+    row, place, ids = row[own], place[own], ids[own]
+    new = (np.diff(part[row], prepend=-1) != 0) | (np.diff(ids, prepend=-1) != 0)
+    run = np.cumsum(new) - 1
+    shared = np.bincount(run) > 1
+    numbers, parts = np.cumsum(shared), part[row[new]]
+    heads = np.flatnonzero(np.diff(parts, prepend=-1))
+    widths = np.zeros(len(around), np.int64)
+    widths[parts[heads]] = np.add.reduceat(shared.astype(np.int64), heads) + 1
+    before = np.repeat((numbers - shared)[heads], np.diff(np.append(heads, len(parts))))
     column = np.zeros((len(around), int(sizes.max())), np.int32)
-    column[row, place] = np.maximum(columns - widths[group[row]], 0)
-    widths = np.diff(widths) + 1
+    column[row, place] = np.where(shared, numbers - before, 0)[run]
     classes = np.unique(np.stack([group, labels]), axis=1, return_inverse=True)[1].ravel()
-    bounds = np.append(0, np.cumsum(members))
     lengths = np.arange(column.shape[1], dtype=np.int32)
     found: list[tuple] = []
 
@@ -739,8 +811,9 @@ def compare_groups(
             return
         own = np.flatnonzero(np.diff(one, prepend=-1))
         rows, at = one[own], np.cumsum(np.diff(one, prepend=-1) != 0) - 1
-        base = np.cumsum(widths[group[rows]]) - widths[group[rows]]
-        partner = np.full(int(widths[group[rows]].sum()), -1, np.int32)
+        wide = widths[part[rows]]
+        base = np.cumsum(wide) - wide
+        partner = np.full(int(wide.sum()), -1, np.int32)
         partner[base[:, None] + column[rows]] = lengths
         partner[base] = -1
         to = partner[base[at][:, None] + column[two]]
@@ -777,37 +850,30 @@ def compare_groups(
     def differ(one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return (nodes[one] != nodes[two]) & (~both_blocks[group[one]] | (blocks[one] != blocks[two])) & (classes[one] != classes[two])
 
-    if len(members) == 1 and len(left) > _MANY:
-        # Products of matrices tell the pairs of a large group.
-        maybe = (100 + similarity) * shared_counts([_distinct(around[i]) for i in left]) >= similarity * np.add.outer(least[left], least[left])
-        one, two = (left[x] for x in np.nonzero(np.triu(maybe, 1)))
-        del maybe
-        apart = differ(one, two)
-        one, two = one[apart], two[apart]
-        # Tables of partners of some rows at once.
-        rows = max(1, (1 << 21) // int(widths[0]))
-        while len(one):
-            end = min(_PAIRS, int(np.searchsorted(np.cumsum(np.diff(one, prepend=one[0]) != 0), rows)))
-            linked(one[:end], two[:end])
-            one, two = one[end:], two[end:]
-            if len(one) > _PAIRS:
-                apart = classes[one] != classes[two]
-                one, two = one[apart], two[apart]
-        return found
-    # Few rows of each group go first: what they link need not be compared.
-    kept = group[left]
-    ends = np.searchsorted(kept, kept, side="right")
-    rank = np.arange(len(left)) - np.searchsorted(kept, kept)
-    wave = 0
-    while wave <= rank.max():
-        rows = np.flatnonzero((rank >= wave) & (rank < 2 * wave + 1))
-        others = ends[rows] - rows - 1
-        one, two = left[np.repeat(rows, others)], left[_expand(rows + 1, others)]
-        apart = differ(one, two)
-        one, two = one[apart], two[apart]
-        for start in range(0, len(one), _PAIRS):
-            linked(one[start : start + _PAIRS], two[start : start + _PAIRS])
-        wave = 2 * wave + 1
+    # Few rows of each group go first: what they link need not be compared.  Rows meet those of their part only.
+    order = left[np.argsort(part[left], kind="stable")]
+    ends = np.searchsorted(part[order], part[order], side="right")
+    rank = np.arange(len(left)) - np.searchsorted(group[left], group[left])
+    number = np.frexp(rank[np.searchsorted(left, order)] + 1)[1]
+    rows = np.lexsort((order, number))
+    waves = np.append(np.flatnonzero(np.diff(number[rows], prepend=-1)), len(rows))
+    for first, last in zip(waves, waves[1:]):
+        own = rows[first:last]
+        pairs = np.cumsum(ends[own] - own - 1)
+        while len(own):
+            # As many rows as make some pairs at least.
+            n = int(np.searchsorted(pairs, _PAIRS << 6)) + 1
+            others = ends[own[:n]] - own[:n] - 1
+            one, two = order[np.repeat(own[:n], others)], order[_expand(own[:n] + 1, others)]
+            apart = differ(one, two)
+            one, two = one[apart], two[apart]
+            while len(one):
+                # Tables of the partners of some rows at once.
+                wide = np.cumsum(np.where(np.diff(one[:_PAIRS], prepend=-1), widths[part[one[:_PAIRS]]], 0))
+                end = max(int(np.searchsorted(wide, _CELLS, side="right")), int(np.searchsorted(one[:_PAIRS], one[0], side="right")))
+                linked(one[:end], two[:end])
+                one, two = one[end:], two[end:]
+            own, pairs = own[n:], pairs[n:] - (pairs[n - 1] if n <= len(pairs) else 0)
     return found
 
 
