@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,6 +64,8 @@ _COLUMNS = 4096
 _TOGETHER = 2048
 _MANY = 64
 _PAIRS = 1024
+# Links of a row that do not pass its window's place and are kept even if they tell nothing new.
+_LINKS = 8
 # Places in the tables of partners that a comparison has at once.
 _CELLS = 1 << 20
 # Shingles of the pairs of texts that are verified at once.
@@ -724,6 +727,48 @@ def _parts(row: np.ndarray, element: np.ndarray, needed: np.ndarray) -> np.ndarr
         part[sets] = np.minimum(least, part[sets])
 
 
+class _Zones:
+    """What links between passages of rows have told: passages that overlap in a row are one zone of it."""
+
+    def __init__(self) -> None:
+        self.of: dict[int, list[tuple[int, int, int]]] = {}
+        self.root: list[int] = []
+        self.links: Counter[int] = Counter()
+
+    def top(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = x = self.root[self.root[x]]
+        return x
+
+    def enter(self, row: int, start: int, end: int) -> tuple[int, bool]:
+        """The zone of a passage, and whether it grew."""
+        held = self.of.setdefault(row, [])
+        for a, b, zone in held:
+            if a <= start and end <= b:
+                return self.top(zone), False
+        joined = [z for z in held if z[0] < end and start < z[1]]
+        if joined:
+            zone = joined[0][2]
+            for a, b, other in joined:
+                start, end = min(start, a), max(end, b)
+                self.root[self.top(other)] = self.top(zone)
+        else:
+            zone = len(self.root)
+            self.root.append(zone)
+        self.of[row] = [z for z in held if z not in joined] + [(start, end, zone)]
+        return self.top(zone), True
+
+    def link(self, i: int, j: int, start: int, end: int, begin: int, stop: int) -> bool:
+        """Whether a link of two passages tells what those before it did not, or one of the rows has few links so far."""
+        one, grew = self.enter(i, start, end)
+        two, also = self.enter(j, begin, stop)
+        one = self.top(one)
+        self.root[one] = two
+        told = grew or also or one != two or min(self.links[i], self.links[j]) < _LINKS
+        self.links.update((i, j) if told else ())
+        return told
+
+
 def compare_block(
     nodes: np.ndarray, blocks: np.ndarray, labels: np.ndarray, places: np.ndarray, starts: np.ndarray,
     around: list[np.ndarray], shortest: int, similarity: int, both_blocks: bool,
@@ -802,6 +847,7 @@ def compare_groups(
     classes = np.unique(np.stack([group, labels]), axis=1, return_inverse=True)[1].ravel()
     lengths = np.arange(column.shape[1], dtype=np.int32)
     found: list[tuple] = []
+    zones = _Zones()
 
     def linked(one: np.ndarray, two: np.ndarray) -> None:
         """Compare pairs of rows, in order."""
@@ -842,8 +888,12 @@ def compare_groups(
             spans = _widest(got[k]) if plain[k] else passages(around[i], around[j], shortest, similarity)
             x, y = int(starts[i]), int(starts[j])
             spans = [(a + x, b + x, c + y, d + y) for a, b, c, d in spans]
-            found.extend((int(nodes[i]), int(nodes[j]), *p) for p in spans)
-            if any(a <= places[i] < b and c <= places[j] < d for a, b, c, d in spans):
+            around_places = any(a <= places[i] < b and c <= places[j] < d for a, b, c, d in spans)
+            # All are entered: a list, as any() would stop.
+            told = any([zones.link(i, j, *p) for p in spans])
+            if around_places or told:
+                found.extend((int(nodes[i]), int(nodes[j]), *p) for p in spans)
+            if around_places:
                 own = classes[bounds[group[i]] : bounds[group[i] + 1]]
                 own[own == classes[i]] = classes[j]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import settled
 from tagloom.llm.shingles import shingle_codes, word_codes
 from tagloom.llm.substrings import (
-    ENOUGH, HASHES, _longest, _runs, compact_windows, compare_block, compare_groups, contexts, intervals_agree, overlap, passages,
+    ENOUGH, HASHES, _longest, _parts, _runs, compact_windows, compare_block, compare_groups, contexts, intervals_agree, overlap, passages,
     repeated_passages, sharing, verbatim, verified_pairs, window_keys, without_repeats,
 )
 
@@ -352,3 +352,25 @@ def test_groups_compared_at_once_link_the_same_pairs():
     sizes, across = np.array([len(g) for g in groups]), np.array([c[6] for c in columns])
     assert len(alone) > 100
     assert sorted(alone) == sorted(compare_groups(sizes, *joined, [c for g in groups for c in g], 46, 80, across))
+
+
+def test_links_of_a_group_do_not_grow_with_its_square():
+    # All share a passage beside the window's place, none around it: no link joins their classes there.
+    r, m = np.random.default_rng(5), 300
+    shared, key = r.integers(0, 1 << 32, 50), r.integers(0, 1 << 32)
+    around = [np.concatenate([shared, r.integers(0, 1 << 32, 8), [key], r.integers(0, 1 << 32, 58)]).astype(np.uint32) for _ in range(m)]
+    found = compare_block(np.arange(m), np.zeros(m, int), np.arange(m), np.full(m, 58), np.zeros(m, int), around, 46, 80, False)
+    assert {x for f in found for x in f[:2]} == set(range(m)) and {f[2:] for f in found} == {(0, 50, 0, 50)}
+    assert len(found) < 10 * m
+
+
+def test_groups_of_a_line_fall_apart():
+    r = np.random.default_rng(6)
+    around = [np.unique(g) for g in _group(r, 900, 3)]
+    row = np.repeat(np.arange(len(around)), [len(a) for a in around])
+    element = np.unique(np.concatenate(around), return_inverse=True)[1]
+    part = _parts(row, element, np.full(len(around), 41))
+    rows = [np.flatnonzero(part == p) for p in np.unique(part[part >= 0])]
+    assert len(rows) == 300 and {len(x) for x in rows} == {3}
+    assert all(len(np.intersect1d(around[x[0]], around[y])) >= 41 for x in rows for y in x)
+    assert (_parts(row, element, np.full(len(around), 118)) == -1).all()
