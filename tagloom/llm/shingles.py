@@ -8,22 +8,24 @@ import xxhash
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x7FB5D329728EA185)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+    y = x ^ (x >> np.uint64(31))
+    y *= np.uint64(0x7FB5D329728EA185)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x81DADEF4BC2DD44D)
+    y ^= y >> np.uint64(33)
+    return y
 
 
-def word_codes(text: str | None) -> np.ndarray:
+def word_codes(text: str | bytes | None) -> np.ndarray:
     """64-bit codes of the words; A to Z are lowered, other letters are not.
 
-    On bytes, lowering and white space are those of ASCII: exactly the rule.
+    On bytes, lowering and white space are those of ASCII: exactly the rule.  Bytes are UTF-8.
     """
     if not text:
         return np.zeros(0, np.uint64)
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    data = text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
+    words = data.lower().split()
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def shingle_codes(words: np.ndarray, width: int) -> np.ndarray:

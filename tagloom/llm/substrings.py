@@ -143,6 +143,11 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.filter("doc IS NOT NULL AND text IS NOT NULL").withColumn("node", F.xxhash64("text"))
 
 
+def _bytes(rows: DataFrame) -> DataFrame:
+    """Texts as bytes: Python need not decode them."""
+    return rows.withColumn("text", F.col("text").cast("binary"))
+
+
 def windows(rows: DataFrame, width: int, shortest: int, hashes: int) -> DataFrame:
     """(key, node, place) of all compact windows of all texts."""
 
@@ -150,7 +155,7 @@ def windows(rows: DataFrame, width: int, shortest: int, hashes: int) -> DataFram
         keys, places = zip(*[window_keys(shingle_codes(word_codes(t), width), shortest, hashes) for t in texts])
         return [np.concatenate(keys), np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]), np.concatenate(places)]
 
-    return arrow_rows(rows, make, "key long, node long, place int", "node", "text", rows=200)
+    return arrow_rows(_bytes(rows), make, "key long, node long, place int", "node", "text", rows=200)
 
 
 def overlap(hashes: list[int], low: list[int], high: list[int], enough: int, shortest: int) -> bool:
@@ -974,7 +979,9 @@ def repeated_passages(
     pairs = settled(pairs, "pairs")
 
     repeated = copies.filter("copies > 1").select("node")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(repeated).distinct()
+    # Texts of pairs, of groups that may be compared in full, and repeated ones: all that is read of them later.
+    large = shared.filter("size > 3").select("key", "node", "place")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(repeated).unionByName(large.select("node")).distinct()
     chosen = wanted.join(copies, "node").select(F.col("node").alias("n"), F.col("least").alias("d"))
     texts = rows.join(chosen, (F.col("doc") == F.col("d")) & (F.col("node") == F.col("n")), "left_semi")
 
@@ -982,7 +989,7 @@ def repeated_passages(
         words = [word_codes(t).astype(np.uint32) for t in values]
         return [nodes, [len(w) for w in words], [w.tobytes() for w in words]]
 
-    sequences = settled(arrow_rows(texts, encode, "node long, n int, words binary", "node", "text").dropDuplicates(["node"]), "sequences")
+    sequences = settled(arrow_rows(_bytes(texts), encode, "node long, n int, words binary", "node", "text").dropDuplicates(["node"]), "sequences")
 
     def verify(a: list, b: list, one: list, two: list) -> list[list]:
         out, at = [], 0
@@ -1003,14 +1010,14 @@ def repeated_passages(
 
     schema = "a long, b long, a_start int, a_end int, b_start int, b_end int"
 
-    def verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         both = (
             pairs.join(sequences.select(F.col("node").alias("a"), F.col("words").alias("one")), "a")
             .join(sequences.select(F.col("node").alias("b"), F.col("words").alias("two")), "b")
         )
         return settled(arrow_rows(both, verify, schema, "a", "b", "one", "two", rows=50), "passages")
 
-    links = verified(pairs, sequences)
+    links = verified(pairs)
 
     def labelled(links: DataFrame, sequences: DataFrame) -> DataFrame:
         """(part, node, start, end, label) of all passages."""
@@ -1043,7 +1050,7 @@ def repeated_passages(
 
     # Groups of up to three nodes are stars of all their pairs.
     inside = (
-        shared.filter("size > 3").select("key", "node", "place")
+        large
         .join(parts.select(F.col("node").alias("n"), "start", "end", "label"), F.expr("node = n AND place >= start AND place < end"), "left")
         .select("key", "node", "place", F.coalesce("label", F.xxhash64(F.lit("alone"), "node", "key")).alias("label"))
         .withColumns({"low": F.min("label").over(group), "high": F.max("label").over(group), "size": F.count(F.lit(1)).over(group)})
@@ -1051,10 +1058,7 @@ def repeated_passages(
     blocks = F.ceil(F.col("size") / _BLOCK).cast("int").alias("blocks")
     members = settled(inside.filter("low <> high").select("key", "node", "place", "label", blocks), "members")
     lists = members.groupBy("node").agg(F.collect_set(F.struct("key", "label", "place", "blocks")).alias("w"))
-    unread = lists.select("node").join(copies, "node").select(F.col("node").alias("n"), F.col("least").alias("d"))
-    more = rows.join(unread, (F.col("doc") == F.col("d")) & (F.col("node") == F.col("n")), "left_semi")
-    more = arrow_rows(more, encode, "node long, n int, words binary", "node", "text").dropDuplicates(["node"])
-    carried = settled(lists.join(more, "node").select("node", "words", "w.key", "w.label", "w.place", "w.blocks"), "carried")
+    carried = settled(lists.select("node", "w.key", "w.label", "w.place", "w.blocks"), "carried")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, found, held, rows = ["a", "b", "a_start", "a_end", "b_start", "b_end"], [], [], 0
@@ -1096,13 +1100,13 @@ def repeated_passages(
             return [list(c) for c in zip(*out)] if out else [[] for _ in range(7)]
 
         columns = "key long, node long, label long, blocks int, place int, start int, around binary"
-        found = arrow_rows(carried, cut, columns, "node", "words", "key", "label", "place", "blocks", rows=50)
+        found = arrow_rows(carried.join(sequences, "node"), cut, columns, "node", "words", "key", "label", "place", "blocks", rows=50)
         found = found.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         found = found.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
         return found.filter((F.col("blocks") == 1) | (F.pmod(F.xxhash64("key", "i", "j"), F.lit(slices)) == number)).drop("blocks", "other")
 
-    held = carried.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
+    held = sequences.agg(F.sum(4 * F.col("n").cast("long"))).first()[0] or 0
     dealt = (members.agg(F.sum("blocks")).first()[0] or 0) * 4 * (2 * (shortest + _GAP) + 1)
     slices = max(1, -(-dealt // max(1, _COPIES * held)))
     rest = None
@@ -1114,7 +1118,7 @@ def repeated_passages(
     if not rest.isEmpty():
         # A context may cut a passage short or do without the rest of a run: whole texts decide.
         more = rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        parts = labelled(links.unionByName(verified(more, carried)).distinct(), sequences)
+        parts = labelled(links.unionByName(verified(more)).distinct(), sequences)
     # Every copy of a text holds its passages.
     parts = parts.withColumn("tag", F.xxhash64("node"))
     whole = names.withColumn("tag", F.xxhash64("node")).join(parts, ["node", "tag"]).select("doc", "label", "start", "end").distinct()
