@@ -19,7 +19,8 @@ similarity ``similarity`` or more on both sides.  Linked passages form classes.
 A star could miss two texts that share a passage neither shares with a centre, as
 when a group is one of a frequent line.  So every group whose windows lie in
 passages of several classes, or in none, is compared in full, inside tasks of
-bounded blocks.  What is compared there is the context of each window's least
+bounded blocks, where contexts that share none of their rarest shingles fall
+apart and links that tell nothing new are left out.  What is compared there is the context of each window's least
 place, a few hundred bytes that hold a piece of every passage around it, so an
 exchange does not grow with the lengths of the texts; the linked pairs are then
 verified on whole texts.  The blocks are dealt out in slices, each of about four
@@ -442,7 +443,8 @@ def _similar(
 
 
 def _jumping(
-    place: np.ndarray, own: np.ndarray, number: int, low: int, high: int, shortest: int, similarity: int, repeats: Callable[..., tuple] | None
+    place: np.ndarray, own: np.ndarray, number: int, low: int, high: int, shortest: int, similarity: int,
+    repeats: Callable[..., tuple] | None,
 ) -> tuple[tuple[int, int, int, int] | None, list[tuple[int, int]]]:
     """The passage of one run whose shifts differ, if it is one, and the ranges that are still to be looked at."""
     at, to = place[low:high], own[low:high]
@@ -587,7 +589,8 @@ def verified_pairs(
         # One more element after each parts them.
         inner, ends = _expand(np.zeros(len(row), np.int64), length + 1), np.cumsum(length + 1) - 1
         other = np.repeat(begins[row, 1] + second, length + 1) + inner
-        differ = codes[np.minimum(np.repeat(begins[row, 0] + first, length + 1) + inner, len(codes) - 1)] != codes[np.minimum(other, len(codes) - 1)]
+        inner += np.repeat(begins[row, 0] + first, length + 1)
+        differ = codes[np.minimum(inner, len(codes) - 1)] != codes[np.minimum(other, len(codes) - 1)]
         differ[ends] = True
         stops = np.flatnonzero(differ)
         sure.update(row[np.searchsorted(ends, stops[np.diff(stops, prepend=-1) > shortest])].tolist())
@@ -805,8 +808,8 @@ def compare_groups(
             raise ValueError("a group of contexts that is too large")
         cut, at = len(half), int(half[-1])
         columns = (nodes, blocks, labels, places, starts, around)
-        parts = ((members[:cut], *(x[:at] for x in columns), both_blocks[:cut]), (members[cut:], *(x[at:] for x in columns), both_blocks[cut:]))
-        return [x for *p, across in parts for x in compare_groups(*p, shortest, similarity, across)]
+        one = compare_groups(members[:cut], *(x[:at] for x in columns), shortest, similarity, both_blocks[:cut])
+        return one + compare_groups(members[cut:], *(x[at:] for x in columns), shortest, similarity, both_blocks[cut:])
     low = np.uint64(bits[1] + bits[2])
     keys = flat << low | row.astype(np.uint64) << np.uint64(bits[2]) | place.astype(np.uint64)
     if bits[0]:
